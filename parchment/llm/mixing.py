@@ -7,9 +7,9 @@ Newton steps together: a step is one aggregate over (source, size, n), the count
 holds a third of all documents is a few thousand rows there. A step that leaves its bracket is replaced by halving.
 
 Rates become whole copies so that each source's taken tokens follow its target: every document gets floor(r) copies, and
-the remainders are dealt as further copies in the order of a seeded hash inside classes of like size, the n-th further
-copy going where the running sum of remainders passes half of a document; the rest of all classes is carried to the
-source's smallest documents.
+the remainders are dealt as further copies inside classes of like size: a class's documents get one in the order of a
+seeded hash until their sizes make up its remainders. What the classes of a source miss together is made good from the
+class of the smallest documents upwards, so a source ends within about half of a small document of its target.
 """
 
 from __future__ import annotations
@@ -126,24 +126,23 @@ def mix(docs: DataFrame, size: Column, weights: list[float], share: float, doc_i
     dual = multipliers(counts, goals, tilt, most).join(goals.withColumnRenamed("source", "g"), _same(F.col("source"), F.col("g"))).select(F.col("source").alias("s"), "mean", "full", "lam", "target", "source_size")
     tilted = F.least(F.lit(most), F.exp(F.least(F.col("lam") * F.pow(F.col("size") / F.col("mean"), F.lit(tilt)), F.lit(700.0))))
     rated = slim.filter("size > 0").join(dual, _same(F.col("s"), F.col("source"))).withColumn("rate", F.when(F.col("full"), F.lit(most)).otherwise(tilted)).withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    rated = rated.withColumn("class", F.floor(F.log2("size")).cast("int")).withColumn("rest", (F.col("rate") - F.floor("rate")) * F.col("size"))
+    free = F.col("rate") < most
+    rated = rated.withColumn("class", F.floor(F.log2("size")).cast("int")).withColumn("rest", F.when(free, (F.col("rate") - F.floor("rate")) * F.col("size")).otherwise(0.0)).withColumn("free", F.when(free, F.col("size")).otherwise(0))
     order = [F.col("hash"), F.col("doc_id"), F.col("size")]
-    first = cut(_running(rated, ["source", "class"], F.col("size").cast("double"), order, runs).withColumnRenamed("before", "sizes_before"))
-    # a class takes a further copy of its documents, in hash order, until their sizes reach the class's remainder
-    per = first.groupBy("source", "class").agg(F.sum("rest").alias("room"), F.sum("size").alias("all_of_class"))
-    extra = F.col("sizes_before") + F.col("size") / 2 <= F.col("room")
-    at = lambda df: df.select(F.col("source").alias("s1"), F.col("class").alias("c1"), "room", "all_of_class")
-    placed = first.join(at(per), _same(F.col("source"), F.col("s1")) & (F.col("class") == F.col("c1")))
-    off = placed.groupBy("source", "class").agg(F.sum(F.when(extra, F.col("size")).otherwise(0)).alias("took"), F.first("room").alias("room"), F.first("all_of_class").alias("all_of_class"))
-    # what the classes missed together is made good in the smallest class that has the room for it
-    by_source = W.partitionBy("source")
-    off = off.withColumn("miss", F.sum(F.col("room") - F.col("took")).over(by_source)).withColumn("could", F.col("room") - (F.col("room") - F.col("took")) + F.col("miss"))
-    fits = (F.col("could") >= 0) & (F.col("could") <= F.col("all_of_class"))
-    off = off.withColumn("pick", F.min(F.when(fits, F.col("class"))).over(by_source))
-    off = off.select(F.col("source").alias("s1"), F.col("class").alias("c1"), F.when(F.col("class") == F.col("pick"), F.col("could")).otherwise(F.col("room")).alias("room"))
-    last = first.join(off, _same(F.col("source"), F.col("s1")) & (F.col("class") == F.col("c1")))
-    copies = F.least(F.lit(int(most)), (F.floor("rate") + F.when((F.col("rate") < most) & extra, 1).otherwise(0)).cast("int"))
-    last = last.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"))
+    first = cut(_running(rated, ["source", "class"], F.col("free").cast("double"), order, runs))
+    # a class takes a further copy of its documents, in hash order, until their sizes reach the class's room
+    extra = free & (F.col("before") + F.col("free") / 2 <= F.col("room"))
+    rooms = first.groupBy("source", "class").agg(F.sum("rest").alias("room"))
+    with_room = lambda rooms: first.join(rooms.select(F.col("source").alias("s1"), F.col("class").alias("c1"), "room"), _same(F.col("source"), F.col("s1")) & (F.col("class") == F.col("c1")))
+    for _ in range(2):  # what the classes missed together is made good from the smallest class upwards
+        off = with_room(rooms).groupBy("source", "class").agg(F.sum(F.when(extra, F.col("free")).otherwise(0)).alias("took"), F.sum("rest").alias("rest"), F.sum("free").alias("all"))
+        off = off.withColumn("miss", F.sum(F.col("rest") - F.col("took")).over(W.partitionBy("source")))
+        off = off.withColumn("spare", F.when(F.col("miss") > 0, F.col("all") - F.col("took")).otherwise(F.col("took")))
+        below = F.coalesce(F.sum("spare").over(W.partitionBy("source").orderBy("class").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        share = F.greatest(F.lit(0.0), F.least(F.abs("miss") - below, F.col("spare")))
+        rooms = cut(off.select("source", "class", (F.col("took") + F.signum("miss") * share).alias("room")))
+    copies = F.least(F.lit(int(most)), (F.floor("rate") + F.when(extra, 1).otherwise(0)).cast("int"))
+    last = with_room(rooms).select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"))
     empty = slim.filter("size = 0").join(goals.withColumnRenamed("source", "s"), _same(F.col("s"), F.col("source"))).select("doc_id", "source", "size", "source_size", "target", F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
     return last.unionByName(empty)
 
