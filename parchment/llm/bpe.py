@@ -169,18 +169,18 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     """(doc_id, ids) for every row: the ids of the whole text; null and empty texts have none.
 
     The special token's string in a text becomes its id. Rows that repeat an id are encoded each by its own text, and
-    rows without an id are encoded in place; chunks are known by content, so neither can mix texts up. shape may map
+    rows without an id go by a hash of theirs; chunks are known by content, so neither can mix texts up. shape may map
     the stream of (doc_id, ids) Arrow batches to another schema inside the same tasks.
     """
     path = path or default_ranks()
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    dealt = base.repartition("doc_id")
-    found = base.mapInArrow(_chunk_rows, "chunk binary, owner long")
-    shared = found.groupBy("chunk").agg(F.count("*").alias("n"), F.min("owner").alias("home")).filter("n > 1 and home is not null").drop("n")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    dealt = base.repartition("key")  # both joins below read this one exchange, so both take all three columns
+    found = base.select("key", "text").mapInArrow(_chunk_rows, "chunk binary, owner long")
+    shared = found.groupBy("chunk").agg(F.count("*").alias("n"), F.min("owner").alias("home")).filter("n > 1").drop("n")
     wanted = shared.groupBy("home").agg(F.collect_list("chunk").alias("wanted"))
-    once = dealt.join(wanted, F.col("doc_id") == F.col("home")).select("text", "wanted").mapInArrow(_encode_chunks(path), "chunk binary, ids binary").groupBy("chunk").agg(F.first("ids").alias("ids"))
-    given = found.filter("owner is not null").join(once, "chunk").groupBy("owner").agg(F.collect_set(F.struct("chunk", "ids")).alias("known"))
-    joined = dealt.join(given, F.col("doc_id") == F.col("owner"), "left").select("doc_id", "text", "known")
+    once = dealt.join(wanted, F.col("key") == F.col("home")).select("text", "wanted", "doc_id", "key").mapInArrow(_encode_chunks(path), "chunk binary, ids binary").groupBy("chunk").agg(F.first("ids").alias("ids"))
+    given = found.join(once, "chunk").groupBy("owner").agg(F.collect_set(F.struct("chunk", "ids")).alias("known"))
+    joined = dealt.join(given, F.col("key") == F.col("owner"), "left").select("doc_id", "text", "known", "key")
     run = _encode_docs(path)
     return joined.mapInArrow((lambda batches: shape(run(batches))) if shape else run, schema)
 
