@@ -160,7 +160,8 @@ def _top(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """index, probes: (cell, vec_id, vector). The k nearest of each query among the rows of its cells."""
     blocks = index.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     mine = index.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("asked", F.lit(False))
-    theirs = probes.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).withColumn("asked", F.lit(True))
+    # A query makes many probes, so the size that is guessed for them is far too small: they must not be broadcast by it.
+    theirs = probes.join(blocks.hint("merge"), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).withColumn("asked", F.lit(True))
     both = mine.unionByName(theirs).select("cell", "block", "asked", "vec_id", "vector")
     found = both.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(_meet(k), "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
