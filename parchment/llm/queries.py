@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parchment.llm import ann, bpe, chat, line_dedup, mixing, near_dedup, pii, quality, sharding, url_filter
 from parchment.llm.common import n_words, table
+from parchment.llm.oracles import ORACLES  # noqa: F401
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 #: Weights of the sources in turn, and the share of all tokens that the mix takes.
@@ -80,4 +81,3 @@ def op10_bpe(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_pii, op4_mixing, op5_near_duplicates, op6_sharding, op7_nearest, op8_line_dedup, op9_chat, op10_bpe)}
-ORACLES: dict[str, str] = {}
