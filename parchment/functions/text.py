@@ -37,15 +37,19 @@ def every(c: Column, regex: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(regex), F.lit(group))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once for a row, even where body names it in many branches."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hits(c: Column, phrases: list[str]) -> Column:
     """The phrases that the text holds as substrings, case aside, in the phrases' order."""
-    low = F.lower(c)
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p.lower())), F.lit(p)) for p in phrases]))
+    return let(F.lower(c), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p.lower())), F.lit(p)) for p in phrases])))
 
 
-def window(c: Column, keyword: str, size: int) -> Column:
-    """size characters from a keyword's first occurrence, case aside; null without one."""
-    at = F.locate(keyword, F.lower(c))
+def window(c: Column, low: Column, keyword: str, size: int) -> Column:
+    """size characters of c from a keyword's first occurrence in low, c's lower case; null without one."""
+    at = F.locate(keyword, low)
     return F.when(at > 0, F.substring(c, at, F.lit(size)))
 
 
@@ -55,13 +59,22 @@ def any_of(conditions: list[Column]) -> Column:
 
 def parse_date(token: Column) -> Column:
     """A date in one of the four shapes, days before months; two-digit years are of this century."""
-    t = F.regexp_replace(F.regexp_replace(strip(token), r"(?i)(?<=[0-9])(st|nd|rd|th)\b", ""), r"(?i)\bsept\b", "Sep")
-    t = F.regexp_replace(t, r"[\s,]+", " ")
-    word = F.initcap(F.lower(F.regexp_replace(t, r"(?i)([0-9])[\s\-]+([a-z]{3})[a-z]*[\s\-]+([0-9])", "$1 $2 $3")))
-    head = F.initcap(F.lower(F.regexp_replace(t, r"(?i)^([a-z]{3})[a-z]* ([0-9])", "$1 $2")))
-    number = F.regexp_replace(t, r"[/.]", "-")
-    ways = [(number, r"^[0-9]{4}-", "yyyy-M-d"), (number, r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d-M-yyyy"), (number, r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{2}$", "d-M-yy"), (word, r"^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}$", "d MMM yyyy"), (word, r"^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{2}$", "d MMM yy"), (head, r"^[A-Z][a-z]{2} [0-9]{1,2} [0-9]{4}$", "MMM d yyyy")]
-    return F.coalesce(*[F.when(c.rlike(shape), F.try_to_date(c, fmt)) for c, shape, fmt in ways])
+    def ways(t: Column) -> Column:
+        number = F.regexp_replace(t, r"[/.]", "-")
+        word = F.initcap(F.lower(F.regexp_replace(t, r"(?i)^([0-9]+)[\s\-]+([a-z]{3})[a-z]*[\s\-]+([0-9])", "$1 $2 $3")))
+        head = F.initcap(F.lower(F.regexp_replace(t, r"(?i)^([a-z]{3})[a-z]* ([0-9])", "$1 $2")))
+        shapes = [
+            (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", t, "yyyy-M-d"), (r"^[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{4}$", number, "d-M-yyyy"), (r"^[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{2}$", number, "d-M-yy"),
+            (r"(?i)^[0-9]{1,2}[ \-]+[a-z]{3,9}[ \-]+[0-9]{4}$", word, "d MMM yyyy"), (r"(?i)^[0-9]{1,2}[ \-]+[a-z]{3,9}[ \-]+[0-9]{2}$", word, "d MMM yy"), (r"(?i)^[a-z]{3,9} [0-9]{1,2} [0-9]{4}$", head, "MMM d yyyy"),
+        ]
+        out = None
+        for shape, value, fmt in shapes:
+            day = F.try_to_date(value, fmt)
+            out = F.when(t.rlike(shape), day) if out is None else out.when(t.rlike(shape), day)
+        return out
+
+    plain = F.regexp_replace(F.regexp_replace(strip(token), r"(?i)(?<=[0-9])(st|nd|rd|th)\b", ""), r"[\s,]+", " ")
+    return let(plain, ways)
 
 
 def slug(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.config import DEFAULT, EMPLOYMENT_TYPES, FREE_MAIL, JOINING_KEYWORDS, OFFER_KEYWORDS, SALARY_KEYWORDS, Settings
-from parchment.functions.text import DATE, any_of, blank_to_null, every, first, lines, parse_date, strip, window
+from parchment.functions.text import DATE, any_of, blank_to_null, every, first, let, lines, parse_date, strip, window
 
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 LOOSE_EMAIL = r"[A-Za-z0-9._%+\-]+\s*@\s*[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -16,12 +16,13 @@ CLAUSE = r"(?i)\b(shall|will|hereby|terms|subject|agree|company)\b"
 
 def date_near(text: Column, keywords: list[str], size: int = 120) -> Column:
     """The first date after the first keyword that has one."""
-    return F.coalesce(*[parse_date(first(window(text, k, size), DATE)) for k in keywords])
+    return let(F.lower(text), lambda low: F.coalesce(*[parse_date(first(window(text, low, k, size), DATE)) for k in keywords]))
 
 
 def offer_date(text: Column) -> Column:
     """A `Date:` line among the first 20, else a date by a keyword, else the first date of the first 500 characters."""
-    labelled = F.filter(F.transform(F.slice(lines(text), 1, 20), lambda l: parse_date(first(l, r"^[Dd]ate\s*[:\-]\s*(.+)$", 1))), lambda d: d.isNotNull())
+    dated = F.filter(F.slice(lines(text), 1, 20), lambda l: l.rlike(r"^[Dd]ate\s*[:\-]"))
+    labelled = F.filter(F.transform(dated, lambda l: parse_date(first(l, r"^[Dd]ate\s*[:\-]\s*(.+)$", 1))), lambda d: d.isNotNull())
     return F.coalesce(F.try_element_at(labelled, F.lit(1)), date_near(text, OFFER_KEYWORDS), parse_date(first(F.substring(text, 1, 500), DATE)))
 
 
@@ -32,7 +33,7 @@ def plausible_joining(day: Column, offered: Column, as_of: str) -> Column:
 def joining_date(text: Column, offered: Column, as_of: str) -> Column:
     """A labelled date if plausible, else the earliest plausible date within 150 characters of a keyword."""
     label = parse_date(first(text, rf"(?i)(?:date of joining|joining date|date of commencement|commencement date|start date|reporting date)\s*[:\-]?\s*({DATE[4:]})", 1))
-    near = F.flatten(F.array(*[F.coalesce(every(window(text, k, 150), DATE), F.array().cast("array<string>")) for k in JOINING_KEYWORDS]))
+    near = let(F.lower(text), lambda low: F.flatten(F.array_compact(F.array(*[every(window(text, low, k, 150), DATE) for k in JOINING_KEYWORDS]))))
     good = F.filter(F.transform(F.array_distinct(near), parse_date), lambda d: plausible_joining(d, offered, as_of))
     return F.coalesce(F.when(plausible_joining(label, offered, as_of), label), F.array_min(good))
 
@@ -129,14 +130,13 @@ def amount_near(text: Column, keywords: list[str]) -> Column:
     """The first number within 180 characters of a keyword, in rupees; 100 and less passes to the next keyword."""
     pattern = r"(?i)([0-9,]*[0-9,](?:\.[0-9]+)?)\s*(lakhs?|lacs?|lpa|crores?|cr\b)?"
 
-    def one(k: str) -> Column:
-        near = window(text, k, 180)
+    def one(near: Column) -> Column:
         number = F.regexp_replace(F.regexp_extract(near, pattern, 1), ",", "").try_cast("double")
         unit = F.lower(F.regexp_extract(near, pattern, 2))
         value = number * F.when(unit.rlike("^(la|lp)"), 1e5).when(unit.startswith("cr"), 1e7).otherwise(1.0)
         return F.when(value > 100, value)
 
-    return F.coalesce(*[one(k) for k in keywords])
+    return let(F.lower(text), lambda low: F.coalesce(*[let(window(text, low, k, 180), one) for k in keywords]))
 
 
 def salary(text: Column) -> dict[str, Column]:

@@ -92,6 +92,10 @@ TABLES = ("orders", "customer", "nation", "lineitem")
 
 def build(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
+    cores = spark.sparkContext.defaultParallelism
+    for t in {"orders", "lineitem"} & set(used):  # a table of few splits is spread before it grows into letters
+        if used[t].rdd.getNumPartitions() < cores:
+            used[t] = used[t].repartition(cores)
     return spark.sql(sql, **used)
 
 
