@@ -109,9 +109,9 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_letters(spark: SparkSession, path: str, max_bytes: int = 50 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) text letters of a folder: those that are empty or too large are rejected, unread."""
+    """(accepted, rejected) text letters of a folder. Those too large are rejected unread; empty files are no rows at all."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = "regexp_extract(path, '([^/]+)$', 1) AS file_name"
-    good = f"length > 0 AND length <= {max_bytes}"
+    good = f"length <= {max_bytes}"
     accepted = files.filter(good).selectExpr("xxhash64(path) AS letter_id", name, "CAST(ceil(length / 1024) AS INT) AS file_size_kb", "decode(content, 'UTF-8') AS full_text")
-    return accepted, files.filter(f"NOT ({good})").selectExpr(name, "length", "CASE WHEN length = 0 THEN 'empty' ELSE 'too large' END AS reason")
+    return accepted, files.filter(f"NOT ({good})").selectExpr(name, "length", "'too large' AS reason")
