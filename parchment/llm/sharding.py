@@ -19,8 +19,8 @@ from pyspark.sql.window import Window as W
 
 from parchment.llm.common import cut
 
-#: Blocks of the first draw; rows of a partition and of a run, about.
-BLOCKS, ROWS = 256, 50_000
+#: Blocks of the first draw; rows of a partition and of a run of a shard, about.
+BLOCKS, ROWS, RUN = 256, 10_000, 50_000
 
 
 def matrix(counts: np.ndarray, totals: np.ndarray, seed) -> np.ndarray:
@@ -79,7 +79,7 @@ def shard(docs: DataFrame, shards: int, seed: int = 1, names: tuple[str, str] =
     rank = F.row_number().over(W.partitionBy("__part").orderBy(F.xxhash64(F.lit("order"), "__h"), "__h"))
     local = keyed.withColumn("__rank", rank).join(dealt, F.col("__part") == F.col("__p"))
     sent = local.withColumn(shard_, F.size(F.filter("__ends", lambda e: e < F.col("__rank"))))
-    runs = max(1, -(-rows // (shards * ROWS)))
+    runs = max(1, -(-rows // (shards * RUN)))
     again = F.xxhash64(F.lit("slot"), "__h", "__rank", "__part")
     sent = sent.drop("__p", "__ends").withColumn("__again", again).withColumn("__run", F.pmod(F.shiftrightunsigned("__again", 32), F.lit(runs)))
     if runs == 1:

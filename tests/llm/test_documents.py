@@ -157,6 +157,7 @@ def test_mixing(docs, none):
 def test_sharding(docs, none, monkeypatch):
     for rows in (50_000, 10):
         monkeypatch.setattr(sharding, "ROWS", rows)
+        monkeypatch.setattr(sharding, "RUN", rows)
         got = sharding.shard(docs.withColumn("slot", F.lit("old")), 7).toPandas()
         n = docs.count()
         sizes = got.groupby("shard").size()
