@@ -198,3 +198,8 @@ def low_confidence(as_of: str = DEFAULT.as_of) -> Column:
     contact = F.coalesce(F.col("company_email"), F.col("phone"), F.col("website")).isNotNull()
     known = sum((F.when(c, 1).otherwise(0) for c in (F.col("company_name").isNotNull(), F.col("candidate_name").isNotNull(), F.coalesce("offer_date", "joining_date").isNotNull())), F.lit(0))
     return ~contact | (F.size(plausibility_problems(as_of)) > 0) | (known < 2)
+
+
+def model_text(text: Column, whole: int = 40_000, head: int = 20_000, tail: int = 10_000) -> Column:
+    """What a model is given of a letter: all of it up to `whole` characters, else its head and tail around a mark."""
+    return F.when(F.length(text) <= whole, text).otherwise(F.concat(F.substring(text, 1, head), F.lit("\n[...]\n"), F.substring(text, -tail, tail)))

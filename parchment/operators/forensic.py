@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from parchment.config import DESIGN_TOOLS, EDITING_SUITES, ONLINE_TOOLS, PLACEHOLDERS, RED_PHRASES, TEMPLATE_ARTIFACTS
-from parchment.functions.text import blank_to_null, every, hits
+from parchment.functions.text import MONTH, any_of, blank_to_null, every, hits
 
 
 def red_phrases(text: Column) -> Column:
@@ -57,3 +57,30 @@ def composite_pages(images: DataFrame, pages: DataFrame) -> DataFrame:
     area = F.col("px_w").cast("long") * F.col("px_h")
     by = images.groupBy("letter_id", "page_no").agg(F.count_if(area > 1_000_000).alias("large"), F.count_if(area < 80_000).alias("small"))
     return pages.join(by, ["letter_id", "page_no"]).filter("length(trim(text)) < 20 AND large >= 1 AND small >= 1 AND n_drawings > 150 AND n_fonts = 0").select("letter_id", "page_no")
+
+
+SALARY_WORDS = ["ctc", "salary", "compensation", "gross", "allowance", "hra", "gratuity"]
+SIGNATURE_WORDS = ["signatory", "signature", "sincerely", "yours faithfully", "for and on behalf", "accepted by"]
+
+
+def floating_dates(lines: DataFrame) -> DataFrame:
+    """Lines of a page's body whose whole text is a date: a sign of text laid over a page. (letter_id, page_no, line_no, finding)"""
+    alone = F.trim("text").rlike(rf"(?i)^(?:[0-9]{{1,2}}(?:st|nd|rd|th)?\s+)?{MONTH}\s+[0-9]{{4}}$")
+    height = F.col("y0") / F.when(F.col("page_h") != 0, F.col("page_h")).otherwise(1.0)
+    finding = F.concat(F.lit("page "), F.col("page_no").cast("string"), F.lit(": floating date '"), F.trim("text"), F.lit("'"))
+    return lines.filter(alone & (height > 0.15) & (height < 0.85)).select("letter_id", "page_no", "line_no", finding.alias("finding"))
+
+
+def page_selection(pages: DataFrame, most: int = 5) -> DataFrame:
+    """(letter_id, pages, signature_page): the pages to look at, from (letter_id, page_no from 0, text).
+
+    All of up to four pages; else the first two, the last salary page and the last signature page, or the last page where
+    there is neither.
+    """
+    holds = lambda words: any_of([F.contains(F.lower("text"), F.lit(w)) for w in words])
+    last = lambda words: F.max(F.when(holds(words), F.col("page_no")))
+    by = pages.groupBy("letter_id").agg(F.count("*").cast("int").alias("n"), last(SALARY_WORDS).alias("salary"), last(SIGNATURE_WORDS).alias("signature"))
+    end = F.when(F.coalesce("salary", "signature").isNull(), F.col("n") - 1)
+    few = F.slice(F.array_distinct(F.array_compact(F.array(F.lit(0), F.lit(1), F.col("salary"), F.col("signature"), end))), 1, most)
+    chosen = F.when(F.col("n") <= 4, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(few)
+    return by.select("letter_id", chosen.alias("pages"), F.coalesce("signature", F.col("n") - 1).alias("signature_page"))

@@ -42,3 +42,12 @@ def guesses(companies: DataFrame, facts: DataFrame, name: str = "company_name")
     rows = rows.select(name, "stem", F.posexplode(F.array(*[F.lit(t) for t in TLDS])).alias("rank", "tld")).withColumn("domain", F.concat("stem", "tld"))
     found = rows.join(facts.filter("dns_valid").select("domain"), "domain")
     return found.withColumn("n", F.row_number().over(W.partitionBy(name).orderBy("rank"))).filter("n = 1").select(name, "domain")
+
+
+def rescue(letters: DataFrame, answers: DataFrame, facts: DataFrame) -> DataFrame:
+    """Fills a missing domain from the scorer's answer, (letter_id, found_domain), and joins the facts of the domain that results.
+
+    Only the domain and its facts change; what was derived before the rescue stays as it was.
+    """
+    out = letters.join(answers, "letter_id", "left").withColumn("rescued", F.col("domain").isNull() & F.col("found_domain").isNotNull())
+    return join_dns(out.withColumn("domain", F.coalesce("domain", "found_domain")).drop("found_domain"), facts)

@@ -363,3 +363,54 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     df = screen(src.letters(spark, sf_dir))
     return df.groupBy("screen", "employment_type").agg(F.count("*").alias("n"), F.count_if(F.size("red_phrases") > 0).alias("red"), F.count_if(F.size("artifacts") > 0).alias("templates"))
+
+
+# ---------------------------------------------------------------- pages, model input, rescue
+
+_LINES = "SELECT l_orderkey AS letter_id, 1 + CAST(l_linenumber % 2 AS INT) AS page_no, l_linenumber AS line_no, CASE CAST(l_partkey % 6 AS INT) WHEN 0 THEN concat(CAST(1 + l_suppkey % 28 AS STRING), ' March 2025') WHEN 1 THEN ' april 2025 ' WHEN 2 THEN '3rd May 2025' WHEN 3 THEN 'on 3 May 2025' ELSE 'other text' END AS text, CAST(l_suppkey * 13 % 850 AS DOUBLE) AS y0, 842.0 AS page_h FROM {lineitem}"
+_ALONE = "regexp_matches(trim(text), '(?i)^([0-9]{1,2}(st|nd|rd|th)?\\s+)?(mar|apr|may)[a-z]*\\s+[0-9]{4}$')"
+
+
+@query("floating_dates", f"SELECT letter_id, page_no, line_no, 'page ' || page_no || ': floating date ' || chr(39) || trim(text) || chr(39) AS finding FROM ({src.plain(_LINES)}) AS x WHERE {_ALONE} AND y0 / page_h > 0.15 AND y0 / page_h < 0.85")
+def _(spark, sf_dir):
+    return forensic.floating_dates(src.build(spark, sf_dir, _LINES))
+
+
+_SHEETS = "SELECT l_orderkey AS letter_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS page_no, CASE CAST(l_partkey % 9 AS INT) WHEN 0 THEN 'Annual CTC and HRA' WHEN 1 THEN 'Authorised Signatory' ELSE 'terms' END AS text FROM {lineitem}"
+_ORDERED = "list_filter([0, 1, sal, sig, CASE WHEN sal IS NULL AND sig IS NULL THEN n - 1 END], lambda x: x IS NOT NULL)"
+
+
+@query("page_selection", f"""WITH p AS (SELECT letter_id, CAST(count(*) AS INT) AS n, max(page_no) FILTER (contains(text, 'CTC')) AS sal, max(page_no) FILTER (contains(text, 'Signatory')) AS sig FROM ({src.plain(_SHEETS)}) AS x GROUP BY letter_id)
+SELECT letter_id, array_to_string(CASE WHEN n <= 4 THEN range(n) ELSE list_filter({_ORDERED}, lambda x, i: list_position({_ORDERED}, x) = i) END, ',') AS pages, coalesce(sig, n - 1) AS signature_page FROM p""")
+def _(spark, sf_dir):
+    df = forensic.page_selection(src.build(spark, sf_dir, _SHEETS))
+    return df.select("letter_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "signature_page")
+
+
+_PIN = "instr(t, regexp_extract(t, '\\b[0-9]{6}\\b'))"
+_PART = f"list_filter(list_transform(string_split(substr(t, greatest({_PIN} - 250, 1), least({_PIN} - 1, 250) + 10), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+_field("pin_address", extract.pin_address, f"CASE WHEN regexp_matches(t, '\\b[0-9]{{6}}\\b') THEN array_to_string(list_slice({_PART}, greatest(len({_PART}) - 2, 1), len({_PART})), ', ') END")
+
+
+@query("model_text", "SELECT doc_id, length(m) AS n, md5(m) AS digest FROM (SELECT doc_id, CASE WHEN length(text) <= 4000 THEN text ELSE substr(text, 1, 2000) || chr(10) || '[...]' || chr(10) || right(text, 1000) END AS m FROM documents) AS x")
+def _(spark, sf_dir):
+    df = _documents(spark, sf_dir).withColumn("m", extract.model_text(F.col("text"), 4000, 2000, 1000))
+    return df.select("doc_id", F.length("m").cast("long").alias("n"), F.md5("m").alias("digest"))
+
+
+_FOUND = "SELECT o_orderkey AS letter_id, CASE WHEN o_orderkey % 20 = 0 THEN concat('nova', CAST(o_orderkey % 400 AS STRING), '.co.in') END AS found_domain FROM {orders}"
+
+
+@query("rescue_rejoin", f"""WITH f AS ({src.plain(src.FACTS)}), r AS ({src.plain(_FOUND)}), d AS ({src.plain(_DNS)}),
+j AS (SELECT f.letter_id, coalesce(f.domain, r.found_domain) AS domain, f.domain IS NULL AND r.found_domain IS NOT NULL AS rescued FROM f LEFT JOIN r ON f.letter_id = r.letter_id)
+SELECT letter_id, j.domain, rescued, coalesce(d.dns_valid, false) AS dns_valid, CASE WHEN j.domain IS NULL THEN false ELSE coalesce(d.lookup_error, true) END AS lookup_error FROM j LEFT JOIN d ON j.domain = d.domain""")
+def _(spark, sf_dir):
+    letters = src.build(spark, sf_dir, src.FACTS).select("letter_id", "domain")
+    return lookups.rescue(letters, src.build(spark, sf_dir, _FOUND), src.build(spark, sf_dir, _DNS)).select("letter_id", "domain", "rescued", "dns_valid", "lookup_error")
+
+
+@query("audit_problems")
+def _(spark, sf_dir):
+    """The problems of implausible letters, with those whose extraction was confident all the same."""
+    df = extract.extract(src.letters(spark, sf_dir)).withColumn("low", extract.low_confidence()).withColumn("problem", F.explode(extract.plausibility_problems()))
+    return df.groupBy("problem").agg(F.count("*").alias("n"), F.count_if(~F.col("low")).alias("silent"), F.min("letter_id").alias("first_letter"))
