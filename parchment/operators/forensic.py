@@ -27,7 +27,7 @@ def template_artifacts(text: Column) -> Column:
 
 def image_summary(images: DataFrame) -> DataFrame:
     """One row a letter: image count, the first top image as logo, first bottom one as signature, first square of the rest as stamp."""
-    rank = F.row_number().over(W.partitionBy("letter_id", "zone", "usable").orderBy("page_no", "img_no"))
+    rank = F.row_number().over(W.partitionBy("letter_id", "zone", "usable").orderBy("page_no", "img_no", "x0", "y0", "w", "h"))
     zone = F.when(F.col("y0") < 0.25 * F.col("page_h"), "top").when(F.col("y0") > 0.75 * F.col("page_h"), "bottom").otherwise("middle")
     side = F.when(F.col("x0") < 0.33 * F.col("page_w"), "left").when(F.col("x0") > 0.66 * F.col("page_w"), "right").otherwise("center")
     df = images.withColumn("zone", zone).withColumn("side", side).withColumn("usable", (F.col("w") >= 30) & (F.col("h") >= 30)).withColumn("rank", rank)

@@ -164,7 +164,7 @@ _SIDE = "CASE WHEN x0 < 0.33 * page_w THEN 'left' WHEN x0 > 0.66 * page_w THEN '
 
 
 @query("image_classify", f"""WITH i AS (SELECT *, {_ZONE} AS zone, {_ZONE} || '-' || {_SIDE} AS place, w >= 30 AND h >= 30 AS usable FROM ({src.plain(src.IMAGES)}) AS x),
-r AS (SELECT *, row_number() OVER (PARTITION BY letter_id, zone, usable ORDER BY page_no, img_no) = 1 AND usable AND zone <> 'middle' AS taken FROM i)
+r AS (SELECT *, row_number() OVER (PARTITION BY letter_id, zone, usable ORDER BY page_no, img_no, x0, y0, w, h) = 1 AND usable AND zone <> 'middle' AS taken FROM i)
 SELECT letter_id, count(*) AS n_images, max(place) FILTER (taken AND zone = 'top') AS logo, max(place) FILTER (taken AND zone = 'bottom') AS signature, coalesce(bool_or(usable AND NOT taken AND abs(w - h) < 20), false) AS has_stamp FROM r GROUP BY letter_id""")
 def _(spark, sf_dir):
     return forensic.image_summary(src.build(spark, sf_dir, src.IMAGES))
