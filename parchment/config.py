@@ -38,6 +38,22 @@ PLACEHOLDERS = [("repeated R", "(?i)R{5,}"), ("underscores", "_{4,}"), ("bracket
 DESIGN_TOOLS = ["Canva", "Photoshop", "GIMP", "Illustrator", "CorelDraw", "Paint.NET", "Inkscape", "Affinity"]
 EDITING_SUITES = ["Foxit PhantomPDF", "Foxit PDF Editor", "WPS Office", "WPS PDF"]
 ONLINE_TOOLS = ["iLovePDF", "Smallpdf", "PDF24", "PDFescape", "PDFsam", "Sejda"]
+# Fixed values of the field audit: words that a name, a title or a designation should not hold.
+CLAUSE_WORDS = [
+    "aforesaid", "hereby", "gone through", "terms and conditions", "accept", "undersigned", "shall", "will be", "herein", "whereas", "agree", "the company",
+    "i have", "reporting", "effective",
+]
+ROLE_WORDS = [
+    "authorized", "authorised", "signatory", "manager", "executive", "officer", "director", "head", "department", "human resources", "hr", "recruiter",
+    "partner", "associate",
+]
+HEADING_WORDS = ["offer", "appointment", "letter", "annexure", "designation", "position", "salary", "ctc"]
+SCHOOL_WORDS = [
+    "graduation", "post-graduation", "postgraduation", "graduate", "graduates", "diploma", "intermediate", "matriculation", "degree", "certificates",
+    "testimonials", "memos", "schooling",
+]
+LABEL_WORDS = ["offer", "letter", "from", "to", "date", "subject", "ref", "dear", "annexure", "company", "name"]
+METROS = ["Bangalore", "Mumbai", "Delhi", "Hyderabad", "Chennai", "Pune"]
 PILLARS = {"image": 11, "text": 11, "signature": 11, "date": 11, "salary": 11, "grammar": 12, "hr": 11, "company": 11, "online": 11}
 INFORMATIONAL = ["Rendered ", "Signature close-up rendered", "Composite-forgery scan:", "Tamper scan:"]
 

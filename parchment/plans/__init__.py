@@ -1,0 +1,3 @@
+"""The registered queries; review adds its own to the catalog."""
+
+from parchment.plans import catalog, review  # noqa: F401

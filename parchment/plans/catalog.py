@@ -12,6 +12,8 @@ from parchment.sources import letters as src
 from parchment.streaming.inbox import screen
 
 QUERIES, ORACLES = {}, {}
+#: For each extracted column, SQL over a letter's ASCII text t.
+FIELD_SQL = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -80,6 +82,7 @@ _FREE = f"list_contains({_list(FREE_MAIL)}, lower(split_part(m, '@', 2)))"
 
 def _field(name, column, sql, table=LETTERS, of=None):
     """A query of one extracted column over the letters."""
+    FIELD_SQL[name] = sql
 
     @query(name, f"{table} SELECT letter_id, {sql} AS {of or name} FROM letters")
     def run(spark, sf_dir):
@@ -352,13 +355,6 @@ def _(spark, sf_dir):
     return df.agg(F.count("*").alias("total"), F.count_if("low").alias("low_confidence"), F.count_if("bad").alias("implausible"), silent.alias("silent_bad"), F.round(F.try_divide(silent * 100, F.count("*")), 1).alias("silent_percent"))
 
 
-@query("audit_fields")
-def _(spark, sf_dir):
-    df = extract.extract(src.letters(spark, sf_dir))
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in extract.FIELDS]))
-    return df.select(rows.alias("x")).groupBy("x.field").agg(F.count_if(F.col("x.value").isNull()).alias("missing"), F.count_if(F.length("x.value") > 60).alias("suspect"), F.min("x.value").alias("example"))
-
-
 @query("audit_final")
 def _(spark, sf_dir):
     df = screen(src.letters(spark, sf_dir))
