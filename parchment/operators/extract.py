@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from parchment.config import DEFAULT, EMPLOYMENT_TYPES, FREE_MAIL, JOINING_KEYWORDS, OFFER_KEYWORDS, SALARY_KEYWORDS, Settings
 from parchment.functions.text import DATE, any_of, blank_to_null, every, first, let, lines, parse_date, strip, window
 
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-LOOSE_EMAIL = r"[A-Za-z0-9._%+\-]+\s*@\s*[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+#: The first parts are possessive: no sign of theirs can begin what follows, so giving signs back is time lost.
+EMAIL = r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+LOOSE_EMAIL = r"[A-Za-z0-9._%+\-]++\s*+@\s*[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 SUFFIX = r"(?:Pvt\.?\s*Ltd\.?|Private Limited|Limited|Ltd\.?|LLP|Inc\.?|Technologies|Solutions)"
 CLAUSE = r"(?i)\b(shall|will|hereby|terms|subject|agree|company)\b"
 
@@ -48,8 +49,8 @@ def _not_personal(mails: Column) -> Column:
 
 def company_email(text: Column) -> Column:
     one = lambda a: F.try_element_at(a, F.lit(1))
-    loose = F.transform(every(text, LOOSE_EMAIL), lambda m: F.regexp_replace(m, r"\s", ""))
-    return F.lower(F.coalesce(one(_not_personal(every(text, EMAIL))), one(_not_personal(loose)), one(loose)))
+    loose = lambda: F.transform(every(text, LOOSE_EMAIL), lambda m: F.regexp_replace(m, r"\s", ""))
+    return F.lower(F.coalesce(one(_not_personal(every(text, EMAIL))), let(loose(), lambda a: F.coalesce(one(_not_personal(a)), one(a)))))
 
 
 def candidate_email(text: Column) -> Column:
@@ -120,10 +121,13 @@ def work_location(text: Column) -> Column:
 
 def pin_address(text: Column) -> Column:
     """The last three lines up to the first six-digit token."""
-    at = F.regexp_instr(text, F.lit(r"\b[0-9]{6}\b"))
-    part = F.substring(text, F.greatest(at - 250, F.lit(1)), F.least(at - 1, F.lit(250)) + 10)
-    rows = lines(part)
-    return F.when(at > 0, F.array_join(F.slice(rows, F.greatest(F.size(rows) - 2, F.lit(1)), F.lit(3)), ", "))
+
+    def before(at: Column) -> Column:
+        part = F.substring(text, F.greatest(at - 250, F.lit(1)), F.least(at - 1, F.lit(250)) + 10)
+        last = let(lines(part), lambda rows: F.slice(rows, F.greatest(F.size(rows) - 2, F.lit(1)), F.lit(3)))
+        return F.when(at > 0, F.array_join(last, ", "))
+
+    return let(F.regexp_instr(text, F.lit(r"\b[0-9]{6}\b")), before)
 
 
 def amount_near(text: Column, keywords: list[str]) -> Column:
