@@ -51,12 +51,17 @@ def op7_nearest(spark, sf_dir):
     return ann.nearest(rows, rows.filter("vec_id % 100 = 0"), 10)
 
 
-def op8_line_dedup(spark, sf_dir):
-    out = line_dedup.deduplicate_units(table(spark, sf_dir, "documents"))
+def op8_line_dedup(spark, sf_dir, min_words=line_dedup.MIN_WORDS):
+    out = line_dedup.deduplicate_units(table(spark, sf_dir, "documents"), min_words=min_words)
     spans = F.concat_ws("|", F.transform("removed", lambda x: F.concat_ws(":", x["unit"].cast("string"), x["start"].cast("string"), x["end"].cast("string"))))
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
 
 
+def op8_line_dedup_all(spark, sf_dir):
+    """The whole job: lines of one word and more."""
+    return op8_line_dedup(spark, sf_dir, 1)
+
+
 def op9_chat(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
@@ -80,4 +85,4 @@ def op10_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), shape=bpe.digests(), schema=bpe.DIGEST)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_pii, op4_mixing, op5_near_duplicates, op6_sharding, op7_nearest, op8_line_dedup, op9_chat, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_pii, op4_mixing, op5_near_duplicates, op6_sharding, op7_nearest, op8_line_dedup, op8_line_dedup_all, op9_chat, op10_bpe)}

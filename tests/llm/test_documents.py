@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parchment.llm import bpe, common, line_dedup, mixing, near_dedup, pii, quality, sharding
+from parchment.llm import bpe, common, line_dedup, mixing, near_dedup, pii, quality, queries, sharding
 from parchment.llm.common import n_words
 from tests.llm import brute
 
@@ -186,6 +186,19 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.deduplicate_units(none).count() == 0
 
 
+def test_line_dedup_takes_short_lines(spark, docs, rows, tmp_path):
+    """The registered query removes repeats of lines of 1 to 4 words as well."""
+    short = [(8001, "All rights reserved.\nfirst"), (8002, "x\nall  RIGHTS reserved.\nfirst\n\n"), (8003, "first")]
+    docs.select("doc_id", "text").unionByName(spark.createDataFrame(short, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute.line_dedup({*rows, *short}, 1)
+    got = queries.QUERIES["op8_line_dedup_all"](spark, str(tmp_path)).filter("doc_id is not null and text is not null").collect()
+    assert {r.doc_id for r in got} == set(want)
+    for r in got:
+        text, spans = want[r.doc_id]
+        assert (r.text, r.n_removed, r.removed) == (text, len(spans), "|".join(f"{u}:{a}:{b}" for u, a, b in spans))
+    assert want[8002] == ("x\n\n", [(1, 2, 23), (2, 24, 29)]) and want[8003] == ("", [(0, 0, 5)])
+
+
 def test_bpe(spark, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
