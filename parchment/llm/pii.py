@@ -15,7 +15,7 @@ ROUNDS = 8
 #: Fixed patterns, one for each kind, in order of precedence.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
     "date": r"(?<![0-9.\-/])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9.\-/]?[0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
@@ -27,36 +27,39 @@ PATTERNS = {
 EPOCH, SIDE = "1900-01-01", 270
 
 
-def _cls(c: Column) -> tuple[Column, Column]:
+def _cls(c: Column, letters: int) -> tuple[Column, Column]:
     """The first code point and the size of a character's class; size 1 for characters that stay."""
     digit, lower, upper = c.between("0", "9"), c.between("a", "z"), c.between("A", "Z")
-    return F.when(digit, 48).when(lower, 97).when(upper, 65).otherwise(0), F.when(digit, 10).when(lower | upper, 26).otherwise(1)
+    return F.when(digit, 48).when(lower, 97).when(upper, 65).otherwise(0), F.when(digit, 10).when(lower | upper, letters).otherwise(1)
 
 
-def _turn(half: Column, other: Column, key: str, n: Column, r: Column, hexadecimal: bool) -> Column:
+def _turn(half: Column, other: Column, key: str | Column, n: Column, r: Column, hexadecimal: bool, letters: int) -> Column:
     """half with each character turned inside its class, by a keyed hash of the other half."""
-    stream = F.sha2(F.concat_ws("|", F.lit(key), n.cast("string"), r.cast("string"), other), 512)
+    stream = F.sha2(F.concat_ws("|", key if isinstance(key, Column) else F.lit(key), n.cast("string"), r.cast("string"), other), 512)
 
     def one(i: Column) -> Column:
         c = F.substring(half, i, F.lit(1))
         step = F.conv(F.substring(stream, F.pmod(i - 1, F.lit(31)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
         if hexadecimal:
             return F.substring(F.lit("0123456789abcdef"), F.pmod(F.instr(F.lit("0123456789abcdef"), c) - 1 + step, F.lit(16)) + 1, F.lit(1))
-        base, size = _cls(c)
+        base, size = _cls(c, letters)
         return F.when(size == 1, c).otherwise(F.char(base + F.pmod(F.ascii(c) - base + step, size)))
 
     return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(half), F.lit(1))), one), ""))
 
 
-def feistel(value: Column, key: str, rounds: int = ROUNDS, hexadecimal: bool = False) -> Column:
-    """A keyed permutation of the strings that have value's length and classes of characters place by place."""
+def feistel(value: Column, key: str | Column, rounds: int = ROUNDS, hexadecimal: bool = False, letters: int = 26) -> Column:
+    """A keyed permutation of the strings that have value's length and classes of characters place by place.
+
+    hexadecimal: 0 to 9 and a to f are one class. letters: so many of the alphabet are in use.
+    """
     n = F.length(value)
     middle = F.floor(n / 2).cast("int")
     start = F.struct(F.substring(value, F.lit(1), middle).alias("l"), F.substring(value, middle + 1, n).alias("r"))
 
     def step(state: Column, r: Column) -> Column:
-        return F.when(r % 2 == 0, F.struct(state["l"].alias("l"), _turn(state["r"], state["l"], key, n, r, hexadecimal).alias("r"))).otherwise(
-            F.struct(_turn(state["l"], state["r"], key, n, r, hexadecimal).alias("l"), state["r"].alias("r"))
+        return F.when(r % 2 == 0, F.struct(state["l"].alias("l"), _turn(state["r"], state["l"], key, n, r, hexadecimal, letters).alias("r"))).otherwise(
+            F.struct(_turn(state["l"], state["r"], key, n, r, hexadecimal, letters).alias("l"), state["r"].alias("r"))
         )
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
@@ -170,6 +173,14 @@ def email(value: Column, key: str) -> Column:
     return F.concat(feistel(F.substring(value, F.lit(1), at - 1), f"{key}|email"), F.substring(value, at, F.length(value)))
 
 
+def secret(value: Column, key: str) -> Column:
+    """Hexadecimal signs are permuted among the sixteen of the value's case, under a key for each case, so that values
+    that differ in case alone are not linked; where both cases occur, digits stay digits and letters keep their case."""
+    upper, lower = value.rlike("[A-F]"), value.rlike("[a-f]")
+    one_case = feistel(F.lower(value), F.when(upper, F.lit(f"{key}|SECRET")).otherwise(F.lit(f"{key}|secret")), hexadecimal=True)
+    return F.when(upper & lower, feistel(value, f"{key}|secret", letters=6)).when(upper, F.upper(one_case)).otherwise(one_case)
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a match, or null if its numbers are not valid."""
     whole = {k: F.lit(f"^(?:{p})$") for k, p in PATTERNS.items()}
@@ -183,7 +194,7 @@ def kind_of(value: Column) -> Column:
 
 
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
-    ways = {"email": email, "secret": lambda v, k: feistel(v, f"{k}|secret", hexadecimal=True), "iban": iban, "date": date, "ip": ip, "card": card, "ssn": ssn, "phone": phone}
+    ways = {"email": email, "secret": secret, "iban": iban, "date": date, "ip": ip, "card": card, "ssn": ssn, "phone": phone}
     out = F.when(kind.isNull(), value)
     for k, way in ways.items():
         out = out.when(kind == k, way(value, key))

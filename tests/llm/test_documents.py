@@ -125,6 +125,25 @@ def test_pii(spark, docs, none):
     assert pii.pseudonymise(none).count() == 0 and pii.pseudonymise(docs.withColumn("found", F.lit(1))).columns == [*docs.columns, "found"]
 
 
+def test_pii_secrets_of_any_case(spark):
+    """Secrets in capitals and in both cases are found and keep their case; those in small letters keep their pseudonym."""
+    low, digits = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "0123456789" * 4
+    mixed = low[:20].upper() + low[20:]
+    values = [low, low.upper(), mixed, digits, "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"]
+    not_hex = "TOKEN " + "ABCDEF" * 6 + " " + low.upper()[:31] + " " + low.upper() + "G"
+    df = spark.createDataFrame([*enumerate(f'TOKEN = "{v}" end' for v in values), (9, not_hex)], "doc_id long, text string")
+    *got, plain = pii.pseudonymise(df, found="found").orderBy("doc_id").collect()
+    assert plain.text == not_hex and plain.found == []
+    new = [r.text[9:49] for r in got]
+    for r, v, w in zip(got, values, new, strict=True):
+        assert [tuple(x) for x in r.found] == [("secret", 9, 40)] and r.text == f'TOKEN = "{w}" end' and w != v
+    assert len(set(new)) == len({w.lower() for w in new}) == len(values)
+    assert set(new[1]) | set(new[4]) <= set("0123456789ABCDEF") and set(new[0]) <= set("0123456789abcdef")
+    assert all((a.isdigit(), a.isupper(), a.lower() <= "f") == (b.isdigit(), b.isupper(), b.lower() <= "f") for a, b in zip(mixed, new[2], strict=True))
+    old = df.filter("doc_id = 0").select(pii.feistel(F.lit(low), "corpus|secret", hexadecimal=True)).first()[0]
+    assert new[0] == old
+
+
 def test_pii_is_a_permutation(spark):
     two = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("v"))
     assert two.select(pii.feistel(F.col("v"), "k").alias("w")).distinct().count() == 10000
