@@ -394,6 +394,12 @@ def _(spark, sf_dir):
     return df.select("doc_id", F.length("m").cast("long").alias("n"), F.md5("m").alias("digest"))
 
 
+@query("model_text_full", "SELECT doc_id, length(m) AS n, md5(m) AS digest FROM (SELECT doc_id, CASE WHEN length(text) <= 40000 THEN text ELSE substr(text, 1, 20000) || chr(10) || '[...]' || chr(10) || right(text, 10000) END AS m FROM documents) AS x")
+def _(spark, sf_dir):
+    """With the limits of production."""
+    return _documents(spark, sf_dir).select("doc_id", extract.model_text(F.col("text")).alias("m")).select("doc_id", F.length("m").cast("long").alias("n"), F.md5("m").alias("digest"))
+
+
 _FOUND = "SELECT o_orderkey AS letter_id, CASE WHEN o_orderkey % 20 = 0 THEN concat('nova', CAST(o_orderkey % 400 AS STRING), '.co.in') END AS found_domain FROM {orders}"
 
 

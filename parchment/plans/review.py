@@ -167,6 +167,15 @@ def _(spark, sf_dir):
     return df.select("letter_id", get("$.company.name").alias("company"), get("$.candidate.name").alias("candidate"), F.round(get("$.salary.ctc").cast("double"), 2).alias("ctc"), get("$.dates.offer").alias("offered"), get("$.salary.gross").isNotNull().alias("has_gross"), F.length(get("$.document.text")).cast("long").alias("n_text"))
 
 
+@query("scoring_requests_full", f"{EXTRACTED} SELECT letter_id, company_name AS company, candidate_name AS candidate, round(ctc, 2) AS ctc, CAST(offer_date AS VARCHAR) AS offered, false AS has_gross, length(substr(full_text, 1, 4000)) AS n_text, md5(substr(full_text, 1, 4000)) AS text_digest FROM x")
+def _(spark, sf_dir):
+    """The same with the text that production sends, and its digest."""
+    df = extract.extract(src.letters(spark, sf_dir)).select("letter_id", report.request().alias("r"))
+    get = lambda path: F.get_json_object("r", path)
+    fields = [get("$.company.name").alias("company"), get("$.candidate.name").alias("candidate"), F.round(get("$.salary.ctc").cast("double"), 2).alias("ctc"), get("$.dates.offer").alias("offered"), get("$.salary.gross").isNotNull().alias("has_gross")]
+    return df.select("letter_id", *fields, F.length(get("$.document.text")).cast("long").alias("n_text"), F.md5(get("$.document.text")).alias("text_digest"))
+
+
 _PAGE = """'<html><h1>Nova &amp; Sons &lt;' || coalesce(domain, '') || '&gt;</h1><p class="score">' || final_score || '</p><table><tr><th>Verdict</th><td>' || verdict || '</td></tr><tr><th>Gate</th><td>' || coalesce(gate, '') || '</td></tr></table><ul>'
 || array_to_string(list_concat(list_transform(red, lambda f: '<li class="red">' || f || '</li>'), list_transform(yellow, lambda f: '<li class="yellow">' || f || '</li>')), '') || '</ul></html>'"""
 

@@ -1,11 +1,12 @@
 """The field audit, the checks and the report columns on small tables."""
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import functions as F
 
 from parchment.operators import audit, checks, extract, report
-from parchment.plans import review
+from parchment.plans import catalog, review
 from parchment.sources import letters as src
 
 NAMES = list(audit.RULES)
@@ -82,3 +83,18 @@ def test_reports(spark, tmp_path):
 def test_requests_of_empty_letters(spark):
     df = extract.extract(spark.createDataFrame([(1, None), (2, "")], "letter_id long, full_text string"))
     assert all(r[0].startswith("{") for r in df.select(report.request()).collect())
+
+
+def test_model_text_is_whole_up_to_production_limits(spark, tmp_path):
+    texts = {1: "a" * 4001, 2: "b" * 40_000, 3: "".join(chr(97 + k % 26) for k in range(40_001)), 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = texts | {3: texts[3][:20_000] + "\n[...]\n" + texts[3][-10_000:]}
+    got = {r.doc_id: (r.n, r.digest) for r in catalog.QUERIES["model_text_full"](spark, str(tmp_path)).collect()}
+    assert got == {k: (t and len(t), t and hashlib.md5(t.encode()).hexdigest()) for k, t in want.items()}
+
+
+def test_scoring_requests_hold_whole_letters(spark, sf):
+    want = {r.letter_id: r.full_text for r in src.letters(spark, sf).collect()}
+    got = {r.letter_id: (r.n_text, r.text_digest) for r in catalog.QUERIES["scoring_requests_full"](spark, sf).collect()}
+    assert min(map(len, want.values())) > 200
+    assert got == {k: (len(t[:4000]), hashlib.md5(t[:4000].encode()).hexdigest()) for k, t in want.items()}
