@@ -36,6 +36,26 @@ def test_urls(spark, sf):
     assert all(r.verdict == "allow" and r.limit is None for r in nobody)
 
 
+def test_url_queries_and_fragments_are_scored(spark):
+    urls = [f"http://a{k}.good.com/x/{k}?id={k}#top{k}" for k in range(40)] + [f"http://a{k}.bad.net/x/{k}?zqzqzq={k}#zqzqzq" for k in range(40)]
+    new = ["http://c.new.org/x/5?id=5#top5", "http://c.new.org/x/5?zqzqzqzqzqzq#zqzqzqzqzqzq", "http://c.new.org/x/5"]
+    pages = spark.createDataFrame([(u,) for u in urls + new], "url string")
+    got = {r.url: r for r in url_filter.filter_urls(pages, [("allow", "good.com/"), ("block", "bad.net/")]).collect()}
+    good, bad, bare = (got[u] for u in new)
+    assert good.path == bad.path == bare.path == "/x/5" and len({good.score, bad.score, bare.score}) == 3
+    assert (good.verdict, bad.verdict) == ("allow", "block")
+
+
+def test_url_hosts_of_every_fold_train(spark):
+    """One blocked host, whatever its fold, is enough to learn from."""
+    hosts = spark.range(60).select(F.concat(F.lit("h"), "id", F.lit(".bad.net")).alias("h")).select("h", F.pmod(F.xxhash64("h"), F.lit(url_filter.FOLDS)).alias("fold")).collect()
+    host = next(r.h for r in hosts if r.fold == 0)
+    urls = [f"http://a{k}.good.com/x/{k}" for k in range(40)] + [f"http://{host}/zqzq/{k}" for k in range(20)] + ["http://new.org/zqzq/7"]
+    rows = url_filter.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), [("allow", "good.com/"), ("block", "bad.net/")]).collect()
+    last = next(r for r in rows if r.host == "new.org")
+    assert last.limit is not None and last.score > 0 and last.verdict == "block"
+
+
 def test_url_model_matches_plain_witten_bell(spark):
     data = [("http://good.com/a/1", False), ("http://good.com/b/2", False), ("http://bad.net/zz/9", True), ("http://worse.net/zzz", True)]
     df = spark.createDataFrame(data, "text string, bad boolean")
