@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -20,13 +21,43 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder; a folder of its own only where the session names none."""
+    """Materialise df in the shared checkpoint folder that the session names.
+
+    Where it names none, a local session gets a folder of its own; on a cluster that folder would be out of the
+    executors' reach, so there it is an error.
+    """
     sc = df.sparkSession.sparkContext
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
 
 
+# ---------------------------------------------------------------- joins on keys of which one may hold much of the rows
+
+#: A key is hot with more than 1 / HOT of all rows, so there are fewer than HOT hot keys, whatever the input.
+HOT = 1000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """(key, parts) for the keys that hold more than 1 / HOT of the sum of n: so many parts that each is about that size."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.filter(F.col(n) * HOT > F.lit(total)).select(key, F.ceil(F.col(n) * HOT / F.lit(max(1, total))).cast("int").alias("parts"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, by: list[str]) -> DataFrame:
+    """left joined with right (one row for each key) on key, where a hot key's rows are dealt over its parts by a hash.
+
+    hot comes from hot_keys() and has fewer than HOT rows, so it may be broadcast.
+    """
+    small = F.broadcast(hot.withColumnRenamed(key, "__hot"))
+    parts = F.coalesce("parts", F.lit(1))
+    a = left.join(small, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("__hot", "parts")
+    b = right.join(small, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__hot", "parts")
+    return a.join(b, [key, "__part"]).drop("__part")
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
@@ -67,11 +98,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Longer texts are hashed in segments of about so many bytes, which end at white space.
+SEGMENT = 4 << 20
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+def _segments(text: bytes) -> Iterator[bytes]:
+    at = 0
+    while len(text) - at > SEGMENT:
+        m = _BLANK.search(text, at + SEGMENT)
+        if not m:
+            break
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:]
+
+
 def word_hashes(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the texts' words in order: a 64-bit rolling hash, its text's index, its length in code points.
 
-    fold lower-cases A to Z first. The hash is the same in every process.
+    fold lower-cases A to Z first. The hash is the same in every process and does not depend on a word's place, so a long
+    text is hashed segment by segment: the arrays for each byte stay small, those for each word are what is returned.
     """
+    if sum(map(len, texts)) <= SEGMENT:
+        return _word_hashes(texts, fold)
+    parts = []
+    for k, t in enumerate(texts):
+        for piece in _segments(t):
+            h, _, size = _word_hashes([piece], fold)
+            parts.append((h, np.full(len(h), k, np.int64), size))
+    h, doc, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, doc, size
+
+
+def _word_hashes(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buf = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
     if fold:
         buf = _FOLD[buf]
@@ -148,17 +208,21 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an undirected edge list; root is the smallest node it reaches.
 
-    Alternating large-star and small-star steps: each is a minimum per node and a join back, so a hub of any degree
-    is only ever a sum of partial minima and a skewed join. Every round is cut in the checkpoint folder.
+    Alternating large-star and small-star steps: each is a minimum per node and a join back, in which a hub's edges are
+    dealt over several tasks. Every round is cut in the checkpoint folder.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+
+    def with_least(df: DataFrame, least) -> DataFrame:
+        found, most = df.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")), F.lit(2 * mark[0])
+        hubs = found.filter(F.col("n") * HOT > most).select("u", F.ceil(F.col("n") * HOT / most).cast("int").alias("parts"))
+        return spread_join(df, found.select("u", "m"), "u", hubs, ["v"])
+
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        large = with_least(both, F.least(F.min("v"), F.col("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = with_least(large, F.min("v")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = cut(small.select("x.u", "x.v").filter("u <> v").distinct())
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:

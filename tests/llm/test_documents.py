@@ -76,6 +76,30 @@ def test_near_duplicates(spark, docs, rows, none):
     assert {r.doc_id for r in left} == {c for _, c in want.values()} | {None}
 
 
+def test_deduplicate_goes_by_rows(spark):
+    """An id that two texts share loses only the text that is a duplicate, and of equal rows one stays."""
+    rng = random.Random(6)
+    one, other, third = (" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(3))
+    rows = [(3, one), (5, one + " more"), (5, other), (7, third), (7, third), (8, third.upper()), (9, ""), (9, ""), (10, None), (None, one), (None, one), (11, other), (4, "Shared Class"), (4, "shared class")]
+    got = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").withColumn("__gone", F.lit(1))).collect()
+    left = sorted(((r.doc_id or -1, r.text) for r in got), key=str)
+    assert left[:2] == [(-1, one), (-1, one)] and {t for i, t in left if i == 4} < {"Shared Class", "shared class"}
+    assert sorted((i, t) for i, t in left if i not in (-1, 4, 10)) == sorted([(3, one), (5, other), (7, third), (9, "")]) and len(left) == 8
+    plain = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.component_id for r in plain if r.doc_id == 5) == [3, 5] and sum(r.kept for r in plain if r.doc_id == 7) == 2
+
+
+def test_links_that_no_hub_has(spark):
+    """A chain in which neighbours alone are alike, so that hubs cannot link it, is one component all the same."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    docs = [(100 - k, " ".join(words[12 * k : 12 * k + 200])) for k in range(40)]
+    want = brute.components(docs, 5)
+    assert {c for _, c in want.values()} == {61}
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """Groups beyond a block are dealt out as pairs of blocks and lose nothing."""
     rng = random.Random(9)
