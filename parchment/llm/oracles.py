@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from parchment.llm.chat import CONTROL
 from parchment.llm.common import LOWER, UPPER
-from parchment.llm.line_dedup import MIN_WORDS
+from parchment.llm.line_dedup import MIN_WORDS, UNITS
 from parchment.llm.quality import BASE_PERCENT, BASE_WINDOW, BASE_WORDS, LIMITS, LINE_LIMIT
 
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
@@ -41,12 +41,15 @@ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.root AS component_id, c.root = d.doc_id AS kept FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) AS c ON d.doc_id = c.doc_id"""
 
 
-def line_dedup(min_words: int = MIN_WORDS) -> str:
-    return f"""WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS unit FROM documents WHERE text IS NOT NULL),
-k AS (SELECT *, {_WORDS.format(_FOLD.format("line"))} AS w, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM u),
-f AS (SELECT *, len(w) >= {min_words} AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, unit) > 1 AS gone FROM k),
-g AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(unit || ':' || pos || ':' || (pos + length(line)), '|' ORDER BY unit) FILTER (gone), '') AS removed FROM f GROUP BY doc_id)
-SELECT * FROM g UNION ALL SELECT doc_id, NULL, 0, '' FROM documents WHERE text IS NULL"""
+def line_dedup(kind: str = "sentence", min_words: int = MIN_WORDS) -> str:
+    pieces = f"regexp_extract_all(text, '{UNITS[kind]}')"
+    return f"""WITH u AS (SELECT doc_id, unnest({pieces}) AS piece, unnest(range(len({pieces}))) AS unit FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, {_WORDS.format(_FOLD.format("piece"))} AS w, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM u),
+f AS (SELECT *, len(w) > 0 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, unit) > 1 AS again FROM k),
+i AS (SELECT *, count(*) FILTER (NOT again AND len(w) > 0) OVER (PARTITION BY doc_id ORDER BY unit) AS island FROM f),
+g AS (SELECT *, again AND sum(len(w)) FILTER (again) OVER (PARTITION BY doc_id, island) >= {min_words} AS gone FROM i),
+h AS (SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY unit) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(unit || ':' || pos || ':' || (pos + length(piece)), '|' ORDER BY unit) FILTER (gone), '') AS removed FROM g GROUP BY doc_id)
+SELECT * FROM h UNION ALL SELECT doc_id, text, 0, '' FROM documents WHERE coalesce(text, '') = ''"""
 
 
 def chat() -> str:
@@ -60,4 +63,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum({marks} + {escaped}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
 
 
-ORACLES = {"op2_quality_rules": quality(), "op5_near_duplicates": near_duplicates(), "op8_line_dedup": line_dedup(), "op8_line_dedup_all": line_dedup(1), "op9_chat": chat()}
+ORACLES = {"op2_quality_rules": quality(), "op5_near_duplicates": near_duplicates(), "op8_line_dedup": line_dedup(), "op8_line_dedup_all": line_dedup("line", 1), "op9_chat": chat()}

@@ -51,15 +51,15 @@ def op7_nearest(spark, sf_dir):
     return ann.nearest(rows, rows.filter("vec_id % 100 = 0"), 10)
 
 
-def op8_line_dedup(spark, sf_dir, min_words=line_dedup.MIN_WORDS):
-    out = line_dedup.deduplicate_units(table(spark, sf_dir, "documents"), min_words=min_words)
+def op8_line_dedup(spark, sf_dir, unit="sentence", min_words=line_dedup.MIN_WORDS):
+    out = line_dedup.deduplicate_units(table(spark, sf_dir, "documents"), unit=unit, min_words=min_words)
     spans = F.concat_ws("|", F.transform("removed", lambda x: F.concat_ws(":", x["unit"].cast("string"), x["start"].cast("string"), x["end"].cast("string"))))
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
 
 
 def op8_line_dedup_all(spark, sf_dir):
-    """The whole job: lines of one word and more."""
-    return op8_line_dedup(spark, sf_dir, 1)
+    """Every repeated line of one word and more, whatever its neighbours."""
+    return op8_line_dedup(spark, sf_dir, "line", 1)
 
 
 def op9_chat(spark, sf_dir):

@@ -98,18 +98,48 @@ def nearest(ids, x, k):
     return out
 
 
-def line_dedup(docs, min_words=5):
-    seen, out = set(), {}
-    for i, t in sorted((d for d in docs if d[0] is not None and d[1] is not None)):
-        keep, spans, at = [], [], 0
-        for n, u in enumerate(t.split("\n")):
-            w = tuple(re.findall(r"[^\x20\x09-\x0D]+", fold(u)))
-            if len(w) >= min_words and w in seen:
+def units(t, kind):
+    """Lines, or the sentences of lines, each with what follows it up to the next."""
+    out = []
+    for line in re.split(r"(?<=\n)", t):
+        if kind == "sentence":
+            out += [line[a:b] for a, b in _between(line)]
+        elif line:
+            out.append(line)
+    return out
+
+
+def _between(line):
+    ends = [m.end() for m in re.finditer(r"[.!?][ \t]+\n?", line)]
+    edges = sorted({0, *ends, len(line)})
+    return list(zip(edges, edges[1:]))
+
+
+def line_dedup(docs, kind="sentence", min_words=20):
+    """[(id, text, spans)] for rows with an id and a text, in order; the first of equal rows is done before the others."""
+    seen, out = set(), []
+    for i, t in sorted(d for d in docs if d[0] is not None and d[1] is not None):
+        us = units(t, kind)
+        ws = [tuple(words(fold(u))) for u in us]
+        again = []
+        for w in ws:
+            again.append(bool(w) and w in seen)
+            if w:
+                seen.add(w)
+        gone, run = set(), []
+        for n in range(len(us) + 1):
+            if n < len(us) and again[n]:
+                run.append(n)
+            elif n == len(us) or ws[n]:
+                if sum(len(ws[k]) for k in run) >= min_words:
+                    gone |= set(run)
+                run = []
+        at, keep, spans = 0, [], []
+        for n, u in enumerate(us):
+            if n in gone:
                 spans.append((n, at, at + len(u)))
             else:
                 keep.append(u)
-                if len(w) >= min_words:
-                    seen.add(w)
-            at += len(u) + 1
-        out[i] = ("\n".join(keep), spans)
+            at += len(u)
+        out.append((i, "".join(keep), spans))
     return out
