@@ -23,8 +23,10 @@ PATTERNS = {
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ \-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])",
 }
-#: Dates are permuted inside blocks of 270 * 270 days, counted from 1900-01-01.
-EPOCH, SIDE = "1900-01-01", 270
+#: Dates are permuted inside blocks of 72,900 days (of which one begins on 1900-01-01); the first and the last block end
+#: where years of four digits do. Each block: first day (0 is 0001-01-01), and two factors of its number of days.
+BLOCK_DAYS, FIRST_DAYS, LAST_DAY, DAYS = 72_900, 37_495, 3_609_595, 3_652_059
+BLOCK_SIDES = {"first": (5, 7499), "middle": (270, 270), "last": (32, 1327)}
 
 
 def _cls(c: Column, letters: int) -> tuple[Column, Column]:
@@ -34,12 +36,13 @@ def _cls(c: Column, letters: int) -> tuple[Column, Column]:
 
 
 def _turn(half: Column, other: Column, key: str | Column, n: Column, r: Column, hexadecimal: bool, letters: int) -> Column:
-    """half with each character turned inside its class, by a keyed hash of the other half."""
-    stream = F.sha2(F.concat_ws("|", key if isinstance(key, Column) else F.lit(key), n.cast("string"), r.cast("string"), other), 512)
+    """half with each character turned inside its class, by keyed hashes of the other half, one for each 32 characters."""
+    hashed = lambda part: F.sha2(F.concat_ws("|", key if isinstance(key, Column) else F.lit(key), n.cast("string"), r.cast("string"), part.cast("string"), other), 512)
+    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(half) / 32).cast("int")), hashed), "")
 
     def one(i: Column) -> Column:
         c = F.substring(half, i, F.lit(1))
-        step = F.conv(F.substring(stream, F.pmod(i - 1, F.lit(31)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        step = F.conv(F.substring(stream, i * 4 - 3, F.lit(4)), 16, 10).cast("int")
         if hexadecimal:
             return F.substring(F.lit("0123456789abcdef"), F.pmod(F.instr(F.lit("0123456789abcdef"), c) - 1 + step, F.lit(16)) + 1, F.lit(1))
         base, size = _cls(c, letters)
@@ -139,11 +142,18 @@ def ip(value: Column, key: str) -> Column:
     return F.concat_ws(".", *[(F.shiftright(n, s).bitwiseAND(F.lit(255))).cast("string") for s in (24, 16, 8, 0)])
 
 
+def date_valid(value: Column) -> Column:
+    return (F.try_to_date(value, "yyyy-MM-dd") >= F.lit("0001-01-01").cast("date")).eqNullSafe(F.lit(True))
+
+
 def date(value: Column, key: str) -> Column:
-    days = F.datediff(F.try_to_date(value, "yyyy-MM-dd"), F.lit(EPOCH).cast("date"))
-    block = F.floor(days / (SIDE * SIDE)).cast("int") * (SIDE * SIDE)
-    new = feistel_number((days - block).cast("long"), SIDE, SIDE, f"{key}|date").cast("int") + block
-    return F.date_format(F.date_add(F.lit(EPOCH).cast("date"), new), "yyyy-MM-dd")
+    """Days of one block are permuted among themselves, so years keep four digits and most dates stay within 200 years."""
+    start = F.lit("0001-01-01").cast("date")
+    day = F.datediff(F.try_to_date(value, "yyyy-MM-dd"), start).cast("long")
+    middle = F.floor((day - FIRST_DAYS) / BLOCK_DAYS).cast("long") * BLOCK_DAYS + FIRST_DAYS
+    new = lambda at, kind: at + feistel_number(day - at, *BLOCK_SIDES[kind], f"{key}|date|{kind}")
+    moved = F.when(day < FIRST_DAYS, new(F.lit(0), "first")).when(day >= LAST_DAY, new(F.lit(LAST_DAY), "last")).otherwise(new(middle, "middle"))
+    return F.date_format(F.date_add(start, moved.cast("int")), "yyyy-MM-dd")
 
 
 def ssn_valid(value: Column) -> Column:
@@ -184,7 +194,7 @@ def secret(value: Column, key: str) -> Column:
 def kind_of(value: Column) -> Column:
     """The kind of a match, or null if its numbers are not valid."""
     whole = {k: F.lit(f"^(?:{p})$") for k, p in PATTERNS.items()}
-    good = {"iban": iban_valid, "date": lambda v: F.try_to_date(v, "yyyy-MM-dd").isNotNull(), "ip": ip_valid, "card": luhn_valid, "ssn": ssn_valid}
+    good = {"iban": iban_valid, "date": date_valid, "ip": ip_valid, "card": luhn_valid, "ssn": ssn_valid}
     out = None
     for k in PATTERNS:
         test = F.regexp_like(value, whole[k])
@@ -201,9 +211,10 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return F.coalesce(out, value)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "corpus", found: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """docs with the personal values in text replaced; with found, a column of that name of array<struct<kind, start, length>>.
 
+    Who knows the key can undo every pseudonym, so it has no default: keep it secret, and one for each corpus.
     Offsets are code points in the original text, from 0. A null text stays null and an empty one empty, found is then
     null or empty. Texts of any length are read whole; repeated rows get equal results. A column called like found is
     replaced; all others are kept.

@@ -14,7 +14,8 @@ from parchment.llm.oracles import ORACLES  # noqa: F401
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 #: Weights of the sources in turn, and the share of all tokens that the mix takes.
 WEIGHTS, SHARE = [5.0, 2.0, 1.0], 1.5
-PII_KEY = "corpus"
+#: The registered queries run on invented data. A job on real data sets this key in its session.
+PII_KEY_SETTING, PII_TEST_KEY = "spark.parchment.pii.key", "invented data only"
 
 
 def op1_url_filter(spark, sf_dir):
@@ -25,8 +26,12 @@ def op2_quality_rules(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", quality.repetition(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
+def pii_key(spark) -> str:
+    return spark.conf.get(PII_KEY_SETTING, PII_TEST_KEY)
+
+
 def op3_pii(spark, sf_dir):
-    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY, found="found")
+    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii_key(spark), found="found")
     kinds = F.concat_ws("|", F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["length"].cast("string"))))
     return out.select("doc_id", "text", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_found"), kinds.alias("found"))
 

@@ -1,7 +1,7 @@
 """The pipeline's stages against plain versions of what each must do with the rows it gets."""
 
 import corpus_pipeline as pipeline
-from parchment.llm import near_dedup, pii, quality
+from parchment.llm import near_dedup, pii, quality, queries
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -22,7 +22,7 @@ def test_stages(spark, sf, tmp_path):
     assert {r.doc_id for r in good.collect()} == {i for i, v in zip(texts, verdict, strict=True) if v}
     want = brute.components([(r.doc_id, r.text) for r in good.collect()], 5)
     assert {r.doc_id for r in one.collect()} == {c for _, c in want.values()}
-    assert cells(hidden.drop("n_chars")) == cells(pii.pseudonymise(one, key=pipeline.PII_KEY).drop("n_chars"))
+    assert cells(hidden.drop("n_chars")) == cells(pii.pseudonymise(one, key=queries.pii_key(spark)).drop("n_chars"))
     sizes = {r.doc_id: len(brute.words(r.text)) for r in hidden.collect()}
     sources = {r.doc_id: r.source for r in hidden.collect()}
     total = {s: sum(n for i, n in sizes.items() if sources[i] == s) for s in set(sources.values())}
