@@ -1,6 +1,7 @@
 """Sharding by a hypergeometric communication matrix: a uniform shuffle into shards of exact sizes.
 
-1. Rows fall into partitions by a hash of their content, so that a task that is run again finds the same rows.
+1. Rows fall into partitions by a hash of their content, so that a task that is run again finds the same rows. Rows that
+   are equal throughout and very many are counted first and dealt out by copy number, so they fill no partition alone.
 2. Given the partitions' counts, the numbers of rows that each sends to each shard are drawn exactly as a uniform shuffle
    has them, from the multivariate hypergeometric law: first for blocks of partitions on the driver (at most BLOCKS rows
    of a matrix), then, one task to a block, for the partitions inside it.
@@ -17,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from parchment.llm.common import cut
+from parchment.llm.common import HOT, cut
 
-#: Blocks of the first draw; rows of a partition and of a run of a shard, about.
-BLOCKS, ROWS, RUN = 256, 10_000, 50_000
+#: Blocks of the first draw; most rows, and bytes of strings, that a partition or a run of a shard holds, about.
+BLOCKS, ROWS, BYTES = 256, 10_000, 32 << 20
+#: Copies of a frequent row that one task gives out.
+COPIES = 1000
+_TAILS = 12
 
 
 def matrix(counts: np.ndarray, totals: np.ndarray, seed) -> np.ndarray:
@@ -31,38 +35,71 @@ def matrix(counts: np.ndarray, totals: np.ndarray, seed) -> np.ndarray:
         rest = int(n)
         for k in range(len(left)):  # column by column, from the conditional law
             behind = int(left[k + 1 :].sum())
-            out[i, k] = _draw(rng, int(left[k]), behind, rest)
+            out[i, k] = draw(rng, int(left[k]), behind, rest)
             rest -= int(out[i, k])
         left -= out[i]
     return out
 
 
-def _draw(rng, good: int, bad: int, n: int) -> int:
+def _small(total: int) -> bool:
+    return total < 10**9
+
+
+def draw(rng, good: int, bad: int, n: int) -> int:
+    """The number of good ones among n drawn from good and bad ones, hypergeometric for numbers of any size.
+
+    numpy draws up to 10**9. Beyond, the law is inverted: its probabilities relative to the mode are products of exact
+    ratios of neighbours, summed over the whole support or, where that is wider, over _TAILS standard deviations to both
+    sides, outside of which lies a mass of less than 1e-30.
+    """
     if n == 0 or good == 0:
         return 0
     if bad == 0:
         return n
-    if good + bad < 10**9:
+    if _small(good + bad):
         return int(rng.hypergeometric(good, bad, n))
-    p, total = good / (good + bad), good + bad  # beyond numpy's range: the normal limit, inside the law's support
-    x = round(rng.normal(n * p, (n * p * (1 - p) * (total - n) / (total - 1)) ** 0.5))
-    return max(0, n - bad, min(n, good, x))
+    total = good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    spread = int(_TAILS * (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5) + 20
+    low, high = max(0, n - bad, mode - spread), min(n, good, mode + spread)
+    k = np.arange(low, high, dtype=np.float64)  # from k to k + 1
+    ratio = np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(ratio)])
+    mass = np.cumsum(np.exp(logs - logs[mode - low]))
+    return low + int(np.searchsorted(mass, rng.random() * mass[-1], side="right"))
+
+
+def _copies(docs: DataFrame, seed: int, rows: int) -> DataFrame:
+    """docs with __h: a hash of the content and, for rows that hold more than 1 / HOT of the table, of a copy number."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = docs.withColumn("__h", F.xxhash64(F.lit(seed), *columns))
+    many = hashed.groupBy("__h").agg(F.count("*").alias("__n")).filter(F.col("__n") > max(ROWS, rows // HOT)).select(F.col("__h").alias("__hot"))  # fewer than HOT
+    if many.isEmpty():
+        return hashed
+    many = F.broadcast(cut(many))
+    apart = hashed.join(many, F.col("__h") == F.col("__hot"), "left_semi").groupBy(*columns, "__h").agg(F.count("*").alias("__n"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / COPIES)))
+    apart = apart.withColumn("__part", part).repartition("__h", "__part")
+    copy = F.explode(F.sequence(F.col("__part") * COPIES, F.least(F.col("__part") * COPIES + COPIES, F.col("__n")) - 1))
+    apart = apart.withColumn("__copy", copy).withColumn("__h", F.xxhash64(F.lit(seed), "__h", "__copy"))
+    return hashed.join(many, F.col("__h") == F.col("__hot"), "left_anti").unionByName(apart.select(*columns, "__h"))
 
 
 def shard(docs: DataFrame, shards: int, seed: int = 1, names: tuple[str, str] = ("shard", "slot")) -> DataFrame:
     """docs' rows and columns with two more: the shard (0 to shards - 1) and the slot in it, gapless from 0.
 
-    Shards' sizes differ by one row at most, the first ones are the larger. Equal rows are dealt out like any others. The
-    same rows give the same result whatever their partitions, up to the order among rows that are equal throughout.
-    Columns that are already called like the new ones are replaced. An empty table gives an empty one.
+    Shards' sizes differ by one row at most, the first ones are the larger. Equal rows are dealt out like any others, as
+    are nulls and long texts. The same rows give the same result whatever their partitions, up to the order among rows
+    that are equal throughout. Columns that are already called like the new ones are replaced. An empty table gives an
+    empty one.
     """
     shard_, slot = names
     docs = docs.drop(shard_, slot)
-    content = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.count()
-    parts = max(1, -(-rows // ROWS))
+    strings = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in docs.schema if f.dataType.typeName() in ("string", "binary")]
+    rows, size = docs.agg(F.count("*"), F.sum(sum(strings, F.lit(0)).cast("long"))).first()
+    parts = max(1, -(-rows // ROWS), -(-(size or 0) // BYTES))
     per_block = -(-parts // BLOCKS)
-    keyed = docs.withColumn("__h", content).withColumn("__part", F.pmod(F.xxhash64(F.lit("part"), "__h"), F.lit(parts)))
+    keyed = _copies(docs, seed, rows).withColumn("__part", F.pmod(F.xxhash64(F.lit("part"), "__h"), F.lit(parts)))
     counts = cut(keyed.groupBy("__part").agg(F.count("*").alias("n")))
     blocks = {int(b): int(n) for b, n in counts.groupBy(F.floor(F.col("__part") / per_block).alias("b")).agg(F.sum("n")).collect()}  # at most BLOCKS rows
     total = np.full(shards, rows // shards) + (np.arange(shards) < rows % shards)
@@ -79,7 +116,7 @@ def shard(docs: DataFrame, shards: int, seed: int = 1, names: tuple[str, str] =
     rank = F.row_number().over(W.partitionBy("__part").orderBy(F.xxhash64(F.lit("order"), "__h"), "__h"))
     local = keyed.withColumn("__rank", rank).join(dealt, F.col("__part") == F.col("__p"))
     sent = local.withColumn(shard_, F.size(F.filter("__ends", lambda e: e < F.col("__rank"))))
-    runs = max(1, -(-rows // (shards * RUN)))
+    runs = max(1, -(-parts // shards))
     again = F.xxhash64(F.lit("slot"), "__h", "__rank", "__part")
     sent = sent.drop("__p", "__ends").withColumn("__again", again).withColumn("__run", F.pmod(F.shiftrightunsigned("__again", 32), F.lit(runs)))
     if runs == 1:
