@@ -54,8 +54,8 @@ def fingerprint(of: set[str]) -> str:
     return xxhash.xxh3_128_hexdigest("\n".join(sorted(of)).encode())
 
 
-def _messages(key: str, role: str, text: str) -> dict[str, Mapping]:
-    m = Mapping(key, role, text)
+def _messages(key: str, role: str, text: str, **more) -> dict[str, Mapping]:
+    m = Mapping(key, role, text, **more)
     return {fingerprint(p): m for p in ({f".{key}[]", f".{key}[].{role}", f".{key}[].{text}"}, {f".{key}[]"})}
 
 
@@ -70,6 +70,7 @@ def _fields(turns: tuple[tuple[str, tuple[str, ...]], ...]) -> dict[str, Mapping
 #: Layouts known from the start. More are added by putting fingerprints and mappings into a copy of it.
 REGISTRY: dict[str, Mapping] = {
     **_messages("messages", "role", "content"),
+    **_messages("canonical", "role", "text", roles=()),  # from records_of(): roles as they are in the rows
     **_messages("conversations", "from", "value"),
     **_messages("turns", "speaker", "text"),
     **_fields((("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -184,13 +185,15 @@ def records_of(rows: DataFrame) -> DataFrame:
 
     Turns are put in order of turn (null first), then role and text; every row counts, repeated ones too. Conversations
     of a user's and an assistant's turn, with or without a system turn before, become prompt and response records, all
-    others message lists. Rows without a conv_id are one conversation, whose id is null.
+    others lists whose roles stay as they are. A row without a conv_id belongs to no other: it is a conversation of one turn,
+    whose id is null. Texts of any length are taken whole; an empty table gives an empty one.
     """
     t = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(t)).alias("turns"))
+    conv = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(t)).alias("turns"))
+    conv = conv.unionByName(rows.filter("conv_id is null").select("conv_id", F.array(t).alias("turns")))
     roles = F.concat_ws(",", "turns.role")
     text = lambda n: F.element_at("turns", n)["text"]
     pair = F.struct(text(1).alias("prompt"), F.try_element_at("turns", F.lit(2))["text"].alias("response"))
     three = F.struct(text(1).alias("system"), F.try_element_at("turns", F.lit(2))["text"].alias("prompt"), F.try_element_at("turns", F.lit(3))["text"].alias("response"))
-    many = F.struct(F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
+    many = F.struct(F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("canonical"))
     return conv.select("conv_id", F.when(roles == "user,assistant", F.to_json(pair)).when(roles == "system,user,assistant", F.to_json(three)).otherwise(F.to_json(many)).alias("record"))
