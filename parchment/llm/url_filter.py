@@ -19,6 +19,10 @@ from parchment.llm.common import ascii_lower, cut
 ORDER, ALPHABET = 5, 256
 #: The share of held-out accepted URLs that may score above the limit; one fold of hosts of FOLDS is held out at a time.
 ALLOWED, FOLDS = 0.01, 5
+#: Contexts of less than two characters are few and each holds many rows: those are dealt over so many parts.
+PARTS = 32
+#: Distinct texts in a task that counts their n-grams, about.
+TEXTS = 2000
 #: The number of the models that all labelled URLs train; others are called by the fold that they leave out.
 FINAL = -1
 
@@ -71,7 +75,10 @@ def models(labelled: DataFrame, order: int = ORDER, by: tuple[str, ...] = ()) ->
 
 def gram_scores(wanted: DataFrame, parts: DataFrame, contexts: DataFrame, order: int = ORDER, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, gram, ratio): log P(last character | the others) under the model of the blocked, less that of the accepted."""
-    rows = _suffixes(wanted, order).join(contexts, [*by, "k", "context"], "left").join(parts, [*by, "k", "part"], "left")
+    dealt = F.when(F.col("k") <= 2, F.pmod(F.xxhash64("gram"), F.lit(PARTS))).otherwise(0).cast("int")
+    every = F.explode(F.when(F.col("k") <= 2, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))
+    contexts, parts = (df.withColumn("deal", every) for df in (contexts, parts))
+    rows = _suffixes(wanted, order).withColumn("deal", dealt).join(contexts, [*by, "k", "context", "deal"], "left").join(parts, [*by, "k", "part", "deal"], "left")
     names = ["n_bad", "n_good", "c_bad", "c_good", "t_bad", "t_good"]
     levels = rows.groupBy(*by, "gram").agg(F.sort_array(F.collect_list(F.struct("k", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names]))).alias("levels"))  # order rows for each gram
 
@@ -89,8 +96,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
 
     verdict is the rule's, else block where score > limit, else allow. score is null without :// or a character after
     it; such URLs are allowed. With no accepted or no blocked URLs to learn from, none is blocked but by rules, and limit
-    is null. Folds that hold all accepted or all blocked URLs say nothing about the limit; without others it is 0. Equal URLs get equal results, however often they come;
-    URLs of any length are read whole.
+    is null. Folds that hold all accepted or all blocked URLs say nothing about the limit; without others it is 0. Equal
+    URLs get equal results, however often they come; URLs of any length are read whole. An empty table gives an empty one.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "score", "limit")
     host, path = split_url(F.col(url))
@@ -98,6 +105,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     rest = F.regexp_extract(F.substring(F.col(url), F.instr(url, "://") + 3, F.length(url)), r"^[^/?#]*((?s:.*))", 1)
     known = known.withColumn("__text", F.concat("host", F.when(F.instr(url, "://") > 0, rest).otherwise("")))
     texts = cut(known.filter("__text <> ''").groupBy("__text").agg(F.first("host").alias("host"), F.max("__fit.verdict").alias("label"), F.count("*").alias("n")).withColumnRenamed("__text", "text"))
+    texts = texts.repartition(max(1, -(-texts.count() // TEXTS)), "text")
     fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
     labelled = texts.filter("label is not null").select("text", (F.col("label") == "block").alias("bad"), fold.alias("fold"))
     every = F.sequence(F.lit(FINAL), F.lit(FOLDS - 1))
@@ -111,6 +119,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     limit = held.agg(F.percentile_approx("score", 1 - allowed, 100_000)).first()[0] if FINAL in able else None
     limit = None if FINAL not in able else 0.0 if limit is None else max(0.0, float(limit))
     scored = judged.filter(F.col("model") == FINAL).select("text", "score")
-    out = known.join(scored.withColumnRenamed("text", "__t"), F.col("__text") == F.col("__t"), "left").withColumn("limit", F.lit(limit).cast("double"))
+    # rows without a text find nothing; a hash of theirs keeps them from sharing one key
+    none = F.when(F.col("__text") == "", F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns])).otherwise(0)
+    scored = scored.select(F.col("text").alias("__t"), "score", F.lit(0).cast("long").alias("__none"))
+    out = known.withColumn("__row", none).join(scored, (F.col("__text") == F.col("__t")) & (F.col("__row") == F.col("__none")), "left").withColumn("limit", F.lit(limit).cast("double"))
     verdict = F.coalesce(F.col("__fit.verdict"), F.when(F.col("score") > F.col("limit"), F.lit("block")).otherwise(F.lit("allow")))
     return out.withColumn("rule", F.col("__fit.rule")).withColumn("verdict", verdict).select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", "rule", "verdict", "score", "limit")
