@@ -23,7 +23,25 @@ from parchment.llm.common import cut
 TILT, MOST = 0.25, 2.0
 STEPS, NEAR = 60, 1e-9
 #: Documents that one task of a running sum holds, about.
-RUN = 100_000
+RUN = 20_000
+#: With so many sources or fewer, what is known of each goes to all tasks; with more, it is shuffled in PARTS copies of each.
+FEW, PARTS = 50_000, 64
+#: The most sources that the targets are computed for: they are one row each, ordered in one task.
+MOST_SOURCES = 5_000_000
+
+
+def _exact(c: Column) -> Column:
+    """A number in fixed point, whose sums do not hang on the order of the rows."""
+    return c.cast("decimal(28,8)")
+
+
+def by_source(rows: DataFrame, own: Column, known: DataFrame, name: str, sources: int, by: list[str]) -> DataFrame:
+    """rows joined with known, one row for each source, on own = name (nulls are equal): no source is one task's."""
+    if sources <= FEW:
+        return rows.join(F.broadcast(known), own.eqNullSafe(F.col(name)))
+    a = rows.withColumn("__deal", F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int"))
+    b = known.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return a.join(b, own.eqNullSafe(F.col(name)) & (F.col("__deal") == F.col("__part"))).drop("__deal", "__part")
 
 
 def targets(sizes: DataFrame, weights: list[float], share: float, most: float = MOST) -> DataFrame:
@@ -32,8 +50,11 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float =
     Sources in code-point order, null last, weigh weights[0], weights[1], ... in turn and share `share` of all sizes. No
     target exceeds `most` times its source's size; what is above goes to the others by weight until none is above.
     That fixed point is min(most * size, level * weight): sources fill up in the order of size / weight, and the level
-    is what is left over the weights that are left, at the first source that does not fill up.
+    is what is left over the weights that are left, at the first source that does not fill up. The sources are ordered
+    in one task, so more than MOST_SOURCES are refused.
     """
+    if sizes.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     order = W.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
     t = sizes.withColumn("weight", w).withColumn("cap", most * F.col("source_size")).withColumn("fill", F.col("cap") / F.col("weight"))
@@ -51,7 +72,7 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def multipliers(counts: DataFrame, goals: DataFrame, tilt: float = TILT, most: float = MOST) -> DataFrame:
+def multipliers(counts: DataFrame, goals: DataFrame, sources: int, tilt: float = TILT, most: float = MOST) -> DataFrame:
     """(source, mean, full, lam): the dual's solution for each source. counts: (source, size, n) with size above 0.
 
     full marks a target at the source's most, where every rate is `most`.
@@ -68,8 +89,8 @@ def multipliers(counts: DataFrame, goals: DataFrame, tilt: float = TILT, most: f
         rate = F.least(F.lit(most), F.exp(F.least(F.col("lam") * x("size"), F.lit(700.0))))
         tokens = F.col("n") * F.col("size")
         moved = (
-            counts.join(s, _same(F.col("s"), F.col("source"))).groupBy("source")
-            .agg(F.sum(tokens * rate).alias("got"), F.sum(F.when(rate < most, tokens * rate * x("size")).otherwise(0.0)).alias("slope"))
+            by_source(counts, F.col("source"), s, "s", sources, ["size"]).groupBy("source")
+            .agg(F.sum(_exact(tokens * rate)).cast("double").alias("got"), F.sum(_exact(F.when(rate < most, tokens * rate * x("size")).otherwise(0.0))).cast("double").alias("slope"))
             .withColumnRenamed("source", "t").join(state, _same(F.col("t"), F.col("source")))
         )
         over = F.col("got") - F.col("target")
@@ -120,22 +141,24 @@ def mix(docs: DataFrame, size: Column, weights: list[float], share: float, doc_i
     slim = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.cast("long").alias("size")))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = cut(targets(sizes, weights, share, most))
+    sources = goals.count()
     rows = slim.count()
     runs = max(1, -(-rows // RUN))
     counts = cut(slim.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")))
-    dual = multipliers(counts, goals, tilt, most).join(goals.withColumnRenamed("source", "g"), _same(F.col("source"), F.col("g"))).select(F.col("source").alias("s"), "mean", "full", "lam", "target", "source_size")
+    dual = multipliers(counts, goals, sources, tilt, most).join(goals.withColumnRenamed("source", "g"), _same(F.col("source"), F.col("g"))).select(F.col("source").alias("s"), "mean", "full", "lam", "target", "source_size")
     tilted = F.least(F.lit(most), F.exp(F.least(F.col("lam") * F.pow(F.col("size") / F.col("mean"), F.lit(tilt)), F.lit(700.0))))
-    rated = slim.filter("size > 0").join(dual, _same(F.col("s"), F.col("source"))).withColumn("rate", F.when(F.col("full"), F.lit(most)).otherwise(tilted)).withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    rated = by_source(slim.filter("size > 0"), F.col("source"), dual, "s", sources, ["doc_id", "size"]).withColumn("rate", F.when(F.col("full"), F.lit(most)).otherwise(tilted)).withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "size"))
     free = F.col("rate") < most
     rated = rated.withColumn("class", F.floor(F.log2("size")).cast("int")).withColumn("rest", F.when(free, (F.col("rate") - F.floor("rate")) * F.col("size")).otherwise(0.0)).withColumn("free", F.when(free, F.col("size")).otherwise(0))
     order = [F.col("hash"), F.col("doc_id"), F.col("size")]
     first = cut(_running(rated, ["source", "class"], F.col("free").cast("double"), order, runs))
     # a class takes a further copy of its documents, in hash order, until their sizes reach the class's room
     extra = free & (F.col("before") + F.col("free") / 2 <= F.col("room"))
-    rooms = first.groupBy("source", "class").agg(F.sum("rest").alias("room"))
-    with_room = lambda rooms: first.join(rooms.select(F.col("source").alias("s1"), F.col("class").alias("c1"), "room"), _same(F.col("source"), F.col("s1")) & (F.col("class") == F.col("c1")))
+    rooms = first.groupBy("source", "class").agg(F.sum(_exact(F.col("rest"))).cast("double").alias("room"))
+    named = lambda rooms: rooms.groupBy(F.col("source").alias("s1")).agg(F.map_from_entries(F.collect_list(F.struct("class", "room"))).alias("rooms"))
+    with_room = lambda rooms: by_source(first, F.col("source"), named(rooms), "s1", sources, ["doc_id", "size"]).withColumn("room", F.col("rooms")[F.col("class")]).drop("rooms")
     for _ in range(2):  # what the classes missed together is made good from the smallest class upwards
-        off = with_room(rooms).groupBy("source", "class").agg(F.sum(F.when(extra, F.col("free")).otherwise(0)).alias("took"), F.sum("rest").alias("rest"), F.sum("free").alias("all"))
+        off = with_room(rooms).groupBy("source", "class").agg(F.sum(F.when(extra, F.col("free")).otherwise(0)).alias("took"), F.sum(_exact(F.col("rest"))).cast("double").alias("rest"), F.sum("free").alias("all"))
         off = off.withColumn("miss", F.sum(F.col("rest") - F.col("took")).over(W.partitionBy("source")))
         off = off.withColumn("spare", F.when(F.col("miss") > 0, F.col("all") - F.col("took")).otherwise(F.col("took")))
         below = F.coalesce(F.sum("spare").over(W.partitionBy("source").orderBy("class").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -143,15 +166,19 @@ def mix(docs: DataFrame, size: Column, weights: list[float], share: float, doc_i
         rooms = cut(off.select("source", "class", (F.col("took") + F.signum("miss") * share).alias("room")))
     copies = F.least(F.lit(int(most)), (F.floor("rate") + F.when(extra, 1).otherwise(0)).cast("int"))
     last = with_room(rooms).select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"))
-    empty = slim.filter("size = 0").join(goals.withColumnRenamed("source", "s"), _same(F.col("s"), F.col("source"))).select("doc_id", "source", "size", "source_size", "target", F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
+    empty = by_source(slim.filter("size = 0"), F.col("source"), goals.withColumnRenamed("source", "s"), "s", sources, ["doc_id"]).select("doc_id", "source", "size", "source_size", "target", F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
     return last.unionByName(empty)
 
 
 def mixed(docs: DataFrame, size: Column, weights: list[float], share: float, doc_id: str = "doc_id", source: str = "source", **more) -> DataFrame:
     """docs' rows and columns as the mix takes them: each row as many times as its copies.
 
-    Rows that share an id all get the most copies that one of them has; rows without an id count as sharing one.
+    Rows that share id, source and size all get the most copies that one of them has. Nulls, long texts and empty tables
+    are as in mix().
     """
-    plan = mix(docs, size, weights, share, doc_id, source, **more).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__n")).filter("__n > 0")
-    out = docs.join(plan, _same(docs[doc_id], F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = lambda i, s, n: [i.alias("id"), s.alias("source"), n.cast("long").alias("size"), F.xxhash64(i, s, n.cast("long")).alias("key")]
+    plan = mix(docs, size, weights, share, doc_id, source, **more).filter("copies > 0").select(*keys(F.col("doc_id"), F.col("source"), F.col("size")), "copies")
+    plan = plan.groupBy("id", "source", "size", "key").agg(F.max("copies").alias("copies")).select(*[F.col(c).alias(f"p_{c}") for c in ("id", "source", "size", "key", "copies")])
+    rows = docs.select(*keys(F.col(f"`{doc_id}`"), F.col(f"`{source}`"), size), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = (F.col("key") == F.col("p_key")) & _all([_same(F.col(c), F.col(f"p_{c}")) for c in ("id", "source", "size")])
+    return rows.join(plan, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("p_copies")))).select("row.*")
