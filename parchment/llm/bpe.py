@@ -6,8 +6,9 @@ holds one of its documents, and its ids travel to the others; chunks of one docu
 
 Joins. The byte-level pre-tokenizer never lets a token reach from a character that is not white space into white space
 that follows it, so such a place is a token boundary whatever surrounds it. Of a chunk only the stretch between its first
-and last such places is encoded alone. At each join the text grows to both sides until it meets one, and that span is
-encoded anew; there the ids agree exactly with those of the whole text.
+and last such places is encoded alone. At each join the text between two stretches is encoded anew together with the last
+tokens of the one and the first of the other; where these do not come out as they were, more of both is taken, in the end
+all of both. So a join is taken only once it agrees exactly.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import as_bytes, slices
+from parchment.llm.common import as_bytes, cut, hot_keys, slices, spread_join
 
 #: Mean chunk length (a power of two) and the window of the rolling hash, in bytes.
 MEAN, WINDOW = 1024, 32
+#: Tokens to both sides of a join that are encoded again with it at first.
+MARGIN = 4
 END_OF_TEXT = "<|endoftext|>"
 _GEAR = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SAFE = re.compile(rb"(?<=[!-~])[ \n]")
@@ -105,22 +108,31 @@ def _hash(span: bytes) -> bytes:
 
 
 def encode_pieces(enc, text: bytes, known: dict[bytes, list[int]]) -> list[int]:
-    """The ids of a text; a core in known costs a look-up, neighbours that are not known are encoded together."""
-    ids: list[int] = []
+    """The ids of a text; a core in known costs a look-up and its joins, all other spans are encoded together."""
+    whole_text = lambda b: enc.encode(b.decode(), allowed_special="all")
     if not known:
-        return enc.encode(text.decode(), allowed_special="all") if text else ids
+        return whole_text(text) if text else []
+    ids: list[int] = []
+    last: list[int] = []  # the ids of the stretch before, which ids end with
     run: list[bytes] = []
-    for span, whole in pieces(text):
-        got = known.get(_hash(span)) if whole else None
+    for span, got in [*((s, known.get(_hash(s)) if whole else None) for s, whole in pieces(text)), (b"", [])]:
         if got is None:
             run.append(span)
             continue
-        if run:
-            ids += enc.encode(b"".join(run).decode(), allowed_special="all")
-            run = []
-        ids += got
-    if run:
-        ids += enc.encode(b"".join(run).decode(), allowed_special="all")
+        between, run, margin = b"".join(run), [], MARGIN
+        while True:
+            tail, head = last[-margin:], got[:margin]
+            every = len(tail) == len(last) and len(head) == len(got)
+            try:
+                anew = whole_text(enc.decode_bytes(tail) + between + enc.decode_bytes(head))
+            except UnicodeDecodeError:  # the margin ends inside a character
+                anew = None
+            agrees = anew is not None and anew[: len(tail)] == tail and anew[len(anew) - len(head) :] == head and len(anew) >= len(tail) + len(head)
+            if agrees or every:
+                break
+            margin *= 2
+        ids = ids[: len(ids) - len(tail)] + anew + got[len(head) :] if not agrees else ids + anew[len(tail) :] + got[len(head) :]
+        last = got if agrees else anew
     return ids
 
 
@@ -170,16 +182,18 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
 
     The special token's string in a text becomes its id. Rows that repeat an id are encoded each by its own text, and
     rows without an id go by a hash of theirs; chunks are known by content, so neither can mix texts up. shape may map
-    the stream of (doc_id, ids) Arrow batches to another schema inside the same tasks.
+    the stream of (doc_id, ids) Arrow batches to another schema inside the same tasks. Texts of any length are encoded
+    whole; an empty table gives an empty one. path names a rank file; its vocabulary is used with the one pre-tokenizer
+    that this module's safe places are made for.
     """
     path = path or default_ranks()
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     dealt = base.repartition("key")  # both joins below read this one exchange, so both take all three columns
     found = base.select("key", "text").mapInArrow(_chunk_rows, "chunk binary, owner long")
-    shared = found.groupBy("chunk").agg(F.count("*").alias("n"), F.min("owner").alias("home")).filter("n > 1").drop("n")
+    shared = cut(found.groupBy("chunk").agg(F.count("*").alias("n"), F.min("owner").alias("home")).filter("n > 1"))
     wanted = shared.groupBy("home").agg(F.collect_list("chunk").alias("wanted"))
     once = dealt.join(wanted, F.col("key") == F.col("home")).select("text", "wanted", "doc_id", "key").mapInArrow(_encode_chunks(path), "chunk binary, ids binary").groupBy("chunk").agg(F.first("ids").alias("ids"))
-    given = found.join(once, "chunk").groupBy("owner").agg(F.collect_set(F.struct("chunk", "ids")).alias("known"))
+    given = spread_join(found, once, "chunk", hot_keys(shared, "chunk"), ["owner"]).groupBy("owner").agg(F.collect_set(F.struct("chunk", "ids")).alias("known"))
     joined = dealt.join(given, F.col("key") == F.col("owner"), "left").select("doc_id", "text", "known", "key")
     run = _encode_docs(path)
     return joined.mapInArrow((lambda batches: shape(run(batches))) if shape else run, schema)
