@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing, reranked by exact Euclidean distance.
 
-A table hashes a vector to the cell floor((a_i . x + b_i) / w), i < HASHES, with Gaussian a_i. A query visits, besides its
+A table hashes a vector to the cell floor((a_i . x + b_i) / w), i < hashes, with Gaussian a_i. A query visits, besides its
 own cell, the cells that differ by one step in some of the hashes, in the order of the summed squared distances to the
-borders that are crossed: the order of estimated success. Width w and the number of visited cells are fitted on a sample
-of at most SAMPLE vectors, on the driver, so that the sample's own neighbours are found at RECALL; a sample's neighbours
-lie further than those in all rows, so the fit errs to the safe side. Every row is indexed.
+borders that are crossed: the order of estimated success. Number of hashes, width w, number of tables and number of visited
+cells are fitted together, on the driver, on a sample of at most SAMPLE vectors: of all choices under which the sample's
+own neighbours are found at RECALL, the one with the least work for the table's size is taken, so that bigger tables get
+narrower cells. A sample's neighbours lie further than those in all rows; how much further is estimated from how
+distances grow with rank, and its neighbours are drawn nearer by that ratio before they are looked for. Every row is
+indexed.
 
 Index rows and probes meet in the tasks that hold their cells, which keep the best k of each query; no pair is emitted.
 Cells of more than BLOCK vectors are split, and their probes go to every part. Of vectors that are equal throughout only
@@ -14,7 +17,9 @@ than k candidates, although there are as many rows, are held against all rows in
 
 from __future__ import annotations
 
+import functools
 import itertools
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,61 +29,122 @@ from pyspark.sql.window import Window as W
 
 from parchment.llm.common import cut, mix, run_starts, whole_runs
 
-HASHES, TABLES, MOST_TABLES, SAMPLE, TESTS, RECALL = 5, 4, 12, 2048, 64, 0.97
-WIDTH = 1.4
+MOST_TABLES, SAMPLE, TESTS, RECALL = 8, 2048, 32, 0.97
+#: The choices for the number of hashes, and for the width in distances of the sample's k-th neighbours.
+HASHES, WIDTHS = (3, 4, 6, 8, 12), (1.4, 2.2)
+#: Most hashes in which a visited cell differs from the query's own.
+CHANGED = 3
+#: Work of sending a vector to a cell, in comparisons.
+SEND = 60
 BLOCK = 8192
-_STEPS = np.array(list(itertools.product((-1, 0, 1), repeat=HASHES)))
 
 
-def _functions(dim: int, table: int, width: float) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.Generator(np.random.PCG64((dim, table, 11)))
-    return rng.normal(size=(dim, HASHES)), rng.uniform(0, width, HASHES)
+@dataclass(frozen=True)
+class Plan:
+    hashes: int = 3
+    width: float = 1.0
+    tables: int = 4
+    probes: int = 27
 
 
-def places(x: np.ndarray, table: int, width: float) -> np.ndarray:
-    a, b = _functions(x.shape[1], table, width)
+@functools.cache
+def steps(hashes: int) -> np.ndarray:
+    """The visited cells relative to the own one, in one row each."""
+    out = [[0] * hashes]
+    for n in range(1, min(hashes, CHANGED) + 1):
+        for at in itertools.combinations(range(hashes), n):
+            for signs in itertools.product((-1, 1), repeat=n):
+                row = [0] * hashes
+                for k, x in zip(at, signs, strict=True):
+                    row[k] = x
+                out.append(row)
+    return np.array(out)
+
+
+@functools.lru_cache(maxsize=256)
+def _functions(dim: int, table: int, hashes: int, width: float) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.Generator(np.random.PCG64((dim, table, hashes, 11)))
+    return rng.normal(size=(dim, hashes)), rng.uniform(0, width, hashes)
+
+
+def places(x: np.ndarray, table: int, hashes: int, width: float) -> np.ndarray:
+    a, b = _functions(x.shape[1], table, hashes, width)
     return (x @ a + b) / width
 
 
 def cells(whole: np.ndarray, table: int, dim: int) -> np.ndarray:
     """Keys of the cells, of 64 bits; tables and dimensions don't share any."""
     h = np.full(whole.shape[:-1], np.uint64(table * 100_003 + dim), np.uint64)
-    for k in range(HASHES):
+    for k in range(whole.shape[-1]):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + whole[..., k].astype(np.int64).view(np.uint64))
     return h.view(np.int64)
 
 
+def _costs(place: np.ndarray, step: np.ndarray) -> np.ndarray:
+    low = place - np.floor(place)
+    return (np.where(step == 0, 0.0, np.where(step < 0, low, 1 - low)) ** 2).sum(axis=1)
+
+
 def probe_order(place: np.ndarray) -> np.ndarray:
     """Indices into the steps, most promising first, for one query's places."""
-    low = place - np.floor(place)
-    cost = np.where(_STEPS == 0, 0.0, np.where(_STEPS < 0, low, 1 - low)) ** 2
-    return np.argsort(cost.sum(axis=1), kind="stable")
+    return np.argsort(_costs(place, steps(len(place))), kind="stable")
 
 
-def fit(sample: np.ndarray, k: int) -> tuple[float, int, int]:
-    """(width, tables, probes) from a sample of vectors of one dimension."""
-    n = len(sample)
-    if n < 2 * k + 2:
-        return 1.0, TABLES, len(_STEPS)
+def _ranks(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """When the query at a place comes to the cell of each of the others' places; beyond the last step if never."""
+    step = np.floor(others) - np.floor(own)
+    order = np.sort(_costs(own, steps(len(own))))
+    never = (np.abs(step) > 1).any(axis=1) | ((step != 0).sum(axis=1) > CHANGED)
+    return np.where(never, len(order), np.searchsorted(order, _costs(own, step) - 1e-9))
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T))
+
+
+def shrinkage(d: np.ndarray, n: int) -> float:
+    """How much nearer a neighbour of some rank is among n vectors than among the sample, from rows of distances to it.
+
+    Distances to the j-th neighbour grow as j ** (1 / dimension); the dimension is estimated from each row's nearest
+    ones, and the upper quartile is taken, which gives the smaller change.
+    """
+    size = d.shape[1]
+    near = np.sort(d, axis=1)[:, : max(20, size // 20)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dimension = -1 / np.log(near / near[:, -1:])[:, :-1].mean(axis=1)
+    dimension = dimension[np.isfinite(dimension) & (dimension > 0)]
+    return float(min(1.0, (size / n) ** (1 / np.quantile(dimension, 0.75)))) if len(dimension) and n > size else 1.0
+
+
+def fit(sample: np.ndarray, k: int, n: int, queries: int) -> Plan:
+    """The plan of least work for n vectors and so many queries, from a sample of vectors of one dimension."""
+    if len(sample) < 2 * k + 2:
+        return Plan()
     tests = sample[:TESTS]
-    d = np.sqrt(np.maximum(0, (tests**2).sum(1)[:, None] + (sample**2).sum(1) - 2 * tests @ sample.T))
+    d = _distances(tests, sample)
     d[np.arange(len(tests)), np.arange(len(tests))] = np.inf
     near = np.argsort(d, axis=1)[:, :k]
-    width = WIDTH * float(np.median(np.take_along_axis(d, near, 1)[:, -1])) or 1.0
-    best = np.full(near.shape, len(_STEPS))
-    for table in range(MOST_TABLES):
-        p = places(sample, table, width)
-        for i in range(len(tests)):
-            rank = np.empty(len(_STEPS), int)
-            rank[probe_order(p[i])] = np.arange(len(_STEPS))
-            step = np.floor(p[near[i]]) - np.floor(p[i])
-            code = ((step + 1) * 3 ** np.arange(HASHES - 1, -1, -1)).sum(axis=1).astype(int)
-            best[i] = np.minimum(best[i], np.where((np.abs(step) <= 1).all(axis=1), rank[np.clip(code, 0, len(_STEPS) - 1)], len(_STEPS)))
-        if table + 1 >= TABLES:
-            probes = int(np.quantile(best, RECALL, method="higher")) + 1
-            if probes <= len(_STEPS) * 2 // 3 or table + 1 == MOST_TABLES:
-                return width, table + 1, min(probes, len(_STEPS))
-    raise AssertionError
+    ratio = shrinkage(d, n)
+    unit = ratio * float(np.median(np.take_along_axis(d, near, 1)[:, -1])) or 1.0
+    nearer = tests[:, None, :] + ratio * (sample[near] - tests[:, None, :])
+    best, plan = np.inf, None
+    for hashes, w in itertools.product(HASHES, WIDTHS):
+        width, most = w * unit, len(steps(hashes))
+        first = np.full(near.shape, most)
+        met = np.zeros(most + 1)  # vectors met at each rank, over all tests and tables
+        for tables in range(1, MOST_TABLES + 1):
+            p = places(sample, tables - 1, hashes, width)
+            q = places(nearer.reshape(-1, sample.shape[1]), tables - 1, hashes, width).reshape(*near.shape, hashes)
+            for i in range(len(tests)):
+                first[i] = np.minimum(first[i], _ranks(p[i], q[i]))
+                met += np.bincount(_ranks(p[i], p), minlength=most + 1)
+            probes = int(np.quantile(first, RECALL, method="higher")) + 1
+            if probes <= most:
+                compared = met[:probes].sum() / (len(tests) * len(sample)) * n
+                work = compared + SEND * tables * (probes + n / max(1, queries))
+                if work < best:
+                    best, plan = work, Plan(hashes, width, tables, probes)
+    return plan or Plan(HASHES[0], WIDTHS[-1] * unit, MOST_TABLES, len(steps(HASHES[0])))
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray]:
@@ -86,22 +152,23 @@ def _vectors(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _rows(width: float, tables: int, probes: int):
-    """(cell, vec_id, vector) of a batch of (vec_id, vector); probes: so many cells of each table, 0 for the own cell."""
+def _rows(plan: Plan, probing: bool):
+    """(cell, vec_id, vector) of a batch of (vec_id, vector): the cells that a query visits, or a vector's own in each table."""
+    probes = plan.probes if probing else 1
 
     def rows(batches):
         for b in batches:
             vecs, ids = _vectors(b.column(1)), b.column(0).to_numpy()
             for dim in {len(v) for v in vecs}:
                 of = np.array([i for i, v in enumerate(vecs) if len(v) == dim])
-                for part in np.array_split(of, max(1, len(of) * max(1, probes) // 20_000)):
+                for part in np.array_split(of, max(1, len(of) * probes // 20_000)):
                     x = np.stack([vecs[i] for i in part]).astype(np.float64)
-                    for t in range(tables):
-                        p = places(x, t, width)
+                    for t in range(plan.tables):
+                        p = places(x, t, plan.hashes, plan.width)
                         own = np.floor(p)
-                        if probes:
-                            own = np.stack([own[i] + _STEPS[probe_order(p[i])[:probes]] for i in range(len(p))]).reshape(-1, HASHES)
-                        take = np.repeat(np.arange(len(part)), max(1, probes))
+                        if probing:
+                            own = np.stack([own[i] + steps(plan.hashes)[probe_order(p[i])[:probes]] for i in range(len(p))]).reshape(-1, plan.hashes)
+                        take = np.repeat(np.arange(len(part)), probes)
                         yield pa.RecordBatch.from_arrays([pa.array(cells(own, t, dim)), pa.array(ids[part][take]), b.column(1).take(pa.array(part[take]))], names=["cell", "vec_id", "vector"])
 
     return rows
@@ -173,7 +240,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
 
     vectors and queries hold (vec_id, vector); a query's own id is no candidate. Vectors that are null, empty, zero or
     hold a null or a value that isn't finite take no part, and vectors of different lengths never meet. Repeated rows
-    count once; ids that repeat with other vectors are rows of their own. With k candidates or fewer all are returned.
+    count once; ids that repeat with other vectors are rows of their own, and query rows that share an id are one query,
+    whose neighbours are those nearest to any of them. With k candidates or fewer all are returned. An empty table, or no
+    queries, give an empty one; other columns are not looked at.
     """
 
     def clean(df):
@@ -186,13 +255,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()  # bounded
     dims = [len(r.vector) for r in sample]
     common = max(set(dims), key=dims.count) if dims else 1
-    width, tables, probes = fit(np.array([r.vector for r in sample if len(r.vector) == common], np.float64).reshape(-1, common), k)
+    n = rows.count()
+    plan = fit(np.array([r.vector for r in sample if len(r.vector) == common], np.float64).reshape(-1, common), k, n, asked.count())
     kind = rows.schema["vector"].dataType.simpleString()
     schema = f"cell long, vec_id long, vector {kind}"
-    found = cut(_top(rows.mapInArrow(_rows(width, tables, 0), schema), asked.mapInArrow(_rows(width, tables, probes), schema), k))
+    found = cut(_top(rows.mapInArrow(_rows(plan, False), schema), asked.mapInArrow(_rows(plan, True), schema), k))
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
     few = asked.join(full, asked["vec_id"] == full["query_id"], "left_anti")
-    n = rows.count()
     cell = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // BLOCK))))
     every = rows.select(cell.alias("cell"), "vec_id", "vector")
     rest = few.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-n // BLOCK)) - 1).cast("long"))).alias("cell"), "vec_id", "vector")
