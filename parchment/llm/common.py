@@ -204,18 +204,23 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
 
 # ---------------------------------------------------------------- connected components
 
+#: Edges of 40 bytes, about, that one task can hold in any case.
+MANY = 1_000_000
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an undirected edge list; root is the smallest node it reaches.
 
-    Alternating large-star and small-star steps: each is a minimum per node and a join back, in which a hub's edges are
-    dealt over several tasks. Every round is cut in the checkpoint folder.
+    Alternating large-star and small-star steps: each is a minimum per node and a join back. With more than MANY edges, a
+    hub's are dealt over several tasks there; with fewer, one task can hold them all. Every round is cut in the checkpoint
+    folder.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
 
     def with_least(df: DataFrame, least) -> DataFrame:
         found, most = df.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")), F.lit(2 * mark[0])
+        if mark[0] <= MANY:
+            return df.join(found.select("u", "m"), "u")
         hubs = found.filter(F.col("n") * HOT > most).select("u", F.ceil(F.col("n") * HOT / most).cast("int").alias("parts"))
         return spread_join(df, found.select("u", "m"), "u", hubs, ["v"])
 

@@ -146,9 +146,9 @@ def _confirmed_with_hub(size: int, percent: int):
     return rows
 
 
-def _crossing(t: pa.Table, s: int, e: int, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _crossing(t: dict[str, np.ndarray], s: int, e: int) -> Iterator[tuple[int, np.ndarray]]:
     """For members outside the main component: who is near by signature, lies in another component, and is met under no smaller key."""
-    sig, label, main, key = t["sig"][s:e], t["label"][s:e], t["main"][s:e], t["key"][s]
+    sig, label, main, key, keys = t["sig"][s:e], t["label"][s:e], t["main"][s:e], t["key"][s], t["keys"][s:e]
     for i in np.flatnonzero(~main):
         near = np.flatnonzero(((sig != sig[i]).sum(axis=1) <= DISTANCE) & (label != label[i]) & (main | (np.arange(e - s) > i)))
         if len(near):
@@ -160,7 +160,8 @@ def _crossing(t: pa.Table, s: int, e: int, keys: np.ndarray) -> Iterator[tuple[i
 
 
 def _columns(t: pa.Table) -> dict[str, np.ndarray]:
-    return {c: t.column(c).to_numpy() for c in ("key", "i", "j", "id", "tie", "label", "main")} | {"sig": _unpack(t.column("sig"))}
+    sig = _unpack(t.column("sig"))
+    return {c: t.column(c).to_numpy() for c in ("key", "id", "tie", "label", "main")} | {"sig": sig, "keys": index_keys(sig).view(np.int64)}
 
 
 def _needed(batches):
@@ -170,8 +171,7 @@ def _needed(batches):
         starts = run_starts(t, ["key", "i", "j"])
         take = np.zeros(t.num_rows, bool)
         for s, e in zip(starts, np.append(starts[1:], t.num_rows), strict=True):
-            keys = index_keys(c["sig"][s:e]).view(np.int64)
-            for i, near in _crossing(c, s, e, keys):
+            for i, near in _crossing(c, s, e):
                 take[s + i] = True
                 take[s + near] = True
         for b in t.filter(pa.array(take)).to_batches():
@@ -184,9 +184,9 @@ def _confirmed_across(size: int, percent: int):
             c = _columns(t)
             starts = run_starts(t, ["key", "i", "j"])
             for s, e in zip(starts, np.append(starts[1:], t.num_rows), strict=True):
-                sets, keys, out = _sets(t.slice(s, e - s), size), index_keys(c["sig"][s:e]).view(np.int64), []
+                sets, out = _sets(t.slice(s, e - s), size), []
                 label = c["label"][s:e].copy()  # components that a link joins are one from then on
-                for i, near in _crossing(c, s, e, keys):
+                for i, near in _crossing(c, s, e):
                     for j in near:
                         if label[i] != label[j] and alike(sets[i], sets[j], percent):
                             out.append((*(int(c[n][s + k]) for k in (i, j) for n in ("id", "tie")),))

@@ -121,7 +121,9 @@ def test_every_pair_under_the_distance_shares_a_key():
     assert all(set(p) & set(q) for p, q in zip(x, y, strict=True))
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("many", [10**6, 10])
+def test_connected_components(spark, monkeypatch, many):
+    monkeypatch.setattr(common, "MANY", many)
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)]
     root = {v: v for e in edges for v in e}
@@ -136,7 +138,7 @@ def test_connected_components(spark):
 def test_pii(spark, docs, none):
     text = "mail a.b12@x.com and 4785380592391139, 4785-3805-9239-1139 on 1999-12-31 DE89370400440532013000 ip 1.2.3.4 999.1.1.1 +1 (743) 555-3824 ssn 123-45-6789 tok 24be64439e3e49cf46b2d7c90f3602a3d0b907ff 1999-13-01 4785380592391138"
     df = spark.createDataFrame([(1, text), (2, text), (3, None), (4, ""), (5, "plain words")], "doc_id long, text string")
-    one, two, three, four, five = pii.pseudonymise(df, found="found").orderBy("doc_id").collect()
+    one, two, three, four, five = pii.pseudonymise(df, "corpus", found="found").orderBy("doc_id").collect()
     assert one.text == two.text and three.text is None and three.found is None and four.text == "" and five.text == "plain words"
     assert [x.kind for x in one.found] == ["email", "card", "card", "date", "iban", "ip", "phone", "ssn", "secret"]
     assert all(text[x.start : x.start + x.length] != one.text[x.start : x.start + x.length] for x in one.found if x.kind in ("email", "card", "date", "iban"))
@@ -146,7 +148,7 @@ def test_pii(spark, docs, none):
     assert one.text[one.found[2].start :][:19].replace("-", "") == card
     again = pii.pseudonymise(df, key="other").orderBy("doc_id").first()
     assert again.text != one.text
-    assert pii.pseudonymise(none).count() == 0 and pii.pseudonymise(docs.withColumn("found", F.lit(1))).columns == [*docs.columns, "found"]
+    assert pii.pseudonymise(none, "k").count() == 0 and pii.pseudonymise(docs.withColumn("found", F.lit(1)), "k").columns == [*docs.columns, "found"]
 
 
 def test_pii_secrets_of_any_case(spark):
@@ -156,7 +158,7 @@ def test_pii_secrets_of_any_case(spark):
     values = [low, low.upper(), mixed, digits, "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"]
     not_hex = "TOKEN " + "ABCDEF" * 6 + " " + low.upper()[:31] + " " + low.upper() + "G"
     df = spark.createDataFrame([*enumerate(f'TOKEN = "{v}" end' for v in values), (9, not_hex)], "doc_id long, text string")
-    *got, plain = pii.pseudonymise(df, found="found").orderBy("doc_id").collect()
+    *got, plain = pii.pseudonymise(df, "corpus", found="found").orderBy("doc_id").collect()
     assert plain.text == not_hex and plain.found == []
     new = [r.text[9:49] for r in got]
     for r, v, w in zip(got, values, new, strict=True):
@@ -176,6 +178,35 @@ def test_pii_is_a_permutation(spark):
     assert days.select(pii.date(F.col("v"), "k").alias("w")).distinct().count() == 72900
 
 
+VALUES = {
+    "email": ["a.b12@x.com", "Some-One_9%+z" + "q" * 90 + "@mail.example.co.uk"], "card": ["4785380592391139", "4785-3805-9239-1139", "4785 3805 9239 1139"], "iban": ["DE89370400440532013000", "GB82WEST12345698765432"],
+    "ip": ["1.2.3.4", "255.0.0.255"], "ssn": ["123-45-6789", "899-99-9999", "001-01-0001", "667-01-0001"], "phone": ["+1 (743) 555-3824", "743-555-3824", "+91-743.555.3824"],
+    "date": ["1999-12-31", "0001-01-01", "0097-01-01", "0103-08-28", "0103-08-29", "9882-09-22", "9990-05-05", "9999-12-31", "2024-02-29"], "secret": ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "24BE64439E3E49CF46B2D7C90F3602A3D0B907FF", "24BE64439E3E49cf46b2d7c90f3602a3d0b907ff", "0123456789" * 4],
+}
+
+
+def test_pii_query_matches_plain_feistel(spark, tmp_path):
+    """The registered query on values of all kinds, against permutations worked out sign by sign."""
+    rows = [(k, kind, v, f"<{v}> and {v}, end") for k, (kind, v) in enumerate((kind, v) for kind, vs in VALUES.items() for v in vs)]
+    odd = [(900, "no date 0000-05-05 nor 1999-02-30 nor 1.2.3.456"), (901, None), (902, ""), (900, "no date 0000-05-05 nor 1999-02-30 nor 1.2.3.456")]
+    spark.createDataFrame([*((k, t) for k, _, _, t in rows), *odd], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op3_pii(spark, str(tmp_path)).collect()}
+    key = queries.pii_key(spark)
+    for k, kind, v, t in rows:
+        new = brute.pseudonym(kind, v, key)
+        assert (got[k].text, got[k].n_found) == (f"<{new}> and {new}, end", 2), v
+        assert got[k].found == f"{kind}:1:{len(v)}|{kind}:{len(v) + 7}:{len(v)}" and (len(new) == len(v) or kind == "ip") and new != v
+    assert (got[900].text, got[900].n_found, got[901].text, got[902].text) == (odd[0][1], 0, None, "")
+
+
+def test_pii_dates_keep_four_digits(spark):
+    days = spark.range(3_652_059).filter("id < 60000 or id > 3590000 or id % 97 = 0").select(F.date_format(F.date_add(F.lit("0001-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("v"))
+    r = days.select("v", pii.date(F.col("v"), "k").alias("w")).agg(F.count("*").alias("n"), F.count_distinct("w").alias("m"), F.count_if(~F.col("w").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")).alias("odd"), F.min("w").alias("a"), F.max("w").alias("b")).first()
+    assert r.n == r.m and r.odd == 0 and r.a >= "0001-01-01" and r.b <= "9999-12-31"
+    first = spark.range(37_495).select(pii.feistel_number(F.col("id"), 5, 7499, "k").alias("w"))
+    assert first.distinct().count() == 37_495
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs, n_words(F.col("text")), [5.0, 2.0, 1.0], 1.5).toPandas()
     words = {}
@@ -200,7 +231,6 @@ def test_mixing(docs, none):
 def test_sharding(docs, none, monkeypatch):
     for rows in (50_000, 10):
         monkeypatch.setattr(sharding, "ROWS", rows)
-        monkeypatch.setattr(sharding, "RUN", rows)
         got = sharding.shard(docs.withColumn("slot", F.lit("old")), 7).toPandas()
         n = docs.count()
         sizes = got.groupby("shard").size()
@@ -219,6 +249,43 @@ def test_communication_matrix_is_hypergeometric():
     assert abs(m[:, 0, 0].var() - 5 * 0.25 * 7 / 11) < 0.05
 
 
+@pytest.mark.parametrize(("good", "bad", "n"), [(40, 60, 30), (5, 3, 6), (10**10, 3 * 10**10, 2 * 10**9), (7, 10**12, 10**11)])
+def test_draws_of_any_size_follow_the_law(monkeypatch, good, bad, n):
+    """The inverted law, which is used beyond numpy's range, has the exact mean and variance (and, where small, frequencies)."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    if good + bad < 10**9:
+        class Big:
+            random = staticmethod(rng.random)
+        want = np.random.default_rng(4).hypergeometric(good, bad, n, 40_000)
+        monkeypatch.setattr(sharding, "_small", lambda total: False)
+        got = np.array([sharding.draw(Big, good, bad, n) for _ in range(40_000)])
+        assert np.abs(np.bincount(got, minlength=n + 1) - np.bincount(want, minlength=n + 1)).max() < 5 * 40_000**0.5
+    else:
+        got = np.array([sharding.draw(rng, good, bad, n) for _ in range(300)])
+    p, total = good / (good + bad), good + bad
+    mean, var = n * p, n * p * (1 - p) * (total - n) / (total - 1)
+    assert abs(got.mean() - mean) < 6 * (var / len(got)) ** 0.5 + 1e-9 and 0.6 * var <= got.var() <= 1.5 * var
+    assert got.min() >= max(0, n - bad) and got.max() <= min(n, good)
+
+
+def test_sharding_query(spark, docs, rows, tmp_path, monkeypatch):
+    """The registered query: every column of its contract; one row that fills a third of the table is dealt out evenly."""
+    import zlib
+
+    hot = [(555, "the same row again")] * 600
+    docs.select("doc_id", "text").unionByName(spark.createDataFrame(hot, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(sharding, "ROWS", 100)
+    monkeypatch.setattr(sharding, "COPIES", 50)
+    got = queries.op6_sharding(spark, str(tmp_path)).collect()
+    want = sorted([((i or -1), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in [*rows, *hot]])
+    assert sorted((r.doc_id or -1, r["size"], r.text_crc32) for r in got) == want
+    assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+    by = {k: sorted(r.slot for r in got if r.shard == k) for k in range(24)}
+    assert all(v == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    same = [sum(r.doc_id == 555 for r in got if r.shard == k) for k in range(24)]
+    assert sum(same) == 600 and min(same) >= 5 and max(same) <= 50
+
+
 def test_line_dedup(spark, docs, rows, none, monkeypatch):
     passage = "The first whole sentence of a passage. Of it. A second one follows with some more words! Then this is the very end of it all here. "
     odd = [(7001, f"Own words come before {passage}and own words after"), (7002, f"Others here. {passage}And after?"), (7003, passage), (7003, passage), (7003, passage), (7004, f"x\n\n{passage.strip()}\n\ny"), (7005, "Of it. x")]

@@ -114,8 +114,23 @@ def test_nearest(spark):
 
 def test_probes_start_with_the_own_cell_and_grow_in_cost():
     p = np.array([0.1, 0.5, 0.9, 0.3, 0.7])
-    order = ann._STEPS[ann.probe_order(p)]
+    order = ann.steps(5)[ann.probe_order(p)]
     assert (order[0] == 0).all() and (order[1] == [-1, 0, 0, 0, 0]).all() or (order[1] == [0, 0, 1, 0, 0]).all()
+    cost = [sum(x if s < 0 else 1 - x for s, x in zip(row, p) if s) for row in order]
+    assert len(order) == len({tuple(r) for r in order}) == 1 + 10 + 40 + 80 and cost[0] == 0
+
+
+def test_bigger_tables_get_a_smaller_share_to_compare():
+    rng = np.random.default_rng(3)
+    sample = rng.normal(size=(1500, 24))
+    plans = [ann.fit(sample, 10, n, n // 100) for n in (10**4, 10**6, 10**9)]
+
+    def share(plan):
+        at = [ann.places(sample, t, plan.hashes, plan.width) for t in range(plan.tables)]
+        met = [ann._ranks(p[i], p) < plan.probes for p in at for i in range(40)]
+        return np.mean(met) * plan.tables
+
+    assert share(plans[0]) >= share(plans[1]) >= share(plans[2]) and share(plans[2]) < 0.7 * share(plans[0])
 
 
 def test_chat_query(spark, sf):
@@ -158,7 +173,8 @@ def test_escapes_are_reversible():
 
 
 def test_rows_of_conversations(spark):
-    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (2, None, "user", "x"), (None, 0, "tool", "t"), (3, 0, None, "n"), (3, 0, None, "n")]
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (2, None, "user", "x"), (None, 0, "tool", "t"), (None, 1, "user", "u"), (3, 0, None, "n"), (3, 0, None, "n"), (4, 0, "human", "x"), (4, 1, "model", "y"), (5, 0, "gpt", "z"), (6, 0, "user", "p"), (6, 1, "bot", "q")]
     got = chat.format_records(chat.records_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
-    turns = {r.conv_id: chat.read_back(r.formatted) for r in got}
-    assert turns == {1: [("user", ""), ("assistant", "b")], 2: [("user", "x")], None: [("tool", "t")], 3: [("", "n"), ("", "n")]}
+    turns = {r.conv_id: chat.read_back(r.formatted) for r in got if r.conv_id is not None}
+    assert turns == {1: [("user", ""), ("assistant", "b")], 2: [("user", "x")], 3: [("", "n"), ("", "n")], 4: [("human", "x"), ("model", "y")], 5: [("gpt", "z")], 6: [("user", "p"), ("bot", "q")]}
+    assert sorted(chat.read_back(r.formatted) for r in got if r.conv_id is None) == [[("tool", "t")], [("user", "u")]]
