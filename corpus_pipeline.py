@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parchment.llm import bpe, mixing, near_dedup, pii, quality
 from parchment.llm.common import cut, n_words, table
-from parchment.llm.queries import PII_KEY, SHARE, WEIGHTS
+from parchment.llm.queries import SHARE, WEIGHTS, pii_key
 
 
 def keep_good(spark, docs, sf_dir):
@@ -23,7 +23,7 @@ def keep_one_of_each(spark, docs, sf_dir):
 
 def hide_personal(spark, docs, sf_dir):
     """Personal values become pseudonyms of their format; n_chars follows the text."""
-    out = pii.pseudonymise(docs, key=PII_KEY)
+    out = pii.pseudonymise(docs, key=pii_key(spark))
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
 
 
