@@ -33,7 +33,78 @@ SALARY_KEYWORDS = {
     "gratuity": ["gratuity"],
     "joining_bonus": ["joining bonus", "sign-on bonus", "sign on bonus", "joining incentive"],
 }
-EMPLOYMENT_TYPES = [("Internship", "intern(ship)?|stipend"), ("Trainee", "trainee"), ("Apprentice", "apprentice"), ("Contract", "contract(ual)? (basis|role|employment|position)|fixed[- ]term"), ("Part-time", "part[- ]time"), ("Consultant", "consultant"), ("Full-time", "full[- ]time|permanent")]
+# Employment types in order, each with the patterns of a lower-cased letter that name it.
+EMPLOYMENT_TYPES = [
+    ("Internship", [r"\binternship\b", r"\bstipend\b"]),
+    ("Trainee", [r"\btrainee\b", r"\btraineeship\b", r"\bgraduate\s+trainee\b"]),
+    ("Apprentice", [r"\bapprentice\b"]),
+    ("Contract", [r"\bfixed.?term\b", r"\bcontract(?:ual)?\b"]),
+    ("Part-time", [r"\bpart.?time\b"]),
+    ("Consultant", [r"\bconsultant\b", r"\bconsultancy\b", r"\bfreelance\b"]),
+    ("Full-time", [r"\bpermanent\b", r"\bfull.?time\b", r"\bregular\s+employment\b"]),
+]
+# Fixed values of the extraction: labels, suffixes and words that name or rule out a value.
+JOINING_LABELS = [r"Date\s+of\s+Joining", r"Joining\s+Date", r"Expected\s+Joining\s+Date", r"Joining\s+On", r"Expected\s+to\s+Join", r"Date\s+of\s+Commencement"]
+GENERIC_DOMAINS = ["gmail.com", "yahoo.com", "yahoo.co.in", "outlook.com", "hotmail.com", "live.com", "rediffmail.com"]
+SIGNED_SUFFIXES = [r"Pvt\.?\s*Ltd\.?", "Limited", "LLP", r"Inc\.?", r"Corp\.?", "Technologies", "Solutions", "Services", "Foundation", "Trust"]
+SIGNOFF_SUFFIXES = [
+    r"Pvt\.?\s*Ltd\.?", r"Private\s+Limited", "Limited", "LLP", r"Inc\.?", r"Corp\.?", "Technologies", "Solutions", "Services", "Foundation", "Trust",
+    "Enterprises", "Group",
+]
+LINE_SUFFIXES = [
+    r"Pvt\.?\s*Ltd\.?", r"Private\s+Limited", r"Public\s+Limited", "Limited", "LLP", "LLC", r"Inc\.?", r"Corp\.?", "Corporation", "Industries", "Solutions",
+    "Technologies", "Tech", "Services", "Consulting", "Foundation", "Trust", "Enterprises", "Associates", "Group", "Holdings",
+]
+SUFFIX_WORDS = [
+    "pvt", "ltd", "limited", "llp", "inc", "corp", "corporation", "industries", "solutions", "technologies", "services", "consulting", "enterprises", "group",
+    "holdings", "associates", "ventures", "systems", "foundation", "trust", "company", "co",
+]
+JOB_LEADS = [
+    "associate", "executive", "trainee", "officer", "manager", "analyst", "intern", "engineer", "consultant", "specialist", "assistant", "coordinator", "senior",
+    "junior",
+]
+SENTENCE_WORDS = [
+    "during", "employment", "with", "the", "your", "our", "you", "will", "may", "be", "transferred", "any", "operating", "office", "or", "and", "but", "that",
+    "this", "these", "those", "from", "into", "by", "for", "at", "on", "in", "is", "are", "was", "were", "have", "has", "had", "all", "which", "who", "when",
+    "where", "how", "if", "not", "an", "as", "it", "its",
+]
+NOT_COMPANIES = [
+    "privileged & confidential", "privileged and confidential", "private & confidential", "private and confidential", "strictly confidential", "confidential",
+    "accepted and agreed", "without prejudice", "human resources", "human resource", "hr department", "offer letter", "appointment letter", "employment letter",
+    "terms and conditions", "terms & conditions", "offer of employment", "offer of appointment", "letter of intent", "letter of appointment", "job offer",
+    "offer of internship", "internship offer letter", "employment agreement", "appointment order", "letter of employment", "private limited",
+]
+CONTACT_WORDS = ["tel", "phone", "mobile", "fax", "email", "e-mail", "www", "http"]
+CLAUSE_SIGNS = [
+    "aforesaid", "hereby", "gone through", "terms (?:and|&) conditions", "undersigned", "shall", "will be", "will report", "herein", "whereas", "i have", "i accept",
+    "required to", "reporting to", "effective from", "with effect", "background check", "discharging",
+]
+ROLE_SIGNS = [
+    r"authoris\w*", r"authoriz\w*", "signatory", "manager", "director", "executive", "officer", "head", r"human\s+resour\w*", r"recruit\w*", "talent", "chro", "hrd",
+    "partner", "founder", "proprietor", "president", "ceo", "cfo", "coo", "department", "payroll", "hr",
+]
+NAME_LABELS = ["designation", "department", "position", "role", "title", "date", "email", "e-mail", "mobile", "phone", r"employee\s+id", r"emp\s+id", "ctc", "salary"]
+NOT_NAMES = [
+    "offer", "letter", "appointment", "annexure", "from", "to", "date", "subject", "ref", "dear", "sincerely", "faithfully", "regards", "thanks", "employee",
+    "candidate", "name", "designation", "company", "signature", "associate", "analyst", "trainee", "intern", "engineer", "consultant", "specialist", "processing",
+    "operations", "assistant", "coordinator",
+]
+NAME_SUFFIXES = ["pvt", "ltd", "limited", "llp", "inc", "corp", "technologies", "solutions", "services", "enterprises", "industries"]
+ROLE_SUFFIXES = ["pvt", "ltd", "limited", "llp", "inc"]
+NOT_TITLES = [
+    "result", "breach", "breaches", "any", "all", "such", "other", "above", "below", "therefore", "whereas", "herein", "thereof", "indemnity", "liability",
+    "obligation", "pursuant", "agreement", "clause", "section", "provision", "shall", "will", "may", "must", "upon", "under", "you", "this", "employs", "contract",
+    "compensation", "graduation", "post-graduation", "postgraduation", "graduate", "graduates", "diploma", "intermediate", "matriculation", "schooling",
+    "certificates", "testimonials", "memos", "degree",
+]
+JOINING_WORDS = ["of", "by", "and", "or", "any", "all"]
+TITLE_ENDS = [r"subject\s+to", "effective", "commencing", r"w\.e\.f", r"with\s+effect"]
+HR_LABELS = [
+    r"HR\s+(?:Manager|Head|Director|Executive|Officer)", r"Human\s+Resources?", r"Head\s+of\s+HR", r"Chief\s+Human", r"Talent\s+Acquisition",
+    r"Recruitment\s+(?:Manager|Head)", r"People\s+(?:Operations|Manager)", "CHRO", "HRD",
+]
+SIGN_OFFS = [r"Yours\s+(?:sincerely|faithfully|truly)", "Regards", r"Thanks\s+and\s+regards", r"With\s+regards", r"Best\s+regards", r"Warm\s+regards"]
+LOCATION_LABELS = [r"Work\s+Location", r"Place\s+of\s+(?:Work|Posting|Duty)", "Location", r"Based\s+At", r"Office\s+Location", r"Duty\s+Station", r"Posting\s+Location"]
 PLACEHOLDERS = [("repeated R", "(?i)R{5,}"), ("underscores", "_{4,}"), ("brackets", r"\[[A-Z][A-Z\s]{2,}\]"), ("dashes", "-{5,}"), ("repeated X", r"(?i)\bX{4,}\b"), ("braces", r"\{\{[^}]*\}\}"), ("angles", r"<[A-Z][A-Z\s]{2,}>")]
 DESIGN_TOOLS = ["Canva", "Photoshop", "GIMP", "Illustrator", "CorelDraw", "Paint.NET", "Inkscape", "Affinity"]
 EDITING_SUITES = ["Foxit PhantomPDF", "Foxit PDF Editor", "WPS Office", "WPS PDF"]
@@ -55,6 +126,29 @@ SCHOOL_WORDS = [
 LABEL_WORDS = ["offer", "letter", "from", "to", "date", "subject", "ref", "dear", "annexure", "company", "name"]
 METROS = ["Bangalore", "Mumbai", "Delhi", "Hyderabad", "Chennai", "Pune"]
 PILLARS = {"image": 11, "text": 11, "signature": 11, "date": 11, "salary": 11, "grammar": 12, "hr": 11, "company": 11, "online": 11}
+# What a scorer's answer calls the pillars (each with _score and _reasoning), and what reports call them, in their order.
+ANSWER_KEYS = {
+    "image": "image_tampering", "signature": "signature_tampering", "text": "text_tampering", "date": "date_tampering", "salary": "salary_details", "grammar": "grammar_errors",
+    "hr": "hr_signature_details", "company": "company_details",
+}
+REPORT_PILLARS = {
+    "online": "Company Online Presence", "company": "Company Details", "hr": "HR Signature & Details", "grammar": "Grammar & Employment Terms", "salary": "Salary Details",
+    "date": "Date Tampering", "signature": "Signature Tampering", "text": "Text Tampering", "image": "Image Tampering",
+}
+MOST_FLAGS = 15
+# Words that mark a page of a letter, and words that a company's guessed domain leaves out.
+SALARY_PAGE = [
+    "basic", "hra", "ctc", "gross salary", "net salary", "net pay", "total compensation", "salary breakup", "annexure", "allowance", "deductions", "provident fund",
+    "gratuity", "cost to company", "total fixed pay", "tfp", "stipend",
+]
+SIGNATURE_PAGE = [
+    "authorized signatory", "authorised signatory", "yours sincerely", "yours faithfully", "with regards", "warm regards", "best regards", "hr manager", "human resources",
+    "signing authority", "for and on behalf", "acceptance", "employee signature",
+]
+NOT_IN_DOMAINS = [
+    "pvt", "ltd", "private", "limited", "solutions", "software", "technologies", "tech", "services", "india", "llp", "inc", "global", "foundation", "trust", "corp",
+    "company", "co",
+]
 INFORMATIONAL = ["Rendered ", "Signature close-up rendered", "Composite-forgery scan:", "Tamper scan:"]
 
 
@@ -78,6 +172,7 @@ class Settings:
     """as_of takes the place of the wall clock in every rule that compares with today."""
 
     as_of: str = "1998-12-31"
+    first_year: int = 2018
     legitimate: int = 80
     review: int = 51
     max_gap: int = 90
@@ -87,4 +182,5 @@ class Settings:
     penalties: Penalties = field(default_factory=Penalties)
 
 
-DEFAULT = Settings()
+#: The test tables' letters are of the years 1992 to 1998.
+DEFAULT = Settings(first_year=1990)

@@ -7,9 +7,19 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sept?|oct|nov|dec)[a-z]*"
-#: The four shapes of a date: ISO, day/month/year, day month year, month day year.
-DATE = rf"(?i)\b(?:[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]{{1,2}}[/.\-][0-9]{{1,2}}[/.\-][0-9]{{2,4}}|[0-9]{{1,2}}(?:st|nd|rd|th)?[\s\-]+{MONTH}[\s\-,]+[0-9]{{2,4}}|{MONTH}\s+[0-9]{{1,2}}(?:st|nd|rd|th)?,?\s+[0-9]{{4}})\b"
+# The forms of a date in letters.
+MONTHS = "Jan(?:uary)? Feb(?:ruary)? Mar(?:ch)? Apr(?:il)? May Jun(?:e)? Jul(?:y)? Aug(?:ust)? Sep(?:tember)? Oct(?:ober)? Nov(?:ember)? Dec(?:ember)?".split()
+DAY, YEAR = r"[0-9]{1,2}(?:st|nd|rd|th)?", "(?:[0-9]{4}|[0-9]{2})"
+
+
+def one_of(patterns: list[str]) -> str:
+    return f"(?:{'|'.join(patterns)})"
+
+
+MONTH = one_of(MONTHS)
+#: ISO, day/month/year, day month year, month day year.
+DATE_TOKEN = one_of([r"[0-9]{4}-[0-9]{2}-[0-9]{2}", rf"[0-9]{{1,2}}[/\-.][0-9]{{1,2}}[/\-.]{YEAR}", rf"{DAY}[\s\-.]+{MONTH}[\s\-.,]+{YEAR}", rf"{MONTH}[\s\-.,]+{DAY}[\s\-.,]+{YEAR}"])
+DATE = rf"(?i)\b{DATE_TOKEN}\b"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -58,23 +68,30 @@ def any_of(conditions: list[Column]) -> Column:
 
 
 def parse_date(token: Column) -> Column:
-    """A date in one of the four shapes, days before months; two-digit years are of this century."""
+    """A date of whole days in one of many written forms, days before months; null for anything else.
+
+    A weekday in front and a time behind are passed over; signs between the parts may be blanks, points, commas, strokes
+    or slashes. Years of two digits lie between 1976 and 2075; 2026-02-03 is ISO. A form without a day is null.
+    """
+    near = lambda d: F.when(F.year(d) > 2075, F.add_months(d, -1200)).otherwise(d)
+    plain = F.regexp_replace(strip(token), r"(?i)(?<=[0-9])(st|nd|rd|th)\b", "")
+    plain = F.regexp_replace(plain, r"(?i)^(?:mon|tues?|wed(?:nes)?|thur?s?|fri|sat(?:ur)?|sun)(?:day)?[\s,.]+|[\sT,]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\s*[ap]m)?$", "")
+    joined = F.regexp_replace(F.regexp_replace(plain, r"[\s,./\-]+", "-"), "^-|-$", "")
+
     def ways(t: Column) -> Column:
-        number = F.regexp_replace(t, r"[/.]", "-")
-        word = F.initcap(F.lower(F.regexp_replace(t, r"(?i)^([0-9]+)[\s\-]+([a-z]{3})[a-z]*[\s\-]+([0-9])", "$1 $2 $3")))
-        head = F.initcap(F.lower(F.regexp_replace(t, r"(?i)^([a-z]{3})[a-z]* ([0-9])", "$1 $2")))
-        shapes = [
-            (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", t, "yyyy-M-d"), (r"^[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{4}$", number, "d-M-yyyy"), (r"^[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{2}$", number, "d-M-yy"),
-            (r"(?i)^[0-9]{1,2}[ \-]+[a-z]{3,9}[ \-]+[0-9]{4}$", word, "d MMM yyyy"), (r"(?i)^[0-9]{1,2}[ \-]+[a-z]{3,9}[ \-]+[0-9]{2}$", word, "d MMM yy"), (r"(?i)^[a-z]{3,9} [0-9]{1,2} [0-9]{4}$", head, "MMM d yyyy"),
-        ]
+        month = F.regexp_replace(t, r"(?i)(?<![a-z])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*", "$1")
+        named = F.initcap(F.lower(F.replace(month, F.lit("-"), F.lit(" "))))
+        word = "[A-Z][a-z]{2}"
+        known = r"(?i)^(?:.*-)?(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)(?:-.*)?$"
+        numbers = F.when(t.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(t, "yyyy-M-d")).when(t.rlike("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"), F.coalesce(F.try_to_date(t, "d-M-yyyy"), F.try_to_date(t, "M-d-yyyy")))
+        numbers = numbers.when(t.rlike("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{2}$"), near(F.coalesce(F.try_to_date(t, "d-M-yy"), F.try_to_date(t, "M-d-yy"))))
         out = None
-        for shape, value, fmt in shapes:
-            day = F.try_to_date(value, fmt)
-            out = F.when(t.rlike(shape), day) if out is None else out.when(t.rlike(shape), day)
-        return out
+        for shape, form in ((f"^[0-9]{{1,2}} {word} [0-9]{{4}}$", "d MMM yyyy"), (f"^[0-9]{{1,2}} {word} [0-9]{{2}}$", "d MMM yy"), (f"^{word} [0-9]{{1,2}} [0-9]{{4}}$", "MMM d yyyy"), (f"^{word} [0-9]{{1,2}} [0-9]{{2}}$", "MMM d yy"), (f"^[0-9]{{4}} {word} [0-9]{{1,2}}$", "yyyy MMM d")):
+            day = F.try_to_date(named, form) if "yyyy" in form else near(F.try_to_date(named, form))
+            out = F.when(named.rlike(shape), day) if out is None else out.when(named.rlike(shape), day)
+        return F.when(t.rlike("^[0-9-]+$"), numbers).when(t.rlike(known), out)
 
-    plain = F.regexp_replace(F.regexp_replace(strip(token), r"(?i)(?<=[0-9])(st|nd|rd|th)\b", ""), r"[\s,]+", " ")
-    return let(plain, ways)
+    return let(joined, ways)
 
 
 def slug(c: Column) -> Column:

@@ -1,42 +1,73 @@
-"""Field extraction: column expressions over a letter's text, strategies in order of priority."""
+"""Field extraction: column expressions over a letter's text, strategies in order of priority.
+
+A letter's text is ASCII by then. What many fields look at (the text in small letters, its lines, its addresses, the
+part after the sign-off) is a column of its own, so that it is computed once for a row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.config import DEFAULT, EMPLOYMENT_TYPES, FREE_MAIL, JOINING_KEYWORDS, OFFER_KEYWORDS, SALARY_KEYWORDS, Settings
-from parchment.functions.text import DATE, any_of, blank_to_null, every, first, let, lines, parse_date, strip, window
+from parchment import config as c
+from parchment.config import DEFAULT, FREE_MAIL, Settings
+from parchment.functions.text import DATE, DATE_TOKEN, any_of, ascii_text, blank_to_null, every, first, let, lines, one_of, parse_date, strip, window
 
 #: The first parts are possessive: no sign of theirs can begin what follows, so giving signs back is time lost.
 EMAIL = r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 LOOSE_EMAIL = r"[A-Za-z0-9._%+\-]++\s*+@\s*[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-SUFFIX = r"(?:Pvt\.?\s*Ltd\.?|Private Limited|Limited|Ltd\.?|LLP|Inc\.?|Technologies|Solutions)"
-CLAUSE = r"(?i)\b(shall|will|hereby|terms|subject|agree|company)\b"
+_WORD = lambda words: rf"(?i)\b(?:{'|'.join(words)})\b"
+CLAUSE, ROLE = _WORD(c.CLAUSE_SIGNS), _WORD(c.ROLE_SIGNS)
+MARKS = ".,;:"
+
+
+def _head(found: Column) -> Column:
+    return F.try_element_at(found, F.lit(1))
+
+
+def _words(value: Column) -> Column:
+    return F.filter(F.split(F.lower(value), r"\s+"), lambda w: w != "")
+
+
+def _listed(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def _trim(value: Column, marks: str = MARKS) -> Column:
+    """White space off the ends, then marks."""
+    return F.btrim(strip(value), F.lit(marks))
+
+
+# ---------------------------------------------------------------- dates
 
 
-def date_near(text: Column, keywords: list[str], size: int = 120) -> Column:
+def date_near(text: Column, low: Column, keywords: list[str], size: int = 120) -> Column:
     """The first date after the first keyword that has one."""
-    return let(F.lower(text), lambda low: F.coalesce(*[parse_date(first(window(text, low, k, size), DATE)) for k in keywords]))
+    return F.coalesce(*[parse_date(first(window(text, low, k, size), DATE)) for k in keywords])
 
 
-def offer_date(text: Column) -> Column:
+def offer_date(text: Column, low: Column | None = None, rows: Column | None = None) -> Column:
     """A `Date:` line among the first 20, else a date by a keyword, else the first date of the first 500 characters."""
-    dated = F.filter(F.slice(lines(text), 1, 20), lambda l: l.rlike(r"^[Dd]ate\s*[:\-]"))
+    low, rows = F.lower(text) if low is None else low, lines(text) if rows is None else rows
+    dated = F.filter(F.slice(rows, 1, 20), lambda l: l.rlike(r"^[Dd]ate\s*[:\-]"))
     labelled = F.filter(F.transform(dated, lambda l: parse_date(first(l, r"^[Dd]ate\s*[:\-]\s*(.+)$", 1))), lambda d: d.isNotNull())
-    return F.coalesce(F.try_element_at(labelled, F.lit(1)), date_near(text, OFFER_KEYWORDS), parse_date(first(F.substring(text, 1, 500), DATE)))
+    return F.coalesce(_head(labelled), date_near(text, low, c.OFFER_KEYWORDS), parse_date(first(F.substring(text, 1, 500), DATE)))
 
 
 def plausible_joining(day: Column, offered: Column, as_of: str) -> Column:
     return day.isNotNull() & F.when(offered.isNotNull(), day >= offered).otherwise(F.year(day) >= F.year(F.lit(as_of).cast("date")) - 1)
 
 
-def joining_date(text: Column, offered: Column, as_of: str) -> Column:
+def joining_date(text: Column, offered: Column, as_of: str, low: Column | None = None) -> Column:
     """A labelled date if plausible, else the earliest plausible date within 150 characters of a keyword."""
-    label = parse_date(first(text, rf"(?i)(?:date of joining|joining date|date of commencement|commencement date|start date|reporting date)\s*[:\-]?\s*({DATE[4:]})", 1))
-    near = let(F.lower(text), lambda low: F.flatten(F.array_compact(F.array(*[every(window(text, low, k, 150), DATE) for k in JOINING_KEYWORDS]))))
-    good = F.filter(F.transform(F.array_distinct(near), parse_date), lambda d: plausible_joining(d, offered, as_of))
-    return F.coalesce(F.when(plausible_joining(label, offered, as_of), label), F.array_min(good))
+    low = F.lower(text) if low is None else low
+    label = first(text, rf"(?i){one_of(c.JOINING_LABELS)}\s*[:\-|]?\s*({DATE_TOKEN})", 1)
+    near = F.flatten(F.array_compact(F.array(*[every(window(text, low, k, 150), DATE) for k in c.JOINING_KEYWORDS])))
+    good = lambda: F.filter(F.transform(F.array_distinct(near), parse_date), lambda d: plausible_joining(d, offered, as_of))
+    return F.coalesce(let(parse_date(label), lambda d: F.when(plausible_joining(d, offered, as_of), d)), F.array_min(good()))
+
+
+# ---------------------------------------------------------------- contacts
 
 
 def _domain_of(mail: Column) -> Column:
@@ -47,76 +78,138 @@ def _not_personal(mails: Column) -> Column:
     return F.filter(mails, lambda m: ~_domain_of(m).isin(FREE_MAIL))
 
 
-def company_email(text: Column) -> Column:
-    one = lambda a: F.try_element_at(a, F.lit(1))
-    loose = lambda: F.transform(every(text, LOOSE_EMAIL), lambda m: F.regexp_replace(m, r"\s", ""))
-    return F.lower(F.coalesce(one(_not_personal(every(text, EMAIL))), let(loose(), lambda a: F.coalesce(one(_not_personal(a)), one(a)))))
+def company_email(text: Column, mails: Column | None = None) -> Column:
+    """The first address that is not a free one, closely written, else with blanks about the @, else any address."""
+    mails = every(text, EMAIL) if mails is None else mails
+    loose = F.transform(every(text, LOOSE_EMAIL), lambda m: F.regexp_replace(m, " ", ""))
+    return F.lower(F.coalesce(_head(_not_personal(mails)), _head(_not_personal(loose)), _head(mails)))
 
 
 def candidate_email(text: Column) -> Column:
+    """The first free address of the first 2000 characters, else the address that follows `dear` in the first 500."""
     head = F.filter(every(F.substring(text, 1, 2000), EMAIL), lambda m: _domain_of(m).isin(FREE_MAIL))
-    at = F.locate("dear", F.lower(F.substring(text, 1, 500)))
-    after = F.when(at > 0, first(F.substring(text, at, F.lit(500)), EMAIL))
-    return F.lower(F.coalesce(F.try_element_at(head, F.lit(1)), after))
+    return F.lower(F.coalesce(_head(head), first(F.substring(text, 1, 500), rf"(?i)dear\s+({EMAIL})", 1)))
 
 
 def website(text: Column) -> Column:
-    trim = lambda c: blank_to_null(F.rtrim(c, F.lit(".,;")))
-    return F.coalesce(trim(first(text, r"(?i)\bwebsite\s*[:\-]\s*(\S+)", 1)), first(text, r"(?i)\bwww\.[a-z0-9.\-]+[a-z0-9]"), trim(first(text, r"(?i)\b(?:site|domain)\s*:\s*(\S+)", 1)))
+    """What follows a label, else the first www. name, else what follows `site` or `domain`. A label's value ends the search."""
+    label = first(text, r"(?i)(?:website|web|url|www)[:\s]+((?:https?://)?(?:www\.)?[a-z0-9.\-]+\.[a-z]{2,}(?:/\S*)?)", 1)
+    bare = first(text, r"(?i)www\.[a-z0-9.\-]+\.[a-z]{2,}(?:/\S*)?")
+    other = first(text, r"(?i)(?:site|domain)[:\s]+([a-z0-9.\-]+\.[a-z]{2,})", 1)
+    return F.coalesce(F.rtrim(label, F.lit(".,;")), bare, F.rtrim(other, F.lit(".,;")))
 
 
 def company_domain(text: Column, mail: Column, site: Column) -> Column:
-    by_mail = F.when(_domain_of(mail).rlike(r"^[a-z0-9.\-]+\.[a-z]{2,}$"), _domain_of(mail))
-    by_site = blank_to_null(F.regexp_extract(F.lower(site), r"^(?:https?://)?(?:www\.)?([a-z0-9.\-]+)", 1))
-    bare = F.filter(every(F.lower(text), r"\b[a-z0-9\-]+\.(?:com|co\.in|org\.in|in|net|org)\b"), lambda d: ~d.isin(FREE_MAIL))
-    return F.coalesce(by_mail, by_site, F.try_element_at(bare, F.lit(1)))
+    """The address's domain if well formed, else the website's, else the text's first name under a common top level, unless it is a mail provider's."""
+    by_mail = let(_domain_of(mail), lambda d: F.when(d.rlike(r"^[a-z0-9][a-z0-9.\-]*\.[a-z]{2,}$"), d))
+    by_site = first(F.lower(site), r"(?:https?://)?(?:www\.)?([a-z0-9][a-z0-9.\-]*\.[a-z]{2,})", 1)
+    bare = F.lower(first(text, r"(?i)\b[a-z0-9][a-z0-9\-]{2,}\.(?:com|in|co\.in|org\.in|net|org)\b"))
+    return F.coalesce(by_mail, by_site, let(bare, lambda d: F.when(~d.isin(c.GENERIC_DOMAINS), d)))
 
 
 def phone(text: Column) -> Column:
-    return first(text, r"(?:\+91[\s\-]?|\(?0[0-9]{2}\)?[\s\-]?)?\b[0-9]{10}\b|\b[0-9]{5}[\s\-][0-9]{5}\b")
+    return strip(first(text, r"(?:\+91[\s\-]?)?(?:\(0[0-9]{2,4}\)[\s\-]?)?[0-9]{10}|(?:\+91[\s\-]?)?[0-9]{5}[\s\-][0-9]{5}"))
 
 
 def registration(text: Column) -> Column:
-    return F.coalesce(
-        first(text, r"\b[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}\b"), first(text, r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9][A-Z][0-9A-Z]\b"), F.upper(first(text, r"(?i)\budyam-[a-z]{2}-[0-9]{2}-[0-9]{7}\b"))
-    )
+    """A company number, else a tax number, else a small firm's number."""
+    company, tax = r"\b[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}\b", r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][A-Z0-9]Z[A-Z0-9]\b"
+    return F.coalesce(first(text, company), first(text, tax), F.upper(first(text, r"(?i)\budyam-[a-z]{2}-[0-9]{2}-[0-9]{7}\b")))
+
+
+# ---------------------------------------------------------------- company
+
+
+def clean_company(name: Column) -> Column:
+    return _trim(F.regexp_replace(name, r"\s+", " "))
 
 
 def valid_company(name: Column) -> Column:
-    return F.length(name).between(3, 80) & name.rlike(r"^[A-Za-z0-9]") & name.rlike("[A-Z]") & ~name.rlike(r"[!/|@,;]|[0-9]{6}") & ~name.rlike(CLAUSE) & (F.size(F.split(name, r"\s+")) <= 6)
+    """Whether a string can be a company's name: none of the signs of a sentence, a heading, a reference, a contact line or a job."""
+    words = _words(name)
+    code = name.rlike(r"^[A-Z0-9 \-]+$") & name.rlike("[0-9]")
+    job = ~name.rlike(_WORD(c.SUFFIX_WORDS)) & F.coalesce(_head(words).isin(c.JOB_LEADS), F.lit(False))
+    return (
+        F.length(name).between(3, 80) & name.rlike(r"^[A-Za-z0-9]") & name.rlike("[A-Z]") & ~name.rlike(r"[!/|@,;]|\b[0-9]{6}\b") & ~F.lower(strip(name)).isin(c.NOT_COMPANIES)
+        & ~name.rlike(_WORD(c.CONTACT_WORDS)) & ~code & (F.size(F.array_intersect(words, _listed(c.SENTENCE_WORDS))) < 2) & (F.size(words) <= 6) & ~job
+    )
+
+
+def company_name(text: Column, rows: Column | None = None) -> Column:
+    """A `For X Ltd` sign-off; a line of the first 30 that ends in a company's suffix; a label; the last lines before a
+    registration number, the nearest first; a line of the first 12 that reads like a title. The first valid one."""
+    rows = lines(text) if rows is None else rows
+    signed = clean_company(first(text, rf"(?i)\bFor\s+([A-Z][A-Z0-9 &.\-']{{2,60}}{one_of(c.SIGNED_SUFFIXES)}\.?)", 1))
+    ends = rf"(?i)^[A-Z0-9 &.'\-]{{2,60}}{one_of(c.LINE_SUFFIXES)}\.?$"
+    suffixed = F.transform(F.filter(F.slice(rows, 1, 30), lambda l: l.rlike(ends) & ~l.rlike("(?i)^(?:Dear|To|Date|Ref|Subject|From)")), clean_company)
+    label = clean_company(first(text, r"(?i)(?:Company\s+Name|Organisation|Organization)\s*[:\-]\s*([^\n]{3,80})", 1))
+    at = F.regexp_instr(text, F.lit(r"(?i)(?:CIN|GSTIN|GST\s*No)\s*[:\s#]+[A-Z0-9]{15,21}"))
+    before = lines(F.substring(text, F.greatest(at - 200, F.lit(1)), F.least(at - 1, F.lit(200))))
+    near = F.when(at > 1, F.filter(F.slice(F.reverse(before), 1, 3), lambda l: F.length(l) > 5))
+    titled = F.filter(F.slice(rows, 1, 12), lambda l: F.length(l).between(7, 69) & l.rlike(r"^[A-Za-z][A-Za-z0-9 &.'\-]+$") & ~l.rlike("(?i)^(?:Dear|To|Date|Ref|Subject|From|Re)"))
+    none = F.array().cast("array<string>")
+    rest = F.concat(F.array_compact(suffixed), F.array_compact(F.array(label)), F.coalesce(near, none), titled)
+    return F.coalesce(F.when(valid_company(signed), signed), clean_company(_head(F.filter(rest, valid_company))))
 
 
-def company_name(text: Column) -> Column:
-    """A `For X Ltd` sign-off, else a line of the first 30 that ends in a company's suffix, else a label."""
-    clean = lambda c: F.btrim(F.regexp_replace(c, r"\s+", " "), F.lit(".,;: "))
-    signed = clean(first(text, rf"(?m)^For\s+([A-Z][A-Za-z0-9&. ]*?{SUFFIX})\s*$", 1))
-    titled = F.try_element_at(F.filter(F.transform(F.slice(lines(text), 1, 30), clean), lambda l: l.rlike(rf"{SUFFIX}$") & valid_company(l)), F.lit(1))
-    label = clean(first(text, r"(?i)company name\s*[:\-]\s*(.+)", 1))
-    return F.coalesce(F.when(valid_company(signed), signed), titled, F.when(valid_company(label), label))
+# ---------------------------------------------------------------- people and roles
+
+
+def person(value: Column) -> Column:
+    """A captured name cut at its line's end and at label words; null for roles, clauses, digits, companies and headings."""
+    cut = F.btrim(strip(F.regexp_replace(strip(F.regexp_extract(value, r"^[^\n]*", 0)), rf"(?is){_WORD(c.NAME_LABELS)[4:]}.*$", "")), F.lit(".,:-"))
+    bad = lambda n: n.rlike(ROLE) | n.rlike(CLAUSE) | n.rlike("[0-9]") | n.rlike(_WORD(c.NAME_SUFFIXES)) | F.arrays_overlap(_words(n), _listed(c.NOT_NAMES))
+    return let(cut, lambda n: F.when(F.length(n).between(3, 49) & ~bad(n), n))
+
+
+def designation(value: Column) -> Column:
+    """A captured designation cut at its line's end, wide gaps, dates and references; null for clauses and companies."""
+    cut = _trim(F.regexp_replace(_trim(F.regexp_extract(value, r"^[^\n]*", 0)), r"(?is)(?:\s{2,}|\bdate\b\s*:|\bref\b).*$", ""))
+    good = lambda d: F.length(d).between(1, 45) & (F.size(_words(d)) <= 6) & ~d.rlike(CLAUSE) & ~d.rlike(_WORD(c.ROLE_SUFFIXES))
+    return let(cut, lambda d: F.when(good(d), d))
 
 
 def candidate_name(text: Column) -> Column:
-    name = r"[A-Z][A-Za-z.']*(?: [A-Z][A-Za-z.']*){0,3}"
-    found = F.coalesce(first(text, rf"Dear\s+(?:(?:Mr|Ms|Mrs|Dr|Miss)\.?\s+)?({name})", 1), first(text, rf"(?:Candidate |Employee |Applicant )?Name\s*:\s*({name})", 1), first(F.substring(text, 1, 500), rf"To,?\s*\n\s*({name})", 1))
-    return F.when(F.length(found).between(3, 49) & ~found.rlike(rf"[0-9]|{SUFFIX}$") & ~found.rlike(r"(?i)\b(manager|engineer|officer|team|candidate)\b"), found)
+    """After `Dear`, after a name label, or on the line after `To`; the first that is a person's name."""
+    name = r"([A-Z][a-zA-Z]+(?:[ \t]+[A-Z][a-zA-Z]*){0,3})"
+    found = [
+        first(text, rf"\bDear[ \t]+(?:Mr\.?|Ms\.?|Mrs\.?|Dr\.?|Prof\.?)?[ \t]*{name}", 1), first(text, rf"(?:Candidate|Employee|Applicant)?[ \t]*Name[ \t]*[:\-][ \t]*{name}", 1),
+        first(F.substring(text, 1, 500), r"\bTo,?\s*\n\s*([A-Z][a-zA-Z]+(?:[ \t]+[A-Z][a-zA-Z]+){1,3})", 1),
+    ]
+    return _head(F.array_compact(F.transform(F.array_compact(F.array(*found)), person)))
 
 
-def job_title(text: Column) -> Column:
-    value = r"([A-Za-z][A-Za-z /&\-]{2,69}?)(?=\s+(?:subject to|effective|commencing|w\.e\.f|with effect|at |in |with )|[.,\n]|$)"
-    ways = [rf"(?i)position of (?:an? |the )?{value}", rf"(?i)\b(?:designation|job title|position)\s*[:\-]\s*{value}", rf"(?i)\bas an? {value}", rf"(?i)\brole of (?:an? )?{value}", rf"(?i)\bpost of {value}", rf"(?i)offer for (?:the )?{value}"]
-    good = lambda c: F.when(F.length(c).between(3, 70) & ~c.rlike(CLAUSE), c)
-    return F.coalesce(*[good(strip(first(text, w, 1))) for w in ways])
+def valid_title(title: Column) -> Column:
+    words = _words(title)
+    joins = F.size(F.filter(F.slice(words, 2, 70), lambda w: w.isin(c.JOINING_WORDS)))
+    return F.length(title).between(3, 70) & ~F.arrays_overlap(words, _listed(c.NOT_TITLES)) & ~title.rlike("[:;.]") & ~title.rlike(CLAUSE) & (joins < 2)
 
 
-def employment_type(text: Column) -> Column:
-    low = F.lower(text)
-    return F.coalesce(*[F.when(low.rlike(pattern), F.lit(name)) for name, pattern in EMPLOYMENT_TYPES])
+def job_title(text: Column) -> Column:
+    """Six ways to name a title, in order; each one's first hit is cut where a clause begins, the first valid one is taken."""
+    post = "(?:position|role|post|designation)"
+    ways = [
+        rf'{post}\s+of\s*"([^"\n]{{3,60}})"',
+        r"(?:Position|Designation|Role|Post|Job\s+Title|Job\s+Profile)\b\s*(?::\s*|-\s+)([^\n,;]{3,70})",
+        r"you\s+(?:will\s+be|are)\s+(?:joining|appointed|hired|engaged)\s+as\s+(?:a\s+|an\s+)?([A-Z][^\n,;.]{3,50})",
+        rf'{post}\s+of\s+"?([A-Z][^\n,;.()"]{{2,50}}?)(?:"|\s*\n|\s*\(|\s*with\s)',
+        r'offer(?:ed)?\s+(?:you\s+)?(?:the\s+)?(?:position|role|post)\s+of\s+"?([A-Z][^\n,;.]{3,50})',
+        r"(?:appointed|joining|hired|engaged)\s+as\s+(?:a\s+|an\s+)?([A-Z][A-Z\s]{3,50})(?:\s+in|\s+at|\s+for|\s+with|\n|,)",
+    ]
+    cut = lambda v: _trim(F.regexp_replace(_trim(v), rf"(?is)\s+{one_of(c.TITLE_ENDS)}.*$", ""))
+    titles = F.transform(F.array_compact(F.array(*[first(text, f"(?i){w}", 1) for w in ways])), cut)
+    return _head(F.filter(titles, valid_title))
+
+
+def employment_type(text: Column, low: Column | None = None) -> Column:
+    low = F.lower(text) if low is None else low
+    return F.coalesce(*[F.when(low.rlike("|".join(patterns)), F.lit(name)) for name, patterns in c.EMPLOYMENT_TYPES])
 
 
 def work_location(text: Column) -> Column:
-    found = strip(first(text, r"(?i)(?:work location|place of work|location|based at)\s*[:\-]\s*([^\n]+)", 1))
-    good = ~found.rlike(CLAUSE) & (F.size(F.split(found, r"\s+")) <= 7) & (F.length(F.regexp_replace(found, "[^A-Za-z0-9]", "")) >= 3)
-    return F.when(good, found)
+    found = F.btrim(strip(first(text, rf"(?i){one_of(c.LOCATION_LABELS)}\s*[:\-]\s*([^\n,;]{{3,60}})", 1)), F.lit(".,;"))
+    good = lambda v: ~v.rlike(CLAUSE) & (F.size(_words(v)) <= 7) & (F.length(F.regexp_replace(v, "[^A-Za-z0-9]", "")) >= 3)
+    return let(found, lambda v: F.when(good(v), v))
 
 
 def pin_address(text: Column) -> Column:
@@ -130,78 +223,125 @@ def pin_address(text: Column) -> Column:
     return let(F.regexp_instr(text, F.lit(r"\b[0-9]{6}\b")), before)
 
 
-def amount_near(text: Column, keywords: list[str]) -> Column:
+def sign_off(text: Column) -> Column:
+    """The text from its first sign-off on; without one, its last 2500 characters."""
+    at = F.regexp_instr(text, F.lit(f"(?i){one_of(c.SIGN_OFFS)}"))
+    return F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(F.substring(text, F.greatest(F.length(text) - 2499, F.lit(1)), F.lit(2500)))
+
+
+_AFTER_COMPANY = (
+    rf"(?i)For[ \t]+[A-Z][A-Z0-9 &.\-']{{2,60}}{one_of(c.SIGNOFF_SUFFIXES)}\.?[ \t]*\n[ \t]*([A-Z][A-Z]+(?:[ \t]+[A-Z][A-Z]+){{1,4}})[ \t]*\n[ \t]*([A-Z][^\n]{{3,70}})"
+)
+
+
+def hr_contact(df: DataFrame, text: Column) -> DataFrame:
+    """df with hr_name, hr_designation and hr_email.
+
+    The two lines after `For <company>` come first: a role there is the designation, else they are name and designation.
+    Without a designation, a line with an HR label after the sign-off is taken, and the line before it as the name; then an
+    authorised signatory. Without a name, the first of the next lines that reads like one.
+    """
+    label, signatory = rf"(?i)\b{one_of(c.HR_LABELS)}\b", r"(?i)(?:Authoris\w*\s+Signatory|Authoriz\w*\s+Signatory)"
+    df = df.withColumn("__tail", sign_off(text)).withColumn("__rows", lines(F.col("__tail")))
+    one, two = (F.btrim(strip(first(text, _AFTER_COMPANY, k)), F.lit(".,")) for k in (1, 2))
+    df = df.withColumns({"__one": one, "__two": two})
+    role = F.coalesce(F.col("__one").rlike(ROLE), F.lit(False))
+    df = df.withColumn("__name", F.when(~role, person(F.col("__one"))))
+    known = F.when(role, designation(F.col("__one"))).otherwise(F.coalesce(designation(F.col("__two")), F.when(F.col("__name").isNull(), designation(F.col("__one")))))
+    df = df.withColumn("__role", known).withColumn("__at", F.when(F.col("__role").isNull(), F.array_position(F.transform("__rows", lambda l: l.rlike(label)), F.lit(True)).cast("int")))
+    row = lambda k: F.when(k > 0, F.try_element_at("__rows", F.greatest(k, F.lit(1))))
+    labelled, before = designation(row(F.col("__at"))), person(row(F.col("__at") - 1))
+    titled = F.filter(F.slice("__rows", 2, 9), lambda l: l.rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}$") & ~l.rlike(ROLE))
+    name = F.coalesce(F.col("__name"), before, _head(F.array_compact(F.transform(titled, person))))
+    df = df.withColumns({"hr_designation": F.coalesce("__role", labelled, first(F.col("__tail"), signatory)), "hr_name": name, "hr_email": F.lower(first(F.col("__tail"), EMAIL))})
+    return df.drop("__tail", "__rows", "__one", "__two", "__name", "__role", "__at")
+
+
+# ---------------------------------------------------------------- salary
+
+
+def amount_near(text: Column, low: Column, keywords: list[str]) -> Column:
     """The first number within 180 characters of a keyword, in rupees; 100 and less passes to the next keyword."""
-    pattern = r"(?i)([0-9,]*[0-9,](?:\.[0-9]+)?)\s*(lakhs?|lacs?|lpa|crores?|cr\b)?"
+    pattern = r"(?i)([0-9,]+(?:\.[0-9]{1,2})?)\s*(?:(lakhs?|lacs?|lpa|crores?|cr)\b)?"
 
     def one(near: Column) -> Column:
-        number = F.regexp_replace(F.regexp_extract(near, pattern, 1), ",", "").try_cast("double")
+        number = F.replace(F.regexp_extract(near, pattern, 1), F.lit(","), F.lit("")).try_cast("double")
         unit = F.lower(F.regexp_extract(near, pattern, 2))
-        value = number * F.when(unit.rlike("^(la|lp)"), 1e5).when(unit.startswith("cr"), 1e7).otherwise(1.0)
-        return F.when(value > 100, value)
+        return number * F.when(unit.rlike("^l"), 1e5).when(unit.startswith("cr"), 1e7).otherwise(1.0)
 
-    return let(F.lower(text), lambda low: F.coalesce(*[let(window(text, low, k, 180), one) for k in keywords]))
+    return F.coalesce(*[let(one(window(text, low, k, 180)), lambda v: F.when(v > 100, v)) for k in keywords])
 
 
-def salary(text: Column) -> dict[str, Column]:
+def salary(text: Column, low: Column | None = None) -> dict[str, Column]:
     """The ten components, put on their usual periods: CTC a year, parts a month."""
-    raw = {name: amount_near(text, keys) for name, keys in SALARY_KEYWORDS.items()}
-    month = {name: F.when(c >= 500_000, c / 12).otherwise(c) for name, c in raw.items() if name not in ("ctc", "joining_bonus")}
-    ctc = F.coalesce(F.when(raw["ctc"] < 50_000, raw["ctc"] * 12).otherwise(raw["ctc"]), F.round(month["gross"] * 12, 2))
-    month["gross"] = F.when(month["gross"] <= 5e7 / 12, month["gross"])
-    return {"ctc": F.when(ctc <= 5e7, ctc), **month, "joining_bonus": raw["joining_bonus"]}
+    low = F.lower(text) if low is None else low
+    raw = {name: amount_near(text, low, keys) for name, keys in c.SALARY_KEYWORDS.items()}
+    on = lambda v, of: let(v, of)
+    month = {name: on(v, lambda x: F.when(x >= 500_000, x / 12).otherwise(x)) for name, v in raw.items() if name not in ("ctc", "joining_bonus")}
+    ctc = F.coalesce(on(raw["ctc"], lambda x: F.when(x < 50_000, x * 12).otherwise(x)), F.round(month["gross"] * 12, 2))
+    month["gross"] = on(month["gross"], lambda x: F.when(x <= 5e7 / 12, x))
+    return {"ctc": on(ctc, lambda x: F.when(x <= 5e7, x)), **month, "joining_bonus": raw["joining_bonus"]}
 
 
-def hr_signoff(text: Column) -> tuple[Column, Column]:
-    """(name, designation) from the lines that follow `For <company>`."""
-    tail = r"(?m)^For [^\n]+\n([^\n]+)\n([^\n]+)"
-    one, two = strip(first(text, tail, 1)), strip(first(text, tail, 2))
-    role = r"(?i)\b(manager|head|director|officer|signatory|executive|lead|president)\b"
-    name = F.when(~one.rlike(role) & one.rlike(r"^[A-Z][A-Za-z.]*( [A-Z][A-Za-z.]*){0,3}$"), one)
-    return name, F.when(one.rlike(role), one).when(two.rlike(role), two)
+# ---------------------------------------------------------------- all fields of a letter
 
-
-FIELDS = ["company_name", "candidate_name", "job_title", "employment_type", "work_location", "company_address", "company_email", "candidate_email", "website", "domain", "phone", "registration", "hr_name", "hr_designation", "offer_date", "joining_date"]
+FIELDS = ["company_name", "candidate_name", "job_title", "employment_type", "work_location", "company_address", "company_email", "candidate_email", "website", "domain", "phone", "registration", "hr_name", "hr_designation", "hr_email", "offer_date", "joining_date"]
 
 
 def extract(letters: DataFrame, settings: Settings = DEFAULT, text: str = "full_text") -> DataFrame:
     """letters with the extracted fields; staged, so that no stage's plan repeats another's expressions."""
-    from parchment.functions.text import ascii_text
-
-    t = F.col("text")
+    t, low, rows = F.col("text"), F.col("__low"), F.col("__lines")
     df = letters.withColumn("text", ascii_text(F.coalesce(F.col(text), F.lit(""))))
-    df = df.withColumns({"company_email": company_email(t), "candidate_email": candidate_email(t), "website": website(t), "phone": phone(t), "registration": registration(t)})
-    df = df.withColumns({"domain": company_domain(t, F.col("company_email"), F.col("website")), "offer_date": offer_date(t), "employment_type": employment_type(t), "work_location": work_location(t), "company_address": pin_address(t)})
-    name, role = hr_signoff(t)
-    df = df.withColumns({"company_name": company_name(t), "candidate_name": candidate_name(t), "job_title": job_title(t), "hr_name": name, "hr_designation": role})
-    df = df.withColumn("joining_date", joining_date(t, F.col("offer_date"), settings.as_of)).withColumns(salary(t))
-    return repair(df).drop("text")
+    df = df.withColumns({"__low": F.lower(t), "__lines": lines(t), "__mails": every(t, EMAIL)})
+    df = df.withColumns({"company_email": company_email(t, F.col("__mails")), "candidate_email": candidate_email(t), "website": website(t), "phone": phone(t), "registration": registration(t)})
+    df = df.withColumns({"domain": company_domain(t, F.col("company_email"), F.col("website")), "offer_date": offer_date(t, low, rows), "employment_type": employment_type(t, low), "work_location": work_location(t), "company_address": pin_address(t)})
+    df = hr_contact(df.withColumns({"company_name": company_name(t, rows), "candidate_name": candidate_name(t), "job_title": job_title(t)}), t)
+    df = df.withColumn("joining_date", joining_date(t, F.col("offer_date"), settings.as_of, low)).withColumns(salary(t, low))
+    return repair(df).drop("text", "__low", "__lines", "__mails")
 
 
 def repair(df: DataFrame) -> DataFrame:
-    """A company inside, equal to or around the candidate's name goes; so does a title equal to either."""
+    """A company inside, equal to or around the candidate's name goes; so does a title equal to either; the candidate is taken out of the HR name."""
     a, b = F.lower("company_name"), F.lower("candidate_name")
     clash = F.coalesce(F.contains(a, b) | F.contains(b, a), F.lit(False))
     df = df.withColumn("company_name", F.when(~clash, F.col("company_name")))
-    same = F.coalesce(any_of([F.lower("job_title") == F.lower(c) for c in ("company_name", "candidate_name")]), F.lit(False))
-    return df.withColumn("job_title", F.when(~same, F.col("job_title")))
+    same = F.coalesce(any_of([F.coalesce(F.lower(strip(F.col("job_title"))) == F.lower(strip(F.col(n))), F.lit(False)) for n in ("company_name", "candidate_name")]), F.lit(False))
+    holds = F.coalesce(F.contains(F.lower("hr_name"), b), F.lit(False))
+    without = person(strip(F.regexp_replace("hr_name", F.concat(F.lit(r"(?i)\Q"), F.col("candidate_name"), F.lit(r"\E")), F.lit(""))))
+    return df.withColumns({"job_title": F.when(~same, F.col("job_title")), "hr_name": F.when(holds, without).otherwise(F.col("hr_name"))})
 
 
-def plausibility_problems(as_of: str = DEFAULT.as_of) -> Column:
+def plausibility_problems(settings: Settings = DEFAULT) -> Column:
     """What is implausible about the extracted fields, in a fixed order."""
-    parts = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in ("hra", "special", "pf_employer", "gratuity")), F.coalesce(F.col("basic"), F.lit(0.0)))
-    year = F.coalesce(F.year("joining_date"), F.year("offer_date"))
+    parts = sum((F.coalesce(F.col(n), F.lit(0.0)) for n in ("hra", "special", "pf_employer", "gratuity")), F.coalesce(F.col("basic"), F.lit(0.0)))
+    late = F.year(F.lit(settings.as_of).cast("date")) + 2
+    odd = lambda n: ~F.year(n).between(settings.first_year, late)
     return F.array_compact(F.array(
         F.when(F.col("ctc") < 20_000, F.lit("ctc too low")), F.when(F.col("basic") > F.col("ctc"), F.lit("basic above ctc")),
         F.when((parts > 100) & (parts > 1.05 * F.col("ctc")), F.lit("components above ctc")), F.when(F.col("joining_date") < F.col("offer_date"), F.lit("joining before offer")),
-        F.when((year < 1990) | (year > F.year(F.lit(as_of).cast("date")) + 2), F.lit("year out of range")),
+        F.when(odd("offer_date"), F.lit("offer year out of range")), F.when(odd("joining_date"), F.lit("joining year out of range")),
     ))
 
 
-def low_confidence(as_of: str = DEFAULT.as_of) -> Column:
-    contact = F.coalesce(F.col("company_email"), F.col("phone"), F.col("website")).isNotNull()
-    known = sum((F.when(c, 1).otherwise(0) for c in (F.col("company_name").isNotNull(), F.col("candidate_name").isNotNull(), F.coalesce("offer_date", "joining_date").isNotNull())), F.lit(0))
-    return ~contact | (F.size(plausibility_problems(as_of)) > 0) | (known < 2)
+def low_confidence(settings: Settings = DEFAULT) -> Column:
+    """Whether the fields are too few or too odd to be trusted: no contact, something implausible, or fewer than two of company, candidate and a date."""
+    contact = F.coalesce(F.col("domain"), F.col("company_email"), F.col("website")).isNotNull()
+    known = sum((F.when(v, 1).otherwise(0) for v in (F.coalesce(valid_company(F.col("company_name")), F.lit(False)), F.col("candidate_name").isNotNull(), F.coalesce("offer_date", "joining_date").isNotNull())), F.lit(0))
+    return ~contact | (F.size(plausibility_problems(settings)) > 0) | (known < 2)
+
+
+def settle(letters: DataFrame, provided: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Extracted letters, of which those of low confidence take their fields from a provider's rows (letter_id and FIELDS, or some of them).
+
+    A letter of low confidence without a provider's row keeps its own. `source` tells which: rules, provider or rules (low).
+    """
+    columns = [n for n in provided.columns if n != "letter_id"]
+    df = letters.withColumn("__low", low_confidence(settings))
+    sure, unsure = df.filter("not __low").withColumn("source", F.lit("rules")), df.filter("__low")
+    theirs = provided.select("letter_id", F.struct(*columns).alias("__theirs"))
+    asked = unsure.join(theirs, "letter_id", "left").withColumn("source", F.when(F.col("__theirs").isNull(), "rules (low)").otherwise("provider"))
+    asked = asked.withColumns({n: F.when(F.col("__theirs").isNull(), F.col(n)).otherwise(F.col(f"__theirs.{n}")) for n in columns}).drop("__theirs")
+    return sure.unionByName(asked).drop("__low")
 
 
 def model_text(text: Column, whole: int = 40_000, head: int = 20_000, tail: int = 10_000) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from parchment.config import DESIGN_TOOLS, EDITING_SUITES, ONLINE_TOOLS, PLACEHOLDERS, RED_PHRASES, TEMPLATE_ARTIFACTS
-from parchment.functions.text import MONTH, any_of, blank_to_null, every, hits
+from parchment.config import DESIGN_TOOLS, EDITING_SUITES, ONLINE_TOOLS, PLACEHOLDERS, RED_PHRASES, SALARY_PAGE, SIGNATURE_PAGE, TEMPLATE_ARTIFACTS
+from parchment.functions.text import MONTH, any_of, blank_to_null, every, hits, parse_date, strip
 
 
 def red_phrases(text: Column) -> Column:
@@ -52,6 +52,44 @@ def metadata_reasons(meta: DataFrame, as_of: str) -> DataFrame:
     return df.withColumn("reasons", F.concat_ws("; ", reasons)).withColumn("suspicious", F.size(reasons) > 0).withColumn("online_tool", online)
 
 
+def pdf_date(raw: Column) -> Column:
+    """A timestamp from a PDF's own notation, D:20250203101500+05'30' (the zone is passed over), else from a written date."""
+    digits = F.substring(strip(F.regexp_replace(raw, r"D:|[Z'].*$", "")), 1, 14)
+    exact = F.when(digits.rlike("^[0-9]{14}$"), F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz"))
+    return F.coalesce(exact, parse_date(raw).cast("timestamp_ntz"))
+
+
+def letter_text(pages: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """(letter_id, text, needs_ocr, n_pages) from (letter_id, page_no, text): the pages' texts, a line end between them.
+
+    Pages without text are left out, or with keep_empty count as empty ones. needs_ocr: nothing but white space was found.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = F.sort_array(F.collect_list(F.when(F.lit(keep_empty) | (text != ""), F.struct("page_no", text.alias("text")))))
+    by = pages.groupBy("letter_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"), F.count("*").alias("n_pages"))
+    return by.select("letter_id", "text", (strip(F.col("text")) == "").alias("needs_ocr"), "n_pages")
+
+
+def key_pages(pages: DataFrame) -> DataFrame:
+    """(letter_id, salary_pages, signature_pages): the numbers of the pages that hold such words, in order."""
+    holds = lambda words: any_of([F.contains(F.lower("text"), F.lit(w)) for w in words])
+    listed = lambda words: F.sort_array(F.collect_list(F.when(holds(words), F.col("page_no"))))
+    return pages.groupBy("letter_id").agg(listed(SALARY_PAGE).alias("salary_pages"), listed(SIGNATURE_PAGE).alias("signature_pages"))
+
+
+def image_notes() -> dict[str, Column]:
+    """What a report says of a letter's images, from logo, signature (places or null), has_stamp and n_rendered (pages)."""
+    there = lambda c: F.when(c, "present").otherwise("absent")
+    note = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name} detected at "), c)).otherwise(f"No raster {name.lower()} extracted")
+    available = F.coalesce(F.col("n_rendered") > 0, F.lit(False))
+    reasoning = F.when(available, F.concat(F.lit("Page renders available for visual analysis ("), F.col("n_rendered").cast("string"), F.lit(" pages)."))).otherwise("No rendered pages — conservative scores will apply.")
+    logo, signature = F.col("logo"), F.col("signature")
+    return {
+        "logo_assessment": there(logo.isNotNull()), "logo_note": note("Logo", logo), "signature_assessment": there(signature.isNotNull()), "signature_note": note("Signature", signature),
+        "stamp_assessment": there(F.coalesce("has_stamp", F.lit(False))), "images_available": available, "images_reasoning": reasoning,
+    }
+
+
 def composite_pages(images: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages with hardly any text, a very large and a small image, many drawings and no font."""
     area = F.col("px_w").cast("long") * F.col("px_h")
@@ -59,10 +97,6 @@ def composite_pages(images: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(by, ["letter_id", "page_no"]).filter("length(trim(text)) < 20 AND large >= 1 AND small >= 1 AND n_drawings > 150 AND n_fonts = 0").select("letter_id", "page_no")
 
 
-SALARY_WORDS = ["ctc", "salary", "compensation", "gross", "allowance", "hra", "gratuity"]
-SIGNATURE_WORDS = ["signatory", "signature", "sincerely", "yours faithfully", "for and on behalf", "accepted by"]
-
-
 def floating_dates(lines: DataFrame) -> DataFrame:
     """Lines of a page's body whose whole text is a date: a sign of text laid over a page. (letter_id, page_no, line_no, finding)"""
     alone = F.trim("text").rlike(rf"(?i)^(?:[0-9]{{1,2}}(?:st|nd|rd|th)?\s+)?{MONTH}\s+[0-9]{{4}}$")
@@ -79,7 +113,7 @@ def page_selection(pages: DataFrame, most: int = 5) -> DataFrame:
     """
     holds = lambda words: any_of([F.contains(F.lower("text"), F.lit(w)) for w in words])
     last = lambda words: F.max(F.when(holds(words), F.col("page_no")))
-    by = pages.groupBy("letter_id").agg(F.count("*").cast("int").alias("n"), last(SALARY_WORDS).alias("salary"), last(SIGNATURE_WORDS).alias("signature"))
+    by = pages.groupBy("letter_id").agg(F.count("*").cast("int").alias("n"), last(SALARY_PAGE).alias("salary"), last(SIGNATURE_PAGE).alias("signature"))
     end = F.when(F.coalesce("salary", "signature").isNull(), F.col("n") - 1)
     few = F.slice(F.array_distinct(F.array_compact(F.array(F.lit(0), F.lit(1), F.col("salary"), F.col("signature"), end))), 1, most)
     chosen = F.when(F.col("n") <= 4, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(few)

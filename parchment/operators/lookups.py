@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from parchment.config import FREE_MAIL, NOT_IN_DOMAINS
 from parchment.functions.text import blank_to_null
 
 TLDS = [".com", ".in", ".co.in", ".org", ".net"]
@@ -29,15 +30,67 @@ def missing(letters: DataFrame, facts: DataFrame) -> DataFrame:
     return letters.select("domain").filter("domain is not null").distinct().join(facts.select("domain"), "domain", "left_anti")
 
 
+METHODS = ["website", "encyclopedia", "search", "guess"]
+_SAID = {"website": "direct fetch of ", "encyclopedia": "Wikipedia", "search": "DuckDuckGo", "guess": "DNS-guess"}
+
+
+def dns_note(df: DataFrame) -> DataFrame:
+    """df of (domain as written, a_answer, mx_answer, n_mx, message) with domain, dns_valid, mx, lookup_error and note.
+
+    The answers are ok, nxdomain, noanswer or error. An answer that is not that the domain does not exist makes it valid;
+    an error says nothing.
+    """
+    domain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim("domain")), "^https?://", ""), r"^www\.", ""), "/+$", "")
+    df = df.withColumn("domain", blank_to_null(domain))
+    none, good = F.col("domain").isNull(), F.coalesce(F.col("domain").rlike(r"^[a-z0-9][a-z0-9.\-]*\.[a-z]{2,}$"), F.lit(False))
+    a, mx = F.col("a_answer"), F.col("mx_answer")
+    first = F.when(a == "ok", "domain resolves (A record OK)").when(a == "nxdomain", "domain does not exist (NXDOMAIN)").when(a == "noanswer", "domain exists (no A record, but not NXDOMAIN)")
+    first = first.otherwise(F.concat(F.lit("A record lookup failed (system error): "), F.substring(F.coalesce("message", F.lit("")), 1, 80)))
+    second = F.when((mx == "ok") & (F.col("n_mx") > 0), F.concat(F.col("n_mx").cast("string"), F.lit(" MX record(s) found"))).when(mx == "ok", "no MX records").when(mx == "nxdomain", "domain does not exist (MX NXDOMAIN)")
+    second = second.when(mx == "noanswer", "no MX records — company likely uses Gmail/Office365").otherwise("MX lookup failed (may use Gmail/Office365)")
+    note = F.when(none, "No domain provided").when(~good, F.concat(F.lit("Invalid domain format: "), F.col("domain"))).otherwise(F.concat_ws(" | ", first, second))
+    known = good & F.coalesce(a.isin("ok", "noanswer"), F.lit(False))
+    failed = good & ~F.coalesce(a.isin("ok", "noanswer", "nxdomain"), F.lit(False))
+    return df.withColumns({"dns_valid": known, "mx": good & F.coalesce((mx == "ok") & (F.col("n_mx") > 0), F.lit(False)), "lookup_error": failed, "note": note})
+
+
 def online(evidence: DataFrame) -> DataFrame:
-    """(domain, found, method, checked) from (domain, method, method_rank, hit, error): the first hit by rank decides."""
-    hit = F.when(F.col("hit"), F.struct("method_rank", "method"))
-    return evidence.groupBy("domain").agg(F.bool_or("hit").alias("found"), F.min(hit)["method"].alias("method"), (F.count_if(~F.col("error")) >= 1).alias("checked"))
+    """(key, found, method, checked, note) from (key, company_name, domain, method, hit, error, note): one row for each method tried.
+
+    Methods count in the order of METHODS and end at the first hit; a website needs a domain that is no mail provider's,
+    the others a company's name. Without a hit, checked tells whether a method other than a guess came to a clean answer.
+    """
+    place = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method"))
+    name, domain = blank_to_null(F.trim("company_name")), blank_to_null(F.trim("domain"))
+    free = F.coalesce(F.lower(domain).isin(FREE_MAIL), F.lit(False))
+    runs = F.when(F.col("method") == "website", domain.isNotNull() & ~free).otherwise(name.isNotNull())
+    tried = F.when(runs, F.struct(place.alias("place"), "method", F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("error", F.lit(False)).alias("error"), "note"))
+    by = evidence.withColumn("name", name).withColumn("site", domain).groupBy("key").agg(F.max("name").alias("name"), F.max("site").alias("site"), F.array_sort(F.collect_list(tried)).alias("tried"))
+    hit = F.try_element_at(F.filter("tried", lambda t: t["hit"]), F.lit(1))
+    real = F.filter("tried", lambda t: t["method"] != "guess")
+    errors = F.filter(real, lambda t: t["error"])
+    nothing = F.col("name").isNull() & F.col("site").isNull()
+    by = by.withColumns({"hit": hit, "clean": F.size(real) - F.size(errors)})
+    checked = nothing | F.col("hit").isNotNull() | (F.col("clean") >= 1)
+    label = F.coalesce("name", "site", F.lit("unknown"))
+    names = F.transform("tried", lambda t: F.when(t["method"] == "website", F.concat(F.lit(_SAID["website"]), F.col("site"))).when(t["method"] == "encyclopedia", _SAID["encyclopedia"]).when(t["method"] == "search", _SAID["search"]).otherwise(_SAID["guess"]))
+    blocked = F.concat(F.lit("Online check could NOT complete for '"), label, F.lit("' — all "), F.size("tried").cast("string"), F.lit(" attempt(s) hit network/system errors: "), F.array_join(F.slice(F.transform(errors, lambda t: t["note"]), 1, 3), "; "))
+    absent = F.concat(F.lit("No online presence for '"), label, F.lit("' — tried: "), F.coalesce(blank_to_null(F.array_join(names, ", ")), F.lit("nothing")))
+    note = F.when(nothing, "No company name or domain to check").when(F.col("hit").isNotNull(), F.col("hit.note")).when(~checked & (F.size("tried") > 0), blocked).otherwise(absent)
+    return by.select("key", F.col("hit").isNotNull().alias("found"), F.col("hit.method").alias("method"), checked.alias("checked"), note.alias("note"))
+
+
+def search_hit(html: Column, company: Column) -> Column:
+    """struct<found, n_results>: whether a page of search results is long enough, names the company and has two result links or more."""
+    low = F.lower(html)
+    n = F.regexp_count(low, F.lit('class="result__a"')) + F.regexp_count(low, F.lit("result__url"))
+    found = (F.length(html) > 3000) & F.contains(low, F.lower(company)) & (n >= 2)
+    return F.struct(F.coalesce(found, F.lit(False)).alias("found"), n.alias("n_results"))
 
 
 def guesses(companies: DataFrame, facts: DataFrame, name: str = "company_name") -> DataFrame:
     """The first guessed domain of each company that resolves, in the order of TLDS."""
-    stem = F.regexp_replace(F.regexp_replace(F.lower(name), r"\b(private|pvt|limited|ltd|llp|inc|corp|corporation|company|co|technologies|technology|solutions|services|systems|group|india|global)\b\.?", ""), "[^a-z0-9]", "")
+    stem = F.regexp_replace(F.regexp_replace(F.lower(name), rf"\b(?:{'|'.join(NOT_IN_DOMAINS)})\b", ""), "[^a-z0-9]", "")
     rows = companies.select(name).distinct().withColumn("stem", blank_to_null(stem)).filter("stem is not null")
     rows = rows.select(name, "stem", F.posexplode(F.array(*[F.lit(t) for t in TLDS])).alias("rank", "tld")).withColumn("domain", F.concat("stem", "tld"))
     found = rows.join(facts.filter("dns_valid").select("domain"), "domain")

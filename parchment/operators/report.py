@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchment.config import REPORT_PILLARS
+from parchment.functions.text import slug
+
 VERDICTS = ["LEGITIMATE", "MANUAL REVIEW", "SUSPICIOUS"]
 ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#x27;"}
 SCORE = 'class="score">'
@@ -16,7 +19,7 @@ def request(text: str = "full_text", snippet: int = 4000) -> Column:
     return F.to_json(F.struct(
         group(name="company_name", address="company_address", email="company_email", domain="domain", phone="phone", website="website", registration="registration").alias("company"),
         group(name="candidate_name", email="candidate_email").alias("candidate"), group(title="job_title", employment_type="employment_type", location="work_location").alias("role"),
-        group(name="hr_name", designation="hr_designation").alias("hr"), F.struct(F.col("offer_date").cast("string").alias("offer"), F.col("joining_date").cast("string").alias("joining")).alias("dates"),
+        group(name="hr_name", designation="hr_designation", email="hr_email").alias("hr"), F.struct(F.col("offer_date").cast("string").alias("offer"), F.col("joining_date").cast("string").alias("joining")).alias("dates"),
         group(ctc="ctc", gross="gross", basic="basic", hra="hra", pf="pf_employee", gratuity="gratuity", special="special").alias("salary"), F.struct(F.substring(text, 1, snippet).alias("text")).alias("document"),
     ))
 
@@ -36,6 +39,64 @@ def html(title: Column, rows: list[tuple[str, Column]], score: Column, flags: Co
     return F.concat(F.lit("<html><h1>"), escape(title), F.lit(f"</h1><p {SCORE}"), score.cast("string"), F.lit("</p><table>"), *cells, F.lit("</table><ul>"), F.array_join(items, ""), F.lit("</ul></html>"))
 
 
+def file_name(pdf: Column, company: Column, candidate: Column, day: Column, score: Column) -> Column:
+    """A report's name: slugs of the letter's file (30 signs), company (20) and candidate (18), day, score, and a mark of the file's name."""
+    part = lambda c, n: F.substring(slug(c), 1, n)
+    stem = F.regexp_replace(F.regexp_extract(pdf, r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", "")
+    unknown = lambda c: F.coalesce(F.when(c != "", c), F.lit("Unknown"))
+    return F.concat_ws("_", part(stem, 30), part(unknown(company), 20), part(unknown(candidate), 18), day.cast("string"), F.concat(F.lit("s"), score.cast("int").cast("string")), F.concat(F.substring(F.md5(pdf), 1, 4), F.lit(".html")))
+
+
+def overview() -> Column:
+    """array<struct<label, value>> of the overview's nineteen rows, over assess()'s columns; rows without a value are left out."""
+    s = F.col("letter_summary")
+    money = F.when(F.coalesce(s["ctc_annual"], F.lit(0.0)) != 0, F.concat(F.lit("₹ "), F.format_number(F.bround(s["ctc_annual"], 0), 0)))
+    math = F.when(s["salary_math_ok"], "Correct").when(~s["salary_math_ok"], "Mismatch").otherwise("N/A")
+    metadata = F.when(s["pdf_metadata_suspicious"], s["pdf_metadata_reason"]).when(s["pdf_created_with"].isNotNull(), "Clean")
+    rows = [
+        ("Company", s["company_name"]), ("Candidate", s["candidate_name"]), ("Position", s["job_title"]), ("Employment Type", s["employment_type"]), ("Offer Date", s["offer_date"].cast("string")), ("Joining Date", s["joining_date"].cast("string")),
+        ("Date Gap", F.concat(s["date_gap_days"].cast("string"), F.lit(" days"))), ("Work Location", s["work_location"]), ("HR Name", s["hr_name"]), ("HR Designation", s["hr_designation"]), ("CTC Annual", money),
+        ("Completeness", F.concat(F.bround(s["completeness_score"] * 100, 0).cast("int").cast("string"), F.lit("%"))), ("Red Phrases", F.coalesce(F.nullif(F.array_join(s["red_phrases_found"], ", "), F.lit("")), F.lit("None found"))), ("Salary Math", math),
+        ("PDF Created With", s["pdf_created_with"]), ("PDF Author", s["pdf_author"]), ("PDF Created", s["pdf_created_date"].cast("string")), ("PDF Modified", s["pdf_modified_date"].cast("string")), ("Metadata", metadata),
+    ]
+    return F.filter(F.array(*[F.struct(F.lit(k).alias("label"), v.alias("value")) for k, v in rows]), lambda r: F.coalesce(r["value"], F.lit("")) != "")
+
+
+def pillar_rows() -> Column:
+    """array<struct<name, score, band, percent, reason>> of the nine pillars in a report's order, over assess()'s columns."""
+    by = F.map_from_entries(F.transform("pillars", lambda p: F.struct(p["pillar"], p)))
+
+    def row(name: str, title: str) -> Column:
+        p = by[name]
+        sure = p["kind"] == "verified"
+        percent = F.when(sure, F.bround(p["score"] / p["max"] * 100, 0).cast("int")).otherwise(50)
+        shown = F.when(p["score"] == F.floor(p["score"]), p["score"].cast("int").cast("string")).otherwise(F.format_number(p["score"], 1))
+        band = F.when(~sure, "medium").when(percent >= 66, "high").when(percent >= 33, "medium").otherwise("low")
+        reason = F.when(sure, p["reasoning"]).otherwise("⚠ Conservative score applied — manual visual check required")
+        return F.struct(F.lit(title).alias("name"), F.concat(shown, F.lit("/"), p["max"].cast("string")).alias("score"), band.alias("band"), percent.alias("percent"), reason.alias("reason"))
+
+    return F.array(*[row(n, t) for n, t in REPORT_PILLARS.items()])
+
+
+SECTIONS = {"red": "Critical Issues", "yellow": "Warnings", "green": "Passed Checks"}
+
+
+def page() -> Column:
+    """A letter's whole report as HTML: score and verdict, gate, overview, pillars, penalties and flags by severity."""
+    tag = lambda name, inner, cls=None: F.concat(F.lit(f'<{name} class="{cls}">' if cls else f"<{name}>"), inner, F.lit(f"</{name}>"))
+    rows = F.array_join(F.transform(overview(), lambda r: F.concat(F.lit("<tr><td>"), escape(r["label"]), F.lit("</td><td>"), escape(r["value"]), F.lit("</td></tr>"))), "")
+    bars = F.array_join(F.transform(pillar_rows(), lambda p: F.concat(F.lit('<div class="'), p["band"], F.lit('"><b>'), escape(p["name"]), F.lit("</b> "), p["score"], F.lit("<p>"), escape(p["reason"]), F.lit("</p></div>"))), "")
+    risks = F.array_join(F.transform("penalty_reasons", lambda p: tag("li", escape(p["reason"]))), "")
+
+    def section(severity: str, title: str) -> Column:
+        some = F.filter("flags", lambda f: f["severity"] == severity)
+        items = F.array_join(F.transform(some, lambda f: F.concat(F.lit("<li><b>"), escape(f["title"]), F.lit("</b> "), escape(f["detail"]), F.lit("</li>"))), "")
+        return F.when(F.size(some) > 0, F.concat(F.lit(f'<h2 class="{severity}">{title} ('), F.size(some).cast("string"), F.lit(")</h2><ul>"), items, F.lit("</ul>"))).otherwise("")
+
+    gate = F.when(F.col("gate_reason").isNotNull(), tag("div", escape(F.col("gate_reason")), "gate")).otherwise("")
+    return F.concat(F.lit("<html><h1>"), escape(F.col("verdict")), F.lit(f"</h1><p {SCORE}"), F.col("final_score").cast("string"), F.lit("</p>"), tag("p", escape(F.col("action")), "action"), gate, tag("table", rows), bars, F.when(F.size("penalty_reasons") > 0, tag("ul", risks, "risks")).otherwise(""), *[section(k, v) for k, v in SECTIONS.items()], F.lit("</html>"))
+
+
 def score_of(page: Column) -> Column:
     """The score that a report shows; null without one."""
     return F.regexp_extract(page, f"{SCORE}([0-9]+)<", 1).try_cast("int")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.config import DEFAULT, INFORMATIONAL, PILLARS, Settings
-from parchment.functions.text import any_of, blank_to_null
+from parchment.config import ANSWER_KEYS, DEFAULT, INFORMATIONAL, MOST_FLAGS, PILLARS, Settings
+from parchment.functions.text import any_of, blank_to_null, let
 
 COMPONENTS = ["basic", "hra", "special", "pf_employer", "gratuity"]
 
@@ -107,33 +107,70 @@ def sort_flags(flags: Column) -> Column:
 
 
 def flags(model_flags: Column | None = None, warnings: Column | None = None) -> Column:
-    """array<struct<severity, title>> in the order in which they are raised, then sorted."""
+    """array<struct<severity, title>> in the order in which they are raised, then sorted: the gate's comes before the model's."""
     f = lambda severity, title: F.struct((severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"), (title if isinstance(title, Column) else F.lit(title)).alias("title"))
     rules = F.array_compact(F.array(
-        F.when(F.col("gate").isNotNull(), f("yellow", "Visual Analysis Incomplete")), F.when(F.col("domain").isNotNull() & ~F.col("dns_valid"), f("yellow", "Domain Does Not Resolve")),
-        F.when(F.col("dns_valid") & ~F.col("mx"), f("yellow", "No Mail Server Found")), F.when(F.col("gap_days").between(0, 2), f("yellow", "Very Short Joining Gap")),
+        F.when(F.col("domain").isNotNull() & ~F.col("dns_valid"), f("yellow", "Domain Does Not Resolve")),
+        F.when(F.col("domain").isNotNull() & F.col("dns_valid") & ~F.col("mx"), f("yellow", "No Mail Server Found")), F.when(F.col("gap_days").between(0, 2), f("yellow", "Very Short Joining Gap")),
     ))
-    parts = [F.slice(model_flags, 1, 15)] if model_flags is not None else []
+    parts = [F.array_compact(F.array(F.when(F.col("gate").isNotNull(), f("yellow", "Visual Analysis Incomplete"))))]
+    parts += [F.slice(model_flags, 1, MOST_FLAGS)] if model_flags is not None else []
     parts += [rules, F.transform("penalties", lambda p: f(F.when(F.abs(p["points"]) >= 10, "red").otherwise("yellow"), F.concat(F.lit("Risk Signal Detected: "), p["reason"])))]
     if warnings is not None:
-        loud = F.filter(warnings, lambda w: ~any_of([w.startswith(i) for i in INFORMATIONAL]))
-        parts.append(F.transform(loud, lambda w: f("yellow", F.concat(F.lit("Document Processing Issue: "), w))))
+        parts.append(F.transform(loud(warnings), lambda w: f("yellow", F.concat(F.lit("Document Processing Issue: "), w))))
     return sort_flags(F.concat(*parts))
 
 
+def loud(warnings: Column) -> Column:
+    """The warnings that tell of something that failed."""
+    return F.filter(warnings, lambda w: ~any_of([w.startswith(i) for i in INFORMATIONAL]))
+
+
 def band(score: Column, most: Column, kind: Column) -> Column:
     percent = score / most * 100
     return F.when(kind != "verified", "medium").when(percent >= 66, "high").when(percent >= 33, "medium").otherwise("low")
 
 
+def whole_number(value: Column) -> Column:
+    """A JSON value (as text) as a whole number: fractions are cut, text must be whole digits, all else is null."""
+    text = F.regexp_extract(value, r'^"\s*([+-]?[0-9]+)\s*"$', 1)
+    number = F.when(value == "true", 1.0).when(value == "false", 0.0).otherwise(value.try_cast("double"))
+    return F.when(value.startswith('"'), blank_to_null(text).try_cast("int")).otherwise(number.try_cast("int"))
+
+
+def tolerant_float(value: Column) -> Column:
+    """A number out of text that may hold a currency, commas and blanks; null for anything else."""
+    return blank_to_null(F.regexp_replace(value, r"[₹,\s]|Rs\.?\s*", "")).try_cast("double")
+
+
 def parse_scores(response: Column, images_available: Column) -> Column:
-    """struct of the eight scores, action and failed, from a model's answer: JSON, bare, fenced or inside other text."""
+    """struct of all that a model's answer says: JSON, bare, fenced or inside other text.
+
+    <pillar>_score and <pillar>_reasoning for eight pillars (the visual ones' scores null without images), flags (at most
+    MOST_FLAGS, of severity, title, detail), issues, warnings and passed checks, what was found on the letterhead,
+    summary, advice, and failed: whether nothing could be read.
+    """
     fenced = F.try_parse_json(F.regexp_replace(response, "```json|```", ""))
     inner = F.try_parse_json(blank_to_null(F.regexp_extract(response, r"(?s)\{.*\}", 0)))
-    v = F.coalesce(fenced, inner)
-    get = lambda k, t: F.try_variant_get(v, f"$.{k}", t)
-    scores = [(F.when(images_available, get(f"{n}_score", "int")) if n in ("image", "signature") else get(f"{n}_score", "int")).alias(f"{n}_score") for n in PILLARS if n != "online"]
-    return F.struct(*scores, F.when(v.isNull(), "REVIEW").otherwise(F.coalesce(get("recommended_action", "string"), F.lit("REVIEW"))).alias("advice"), v.isNull().alias("failed"))
+
+    def of(v: Column) -> Column:
+        get = lambda k, t: F.try_variant_get(v, f"$.{k}", t)
+        text = lambda k: F.coalesce(get(k, "string"), F.lit(""))
+        number = lambda k: whole_number(F.to_json(F.try_variant_get(v, f"$.{k}", "variant")))
+        scores = [(F.when(images_available, number(f"{key}_score")) if n in ("image", "signature") else number(f"{key}_score")).alias(f"{n}_score") for n, key in ANSWER_KEYS.items()]
+        reasons = [text(f"{key}_reasoning").alias(f"{n}_reasoning") for n, key in ANSWER_KEYS.items()]
+        raw = F.slice(F.coalesce(get("flags", "array<variant>"), F.array().cast("array<variant>")), 1, MOST_FLAGS)
+        part = lambda f, k, default: F.coalesce(F.try_variant_get(f, f"$.{k}", "string"), F.lit(default)).alias(k)
+        flags = F.transform(raw, lambda f: F.struct(part(f, "severity", "yellow"), part(f, "title", ""), part(f, "detail", "")))
+        listed = lambda k: F.coalesce(get(k, "array<string>"), F.array().cast("array<string>")).alias(k)
+        failed = v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT<") | (F.schema_of_variant(v) == "OBJECT<>")
+        failed = F.coalesce(failed, F.lit(True))
+        summary = F.when(failed, "AI scoring could not be completed (unreadable response) — manual review required").otherwise(text("summary"))
+        advice = F.when(failed, "REVIEW").otherwise(F.coalesce(get("recommended_action", "string"), F.lit("REVIEW")))
+        found = [blank_to_null(get(k, "string")).alias(k) for k in ("company_domain_found", "company_name_found")]
+        return F.struct(*scores, *reasons, flags.alias("flags"), listed("critical_issues"), listed("warnings"), listed("passed_checks"), *found, text("company_online_reasoning").alias("online_note"), summary.alias("summary"), advice.alias("advice"), failed.alias("failed"))
+
+    return let(F.coalesce(fenced, inner), of)
 
 
 def analyze(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:

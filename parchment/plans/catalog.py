@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from parchment.config import DEFAULT, DESIGN_TOOLS, EDITING_SUITES, EMPLOYMENT_TYPES, FREE_MAIL, ONLINE_TOOLS, PILLARS, PLACEHOLDERS, RED_PHRASES, TEMPLATE_ARTIFACTS
+from parchment.config import DEFAULT, DESIGN_TOOLS, EDITING_SUITES, FREE_MAIL, ONLINE_TOOLS, PILLARS, PLACEHOLDERS, RED_PHRASES, TEMPLATE_ARTIFACTS
 from parchment.functions.text import ascii_text, slug
 from parchment.operators import extract, forensic, lookups, rules
+from parchment.plans import letters_sql
+from parchment.plans.letters_sql import DOMAIN, FIELDS, JOINING, LETTERS, OFFER, RAW, SALARY
 from parchment.sources import letters as src
 from parchment.streaming.inbox import screen
 
 QUERIES, ORACLES = {}, {}
-#: For each extracted column, SQL over a letter's ASCII text t.
-FIELD_SQL = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -34,7 +34,6 @@ def _list(items) -> str:
     return "[" + ", ".join(map(_quote, items)) + "]"
 
 
-LETTERS = f"WITH letters AS (SELECT *, regexp_replace(full_text, '[^\\x00-\\x7F]', ' ', 'g') AS t FROM ({src.plain(src.LETTERS)}) AS x)"
 PAGES = "documents"
 DATE_ISO = "[0-9]{4}-[0-9]{2}-[0-9]{2}"
 
@@ -76,67 +75,55 @@ def _(spark, sf_dir):
 
 # ---------------------------------------------------------------- fields
 
-_MAILS = "regexp_extract_all({t}, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}')"
-_FREE = f"list_contains({_list(FREE_MAIL)}, lower(split_part(m, '@', 2)))"
 
 
-def _field(name, column, sql, table=LETTERS, of=None):
+def _field(name, column, of=None):
     """A query of one extracted column over the letters."""
-    FIELD_SQL[name] = sql
 
-    @query(name, f"{table} SELECT letter_id, {sql} AS {of or name} FROM letters")
+    @query(name, f"{LETTERS} SELECT letter_id, {FIELDS[name]} AS {of or name} FROM letters")
     def run(spark, sf_dir):
         return _letters(spark, sf_dir).select("letter_id", column(F.col("t")).cast("string").alias(of or name))
 
 
-_first_mail = f"coalesce(list_filter({_MAILS.format(t='t')}, lambda m: NOT {_FREE})[1], {_MAILS.format(t='t')}[1])"
-_field("company_email", extract.company_email, f"lower({_first_mail})")
-_field("candidate_email", extract.candidate_email, f"lower(coalesce(list_filter({_MAILS.format(t='t[1:2000]')}, lambda m: {_FREE})[1], CASE WHEN contains(lower(t[1:500]), 'dear') THEN {_MAILS.format(t='t[instr(lower(t[1:500]), chr(100) || chr(101) || chr(97) || chr(114)):][1:500]')}[1] END))")
-_field("website", extract.website, "coalesce(nullif(rtrim(regexp_extract(t, '(?i)\\bwebsite\\s*[:\\-]\\s*(\\S+)', 1), '.,;'), ''), nullif(regexp_extract(t, '(?i)\\bwww\\.[a-z0-9.\\-]+[a-z0-9]'), ''))")
-_field("phone", extract.phone, "nullif(regexp_extract(t, '(?:\\+91[\\s\\-]?|\\(?0[0-9]{2}\\)?[\\s\\-]?)?\\b[0-9]{10}\\b|\\b[0-9]{5}[\\s\\-][0-9]{5}\\b'), '')")
-_field("cin_gst_udyam", extract.registration, "coalesce(nullif(regexp_extract(t, '\\b[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}\\b'), ''), nullif(regexp_extract(t, '\\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9][A-Z][0-9A-Z]\\b'), ''), upper(nullif(regexp_extract(t, '(?i)\\budyam-[a-z]{2}-[0-9]{2}-[0-9]{7}\\b'), '')))")
-_field("employment_type", extract.employment_type, "CASE " + " ".join(f"WHEN regexp_matches(lower(t), {_quote(p)}) THEN {_quote(n)}" for n, p in EMPLOYMENT_TYPES) + " END")
-_field("work_location", extract.work_location, "trim(nullif(regexp_extract(t, '(?i)work location\\s*:\\s*([^\\n]+)', 1), ''))")
-_field("company_name", extract.company_name, "nullif(regexp_extract(t, '(?m)^For (Nova[0-9]+ (?:Solutions Pvt Ltd|Systems Limited))$', 1), '')")
-_field("candidate_name", extract.candidate_name, "coalesce(nullif(regexp_extract(t, 'Dear Mr\\. ([A-Za-z ]+),', 1), ''), nullif(regexp_extract(t, 'Candidate Name: ([A-Za-z ]+)', 1), ''))")
-_field("job_title", extract.job_title, "nullif(regexp_extract(t, 'position of ([A-Za-z ]+) subject to', 1), '')")
-_field("offer_date", extract.offer_date, f"CAST(TRY_CAST(coalesce(nullif(regexp_extract(t, '(?m)^Date: ({DATE_ISO})$', 1), ''), nullif(regexp_extract(t[1:500], '\\b{DATE_ISO}\\b'), '')) AS DATE) AS VARCHAR)")
-_field("hr_name", lambda t: extract.hr_signoff(t)[0], "nullif(regexp_extract(t, '(?m)^For [^\\n]+\\n([^\\n]+)\\n', 1), '')")
-_field("hr_designation", lambda t: extract.hr_signoff(t)[1], "nullif(regexp_extract(t, '(?m)^For [^\\n]+\\n[^\\n]+\\n([^\\n]+)', 1), '')")
+_field("company_email", extract.company_email)
+_field("candidate_email", extract.candidate_email)
+_field("website", extract.website)
+_field("phone", extract.phone)
+_field("cin_gst_udyam", extract.registration)
+_field("employment_type", extract.employment_type)
+_field("work_location", extract.work_location)
+_field("company_name", extract.company_name)
+_field("candidate_name", extract.candidate_name)
+_field("job_title", extract.job_title)
+_field("offer_date", extract.offer_date)
 
 
-@query("company_domain", f"{LETTERS} SELECT letter_id, lower(split_part({_first_mail}, '@', 2)) AS by_mail, {_FREE.replace('split_part(m', 'split_part(' + _first_mail)} AS is_generic FROM letters WHERE {_first_mail} IS NOT NULL")
-def _(spark, sf_dir):
-    df = _letters(spark, sf_dir).withColumn("mail", extract.company_email(F.col("t"))).filter("mail is not null").withColumn("site", extract.website(F.col("t")))
-    return df.withColumn("by_mail", extract.company_domain(F.col("t"), F.col("mail"), F.col("site"))).select("letter_id", "by_mail", F.col("by_mail").isin(FREE_MAIL).alias("is_generic"))
+def _signed(name):
+    @query(name, f"{LETTERS} SELECT letter_id, {name} FROM letters")
+    def run(spark, sf_dir):
+        return extract.hr_contact(_letters(spark, sf_dir), F.col("t")).select("letter_id", name)
 
 
-_JOIN = f"CAST(nullif(regexp_extract(t, '(?:Date of Joining: |report on )({DATE_ISO})', 1), '') AS DATE)"
-_OFFER = f"CAST(nullif(regexp_extract(t, '(?m)^Date: ({DATE_ISO})$', 1), '') AS DATE)"
+for _name in ("hr_name", "hr_designation", "hr_email"):
+    _signed(_name)
 
 
-@query("joining_date", f"{LETTERS} SELECT letter_id, CAST(CASE WHEN {_JOIN} >= {_OFFER} THEN {_JOIN} END AS VARCHAR) AS joining_date FROM letters WHERE {_OFFER} IS NOT NULL")
+@query("company_domain", f"{LETTERS}, e AS (SELECT letter_id, t, {FIELDS['company_email']} AS company_email, {FIELDS['website']} AS website FROM letters) SELECT letter_id, by_mail, list_contains({_list(FREE_MAIL)}, by_mail) AS is_generic FROM (SELECT letter_id, {DOMAIN} AS by_mail FROM e) AS x")
 def _(spark, sf_dir):
-    df = _letters(spark, sf_dir).withColumn("o", extract.offer_date(F.col("t"))).filter(F.col("t").rlike(r"(?m)^Date: "))
-    return df.select("letter_id", extract.joining_date(F.col("t"), F.col("o"), DEFAULT.as_of).cast("string").alias("joining_date"))
-
-
-def _money(label: str) -> str:
-    return f"TRY_CAST(nullif(regexp_extract(t, '{label}: [A-Za-z. ]*([0-9]+)', 1), '') AS DOUBLE)"
-
-
-def _month(label: str) -> str:
-    return f"CASE WHEN {_money(label)} > 100 THEN CASE WHEN {_money(label)} >= 500000 THEN {_money(label)} / 12 ELSE {_money(label)} END END"
+    df = _letters(spark, sf_dir).withColumn("mail", extract.company_email(F.col("t"))).withColumn("site", extract.website(F.col("t")))
+    return df.withColumn("by_mail", extract.company_domain(F.col("t"), F.col("mail"), F.col("site"))).select("letter_id", "by_mail", F.col("by_mail").isin(FREE_MAIL).alias("is_generic"))
 
 
-_LAKH = "regexp_extract(t, 'CTC: ([0-9.]+) Lakh', 1)"
-_CTC = f"CASE WHEN {_LAKH} <> '' THEN CAST({_LAKH} AS DOUBLE) * 100000 ELSE {_money('CTC')} END"
+@query("joining_date", f"{LETTERS}, e AS (SELECT *, {OFFER} AS offer_date FROM letters) SELECT letter_id, CAST({JOINING} AS VARCHAR) AS joining_date FROM e")
+def _(spark, sf_dir):
+    df = _letters(spark, sf_dir).withColumn("o", extract.offer_date(F.col("t")))
+    return df.select("letter_id", extract.joining_date(F.col("t"), F.col("o"), DEFAULT.as_of).cast("string").alias("joining_date"))
 
 
-@query("salary_components", f"{LETTERS} SELECT letter_id, round(CASE WHEN {_CTC} <= 5e7 THEN {_CTC} END, 2) AS ctc, round({_month('Basic Salary')}, 2) AS basic FROM letters WHERE contains(t, 'CTC')")
+@query("salary_components", f"{LETTERS}, e AS (SELECT letter_id, {RAW} FROM letters) SELECT letter_id, {', '.join(f'round({sql}, 2) AS {n}' for n, sql in SALARY.items())} FROM e")
 def _(spark, sf_dir):
     pay = extract.salary(F.col("t"))
-    return _letters(spark, sf_dir).filter(F.contains("t", F.lit("CTC"))).select("letter_id", F.round(pay["ctc"], 2).alias("ctc"), F.round(pay["basic"], 2).alias("basic"))
+    return _letters(spark, sf_dir).select("letter_id", *[F.round(v, 2).alias(n) for n, v in pay.items()])
 
 
 @query("field_repair")
@@ -205,9 +192,13 @@ _FULL = " + ".join(f"CASE WHEN coalesce(CAST({c} AS VARCHAR), '') IN ('', '0', '
 _ONLINE = "CASE WHEN NOT (dns_error OR NOT checked) THEN least(11, 4 * CAST(dns_valid AS INT) + 7 * CAST(found AS INT)) END"
 _TOTAL = " + ".join(f"coalesce(CAST({n}_score AS DOUBLE), {w / 2})" for n, w in PILLARS.items())
 _MISSING = " OR ".join(f"{n}_score IS NULL" for n in PILLARS)
-CHAIN = f"""WITH f AS ({src.plain(src.FACTS)}),
+
+
+def chain(facts: str, completeness: str) -> str:
+    """The rules as CTEs f to j over facts (SQL), completeness being an expression over them."""
+    return f"""f AS ({facts}),
 a AS (SELECT *, joining_date - offer_date AS gap_days, {_DAYS} AS age_days, CASE WHEN ctc IS NOT NULL AND ctc > 0 AND {_SUM} > 100 THEN {_YEAR} / ctc <= 1.05 AND {_YEAR} / ctc >= 0.40 END AS salary_ok,
-  CASE WHEN ctc IS NOT NULL AND ctc > 0 AND {_SUM} > 100 THEN CAST(trunc({_YEAR} / ctc * 100) AS INT) END AS salary_percent, round(({_FULL}) / 10.0, 2) AS completeness, {_ONLINE} AS online_score FROM f),
+  CASE WHEN ctc IS NOT NULL AND ctc > 0 AND {_SUM} > 100 THEN CAST(trunc({_YEAR} / ctc * 100) AS INT) END AS salary_percent, {completeness} AS completeness, {_ONLINE} AS online_score FROM f),
 b AS (SELECT *, CASE WHEN gap_days IS NULL THEN NULL WHEN gap_days < 0 THEN 'impossible' WHEN gap_days > 90 THEN 'too long' WHEN gap_days < 3 THEN 'short' ELSE 'valid' END AS gap_state,
   CASE WHEN age_days < 0 OR age_days > 365 THEN 'red' WHEN age_days > 90 THEN 'yellow' ELSE 'green' END AS age_level, {_TOTAL} AS total, {_MISSING} AS unverified FROM a),
 c AS (SELECT *, greatest(0, CAST(round_even(total, 0) AS INT)) AS score FROM b),
@@ -222,9 +213,11 @@ i AS (SELECT *, CASE WHEN g5 THEN 'composite forgery' WHEN g4 THEN 'edited date'
     CASE WHEN NOT salary_ok THEN {{'reason': 'salary math', 'points': -12}} END, CASE WHEN suspicious_metadata THEN {{'reason': 'metadata', 'points': -8}} END, CASE WHEN online_edit THEN {{'reason': 'online edit', 'points': -2}} END, CASE WHEN completeness < 0.6 THEN {{'reason': 'incomplete', 'points': -10}} END,
     CASE WHEN age_days < 0 THEN {{'reason': 'future offer', 'points': -15}} END, CASE WHEN age_days > 365 THEN {{'reason': 'very old offer', 'points': -20}} END, CASE WHEN age_days BETWEEN 181 AND 365 THEN {{'reason': 'old offer', 'points': -10}} END], lambda x: x IS NOT NULL) AS penalties FROM h),
 j AS (SELECT *, CASE WHEN template AND final_score < 40 THEN 'REJECT' WHEN n_red > 0 AND final_score < 50 THEN 'REJECT' WHEN gate IS NOT NULL AND advice = 'APPROVE' THEN 'REVIEW' ELSE advice END AS action,
-  list_concat(list_filter([CASE WHEN gate IS NOT NULL THEN 'Visual Analysis Incomplete' END, CASE WHEN domain IS NOT NULL AND NOT dns_valid THEN 'Domain Does Not Resolve' END, CASE WHEN dns_valid AND NOT mx THEN 'No Mail Server Found' END, CASE WHEN gap_days BETWEEN 0 AND 2 THEN 'Very Short Joining Gap' END], lambda x: x IS NOT NULL),
-    list_transform(list_filter(penalties, lambda p: abs(p.points) < 10), lambda p: 'Risk Signal Detected: ' || p.reason)) AS yellow, list_transform(list_filter(penalties, lambda p: abs(p.points) >= 10), lambda p: 'Risk Signal Detected: ' || p.reason) AS red FROM i)
-"""
+  list_concat(list_filter([CASE WHEN gate IS NOT NULL THEN 'Visual Analysis Incomplete' END, CASE WHEN domain IS NOT NULL AND NOT dns_valid THEN 'Domain Does Not Resolve' END, CASE WHEN domain IS NOT NULL AND dns_valid AND NOT mx THEN 'No Mail Server Found' END, CASE WHEN gap_days BETWEEN 0 AND 2 THEN 'Very Short Joining Gap' END], lambda x: x IS NOT NULL),
+    list_transform(list_filter(penalties, lambda p: abs(p.points) < 10), lambda p: 'Risk Signal Detected: ' || p.reason)) AS yellow, list_transform(list_filter(penalties, lambda p: abs(p.points) >= 10), lambda p: 'Risk Signal Detected: ' || p.reason) AS red FROM i)"""
+
+
+CHAIN = f"WITH {chain(src.plain(src.FACTS), f'round(({_FULL}) / 10.0, 2)')}"
 
 
 def _facts(spark, sf_dir):
@@ -274,7 +267,7 @@ def _(spark, sf_dir):
     return src.letters(spark, sf_dir).select("letter_id", F.concat(slug(F.col("nation")), F.lit(f"_{DEFAULT.as_of}_"), F.substring(F.md5("file_name"), 1, 4)).alias("report"))
 
 
-_ANSWER = "CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'no json' WHEN 1 THEN concat('```json', chr(10), '{{\"text_score\": ', CAST(o_orderkey % 12 AS STRING), '}}', chr(10), '```') WHEN 2 THEN concat('Here: {{\"text_score\": \"', CAST(o_orderkey % 12 AS STRING), '\", \"recommended_action\": \"APPROVE\"}} done') ELSE concat('{{\"text_score\": ', CAST(o_orderkey % 12 AS STRING), ', \"image_score\": 7, \"recommended_action\": \"REJECT\"}}') END"
+_ANSWER = "CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'no json' WHEN 1 THEN concat('```json', chr(10), '{{\"text_tampering_score\": ', CAST(o_orderkey % 12 AS STRING), '}}', chr(10), '```') WHEN 2 THEN concat('Here: {{\"text_tampering_score\": \"', CAST(o_orderkey % 12 AS STRING), '\", \"recommended_action\": \"APPROVE\"}} done') ELSE concat('{{\"text_tampering_score\": ', CAST(o_orderkey % 12 AS STRING), ', \"image_tampering_score\": 7, \"recommended_action\": \"REJECT\"}}') END"
 _ANSWERS = f"SELECT o_orderkey AS letter_id, {_ANSWER} AS response, o_orderkey % 2 = 0 AS images FROM {{orders}}"
 
 
@@ -383,9 +376,7 @@ def _(spark, sf_dir):
     return df.select("letter_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "signature_page")
 
 
-_PIN = "instr(t, regexp_extract(t, '\\b[0-9]{6}\\b'))"
-_PART = f"list_filter(list_transform(string_split(substr(t, greatest({_PIN} - 250, 1), least({_PIN} - 1, 250) + 10), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
-_field("pin_address", extract.pin_address, f"CASE WHEN regexp_matches(t, '\\b[0-9]{{6}}\\b') THEN array_to_string(list_slice({_PART}, greatest(len({_PART}) - 2, 1), len({_PART})), ', ') END")
+_field("pin_address", extract.pin_address)
 
 
 @query("model_text", "SELECT doc_id, length(m) AS n, md5(m) AS digest FROM (SELECT doc_id, CASE WHEN length(text) <= 4000 THEN text ELSE substr(text, 1, 2000) || chr(10) || '[...]' || chr(10) || right(text, 1000) END AS m FROM documents) AS x")

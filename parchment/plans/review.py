@@ -6,32 +6,17 @@ from pyspark.sql import functions as F
 
 from parchment.config import CLAUSE_WORDS, DEFAULT, EMPLOYMENT_TYPES, HEADING_WORDS, LABEL_WORDS, METROS, PLACEHOLDERS, RED_PHRASES, ROLE_WORDS, SALARY_KEYWORDS, SCHOOL_WORDS, TEMPLATE_ARTIFACTS
 from parchment.operators import audit, checks, extract, report, rules
-from parchment.plans.catalog import _CTC, _JOIN, CHAIN, FIELD_SQL, LETTERS, ORACLES, _facts, _list, _month, _quote, query
+from parchment.plans.catalog import CHAIN, ORACLES, _facts, _list, _quote, query
+from parchment.plans.letters_sql import EXTRACTED
 from parchment.sources import letters as src
 
-# ---------------------------------------------------------------- the extracted letters in SQL
-
-_NAMES = {"registration": "cin_gst_udyam", "company_address": "pin_address"}
-_PLAIN = ["company_email", "candidate_email", "website", "phone", "registration", "employment_type", "work_location", "company_name", "candidate_name", "job_title", "hr_name", "hr_designation", "company_address"]
-_HOST = "nullif(regexp_extract(lower(website), '^(?:https?://)?(?:www\\.)?([a-z0-9.\\-]+)', 1), '')"
-_NONE = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in ("gross", "pf_employee", "pf_employer", "gratuity"))
-_PROBLEMS = f"""list_filter([CASE WHEN ctc < 20000 THEN 'ctc too low' END, CASE WHEN basic > ctc THEN 'basic above ctc' END, CASE WHEN parts > 100 AND parts > 1.05 * ctc THEN 'components above ctc' END,
-  CASE WHEN joining_date < offer_date THEN 'joining before offer' END, CASE WHEN y < 1990 OR y > {DEFAULT.as_of[:4]} + 2 THEN 'year out of range' END], lambda p: p IS NOT NULL)"""
-EXTRACTED = f"""{LETTERS}, e0 AS (SELECT letter_id, full_text, t, {", ".join(f"{FIELD_SQL[_NAMES.get(c, c)]} AS {c}" for c in _PLAIN)}, CAST({FIELD_SQL["offer_date"]} AS DATE) AS offer_date,
-  CASE WHEN {_CTC} <= 5e7 THEN {_CTC} END AS ctc, {_month("Basic Salary")} AS basic, {_month("HRA")} AS hra, {_month("Special Allowance")} AS special, {_NONE} FROM letters),
-e1 AS (SELECT *, coalesce(lower(split_part(company_email, '@', 2)), {_HOST}) AS domain, CASE WHEN {_JOIN} >= offer_date THEN {_JOIN} END AS joining_date,
-  coalesce(basic, 0) + coalesce(hra, 0) + coalesce(special, 0) AS parts FROM e0),
-e2 AS (SELECT *, year(coalesce(joining_date, offer_date)) AS y FROM e1), e3 AS (SELECT *, {_PROBLEMS} AS problems FROM e2),
-x AS (SELECT *, coalesce(company_email, phone, website) IS NULL OR len(problems) > 0 OR (CASE WHEN company_name IS NULL THEN 0 ELSE 1 END + CASE WHEN candidate_name IS NULL THEN 0 ELSE 1 END
-  + CASE WHEN coalesce(offer_date, joining_date) IS NULL THEN 0 ELSE 1 END) < 2 AS low,
-  len(list_filter({_list(RED_PHRASES)}, lambda p: contains(lower(full_text), lower(p)))) > 0 AS red,
-  len(list_filter({_list(TEMPLATE_ARTIFACTS)}, lambda p: contains(lower(full_text), p))) > 0 OR regexp_matches(full_text, '\\[[A-Z][A-Z\\s]{{2,}}\\]') AS artifact FROM e3)"""
+# ---------------------------------------------------------------- audits of the extracted letters in SQL
 
 ORACLES["field_repair"] = f"{EXTRACTED} SELECT letter_id, {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in extract.FIELDS)} FROM x"
-ORACLES["low_confidence"] = f"{EXTRACTED} SELECT letter_id, array_to_string(problems, '|') AS problems, low AS low_confidence FROM x"
-ORACLES["audit_extraction"] = f"""{EXTRACTED} SELECT count(*) AS total, count(*) FILTER (low) AS low_confidence, count(*) FILTER (len(problems) > 0) AS implausible,
-count(*) FILTER (len(problems) > 0 AND NOT low) AS silent_bad, round(count(*) FILTER (len(problems) > 0 AND NOT low) * 100.0 / count(*), 1) AS silent_percent FROM x"""
-ORACLES["audit_problems"] = f"{EXTRACTED} SELECT problem, count(*) AS n, count(*) FILTER (NOT low) AS silent, min(letter_id) AS first_letter FROM (SELECT letter_id, low, unnest(problems) AS problem FROM x) GROUP BY problem"
+ORACLES["low_confidence"] = f"{EXTRACTED} SELECT letter_id, array_to_string(problems, '|') AS problems, low_confidence FROM x"
+ORACLES["audit_extraction"] = f"""{EXTRACTED} SELECT count(*) AS total, count(*) FILTER (low_confidence) AS low_confidence, count(*) FILTER (len(problems) > 0) AS implausible,
+count(*) FILTER (len(problems) > 0 AND NOT low_confidence) AS silent_bad, round(count(*) FILTER (len(problems) > 0 AND NOT low_confidence) * 100.0 / count(*), 1) AS silent_percent FROM x"""
+ORACLES["audit_problems"] = f"{EXTRACTED} SELECT problem, count(*) AS n, count(*) FILTER (NOT low_confidence) AS silent, min(letter_id) AS first_letter FROM (SELECT letter_id, low_confidence, unnest(problems) AS problem FROM x) GROUP BY problem"
 ORACLES["audit_final"] = f"""{EXTRACTED} SELECT CASE WHEN red OR artifact OR coalesce(joining_date < offer_date, false) THEN 'HOLD' ELSE 'PASS' END AS screen, employment_type, count(*) AS n,
 count(*) FILTER (red) AS red, count(*) FILTER (artifact) AS templates FROM x GROUP BY ALL"""
 
@@ -159,7 +144,7 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------- requests and reports
 
 
-@query("scoring_requests", f"{EXTRACTED} SELECT letter_id, company_name AS company, candidate_name AS candidate, round(ctc, 2) AS ctc, CAST(offer_date AS VARCHAR) AS offered, false AS has_gross, length(substr(full_text, 1, 200)) AS n_text FROM x")
+@query("scoring_requests", f"{EXTRACTED} SELECT letter_id, company_name AS company, candidate_name AS candidate, round(ctc, 2) AS ctc, CAST(offer_date AS VARCHAR) AS offered, gross IS NOT NULL AS has_gross, length(substr(full_text, 1, 200)) AS n_text FROM x")
 def _(spark, sf_dir):
     """Each letter's request as JSON, read back."""
     df = extract.extract(src.letters(spark, sf_dir)).select("letter_id", report.request(snippet=200).alias("r"))
@@ -167,7 +152,7 @@ def _(spark, sf_dir):
     return df.select("letter_id", get("$.company.name").alias("company"), get("$.candidate.name").alias("candidate"), F.round(get("$.salary.ctc").cast("double"), 2).alias("ctc"), get("$.dates.offer").alias("offered"), get("$.salary.gross").isNotNull().alias("has_gross"), F.length(get("$.document.text")).cast("long").alias("n_text"))
 
 
-@query("scoring_requests_full", f"{EXTRACTED} SELECT letter_id, company_name AS company, candidate_name AS candidate, round(ctc, 2) AS ctc, CAST(offer_date AS VARCHAR) AS offered, false AS has_gross, length(substr(full_text, 1, 4000)) AS n_text, md5(substr(full_text, 1, 4000)) AS text_digest FROM x")
+@query("scoring_requests_full", f"{EXTRACTED} SELECT letter_id, company_name AS company, candidate_name AS candidate, round(ctc, 2) AS ctc, CAST(offer_date AS VARCHAR) AS offered, gross IS NOT NULL AS has_gross, length(substr(full_text, 1, 4000)) AS n_text, md5(substr(full_text, 1, 4000)) AS text_digest FROM x")
 def _(spark, sf_dir):
     """The same with the text that production sends, and its digest."""
     df = extract.extract(src.letters(spark, sf_dir)).select("letter_id", report.request().alias("r"))

@@ -1,7 +1,8 @@
 """Letters and their facts as tables.
 
 There are no letters among the test tables, so letters are spelled from orders, customers and nations: one for each
-order, with switches on the order key that put in red phrases, placeholders, free-mail addresses, lakh amounts and so on.
+order, with switches on the order key that put in red phrases, placeholders, free-mail addresses, lakh amounts, every way
+in which a field can be named, and values for every rule that rejects one.
 The SQL is plain enough to run unchanged on another engine that checks the results: {orders} and so on name the tables.
 """
 
@@ -12,36 +13,50 @@ from pyspark.sql import DataFrame, SparkSession
 LETTERS = """
 SELECT letter_id, concat('letter_', CAST(letter_id AS STRING), '.pdf') AS file_name, nation,
   concat_ws(chr(10),
-    CASE WHEN k % 11 <> 0 THEN concat('Date: ', CAST(offered AS STRING)) ELSE concat('Ref: HR/', CAST(k AS STRING)) END,
+    CASE k % 14 WHEN 1 THEN concat('Nova', n, ' Industries') WHEN 2 THEN concat('Organisation: Nova', n, '  Ventures.') WHEN 3 THEN 'Offer Letter' WHEN 4 THEN 'PRIVATE LIMITED' WHEN 5 THEN concat('Nova Park 560001 Group')
+      WHEN 6 THEN 'Associate Data Processing' WHEN 7 THEN concat('Nova Bharat Works ', n) WHEN 8 THEN 'The Office With Your Services' WHEN 9 THEN 'REF NOVA 2025' WHEN 10 THEN 'Mobile 98765 Nova Group'
+      WHEN 11 THEN 'One Two Three Four Five Six Seven Group' WHEN 12 THEN concat('iNova', n, ' Trust.') WHEN 13 THEN 'nova services' END,
+    CASE k % 11 WHEN 0 THEN concat('Ref: HR/', CAST(k AS STRING)) WHEN 1 THEN concat('Date: ', CAST(day(offered) AS STRING), 'th ', mon, ' ', yr) WHEN 2 THEN concat('Date - ', CAST(day(offered) AS STRING), '/', CAST(month(offered) AS STRING), '/', yr)
+      WHEN 3 THEN concat('This letter is dated: ', mon, ' ', CAST(day(offered) AS STRING), ', ', yr, '.') WHEN 4 THEN concat('Date: to be told', chr(10), 'Issue date ', CAST(day(offered) AS STRING), '-', substring(mon, 1, 3), '-', substring(yr, 3, 2))
+      WHEN 5 THEN concat('Ref 7 of ', CAST(offered AS STRING)) ELSE concat('Date: ', CAST(offered AS STRING)) END,
     CASE WHEN k % 31 = 0 THEN 'Café – Réf. é' END,
-    CASE WHEN k % 6 = 5 THEN concat('Candidate Name: ', candidate) ELSE concat('Dear Mr. ', candidate, ',') END,
-    concat('We are pleased to offer you the position of ', title, ' subject to the terms below.'),
+    CASE k % 16 WHEN 5 THEN concat('Candidate Name: ', candidate, ' Designation') WHEN 11 THEN concat('Employee Name - ', candidate, chr(10), 'Designation') WHEN 7 THEN concat('To,', chr(10), candidate, chr(10), '4 Hill Road')
+      WHEN 3 THEN concat('Dear HR Team,', chr(10), 'Name: ', candidate) WHEN 9 THEN 'Dear Employee,' WHEN 13 THEN concat('Dear ', candidate, ' Services,') WHEN 15 THEN concat('Dear Nova', n, ',') ELSE concat('Dear Mr. ', candidate, ',') END,
+    CASE k % 10 WHEN 1 THEN concat('For the role of "', title, '" we thank you.') WHEN 2 THEN concat('Designation: ', title, ', grade 4') WHEN 3 THEN concat('You are appointed as a ', title, '. Welcome.') WHEN 4 THEN concat('Post-graduation: done. We want you in the position of ', title, ' (trial) now.')
+      WHEN 5 THEN concat('You are hired as an ', title, ' in our team.') WHEN 6 THEN 'Position: any result of breach' WHEN 7 THEN concat('Role - head of care and of needs', chr(10), 'Offered post of ', title) WHEN 8 THEN concat('Job Title: ', title, ' effective now')
+      ELSE concat('We are pleased to offer you the position of ', title, ' subject to the terms below.') END,
     CASE WHEN k % 9 = 0 THEN concat('You are expected to report on ', CAST(joining AS STRING), '.')
-         WHEN k % 13 = 0 THEN NULL ELSE concat('Date of Joining: ', CAST(joining AS STRING)) END,
-    CASE k % 4 WHEN 0 THEN 'This is a full-time role.' WHEN 1 THEN 'This is an internship with a stipend.' WHEN 2 THEN 'You are engaged on contract basis.' ELSE 'Nothing is said of the kind.' END,
-    concat('Work Location: ', nation, ' Park'),
+         WHEN k % 13 = 0 THEN NULL WHEN k % 9 = 1 THEN concat('Expected to join | ', CAST(day(joining) AS STRING), '.', CAST(month(joining) AS STRING), '.', CAST(year(joining) AS STRING), ' with effect from 2035-01-01')
+         WHEN k % 9 = 2 THEN concat('Start date ', CAST(joining + 40 AS STRING), ' or, w.e.f ', CAST(joining + 30 AS STRING)) ELSE concat('Date of Joining: ', CAST(joining AS STRING)) END,
+    CASE k % 8 WHEN 0 THEN 'This is a full-time role.' WHEN 1 THEN 'This is an internship with a stipend.' WHEN 2 THEN 'You are engaged on contract.' WHEN 3 THEN 'Our internal and international rules hold.' WHEN 4 THEN 'A graduate trainee post.'
+      WHEN 5 THEN 'Work is part time.' WHEN 6 THEN 'You serve as apprentice.' ELSE 'Advice is freelance.' END,
+    CASE k % 6 WHEN 0 THEN concat('Work Location: ', nation, ' Park') WHEN 1 THEN concat('Based at - ', nation, ', India.') WHEN 2 THEN 'Place of Posting: you will be told' WHEN 3 THEN 'Office Location: ____' WHEN 4 THEN 'Duty Station: one of two or three or four or five' END,
     CASE WHEN k % 8 = 0 THEN concat('Annual CTC: ', CAST(3 + k % 20 AS STRING), '.', CAST(10 + k % 80 AS STRING), ' Lakh')
-         WHEN k % 15 = 0 THEN NULL ELSE concat('Annual CTC: Rs. ', CAST(ctc AS STRING)) END,
+         WHEN k % 15 = 0 THEN NULL WHEN k % 15 = 1 THEN concat('CTC of 12% on top. Annual package: ', CAST(2 + k % 9 AS STRING), ' lack, or so') WHEN k % 15 = 2 THEN concat('CTC: ', CAST(20 + k % 30 AS STRING), ',000 a month')
+         WHEN k % 15 = 3 THEN concat('Total compensation 0.', CAST(1 + k % 9 AS STRING), ' crore') WHEN k % 15 = 4 THEN concat('Gross salary: ', CAST(20000 + k % 9000 AS STRING)) WHEN k % 15 = 5 THEN 'CTC: 7 Cr' ELSE concat('Annual CTC: Rs. ', CAST(ctc AS STRING)) END,
     concat('Basic Salary: Rs. ', CAST(CAST(floor(ctc * (30 + k % 30) / 1200) AS BIGINT) AS STRING)),
     concat('HRA: INR ', CAST(CAST(floor(ctc * (10 + k % 40) / 1200) AS BIGINT) AS STRING)),
     concat('Special Allowance: ', CAST(CAST(floor(ctc * (k % 25) / 1200) AS BIGINT) AS STRING)),
+    CASE k % 12 WHEN 1 THEN 'Employer PF 1,800' WHEN 2 THEN 'Employee PF 1,800.50 and gratuity 2,000' WHEN 3 THEN 'Joining bonus: 50,000' WHEN 4 THEN 'Net pay 31000, HRA in lieu' WHEN 5 THEN 'Gratuity: 900000' END,
     CASE WHEN k % 17 = 0 THEN 'Kindly deposit the Processing Fee by wire transfer.' END,
     CASE WHEN k % 37 = 0 THEN 'This limited time offer is valid for 24 hours. Respond immediately.' END,
     CASE WHEN k % 23 = 0 THEN 'Issued to [CANDIDATE NAME] of [DATE] on ____ with {{{{name}}}}.' END,
     CASE WHEN k % 29 = 0 THEN 'Account RRRRRR or XXXXX or ------- <COMPANY NAME>' END,
-    concat('For ', company),
-    CASE WHEN k % 3 = 0 THEN 'Asha Rao' ELSE 'Vikram Das' END,
-    CASE WHEN k % 5 = 0 THEN 'HR Manager' ELSE 'Authorised Signatory' END,
-    CASE WHEN k % 7 = 0 THEN 'Email: recruit.team@gmail.com' WHEN k % 7 = 1 THEN NULL ELSE concat('Email: HR@nova', CAST(k % 500 AS STRING), '.co.in') END,
-    CASE WHEN k % 10 < 5 THEN concat('Website: www.nova', CAST(k % 500 AS STRING), '.co.in.') END,
-    concat('Phone: +91 98', CAST(10000000 + k % 89999999 AS STRING)),
+    CASE k % 9 WHEN 0 THEN concat('Yours sincerely,', chr(10), 'Asha Rao', chr(10), 'HR Manager') WHEN 1 THEN concat('Warm regards,', chr(10), 'The Team', chr(10), 'Vikram Das', chr(10), 'Authorized Signatory of the firm') WHEN 2 THEN concat('For ', company, chr(10), 'Authorised Signatory', chr(10), 'Date: 1')
+      WHEN 3 THEN concat('For ', company, chr(10), 'Asha Rao ', candidate, chr(10), 'HR Manager  date: 3') WHEN 4 THEN concat('For ', company, chr(10), 'Puneet Rao', chr(10), 'I have gone through this', chr(10), 'Regards', chr(10), 'Meera Sen', chr(10), 'Head of HR, Nova')
+      WHEN 5 THEN 'Regards' ELSE concat('For ', company, chr(10), CASE WHEN k % 2 = 0 THEN 'Asha Rao' ELSE 'Vikram Das' END, chr(10), CASE WHEN k % 5 = 0 THEN 'HR Manager' ELSE 'Authorised Signatory' END) END,
+    CASE WHEN k % 7 = 0 THEN 'Email: recruit.team@gmail.com' WHEN k % 7 = 1 THEN NULL WHEN k % 7 = 2 THEN 'Mail: hr  @ nova.org and a@aol.com' ELSE concat('Email: HR@nova', CAST(k % 500 AS STRING), '.co.in') END,
+    CASE k % 8 WHEN 0 THEN concat('Website: www.nova', n, '.co.in.') WHEN 1 THEN concat('See WWW.Nova', n, '.in/jobs now') WHEN 2 THEN concat('Our site: nova', n, '.org.') WHEN 3 THEN concat('nova-', n, '.com') WHEN 4 THEN 'or gmail.com' END,
+    CASE k % 5 WHEN 0 THEN '(0431) 9876543210' WHEN 1 THEN 'Call 98765-43210' WHEN 2 THEN NULL ELSE concat('Phone: +91 98', CAST(10000000 + k % 89999999 AS STRING)) END,
+    CASE WHEN k % 14 = 0 THEN concat('Shree Nova', n) END,
     CASE k % 4 WHEN 0 THEN concat('CIN: U72200KA2015PTC', CAST(100000 + k % 899999 AS STRING)) WHEN 1 THEN concat('GST: 29ABCDE', CAST(1000 + k % 8999 AS STRING), 'F1Z5') WHEN 2 THEN concat('udyam-KR-03-0', CAST(100000 + k % 899999 AS STRING)) END,
     concat('No. ', CAST(k % 90 + 1 AS STRING), ', Main Road'), concat(nation, ' District, India ', CAST(560000 + k % 999 AS STRING))
   ) AS full_text
 FROM (
   SELECT o_orderkey AS letter_id, CAST(o_orderkey AS INT) AS k, n_name AS nation,
     CAST(o_orderdate AS DATE) AS offered, CAST(o_orderdate AS DATE) + (CAST(o_orderkey AS INT) % 130 - 10) AS joining,
-    CAST(floor(o_totalprice * 4) AS BIGINT) + 100000 AS ctc,
+    CAST(year(o_orderdate) AS STRING) AS yr, CAST(o_custkey % 500 AS STRING) AS n, CAST(floor(o_totalprice * 4) AS BIGINT) + 100000 AS ctc,
+    CASE month(o_orderdate) WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' WHEN 4 THEN 'April' WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September' WHEN 10 THEN 'October' WHEN 11 THEN 'November' ELSE 'December' END AS mon,
     concat('Nova', CAST(o_custkey % 500 AS STRING), CASE WHEN o_custkey % 2 = 0 THEN ' Solutions Pvt Ltd' ELSE ' Systems Limited' END) AS company,
     CASE CAST(o_custkey AS INT) % 5 WHEN 0 THEN 'Arjun Mehta' WHEN 1 THEN 'Priya Nair' WHEN 2 THEN 'Rahul Kumar Singh' WHEN 3 THEN 'Sneha Iyer' ELSE 'Imran Khan' END AS candidate,
     CASE CAST(o_orderkey AS INT) % 4 WHEN 0 THEN 'Software Engineer' WHEN 1 THEN 'Data Analyst' WHEN 2 THEN 'Marketing Executive' ELSE 'Senior Accountant' END AS title
@@ -73,6 +88,27 @@ SELECT o_orderkey AS letter_id, CAST(o_orderkey AS INT) AS k,
 FROM {orders}
 """
 
+#: What an assessment takes besides FACTS, by letter_id: lists are joined by "|". The scorer's answer is its JSON.
+DETAILS = """
+SELECT o_orderkey AS letter_id,
+  CASE WHEN o_orderkey % 17 <> 0 THEN '' ELSE CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'dummy offer' WHEN 2 THEN 'dummy offer|wire transfer' WHEN 3 THEN 'processing fee|wire transfer|dummy offer' ELSE 'processing fee|wire transfer|dummy offer|training fee' END END AS red_phrases,
+  CASE WHEN o_orderkey % 23 <> 0 THEN '' ELSE CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN '[name]' WHEN 1 THEN '[name]|[CITY]|[DATE OF BIRTH]|[salary]|[GRADE]' ELSE '[candidate name]|[CANDIDATE NAME]' END END AS artifacts,
+  CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'Rendered 2 page(s) for visual analysis: [1, 2]|OCR error: <timeout>' WHEN 1 THEN 'Tamper scan: 1 finding|Composite-forgery scan: clean' WHEN 2 THEN 'No text layer found' ELSE '' END AS warnings,
+  CASE WHEN o_orderkey % 38 = 0 THEN concat('page 2: floating date ', CAST(1 + o_orderkey % 28 AS STRING), ' May 2025|page 3: floating date June 2025') ELSE '' END AS tampering, CASE WHEN o_orderkey % 97 = 0 THEN 'page 1: 2 large images|page 2: 1 large image' ELSE '' END AS composites,
+  CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN NULL WHEN 1 THEN 'Microsoft Word' WHEN 2 THEN 'Canva & Co' ELSE 'iLovePDF' END AS created_with, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'HR <Team>' END AS author, CAST(o_orderdate AS DATE) AS created_on, CAST(NULL AS DATE) AS modified_on,
+  o_orderkey % 41 = 0 AS suspicious, CASE WHEN o_orderkey % 41 = 0 THEN 'made with Canva; modified 3 days after creation' END AS metadata_reasons, CASE WHEN o_orderkey % 19 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'iLovePDF' ELSE 'Sejda' END END AS online_tool,
+  CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'domain does not exist (NXDOMAIN)' END AS dns_note, CASE WHEN o_orderkey % 4 < 2 THEN 'DuckDuckGo: 4 organic result(s)' ELSE 'No online presence for Nova — tried: Wikipedia' END AS online_note,
+  CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN NULL WHEN 1 THEN 'top-left' ELSE 'top-center' END AS logo, CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN NULL ELSE 'bottom-right' END AS signature, o_orderkey % 7 < 2 AS has_stamp, CASE WHEN o_orderkey % 12 = 0 THEN 0 ELSE CAST(o_orderkey % 5 AS INT) + 1 END AS n_rendered,
+  CASE WHEN o_orderkey % 53 = 0 THEN 'I cannot read this {{ letter' WHEN o_orderkey % 59 = 0 THEN '{{}}' WHEN o_orderkey % 61 = 0 THEN '[1, 2]' ELSE concat(CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN '```json' WHEN 1 THEN 'Here it is: ' ELSE '' END,
+    '{{"image_tampering_score": ', CASE CAST(o_orderkey % 9 AS INT) WHEN 0 THEN '"9.7"' WHEN 1 THEN '9.7' WHEN 2 THEN '"8"' WHEN 3 THEN 'null' ELSE CAST(5 + o_orderkey % 7 AS STRING) END, ', "image_tampering_reasoning": ', CASE WHEN o_orderkey % 4 = 0 THEN '""' ELSE '"sharp"' END,
+    ', "signature_tampering_score": ', CAST(11 - o_orderkey % 5 AS STRING), ', "text_tampering_score": ', CASE WHEN o_orderkey % 14 = 0 THEN '"n/a"' ELSE CAST(12 - o_orderkey % 3 AS STRING) END, ', "text_tampering_reasoning": "one <name>"',
+    ', "date_tampering_score": ', CAST(11 - o_orderkey % 3 AS STRING), ', "salary_details_score": ', CAST(11 - o_orderkey % 4 AS STRING), ', "grammar_errors_score": ', CAST(12 - o_orderkey % 3 AS STRING), ', "hr_signature_details_score": ', CAST(11 - o_orderkey % 6 AS STRING), ', "company_details_score": ', CAST(11 - o_orderkey % 2 AS STRING),
+    ', "flags": [', CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN '' WHEN 1 THEN '{{"severity": "green", "title": "Offer date", "detail": "given"}}' WHEN 2 THEN '{{"title": "No severity"}}, {{"severity": "red", "title": "Seal", "detail": "pasted"}}' WHEN 3 THEN '{{"severity": "odd", "title": "Odd"}}, {{"severity": "green"}}'
+      ELSE concat(repeat('{{"severity": "green", "title": "Check", "detail": "ok"}}, ', 15), '{{"severity": "red", "title": "Sixteenth", "detail": "cut"}}') END, '], "warnings": ["w1", "w2"], "passed_checks": [], "summary": "A letter.", "company_name_found": ', CASE WHEN o_orderkey % 8 = 0 THEN '"Nova Found"' ELSE '""' END,
+    CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE concat(', "recommended_action": "', CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'APPROVE' WHEN 1 THEN 'REVIEW' ELSE 'REJECT' END, '"') END, '}}', CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN '```' ELSE '' END) END AS response
+FROM {orders}
+"""
+
 IMAGES = """
 SELECT l_orderkey AS letter_id, 1 + CAST(l_linenumber % 3 AS INT) AS page_no, l_linenumber AS img_no, CAST(l_quantity * 40 AS INT) AS px_w, CAST(20 + l_suppkey % 90 * 20 AS INT) AS px_h,
   CAST(l_partkey % 600 AS DOUBLE) AS x0, CAST(l_partkey * 7 % 850 AS DOUBLE) AS y0, CAST(20 + l_partkey % 120 AS DOUBLE) AS w, CAST(20 + l_suppkey % 120 AS DOUBLE) AS h, 595.0 AS page_w, 842.0 AS page_h
@@ -92,10 +128,6 @@ TABLES = ("orders", "customer", "nation", "lineitem")
 
 def build(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
-    cores = spark.sparkContext.defaultParallelism
-    for t in {"orders", "lineitem"} & set(used):  # a table of few splits is spread before it grows into letters
-        if used[t].rdd.getNumPartitions() < cores:
-            used[t] = used[t].repartition(cores)
     return spark.sql(sql, **used)
 
 
@@ -105,7 +137,8 @@ def plain(sql: str) -> str:
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build(spark, sf_dir, LETTERS)
+    """The letters, dealt over at least as many tasks as there are cores: a row of orders grows into a text and many regexes."""
+    return build(spark, sf_dir, LETTERS).repartition(4 * spark.sparkContext.defaultParallelism, "letter_id")
 
 
 def read_letters(spark: SparkSession, path: str, max_bytes: int = 50 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
