@@ -103,11 +103,18 @@ def pieces(text: bytes) -> Iterator[tuple[bytes, bool]]:
         yield span, False
 
 
-def _hash(span: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(span)
+def _hash(span: bytes) -> int:
+    """Names a chunk by 64 bits, signed. Ids that are looked up by it are checked against the chunk's own bytes."""
+    h = xxhash.xxh3_64_intdigest(span)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def encode_pieces(enc, text: bytes, known: dict[bytes, list[int]]) -> list[int]:
+def _found(enc, known: dict[int, list[int]], span: bytes) -> list[int] | None:
+    ids = known.get(_hash(span))
+    return ids if ids is not None and enc.decode_bytes(ids) == span else None
+
+
+def encode_pieces(enc, text: bytes, known: dict[int, list[int]]) -> list[int]:
     """The ids of a text; a core in known costs a look-up and its joins, all other spans are encoded together."""
     whole_text = lambda b: enc.encode(b.decode(), allowed_special="all")
     if not known:
@@ -115,7 +122,7 @@ def encode_pieces(enc, text: bytes, known: dict[bytes, list[int]]) -> list[int]:
     ids: list[int] = []
     last: list[int] = []  # the ids of the stretch before, which ids end with
     run: list[bytes] = []
-    for span, got in [*((s, known.get(_hash(s)) if whole else None) for s, whole in pieces(text)), (b"", [])]:
+    for span, got in [*((s, _found(enc, known, s) if whole else None) for s, whole in pieces(text)), (b"", [])]:
         if got is None:
             run.append(span)
             continue
@@ -143,7 +150,7 @@ def _chunk_rows(batches):
             own = {_hash(s) for s, whole in pieces(t or b"") if whole}
             keys += own
             owners += [owner] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.int64())], names=["chunk", "owner"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.int64())], names=["chunk", "owner"])
 
 
 def _encode_chunks(path: str):
@@ -158,7 +165,7 @@ def _encode_chunks(path: str):
                         left.discard(h)
                         chunks.append(h)
                         ids.append(np.array(enc.encode(span.decode(), allowed_special="all"), np.uint32).astype(np.uint16 if enc.n_vocab <= 1 << 16 else np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()), pa.array(ids, pa.binary())], names=["chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(ids, pa.binary())], names=["chunk", "ids"])
 
     return rows
 
@@ -189,10 +196,10 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     path = path or default_ranks()
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     dealt = base.repartition("key")  # both joins below read this one exchange, so both take all three columns
-    found = base.select("key", "text").mapInArrow(_chunk_rows, "chunk binary, owner long")
+    found = base.select("key", "text").mapInArrow(_chunk_rows, "chunk long, owner long")
     shared = cut(found.groupBy("chunk").agg(F.count("*").alias("n"), F.min("owner").alias("home")).filter("n > 1"))
     wanted = shared.groupBy("home").agg(F.collect_list("chunk").alias("wanted"))
-    once = dealt.join(wanted, F.col("key") == F.col("home")).select("text", "wanted", "doc_id", "key").mapInArrow(_encode_chunks(path), "chunk binary, ids binary").groupBy("chunk").agg(F.first("ids").alias("ids"))
+    once = dealt.join(wanted, F.col("key") == F.col("home")).select("text", "wanted", "doc_id", "key").mapInArrow(_encode_chunks(path), "chunk long, ids binary").groupBy("chunk").agg(F.first("ids").alias("ids"))
     given = spread_join(found, once, "chunk", hot_keys(shared, "chunk"), ["owner"]).groupBy("owner").agg(F.collect_set(F.struct("chunk", "ids")).alias("known"))
     joined = dealt.join(given, F.col("key") == F.col("owner"), "left").select("doc_id", "text", "known", "key")
     run = _encode_docs(path)
