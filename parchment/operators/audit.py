@@ -84,6 +84,11 @@ def audited(letters: DataFrame) -> DataFrame:
     return letters.select("letter_id", F.inline(F.array(*[one(k, f) for k, f in enumerate(RULES)])))
 
 
+def suspect_fields() -> Column:
+    """How many of a letter's fields are suspect."""
+    return sum((problem(f).isNotNull().cast("int") for f in list(RULES)[1:]), problem(next(iter(RULES))).isNotNull().cast("int"))
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """By field: letters without it, with a suspect value, and the suspect value of the smallest letter."""
     return rows.groupBy("place", "field").agg(

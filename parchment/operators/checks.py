@@ -10,11 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parchment.config import METROS, SALARY_KEYWORDS
-from parchment.functions.text import any_of
+from parchment.functions.text import any_of, one_of
 from parchment.operators.forensic import placeholders, template_artifacts
 
 #: The four clauses that a letter should hold, by what names them.
 CLAUSES = {"notice": r"(?i)\bnotice period\b|\b[0-9]+ days'? notice", "probation": r"(?i)\bprobation", "termination": r"(?i)\bterminat", "bond": r"(?i)\bbond\b|\block-?in\b"}
+ENTITY_SUFFIXES = [r"Pvt\.? Ltd", "Private Limited", "Limited", "Ltd", "LLP", "Inc", "Corp"]
+#: Words that are meant for a model and not for a candidate.
+INJECTION = r"(?i)\b(?:ignore (?:all |the )?(?:previous|above) instructions|you are an? (?:ai|language model)|give (?:this letter )?full (?:marks|score))\b"
 EXEMPT = ["Internship", "Trainee", "Apprentice"]
 
 
@@ -70,3 +73,24 @@ def date_score(modified_days: Column | None = None, most: int = 11) -> Column:
     if modified_days is not None:
         off = off + F.when(modified_days > 2, 2).otherwise(0)
     return F.when(F.col("joining_date") < F.col("offer_date"), F.least(F.lit(2), most - off)).otherwise(most - off)
+
+
+def entity_names(text: Column) -> Column:
+    """The distinct company names in a text, by their suffixes, in their order."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(rf"\b[A-Z][A-Za-z0-9&]*(?: [A-Z][A-Za-z0-9&]*){{0,4}} {one_of(ENTITY_SUFFIXES)}\b"), F.lit(0)), lambda n: F.lower(F.regexp_replace(n, r"\s+", " ")))
+    return F.array_distinct(found)
+
+
+def halves(text: str = "full_text") -> dict[str, Column]:
+    """The parts of the model's scores that a letter's own columns settle.
+
+    image_cap: the most that a composited page may get. entity_off: points off for two names, or more, of companies.
+    injected: text that speaks to a model. signature_seen. hr_known and company_known: how much of what should be there is.
+    """
+    names = F.size(entity_names(F.col(text)))
+    contacts = _known("company_email", "phone", "website") >= 2
+    return {
+        "image_cap": F.when(F.coalesce(F.size("composites") > 0, F.lit(False)), 2).otherwise(11), "entity_off": F.when(names >= 3, 6).when(names == 2, 3).otherwise(0),
+        "injected": F.coalesce(F.col(text).rlike(INJECTION), F.lit(False)), "signature_seen": F.col("signature").isNotNull(), "hr_known": _known("hr_name", "hr_designation", "hr_email"),
+        "company_known": _known("company_name", "company_address", "registration") + contacts.cast("int"),
+    }

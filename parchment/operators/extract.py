@@ -336,12 +336,19 @@ def settle(letters: DataFrame, provided: DataFrame, settings: Settings = DEFAULT
     A letter of low confidence without a provider's row keeps its own. `source` tells which: rules, provider or rules (low).
     """
     columns = [n for n in provided.columns if n != "letter_id"]
-    df = letters.withColumn("__low", low_confidence(settings))
-    sure, unsure = df.filter("not __low").withColumn("source", F.lit("rules")), df.filter("__low")
-    theirs = provided.select("letter_id", F.struct(*columns).alias("__theirs"))
-    asked = unsure.join(theirs, "letter_id", "left").withColumn("source", F.when(F.col("__theirs").isNull(), "rules (low)").otherwise("provider"))
-    asked = asked.withColumns({n: F.when(F.col("__theirs").isNull(), F.col(n)).otherwise(F.col(f"__theirs.{n}")) for n in columns}).drop("__theirs")
-    return sure.unionByName(asked).drop("__low")
+    asked = letters.withColumn("__low", low_confidence(settings)).join(provided.select("letter_id", F.struct(*columns).alias("__theirs")), "letter_id", "left")
+    theirs = F.col("__low") & F.col("__theirs").isNotNull()
+    source = F.when(theirs, "provider").when(F.col("__low"), "rules (low)").otherwise("rules")
+    return asked.withColumns({"source": source} | {n: F.when(theirs, F.col(f"__theirs.{n}")).otherwise(F.col(n)) for n in columns}).drop("__theirs", "__low")
+
+
+def only(df: DataFrame, condition: Column, *columns: Column) -> DataFrame:
+    """The columns of the rows that meet a condition over extracted fields.
+
+    A filter would be pushed below the extraction with all of its expressions copied into it; a row that is made into a
+    list of one or none is not.
+    """
+    return df.select(F.inline(F.when(condition, F.array(F.struct(*columns)))))
 
 
 def model_text(text: Column, whole: int = 40_000, head: int = 20_000, tail: int = 10_000) -> Column:

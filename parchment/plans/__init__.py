@@ -1,3 +1,3 @@
-"""The registered queries; review and verdicts add theirs to the catalog."""
+"""The registered queries; review, verdicts and structure add theirs to the catalog."""
 
-from parchment.plans import catalog, review, verdicts  # noqa: F401
+from parchment.plans import catalog, review, structure, verdicts  # noqa: F401

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from parchment.config import DEFAULT, DESIGN_TOOLS, EDITING_SUITES, FREE_MAIL, ONLINE_TOOLS, PILLARS, PLACEHOLDERS, RED_PHRASES, TEMPLATE_ARTIFACTS
 from parchment.functions.text import ascii_text, slug
-from parchment.operators import extract, forensic, lookups, rules
+from parchment.operators import extract, forensic, lookups, queue, rules
 from parchment.plans import letters_sql
 from parchment.plans.letters_sql import DOMAIN, FIELDS, JOINING, LETTERS, OFFER, RAW, SALARY
 from parchment.sources import letters as src
@@ -162,7 +161,7 @@ def _(spark, sf_dir):
 
 _MADE = "coalesce(nullif(creator, ''), nullif(producer, ''))"
 _GAP = "CAST(floor((epoch(modified) - epoch(created)) / 86400) AS INTEGER)"
-_REASONS = f"list_concat([CASE WHEN created > DATE '{DEFAULT.as_of}' + 1 THEN 'created in the future' END, CASE WHEN {_GAP} > 1 THEN 'modified ' || {_GAP} || ' days after creation' END], list_transform(list_filter({_list(DESIGN_TOOLS + EDITING_SUITES)}, lambda x: contains(lower({_MADE}), lower(x))), lambda x: 'made with ' || x))"
+_REASONS = f"list_concat([CASE WHEN author IS NULL AND created IS NULL AND {_MADE} IS NULL THEN 'no metadata' END, CASE WHEN created > DATE '{DEFAULT.as_of}' + 1 THEN 'created in the future' END, CASE WHEN {_GAP} > 1 THEN 'modified ' || {_GAP} || ' days after creation' END], list_transform(list_filter({_list(DESIGN_TOOLS + EDITING_SUITES)}, lambda x: contains(lower({_MADE}), lower(x))), lambda x: 'made with ' || x))"
 
 
 @query("metadata_suspicion", f"SELECT letter_id, coalesce(array_to_string(list_filter({_REASONS}, lambda x: x IS NOT NULL), '; '), '') AS reasons, list_filter({_list(ONLINE_TOOLS)}, lambda x: contains(lower({_MADE}), lower(x)))[1] AS online_tool FROM ({src.plain(src.META)}) AS x")
@@ -301,20 +300,28 @@ def _(spark, sf_dir):
     return lookups.missing(src.build(spark, sf_dir, src.FACTS), src.build(spark, sf_dir, _DNS))
 
 
-_EVIDENCE = "SELECT concat('nova', CAST(o_custkey % 500 AS STRING), '.co.in') AS domain, CAST(o_orderkey % 3 AS INT) AS method_rank, CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'website' WHEN 1 THEN 'encyclopedia' ELSE 'search' END AS method, o_orderkey % 17 = 0 AS hit, o_orderkey % 2 = 0 AS error FROM {orders}"
+_EVIDENCE = """SELECT o_custkey AS key, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE concat('Nova', CAST(o_custkey % 50 AS STRING)) END AS company_name, CASE CAST(o_custkey % 5 AS INT) WHEN 0 THEN NULL WHEN 1 THEN 'gmail.com' ELSE concat('nova', CAST(o_custkey % 50 AS STRING), '.in') END AS domain,
+  m.method AS method, (o_custkey * m.p + m.p) % 9 = 0 AS hit, (o_custkey + m.p) % 3 <> 0 AS error, concat(m.method, ' says ', CAST(o_custkey % 4 AS STRING)) AS note
+FROM (SELECT DISTINCT o_custkey FROM {orders}) AS o CROSS JOIN (SELECT 'website' AS method, 1 AS p UNION ALL SELECT 'encyclopedia', 2 UNION ALL SELECT 'search', 3 UNION ALL SELECT 'guess', 4) AS m"""
+_TRIED = "list_sort(list_filter(list({'p': CASE method WHEN 'website' THEN 1 WHEN 'encyclopedia' THEN 2 WHEN 'search' THEN 3 ELSE 4 END, 'm': method, 'hit': hit, 'error': error, 'note': note}), lambda t: CASE WHEN t.p = 1 THEN d IS NOT NULL AND d <> 'gmail.com' ELSE c IS NOT NULL END))"
+_ONLINE_SQL = f"""WITH e AS (SELECT *, max(company_name) OVER (PARTITION BY key) AS c, max(domain) OVER (PARTITION BY key) AS d FROM ({src.plain(_EVIDENCE)}) AS x), g AS (SELECT key, c, d, {_TRIED} AS tried FROM e GROUP BY key, c, d),
+h AS (SELECT *, list_filter(tried, lambda t: t.hit)[1] AS h, list_filter(tried, lambda t: t.p < 4) AS sound, list_filter(tried, lambda t: t.p < 4 AND t.error) AS bad FROM g), i AS (SELECT *, (c IS NULL AND d IS NULL) OR h IS NOT NULL OR len(sound) > len(bad) AS checked FROM h)
+SELECT key, h IS NOT NULL AS found, h.m AS method, checked, CASE WHEN c IS NULL AND d IS NULL THEN 'No company name or domain to check' WHEN h IS NOT NULL THEN h.note
+  WHEN NOT checked AND len(tried) > 0 THEN 'Online check could NOT complete for ' || chr(39) || coalesce(c, d) || chr(39) || ' — all ' || len(tried) || ' attempt(s) hit network/system errors: ' || array_to_string(list_transform(bad, lambda t: t.note)[1:3], '; ')
+  ELSE 'No online presence for ' || chr(39) || coalesce(c, d) || chr(39) || ' — tried: ' || coalesce(nullif(array_to_string(list_transform(tried, lambda t: CASE t.p WHEN 1 THEN 'direct fetch of ' || d WHEN 2 THEN 'Wikipedia' WHEN 3 THEN 'DuckDuckGo' ELSE 'DNS-guess' END), ', '), ''), 'nothing') END AS note FROM i"""
 
 
-@query("online_evidence", f"SELECT domain, bool_or(hit) AS found, arg_min(method, method_rank) FILTER (hit) AS method, count(*) FILTER (NOT error) >= 1 AS checked FROM ({src.plain(_EVIDENCE)}) AS x GROUP BY domain")
+@query("online_evidence", _ONLINE_SQL)
 def _(spark, sf_dir):
     return lookups.online(src.build(spark, sf_dir, _EVIDENCE))
 
 
 _GUESS = "SELECT DISTINCT concat('nova', CAST(o_custkey % 500 AS STRING), CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN '.com' WHEN 1 THEN '.co.in' ELSE '.net' END) AS domain, o_custkey % 5 > 0 AS dns_valid FROM {orders}"
-_NAMES = "SELECT DISTINCT concat('Nova', CAST(o_custkey % 500 AS STRING), ' Solutions Pvt Ltd') AS company_name FROM {orders}"
+_NAMES = "SELECT DISTINCT concat('Nova', CAST(o_custkey % 500 AS STRING), CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN ' Solutions Pvt Ltd' WHEN 1 THEN ' Software & Tech Foundation' ELSE '-India Global Systems' END) AS company_name FROM {orders}"
 
 
 @query("dns_guess", f"""WITH n AS ({src.plain(_NAMES)}), d AS (SELECT domain FROM ({src.plain(_GUESS)}) AS x WHERE dns_valid),
-g AS (SELECT company_name, lower(split_part(company_name, ' ', 1)) || t.tld AS domain, t.rank FROM n, (VALUES (0, '.com'), (1, '.in'), (2, '.co.in'), (3, '.org'), (4, '.net')) AS t(rank, tld))
+g AS (SELECT company_name, regexp_replace(regexp_replace(lower(company_name), ' (solutions|software|tech|foundation|pvt|ltd|global)|-india', '', 'g'), '[^a-z0-9]', '', 'g') || t.tld AS domain, t.rank FROM n, (VALUES (0, '.com'), (1, '.in'), (2, '.co.in'), (3, '.org'), (4, '.net')) AS t(rank, tld))
 SELECT company_name, arg_min(g.domain, rank) AS domain FROM g JOIN (SELECT DISTINCT domain FROM d) AS d ON g.domain = d.domain GROUP BY company_name""")
 def _(spark, sf_dir):
     facts = src.build(spark, sf_dir, _GUESS).filter("dns_valid").select("domain").distinct().withColumn("dns_valid", F.lit(True))
@@ -334,18 +341,25 @@ def _(spark, sf_dir):
     """Waiting and running letters by key, finished ones by time, the latest first; places are within a status."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderdate")
     df = o.withColumn("status", F.when(F.col("o_orderstatus") == "F", "processed").when(F.col("o_orderstatus") == "P", "processing").otherwise("unprocessed"))
-    when = F.when(F.col("status") == "processed", -F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).otherwise(0)
-    return df.select(F.col("o_orderkey").alias("letter_id"), "status", F.row_number().over(W.partitionBy("status").orderBy(when, "o_orderkey")).cast("long").alias("place"))
+    when = F.when(F.col("status") == "processed", -F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).otherwise(F.col("o_orderkey"))
+    return queue.places(df, "status", when, "o_orderkey").select(F.col("o_orderkey").alias("letter_id"), "status", F.col("place").cast("long").alias("place"))
 
 
 # ---------------------------------------------------------------- audits
 
 
+def audited(spark, sf_dir):
+    """Extracted letters that have a text, with bad (implausible) and low (not confident)."""
+    letters = src.letters(spark, sf_dir).filter(F.trim("full_text") != "")
+    return extract.extract(letters).withColumn("low", extract.low_confidence()).withColumn("bad", F.size(extract.plausibility_problems()) > 0)
+
+
 @query("audit_extraction")
 def _(spark, sf_dir):
-    df = extract.extract(src.letters(spark, sf_dir)).withColumn("low", extract.low_confidence()).withColumn("bad", F.size(extract.plausibility_problems()) > 0)
     silent = F.count_if(F.col("bad") & ~F.col("low"))
-    return df.agg(F.count("*").alias("total"), F.count_if("low").alias("low_confidence"), F.count_if("bad").alias("implausible"), silent.alias("silent_bad"), F.round(F.try_divide(silent * 100, F.count("*")), 1).alias("silent_percent"))
+    counts = audited(spark, sf_dir).agg(F.count("*").alias("audited"), F.count_if("low").alias("low_confidence"), F.count_if("bad").alias("implausible"), silent.alias("silent_bad"), F.round(F.try_divide(silent * 100, F.count("*")), 1).alias("silent_percent"))
+    total = src.letters(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.trim("full_text") == "").alias("no_text"))
+    return total.join(counts, F.lit(True))  # one row each
 
 
 @query("audit_final")

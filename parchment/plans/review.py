@@ -14,8 +14,8 @@ from parchment.sources import letters as src
 
 ORACLES["field_repair"] = f"{EXTRACTED} SELECT letter_id, {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in extract.FIELDS)} FROM x"
 ORACLES["low_confidence"] = f"{EXTRACTED} SELECT letter_id, array_to_string(problems, '|') AS problems, low_confidence FROM x"
-ORACLES["audit_extraction"] = f"""{EXTRACTED} SELECT count(*) AS total, count(*) FILTER (low_confidence) AS low_confidence, count(*) FILTER (len(problems) > 0) AS implausible,
-count(*) FILTER (len(problems) > 0 AND NOT low_confidence) AS silent_bad, round(count(*) FILTER (len(problems) > 0 AND NOT low_confidence) * 100.0 / count(*), 1) AS silent_percent FROM x"""
+ORACLES["audit_extraction"] = f"""{EXTRACTED} SELECT (SELECT count(*) FROM l0) AS total, (SELECT count(*) FROM l0 WHERE trim(full_text) = '') AS no_text, count(*) AS audited, count(*) FILTER (low_confidence) AS low_confidence, count(*) FILTER (len(problems) > 0) AS implausible,
+count(*) FILTER (len(problems) > 0 AND NOT low_confidence) AS silent_bad, round(count(*) FILTER (len(problems) > 0 AND NOT low_confidence) * 100.0 / count(*), 1) AS silent_percent FROM x WHERE trim(full_text) <> ''"""
 ORACLES["audit_problems"] = f"{EXTRACTED} SELECT problem, count(*) AS n, count(*) FILTER (NOT low_confidence) AS silent, min(letter_id) AS first_letter FROM (SELECT letter_id, low_confidence, unnest(problems) AS problem FROM x) GROUP BY problem"
 ORACLES["audit_final"] = f"""{EXTRACTED} SELECT CASE WHEN red OR artifact OR coalesce(joining_date < offer_date, false) THEN 'HOLD' ELSE 'PASS' END AS screen, employment_type, count(*) AS n,
 count(*) FILTER (red) AS red, count(*) FILTER (artifact) AS templates FROM x GROUP BY ALL"""
