@@ -41,17 +41,13 @@ def _trim(value: Column, marks: str = MARKS) -> Column:
 # ---------------------------------------------------------------- dates
 
 
-def date_near(text: Column, low: Column, keywords: list[str], size: int = 120) -> Column:
-    """The first date after the first keyword that has one."""
-    return F.coalesce(*[parse_date(first(window(text, low, k, size), DATE)) for k in keywords])
-
-
 def offer_date(text: Column, low: Column | None = None, rows: Column | None = None) -> Column:
-    """A `Date:` line among the first 20, else a date by a keyword, else the first date of the first 500 characters."""
+    """A `Date:` line among the first 20, else a date within 120 characters of a keyword, else the first date of the first 500 characters."""
     low, rows = F.lower(text) if low is None else low, lines(text) if rows is None else rows
-    dated = F.filter(F.slice(rows, 1, 20), lambda l: l.rlike(r"^[Dd]ate\s*[:\-]"))
-    labelled = F.filter(F.transform(dated, lambda l: parse_date(first(l, r"^[Dd]ate\s*[:\-]\s*(.+)$", 1))), lambda d: d.isNotNull())
-    return F.coalesce(_head(labelled), date_near(text, low, c.OFFER_KEYWORDS), parse_date(first(F.substring(text, 1, 500), DATE)))
+    dated = F.transform(F.filter(F.slice(rows, 1, 20), lambda l: l.rlike(r"^[Dd]ate\s*[:\-]")), lambda l: first(l, r"^[Dd]ate\s*[:\-]\s*(.+)$", 1))
+    near = [first(window(text, low, k, 120), DATE) for k in c.OFFER_KEYWORDS]
+    days = F.transform(F.concat(dated, F.array(*near, first(F.substring(text, 1, 500), DATE))), parse_date)
+    return _head(F.array_compact(days))
 
 
 def plausible_joining(day: Column, offered: Column, as_of: str) -> Column:
@@ -266,10 +262,10 @@ def amount_near(text: Column, low: Column, keywords: list[str]) -> Column:
 
     def one(near: Column) -> Column:
         number = F.replace(F.regexp_extract(near, pattern, 1), F.lit(","), F.lit("")).try_cast("double")
-        unit = F.lower(F.regexp_extract(near, pattern, 2))
-        return number * F.when(unit.rlike("^l"), 1e5).when(unit.startswith("cr"), 1e7).otherwise(1.0)
+        unit = F.lower(F.substring(F.regexp_extract(near, pattern, 2), 1, 1))
+        return number * F.when(unit == "l", 1e5).when(unit == "c", 1e7).otherwise(1.0)
 
-    return F.coalesce(*[let(one(window(text, low, k, 180)), lambda v: F.when(v > 100, v)) for k in keywords])
+    return _head(F.filter(F.transform(F.array(*[window(text, low, k, 180) for k in keywords]), one), lambda v: v > 100))
 
 
 def salary(text: Column, low: Column | None = None) -> dict[str, Column]:
@@ -296,7 +292,7 @@ def extract(letters: DataFrame, settings: Settings = DEFAULT, text: str = "full_
     df = df.withColumns({"company_email": company_email(t, F.col("__mails")), "candidate_email": candidate_email(t), "website": website(t), "phone": phone(t), "registration": registration(t)})
     df = df.withColumns({"domain": company_domain(t, F.col("company_email"), F.col("website")), "offer_date": offer_date(t, low, rows), "employment_type": employment_type(t, low), "work_location": work_location(t), "company_address": pin_address(t)})
     df = hr_contact(df.withColumns({"company_name": company_name(t, rows), "candidate_name": candidate_name(t), "job_title": job_title(t)}), t)
-    df = df.withColumn("joining_date", joining_date(t, F.col("offer_date"), settings.as_of, low)).withColumns(salary(t, low))
+    df = df.withColumns({"joining_date": joining_date(t, F.col("offer_date"), settings.as_of, low)} | salary(t, low))
     return repair(df).drop("text", "__low", "__lines", "__mails")
 
 
