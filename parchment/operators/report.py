@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.config import REPORT_PILLARS
 from parchment.functions.text import slug
+from parchment.operators.forensic import placeholders
 
 VERDICTS = ["LEGITIMATE", "MANUAL REVIEW", "SUSPICIOUS"]
 ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#x27;"}
@@ -24,6 +25,34 @@ def request(text: str = "full_text", snippet: int = 4000) -> Column:
     ))
 
 
+def context(text: str = "full_text", snippet: int = 4000) -> Column:
+    """The JSON that a scorer is given of an assessed letter: fields, date and salary notes, and all that the document shows. Absent values are null."""
+    group = lambda **names: F.struct(*[(F.col(c) if c else F.lit(None).cast("string")).alias(k) for k, c in names.items()])
+    source = F.coalesce("source", F.lit("unknown"))
+    told = F.concat(F.lit("Fields were extracted by: "), source, F.lit(". Trust them; the text is there to show template fields, copying errors and odd formatting."))
+    changed = F.datediff("modified_on", "created_on")
+    dates = F.struct(F.col("offer_date").cast("string").alias("offer_date"), F.col("joining_date").cast("string").alias("joining_date"), "gap_days", "gap_valid", F.coalesce(F.col("gap_days") < 0, F.lit(False)).alias("gap_impossible"), "gap_note")
+    pay = group(ctc_annual="ctc", gross_monthly="gross", basic="basic", hra="hra", pf="pf_employee", gratuity="gratuity", special_allowance="special")
+    document = F.struct(
+        F.col("completeness").alias("completeness_score"), F.col("red_phrases").alias("red_phrases_found"), placeholders(F.col(text)).alias("placeholder_scan"), F.col("tampering").alias("tamper_artifacts"), F.col("composites").alias("composite_artifacts"),
+        F.col("suspicious").alias("metadata_suspicious"), F.col("metadata_reasons").alias("metadata_reason"), "created_with", F.col("online_edit").alias("online_edit_detected"), F.col("online_tool").alias("online_edit_tool"), "author",
+        F.coalesce(changed > 0, F.lit(False)).alias("pdf_modified_after_creation"), F.when(changed > 0, changed).alias("pdf_modification_gap_days"), F.substring(text, 1, snippet).alias("full_text_snippet"),
+    )
+    whole = F.struct(
+        told.alias("_instructions"), group(name="company_name", address="company_address", email="company_email", domain="domain", phone="phone", website="website", cin="registration").alias("company"),
+        group(name="candidate_name", email="candidate_email").alias("candidate"), group(title="job_title", department=None, reporting_to=None, employment_type="employment_type", location="work_location").alias("role"),
+        group(name="hr_name", designation="hr_designation", email="hr_email").alias("hr"), dates.alias("dates"), pay.withField("math_check", F.struct(F.col("salary_ok").alias("math_consistent"), F.col("salary_note").alias("discrepancy_note"))).alias("salary"),
+        document.alias("document"), source.alias("extraction_notes"),
+    )
+    return F.to_json(whole, {"ignoreNullFields": "false"})
+
+
+def images_sent(images: Column, most: int = 5 * 1024 * 1024) -> Column:
+    """The base64 images (bare, or as data URLs) that are not too large to be sent, bare; available tells whether there is one."""
+    bare = F.transform(images, lambda i: F.element_at(F.split(i, ","), -1))
+    return F.filter(bare, lambda b: F.coalesce(F.octet_length(F.try_to_binary(b, F.lit("base64"))) <= most, F.lit(False)))
+
+
 def escape(c: Column) -> Column:
     """Text as HTML shows it; null is empty."""
     c = F.coalesce(c.cast("string"), F.lit(""))

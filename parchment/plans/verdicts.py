@@ -199,10 +199,26 @@ _JOINED = f"""SELECT x.letter_id, x.domain, x.offer_date, x.joining_date, x.ctc,
   CASE WHEN x.domain IS NULL THEN false ELSE coalesce(d.lookup_error, true) END AS dns_error, o.found, o.checked FROM x LEFT JOIN ({src.plain(_LOOKUPS)}) AS d ON x.domain = d.domain JOIN ({src.plain(_PRESENCE)}) AS o ON x.letter_id = o.letter_id"""
 
 
+def _letters_assessed(spark, sf_dir):
+    letters = extract.extract(src.letters(spark, sf_dir)).drop("file_name").withColumn("source", F.lit("rules"))
+    known = lookups.join_dns(letters, src.build(spark, sf_dir, _LOOKUPS)).withColumnRenamed("lookup_error", "dns_error").withColumn("mx", F.coalesce("mx", F.lit(False)))
+    return assess.assess(known.join(src.build(spark, sf_dir, _PRESENCE), "letter_id").join(_details(spark, sf_dir), "letter_id"))
+
+
 @query("letter_verdicts", f"{EXTRACTED}, {rich(_JOINED)} SELECT letter_id, verdict, final_score, action, gate_reason, array_to_string(list_transform(all_flags, lambda f: f.severity || '/' || f.title), '|') AS flags FROM k")
 def _(spark, sf_dir):
     """Letters from their texts to their verdicts: fields extracted, domains looked up, presence and answers joined."""
-    letters = extract.extract(src.letters(spark, sf_dir)).drop("full_text", "file_name").withColumn("source", F.lit("rules"))
-    known = lookups.join_dns(letters, src.build(spark, sf_dir, _LOOKUPS)).withColumnRenamed("lookup_error", "dns_error").withColumn("mx", F.coalesce("mx", F.lit(False)))
-    df = assess.assess(known.join(src.build(spark, sf_dir, _PRESENCE), "letter_id").join(_details(spark, sf_dir), "letter_id"))
-    return df.select("letter_id", "verdict", "final_score", "action", "gate_reason", _joined(F.col("flags"), "severity", "title").alias("flags"))
+    return _letters_assessed(spark, sf_dir).select("letter_id", "verdict", "final_score", "action", "gate_reason", _joined(F.col("flags"), "severity", "title").alias("flags"))
+
+
+_SENT = {
+    "company": ("$.company.name", "name_shown"), "gap_note": ("$.dates.gap_note", "gap_note"), "impossible": ("$.dates.gap_impossible", "CASE WHEN coalesce(gap_days < 0, false) THEN 'true' ELSE 'false' END"), "pay_note": ("$.salary.math_check.discrepancy_note", "salary_note"),
+    "hr_email": ("$.hr.email", "hr_email"), "red": ("$.document.red_phrases_found[0]", "red_phrases[1]"), "tool": ("$.document.online_edit_tool", "online_tool"), "made": ("$.document.created_with", "created_with"), "notes": ("$.extraction_notes", "'rules'"), "snippet": ("$.document.full_text_snippet", "full_text[1:4000]"),
+}
+
+
+@query("scoring_contexts", f"{EXTRACTED}, {rich(_JOINED.replace('x.letter_id, ', 'x.letter_id, x.full_text, x.hr_email, ', 1))} SELECT letter_id, {', '.join(f'{sql} AS {n}' for n, (_, sql) in _SENT.items())} FROM k")
+def _(spark, sf_dir):
+    """What a scorer is given of each letter, as JSON, read back."""
+    df = _letters_assessed(spark, sf_dir).select("letter_id", report.context().alias("c"))
+    return df.select("letter_id", *[F.get_json_object("c", path).alias(n) for n, (path, _) in _SENT.items()])
