@@ -29,7 +29,7 @@ from pyspark.sql.window import Window as W
 
 from parchment.llm.common import cut, mix, run_starts, whole_runs
 
-MOST_TABLES, SAMPLE, TESTS, RECALL = 8, 2048, 32, 0.97
+MOST_TABLES, SAMPLE, TESTS, RECALL = 8, 2048, 48, 0.99
 #: The choices for the number of hashes, and for the width in distances of the sample's k-th neighbours.
 HASHES, WIDTHS = (3, 4, 6, 8, 12), (1.4, 2.2)
 #: Most hashes in which a visited cell differs from the query's own.
