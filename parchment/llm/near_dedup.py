@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import PLACE, as_bytes, connected_components, cut, hot_keys, mix, run_starts, slices, spread_join, whole_runs, word_hashes
+from parchment.llm.common import PLACE, as_bytes, connected_components, cut, mix, run_starts, slices, whole_runs, word_hashes
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 14, 27
 ALLOWED = DISTANCE // CHUNKS
@@ -207,9 +207,10 @@ def _as_nodes(edges: DataFrame) -> DataFrame:
 def _links(base: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, root) of the classes that are linked with others. classes: (id, tie, text_key, n, sig)."""
     sigs = classes.select("id", "tie", "sig")
+    # hubs and split are cut before they are joined: nothing but the join hangs on a key then, and a skewed one can be split
     keys = sigs.mapInArrow(_key_rows, "key long, id long, tie long")
     hubs = cut(keys.groupBy("key").agg(F.min(_node()).alias("hub"), F.count("*").alias("n")).filter("n > 1"))
-    members = cut(spread_join(keys, hubs, "key", hot_keys(hubs, "key"), ["id", "tie"]).select("key", "id", "tie", F.col("hub.id").alias("hub_id"), F.col("hub.tie").alias("hub_tie"), "n"))
+    members = cut(keys.join(hubs, "key").select("key", "id", "tie", F.col("hub.id").alias("hub_id"), F.col("hub.tie").alias("hub_tie"), "n"))
     pairs = members.filter("id <> hub_id or tie <> hub_tie").select("id", "tie", "hub_id", "hub_tie").distinct()
     of = lambda name: sigs.select(F.col("id").alias(f"{name}id"), F.col("tie").alias(f"{name}tie"), F.col("sig").alias(f"{name}sig"))
     both = pairs.join(sigs, ["id", "tie"]).join(of("hub_"), ["hub_id", "hub_tie"]).select("id", "tie", "hub_id", "hub_tie", "sig", "hub_sig")
@@ -231,7 +232,7 @@ def _links(base: DataFrame, classes: DataFrame, shingle: int, percent: int) -> D
     named = cut(named)
     split = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("inside"), F.sum("n").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
     split = cut(split.withColumn("p", F.ceil(F.col("inside") / BLOCK).cast("int")).withColumn("q", F.ceil((F.col("all") - F.col("inside")) / BLOCK).cast("int")))
-    mixed = spread_join(named.drop("n"), split, "key", hot_keys(split, "key", "all"), ["id", "tie"]).withColumn("main", F.col("label") == F.col("most"))
+    mixed = named.drop("n").join(split, "key").withColumn("main", F.col("label") == F.col("most"))
     mine = F.pmod(F.xxhash64("id", "tie"), F.when(F.col("main"), F.col("p")).otherwise(F.col("q"))).cast("int") + F.when(F.col("main"), 0).otherwise(F.col("p"))
     others = F.explode(F.sequence(F.when(F.col("main"), F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1))
     blocked = mixed.withColumn("own", mine).withColumn("other", others).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
