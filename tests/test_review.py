@@ -96,5 +96,5 @@ def test_model_text_is_whole_up_to_production_limits(spark, tmp_path):
 def test_scoring_requests_hold_whole_letters(spark, sf):
     want = {r.letter_id: r.full_text for r in src.letters(spark, sf).collect()}
     got = {r.letter_id: (r.n_text, r.text_digest) for r in catalog.QUERIES["scoring_requests_full"](spark, sf).collect()}
-    assert min(map(len, want.values())) > 200
+    assert min(len(t) for t in want.values() if t.strip()) > 200
     assert got == {k: (len(t[:4000]), hashlib.md5(t[:4000].encode()).hexdigest()) for k, t in want.items()}
