@@ -7,7 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from parchment.llm import ann, bpe, chat, line_dedup, mixing, near_dedup, pii, quality, sharding, url_filter
+from parchment.llm import ann, bpe, chat, html_text, line_dedup, mixing, near_dedup, negatives, pii, quality, repair, sharding, url_filter
 from parchment.llm.common import n_words, table
 from parchment.llm.oracles import ORACLES  # noqa: F401
 
@@ -90,4 +90,33 @@ def op10_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), shape=bpe.digests(), schema=bpe.DIGEST)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_pii, op4_mixing, op5_near_duplicates, op6_sharding, op7_nearest, op8_line_dedup, op8_line_dedup_all, op9_chat, op10_bpe)}
+def damaged(rows):
+    """Conversation rows with the faults that a hash of id and turn deals out; nulls in role and text are one blank."""
+    r = rows.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    r = r.withColumn("fault", F.crc32(name.cast("binary")) % 20).filter("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    r = r.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.when(F.col("fault") == 3, 2).otherwise(1).alias("n"))
+    return r.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
+
+
+def op11_conversation_repair(spark, sf_dir):
+    """Damaged conversations, repaired: faults, cost, edits and a digest of each."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_report(damaged(rows), rows)
+
+
+def op12_hard_negatives(spark, sf_dir):
+    """Rows by 50 as anchors, their 5 best of the same label, and for each of these the 3 best others between half and 95 % of its score."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op13_html_text(spark, sf_dir):
+    """The main text of every page."""
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_pii, op4_mixing, op5_near_duplicates, op6_sharding, op7_nearest, op8_line_dedup, op8_line_dedup_all, op9_chat, op10_bpe, op11_conversation_repair, op12_hard_negatives, op13_html_text)}
