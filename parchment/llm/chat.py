@@ -191,9 +191,9 @@ def records_of(rows: DataFrame) -> DataFrame:
     t = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     conv = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(t)).alias("turns"))
     conv = conv.unionByName(rows.filter("conv_id is null").select("conv_id", F.array(t).alias("turns")))
-    roles = F.concat_ws(",", "turns.role")
+    roles = lambda *names: F.col("turns.role") == F.array(*[F.lit(n) for n in names])
     text = lambda n: F.element_at("turns", n)["text"]
     pair = F.struct(text(1).alias("prompt"), F.try_element_at("turns", F.lit(2))["text"].alias("response"))
     three = F.struct(text(1).alias("system"), F.try_element_at("turns", F.lit(2))["text"].alias("prompt"), F.try_element_at("turns", F.lit(3))["text"].alias("response"))
     many = F.struct(F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("canonical"))
-    return conv.select("conv_id", F.when(roles == "user,assistant", F.to_json(pair)).when(roles == "system,user,assistant", F.to_json(three)).otherwise(F.to_json(many)).alias("record"))
+    return conv.select("conv_id", F.when(roles("user", "assistant"), F.to_json(pair)).when(roles("system", "user", "assistant"), F.to_json(three)).otherwise(F.to_json(many)).alias("record"))

@@ -178,3 +178,29 @@ def test_rows_of_conversations(spark):
     turns = {r.conv_id: chat.read_back(r.formatted) for r in got if r.conv_id is not None}
     assert turns == {1: [("user", ""), ("assistant", "b")], 2: [("user", "x")], 3: [("", "n"), ("", "n")], 4: [("human", "x"), ("model", "y")], 5: [("gpt", "z")], 6: [("user", "p"), ("bot", "q")]}
     assert sorted(chat.read_back(r.formatted) for r in got if r.conv_id is None) == [[("tool", "t")], [("user", "u")]]
+
+
+def test_chat_query_with_odd_roles(spark, tmp_path):
+    """Roles that look like several, like the template's marks, or like nothing come back as they were."""
+    roles = ["user,assistant", "system,user", "assistant", "", " ", ",", "user,", "[ROLE]", "</s>", "a\\[/ROLE]", "x\ny", None]
+    rows = [(100 + k, 0, r, "one") for k, r in enumerate(roles)] + [(200, 0, "system,user", "a"), (200, 1, "assistant", "b"), (201, 0, "system", "s"), (201, 1, "user,assistant", "c"), (202, 0, "user", "u,assistant"), (202, 1, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in queries.op9_chat(spark, str(tmp_path)).collect()}
+    assert got.keys() == {r[0] for r in rows} | {-7}
+    for conv in got.keys() - {-7}:
+        turns = [(r or "", t or "") for c, _, r, t in rows if c == conv]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_far_neighbours_get_more_tables():
+    """Neighbours that no plan of the usual tables reaches still are reached by the plan that is taken."""
+    rng = np.random.default_rng(4)
+    sample = rng.standard_t(1.1, size=(400, 6))
+    plan = ann._widened(sample[:20], sample[:200].reshape(20, 10, 6), 1e-3)
+    met = np.zeros((20, 10), bool)
+    for t in range(plan.tables):
+        p, q = (ann.places(x, t, plan.hashes, plan.width) for x in (sample[:20], sample[:200]))
+        met |= np.stack([ann._ranks(p[i], q.reshape(20, 10, -1)[i]) for i in range(20)]) < plan.probes
+    assert met.mean() >= ann.RECALL
