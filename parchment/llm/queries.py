@@ -27,7 +27,11 @@ def op2_quality_rules(spark, sf_dir):
 
 
 def pii_key(spark) -> str:
-    return spark.conf.get(PII_KEY_SETTING, PII_TEST_KEY)
+    """The session's key. The test key is anyone's to undo, so it stands in on local masters only."""
+    key = spark.conf.get(PII_KEY_SETTING, None)
+    if key is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {PII_KEY_SETTING} to a secret key")
+    return key or PII_TEST_KEY
 
 
 def op3_pii(spark, sf_dir):
