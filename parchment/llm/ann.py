@@ -144,7 +144,23 @@ def fit(sample: np.ndarray, k: int, n: int, queries: int) -> Plan:
                 work = compared + SEND * tables * (probes + n / max(1, queries))
                 if work < best:
                     best, plan = work, Plan(hashes, width, tables, probes)
-    return plan or Plan(HASHES[0], WIDTHS[-1] * unit, MOST_TABLES, len(steps(HASHES[0])))
+    if plan is None:  # neighbours so far from their queries that it takes more tables, or else wider cells
+        plan = _widened(tests, nearer, unit)
+    return plan
+
+
+def _widened(tests: np.ndarray, nearer: np.ndarray, unit: float) -> Plan:
+    """With the fewest hashes and all their steps, so many tables, or so wide cells, that the wanted recall is reached."""
+    hashes, width = HASHES[0], WIDTHS[-1] * unit
+    while True:
+        met = np.zeros(nearer.shape[:2], bool)
+        for tables in range(1, 4 * MOST_TABLES + 1):
+            p = places(tests, tables - 1, hashes, width)
+            q = places(nearer.reshape(-1, tests.shape[1]), tables - 1, hashes, width).reshape(*nearer.shape[:2], hashes)
+            met |= np.stack([_ranks(p[i], q[i]) for i in range(len(tests))]) < len(steps(hashes))
+            if met.mean() >= RECALL:
+                return Plan(hashes, width, tables, len(steps(hashes)))
+        width *= 2
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray]:
