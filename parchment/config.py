@@ -33,28 +33,8 @@ SALARY_KEYWORDS = {
     "gratuity": ["gratuity"],
     "joining_bonus": ["joining bonus", "sign-on bonus", "sign on bonus", "joining incentive"],
 }
-# Employment types in order, each with the patterns of a lower-cased letter that name it.
-EMPLOYMENT_TYPES = [
-    ("Internship", [r"\binternship\b", r"\bstipend\b"]),
-    ("Trainee", [r"\btrainee\b", r"\btraineeship\b", r"\bgraduate\s+trainee\b"]),
-    ("Apprentice", [r"\bapprentice\b"]),
-    ("Contract", [r"\bfixed.?term\b", r"\bcontract(?:ual)?\b"]),
-    ("Part-time", [r"\bpart.?time\b"]),
-    ("Consultant", [r"\bconsultant\b", r"\bconsultancy\b", r"\bfreelance\b"]),
-    ("Full-time", [r"\bpermanent\b", r"\bfull.?time\b", r"\bregular\s+employment\b"]),
-]
-# Fixed values of the extraction: labels, suffixes and words that name or rule out a value.
-JOINING_LABELS = [r"Date\s+of\s+Joining", r"Joining\s+Date", r"Expected\s+Joining\s+Date", r"Joining\s+On", r"Expected\s+to\s+Join", r"Date\s+of\s+Commencement"]
+# Fixed values of the extraction: words that name or rule out a value.
 GENERIC_DOMAINS = ["gmail.com", "yahoo.com", "yahoo.co.in", "outlook.com", "hotmail.com", "live.com", "rediffmail.com"]
-SIGNED_SUFFIXES = [r"Pvt\.?\s*Ltd\.?", "Limited", "LLP", r"Inc\.?", r"Corp\.?", "Technologies", "Solutions", "Services", "Foundation", "Trust"]
-SIGNOFF_SUFFIXES = [
-    r"Pvt\.?\s*Ltd\.?", r"Private\s+Limited", "Limited", "LLP", r"Inc\.?", r"Corp\.?", "Technologies", "Solutions", "Services", "Foundation", "Trust",
-    "Enterprises", "Group",
-]
-LINE_SUFFIXES = [
-    r"Pvt\.?\s*Ltd\.?", r"Private\s+Limited", r"Public\s+Limited", "Limited", "LLP", "LLC", r"Inc\.?", r"Corp\.?", "Corporation", "Industries", "Solutions",
-    "Technologies", "Tech", "Services", "Consulting", "Foundation", "Trust", "Enterprises", "Associates", "Group", "Holdings",
-]
 SUFFIX_WORDS = [
     "pvt", "ltd", "limited", "llp", "inc", "corp", "corporation", "industries", "solutions", "technologies", "services", "consulting", "enterprises", "group",
     "holdings", "associates", "ventures", "systems", "foundation", "trust", "company", "co",
@@ -98,13 +78,6 @@ NOT_TITLES = [
     "certificates", "testimonials", "memos", "degree",
 ]
 JOINING_WORDS = ["of", "by", "and", "or", "any", "all"]
-TITLE_ENDS = [r"subject\s+to", "effective", "commencing", r"w\.e\.f", r"with\s+effect"]
-HR_LABELS = [
-    r"HR\s+(?:Manager|Head|Director|Executive|Officer)", r"Human\s+Resources?", r"Head\s+of\s+HR", r"Chief\s+Human", r"Talent\s+Acquisition",
-    r"Recruitment\s+(?:Manager|Head)", r"People\s+(?:Operations|Manager)", "CHRO", "HRD",
-]
-SIGN_OFFS = [r"Yours\s+(?:sincerely|faithfully|truly)", "Regards", r"Thanks\s+and\s+regards", r"With\s+regards", r"Best\s+regards", r"Warm\s+regards"]
-LOCATION_LABELS = [r"Work\s+Location", r"Place\s+of\s+(?:Work|Posting|Duty)", "Location", r"Based\s+At", r"Office\s+Location", r"Duty\s+Station", r"Posting\s+Location"]
 PLACEHOLDERS = [("repeated R", "(?i)R{5,}"), ("underscores", "_{4,}"), ("brackets", r"\[[A-Z][A-Z\s]{2,}\]"), ("dashes", "-{5,}"), ("repeated X", r"(?i)\bX{4,}\b"), ("braces", r"\{\{[^}]*\}\}"), ("angles", r"<[A-Z][A-Z\s]{2,}>")]
 DESIGN_TOOLS = ["Canva", "Photoshop", "GIMP", "Illustrator", "CorelDraw", "Paint.NET", "Inkscape", "Affinity"]
 EDITING_SUITES = ["Foxit PhantomPDF", "Foxit PDF Editor", "WPS Office", "WPS PDF"]
@@ -152,6 +125,7 @@ NOT_IN_DOMAINS = [
 INFORMATIONAL = ["Rendered ", "Signature close-up rendered", "Composite-forgery scan:", "Tamper scan:"]
 
 
+# What each sign costs, and the limits of the rules.
 @dataclass(frozen=True)
 class Penalties:
     red_phrase: int = 10

@@ -7,21 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The forms of a date in letters.
-MONTHS = "Jan(?:uary)? Feb(?:ruary)? Mar(?:ch)? Apr(?:il)? May Jun(?:e)? Jul(?:y)? Aug(?:ust)? Sep(?:tember)? Oct(?:ober)? Nov(?:ember)? Dec(?:ember)?".split()
-DAY, YEAR = r"[0-9]{1,2}(?:st|nd|rd|th)?", "(?:[0-9]{4}|[0-9]{2})"
-
 
 def one_of(patterns: list[str]) -> str:
     return f"(?:{'|'.join(patterns)})"
 
 
-MONTH = one_of(MONTHS)
-#: ISO, day/month/year, day month year, month day year.
-DATE_TOKEN = one_of([r"[0-9]{4}-[0-9]{2}-[0-9]{2}", rf"[0-9]{{1,2}}[/\-.][0-9]{{1,2}}[/\-.]{YEAR}", rf"{DAY}[\s\-.]+{MONTH}[\s\-.,]+{YEAR}", rf"{MONTH}[\s\-.,]+{DAY}[\s\-.,]+{YEAR}"])
-DATE = rf"(?i)\b{DATE_TOKEN}\b"
-
-
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from parchment.config import CLAUSE_WORDS, EMPLOYMENT_TYPES, HEADING_WORDS, LABEL_WORDS, ROLE_WORDS, SCHOOL_WORDS
+from parchment.config import CLAUSE_WORDS, HEADING_WORDS, LABEL_WORDS, ROLE_WORDS, SCHOOL_WORDS
 from parchment.functions.text import any_of, blank_to_null, strip
+from parchment.patterns import EMPLOYMENT_TYPES
 
 Test = Callable[[Column], Column]
 
@@ -67,7 +68,7 @@ RULES: dict[str, list[tuple[str, Test]]] = {
     "domain": [("format", lambda c: ~c.rlike(r"(?i)^[a-z0-9][a-z0-9.\-]*\.[a-z]{2,}$"))],
     "phone": [("digits", lambda c: ~_digits(c).between(10, 13))],
     "registration": [("format", lambda c: ~any_of([c.rlike(r) for r in _REGISTRATION]))],
-    "employment_type": [("unknown", lambda c: ~c.isin([name for name, _ in EMPLOYMENT_TYPES]))],
+    "employment_type": [("unknown", lambda c: ~c.isin([name for _, name in EMPLOYMENT_TYPES]))],
     "work_location": [("too long", _longer(50)), ("clause", _has(CLAUSE_WORDS)), ("blank", lambda c: F.length(F.regexp_replace(c, "[^A-Za-z0-9]", "")) < 3)],
 }
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from parchment import config as c
 from parchment.config import DEFAULT, FREE_MAIL, Settings
-from parchment.functions.text import DATE, DATE_TOKEN, any_of, ascii_text, blank_to_null, every, first, let, lines, one_of, parse_date, strip, window
+from parchment import patterns as p
+from parchment.functions.text import any_of, ascii_text, blank_to_null, every, first, let, lines, parse_date, strip, window
 
-#: The first parts are possessive: no sign of theirs can begin what follows, so giving signs back is time lost.
-EMAIL = r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-LOOSE_EMAIL = r"[A-Za-z0-9._%+\-]++\s*+@\s*[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+#: With first parts that are possessive: no sign of theirs can begin what follows, so giving signs back is time lost.
+EMAIL, LOOSE_EMAIL = p.EMAIL.replace("]+@", "]++@"), p.EMAIL_PERMISSIVE.replace(r"]+\s*@", r"]++\s*+@")
 _WORD = lambda words: rf"(?i)\b(?:{'|'.join(words)})\b"
 CLAUSE, ROLE = _WORD(c.CLAUSE_SIGNS), _WORD(c.ROLE_SIGNS)
 MARKS = ".,;:"
@@ -44,9 +44,9 @@ def _trim(value: Column, marks: str = MARKS) -> Column:
 def offer_date(text: Column, low: Column | None = None, rows: Column | None = None) -> Column:
     """A `Date:` line among the first 20, else a date within 120 characters of a keyword, else the first date of the first 500 characters."""
     low, rows = F.lower(text) if low is None else low, lines(text) if rows is None else rows
-    dated = F.transform(F.filter(F.slice(rows, 1, 20), lambda l: l.rlike(r"^[Dd]ate\s*[:\-]")), lambda l: first(l, r"^[Dd]ate\s*[:\-]\s*(.+)$", 1))
-    near = [first(window(text, low, k, 120), DATE) for k in c.OFFER_KEYWORDS]
-    days = F.transform(F.concat(dated, F.array(*near, first(F.substring(text, 1, 500), DATE))), parse_date)
+    dated = F.transform(F.filter(F.slice(rows, 1, 20), lambda l: l.rlike(p.DATE_LINE)), lambda l: first(l, p.DATE_LINE, 1))
+    near = [first(window(text, low, k, 120), p.DATE) for k in c.OFFER_KEYWORDS]
+    days = F.transform(F.concat(dated, F.array(*near, first(F.substring(text, 1, 500), p.DATE))), parse_date)
     return _head(F.array_compact(days))
 
 
@@ -57,8 +57,8 @@ def plausible_joining(day: Column, offered: Column, as_of: str) -> Column:
 def joining_date(text: Column, offered: Column, as_of: str, low: Column | None = None) -> Column:
     """A labelled date if plausible, else the earliest plausible date within 150 characters of a keyword."""
     low = F.lower(text) if low is None else low
-    label = first(text, rf"(?i){one_of(c.JOINING_LABELS)}\s*[:\-|]?\s*({DATE_TOKEN})", 1)
-    near = F.flatten(F.array_compact(F.array(*[every(window(text, low, k, 150), DATE) for k in c.JOINING_KEYWORDS])))
+    label = first(text, p.JOINING_LABEL, 1)
+    near = F.flatten(F.array_compact(F.array(*[every(window(text, low, k, 150), p.DATE) for k in c.JOINING_KEYWORDS])))
     good = lambda: F.filter(F.transform(F.array_distinct(near), parse_date), lambda d: plausible_joining(d, offered, as_of))
     return F.coalesce(let(parse_date(label), lambda d: F.when(plausible_joining(d, offered, as_of), d)), F.array_min(good()))
 
@@ -84,33 +84,32 @@ def company_email(text: Column, mails: Column | None = None) -> Column:
 def candidate_email(text: Column) -> Column:
     """The first free address of the first 2000 characters, else the address that follows `dear` in the first 500."""
     head = F.filter(every(F.substring(text, 1, 2000), EMAIL), lambda m: _domain_of(m).isin(FREE_MAIL))
-    return F.lower(F.coalesce(_head(head), first(F.substring(text, 1, 500), rf"(?i)dear\s+({EMAIL})", 1)))
+    return F.lower(F.coalesce(_head(head), first(F.substring(text, 1, 500), p.EMAIL_AFTER_DEAR, 1)))
 
 
 def website(text: Column) -> Column:
     """What follows a label, else the first www. name, else what follows `site` or `domain`. A label's value ends the search."""
-    label = first(text, r"(?i)(?:website|web|url|www)[:\s]+((?:https?://)?(?:www\.)?[a-z0-9.\-]+\.[a-z]{2,}(?:/\S*)?)", 1)
-    bare = first(text, r"(?i)www\.[a-z0-9.\-]+\.[a-z]{2,}(?:/\S*)?")
-    other = first(text, r"(?i)(?:site|domain)[:\s]+([a-z0-9.\-]+\.[a-z]{2,})", 1)
+    label = first(text, p.WEBSITE_LABELLED, 1)
+    bare = first(text, p.WEBSITE_BARE)
+    other = first(text, p.WEBSITE_OTHER, 1)
     return F.coalesce(F.rtrim(label, F.lit(".,;")), bare, F.rtrim(other, F.lit(".,;")))
 
 
 def company_domain(text: Column, mail: Column, site: Column) -> Column:
     """The address's domain if well formed, else the website's, else the text's first name under a common top level, unless it is a mail provider's."""
-    by_mail = let(_domain_of(mail), lambda d: F.when(d.rlike(r"^[a-z0-9][a-z0-9.\-]*\.[a-z]{2,}$"), d))
-    by_site = first(F.lower(site), r"(?:https?://)?(?:www\.)?([a-z0-9][a-z0-9.\-]*\.[a-z]{2,})", 1)
-    bare = F.lower(first(text, r"(?i)\b[a-z0-9][a-z0-9\-]{2,}\.(?:com|in|co\.in|org\.in|net|org)\b"))
+    by_mail = let(_domain_of(mail), lambda d: F.when(d.rlike(p.EMAIL_DOMAIN), d))
+    by_site = first(F.lower(site), p.SITE_DOMAIN, 1)
+    bare = F.lower(first(text, p.BARE_DOMAIN))
     return F.coalesce(by_mail, by_site, let(bare, lambda d: F.when(~d.isin(c.GENERIC_DOMAINS), d)))
 
 
 def phone(text: Column) -> Column:
-    return strip(first(text, r"(?:\+91[\s\-]?)?(?:\(0[0-9]{2,4}\)[\s\-]?)?[0-9]{10}|(?:\+91[\s\-]?)?[0-9]{5}[\s\-][0-9]{5}"))
+    return strip(first(text, p.PHONE))
 
 
 def registration(text: Column) -> Column:
     """A company number, else a tax number, else a small firm's number."""
-    company, tax = r"\b[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}\b", r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][A-Z0-9]Z[A-Z0-9]\b"
-    return F.coalesce(first(text, company), first(text, tax), F.upper(first(text, r"(?i)\budyam-[a-z]{2}-[0-9]{2}-[0-9]{7}\b")))
+    return F.coalesce(first(text, p.COMPANY_NUMBER), first(text, p.TAX_NUMBER), F.upper(first(text, p.SMALL_FIRM_NUMBER)))
 
 
 # ---------------------------------------------------------------- company
@@ -123,10 +122,10 @@ def clean_company(name: Column) -> Column:
 def valid_company(name: Column) -> Column:
     """Whether a string can be a company's name: none of the signs of a sentence, a heading, a reference, a contact line or a job."""
     words = _words(name)
-    code = name.rlike(r"^[A-Z0-9 \-]+$") & name.rlike("[0-9]")
+    code = name.rlike(p.CODE) & name.rlike(r"\d")
     job = ~name.rlike(_WORD(c.SUFFIX_WORDS)) & F.coalesce(_head(words).isin(c.JOB_LEADS), F.lit(False))
     return (
-        F.length(name).between(3, 80) & name.rlike(r"^[A-Za-z0-9]") & name.rlike("[A-Z]") & ~name.rlike(r"[!/|@,;]|\b[0-9]{6}\b") & ~F.lower(strip(name)).isin(c.NOT_COMPANIES)
+        F.length(name).between(3, 80) & name.rlike(r"^[A-Za-z0-9]") & name.rlike("[A-Z]") & ~name.rlike(p.COMPANY_SIGNS) & ~name.rlike(p.COMPANY_STOPS) & ~name.rlike(p.PIN) & ~F.lower(strip(name)).isin(c.NOT_COMPANIES)
         & ~name.rlike(_WORD(c.CONTACT_WORDS)) & ~code & (F.size(F.array_intersect(words, _listed(c.SENTENCE_WORDS))) < 2) & (F.size(words) <= 6) & ~job
     )
 
@@ -135,14 +134,13 @@ def company_name(text: Column, rows: Column | None = None) -> Column:
     """A `For X Ltd` sign-off; a line of the first 30 that ends in a company's suffix; a label; the last lines before a
     registration number, the nearest first; a line of the first 12 that reads like a title. The first valid one."""
     rows = lines(text) if rows is None else rows
-    signed = clean_company(first(text, rf"(?i)\bFor\s+([A-Z][A-Z0-9 &.\-']{{2,60}}{one_of(c.SIGNED_SUFFIXES)}\.?)", 1))
-    ends = rf"(?i)^[A-Z0-9 &.'\-]{{2,60}}{one_of(c.LINE_SUFFIXES)}\.?$"
-    suffixed = F.transform(F.filter(F.slice(rows, 1, 30), lambda l: l.rlike(ends) & ~l.rlike("(?i)^(?:Dear|To|Date|Ref|Subject|From)")), clean_company)
-    label = clean_company(first(text, r"(?i)(?:Company\s+Name|Organisation|Organization)\s*[:\-]\s*([^\n]{3,80})", 1))
-    at = F.regexp_instr(text, F.lit(r"(?i)(?:CIN|GSTIN|GST\s*No)\s*[:\s#]+[A-Z0-9]{15,21}"))
+    signed = clean_company(first(text, p.COMPANY_SIGNED, 1))
+    suffixed = F.transform(F.filter(F.slice(rows, 1, 30), lambda l: l.rlike(p.COMPANY_LINE) & ~l.rlike(p.NOT_COMPANY_LINE)), clean_company)
+    label = clean_company(first(text, p.COMPANY_LABELLED, 1))
+    at = F.regexp_instr(text, F.lit(p.COMPANY_BEFORE_NUMBER))
     before = lines(F.substring(text, F.greatest(at - 200, F.lit(1)), F.least(at - 1, F.lit(200))))
     near = F.when(at > 1, F.filter(F.slice(F.reverse(before), 1, 3), lambda l: F.length(l) > 5))
-    titled = F.filter(F.slice(rows, 1, 12), lambda l: F.length(l).between(7, 69) & l.rlike(r"^[A-Za-z][A-Za-z0-9 &.'\-]+$") & ~l.rlike("(?i)^(?:Dear|To|Date|Ref|Subject|From|Re)"))
+    titled = F.filter(F.slice(rows, 1, 12), lambda l: F.length(l).between(7, 69) & l.rlike(p.COMPANY_TITLE) & ~l.rlike(p.NOT_COMPANY_TITLE))
     none = F.array().cast("array<string>")
     rest = F.concat(F.array_compact(suffixed), F.array_compact(F.array(label)), F.coalesce(near, none), titled)
     return F.coalesce(F.when(valid_company(signed), signed), clean_company(_head(F.filter(rest, valid_company))))
@@ -160,51 +158,38 @@ def person(value: Column) -> Column:
 
 def designation(value: Column) -> Column:
     """A captured designation cut at its line's end, wide gaps, dates and references; null for clauses and companies."""
-    cut = _trim(F.regexp_replace(_trim(F.regexp_extract(value, r"^[^\n]*", 0)), r"(?is)(?:\s{2,}|\bdate\b\s*:|\bref\b).*$", ""))
+    cut = _trim(F.regexp_replace(_trim(F.regexp_extract(value, r"^[^\n]*", 0)), rf"(?is)(?:{p.DESIGNATION_END}).*$", ""))
     good = lambda d: F.length(d).between(1, 45) & (F.size(_words(d)) <= 6) & ~d.rlike(CLAUSE) & ~d.rlike(_WORD(c.ROLE_SUFFIXES))
     return let(cut, lambda d: F.when(good(d), d))
 
 
 def candidate_name(text: Column) -> Column:
     """After `Dear`, after a name label, or on the line after `To`; the first that is a person's name."""
-    name = r"([A-Z][a-zA-Z]+(?:[ \t]+[A-Z][a-zA-Z]*){0,3})"
-    found = [
-        first(text, rf"\bDear[ \t]+(?:Mr\.?|Ms\.?|Mrs\.?|Dr\.?|Prof\.?)?[ \t]*{name}", 1), first(text, rf"(?:Candidate|Employee|Applicant)?[ \t]*Name[ \t]*[:\-][ \t]*{name}", 1),
-        first(F.substring(text, 1, 500), r"\bTo,?\s*\n\s*([A-Z][a-zA-Z]+(?:[ \t]+[A-Z][a-zA-Z]+){1,3})", 1),
-    ]
+    found = [first(text, p.NAME_AFTER_DEAR, 1), first(text, p.NAME_LABELLED, 1), first(F.substring(text, 1, 500), p.NAME_AFTER_TO, 1)]
     return _head(F.array_compact(F.transform(F.array_compact(F.array(*found)), person)))
 
 
 def valid_title(title: Column) -> Column:
     words = _words(title)
     joins = F.size(F.filter(F.slice(words, 2, 70), lambda w: w.isin(c.JOINING_WORDS)))
-    return F.length(title).between(3, 70) & ~F.arrays_overlap(words, _listed(c.NOT_TITLES)) & ~title.rlike("[:;.]") & ~title.rlike(CLAUSE) & (joins < 2)
+    return F.length(title).between(3, 70) & ~F.arrays_overlap(words, _listed(c.NOT_TITLES)) & ~title.rlike(p.TITLE_SIGNS) & ~title.rlike(CLAUSE) & (joins < 2)
 
 
 def job_title(text: Column) -> Column:
     """Six ways to name a title, in order; each one's first hit is cut where a clause begins, the first valid one is taken."""
-    post = "(?:position|role|post|designation)"
-    ways = [
-        rf'{post}\s+of\s*"([^"\n]{{3,60}})"',
-        r"(?:Position|Designation|Role|Post|Job\s+Title|Job\s+Profile)\b\s*(?::\s*|-\s+)([^\n,;]{3,70})",
-        r"you\s+(?:will\s+be|are)\s+(?:joining|appointed|hired|engaged)\s+as\s+(?:a\s+|an\s+)?([A-Z][^\n,;.]{3,50})",
-        rf'{post}\s+of\s+"?([A-Z][^\n,;.()"]{{2,50}}?)(?:"|\s*\n|\s*\(|\s*with\s)',
-        r'offer(?:ed)?\s+(?:you\s+)?(?:the\s+)?(?:position|role|post)\s+of\s+"?([A-Z][^\n,;.]{3,50})',
-        r"(?:appointed|joining|hired|engaged)\s+as\s+(?:a\s+|an\s+)?([A-Z][A-Z\s]{3,50})(?:\s+in|\s+at|\s+for|\s+with|\n|,)",
-    ]
-    cut = lambda v: _trim(F.regexp_replace(_trim(v), rf"(?is)\s+{one_of(c.TITLE_ENDS)}.*$", ""))
-    titles = F.transform(F.array_compact(F.array(*[first(text, f"(?i){w}", 1) for w in ways])), cut)
+    cut = lambda v: _trim(F.regexp_replace(_trim(v), rf"(?is){p.TITLE_END}.*$", ""))
+    titles = F.transform(F.array_compact(F.array(*[first(text, f"(?i){w}", 1) for w in p.TITLES])), cut)
     return _head(F.filter(titles, valid_title))
 
 
 def employment_type(text: Column, low: Column | None = None) -> Column:
     low = F.lower(text) if low is None else low
-    return F.coalesce(*[F.when(low.rlike("|".join(patterns)), F.lit(name)) for name, patterns in c.EMPLOYMENT_TYPES])
+    return F.coalesce(*[F.when(low.rlike(pattern), F.lit(name)) for pattern, name in p.EMPLOYMENT_TYPES])
 
 
 def work_location(text: Column) -> Column:
-    found = F.btrim(strip(first(text, rf"(?i){one_of(c.LOCATION_LABELS)}\s*[:\-]\s*([^\n,;]{{3,60}})", 1)), F.lit(".,;"))
-    good = lambda v: ~v.rlike(CLAUSE) & (F.size(_words(v)) <= 7) & (F.length(F.regexp_replace(v, "[^A-Za-z0-9]", "")) >= 3)
+    found = F.btrim(strip(first(text, p.LOCATION, 1)), F.lit(".,;"))
+    good = lambda v: ~v.rlike(CLAUSE) & (F.size(_words(v)) <= 7) & (F.length(F.regexp_replace(v, p.NOT_LETTERS, "")) >= 3)
     return let(found, lambda v: F.when(good(v), v))
 
 
@@ -216,20 +201,15 @@ def pin_address(text: Column) -> Column:
         last = let(lines(part), lambda rows: F.slice(rows, F.greatest(F.size(rows) - 2, F.lit(1)), F.lit(3)))
         return F.when(at > 0, F.array_join(last, ", "))
 
-    return let(F.regexp_instr(text, F.lit(r"\b[0-9]{6}\b")), before)
+    return let(F.regexp_instr(text, F.lit(p.PIN)), before)
 
 
 def sign_off(text: Column) -> Column:
     """The text from its first sign-off on; without one, its last 2500 characters."""
-    at = F.regexp_instr(text, F.lit(f"(?i){one_of(c.SIGN_OFFS)}"))
+    at = F.regexp_instr(text, F.lit(p.SIGN_OFF))
     return F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(F.substring(text, F.greatest(F.length(text) - 2499, F.lit(1)), F.lit(2500)))
 
 
-_AFTER_COMPANY = (
-    rf"(?i)For[ \t]+[A-Z][A-Z0-9 &.\-']{{2,60}}{one_of(c.SIGNOFF_SUFFIXES)}\.?[ \t]*\n[ \t]*([A-Z][A-Z]+(?:[ \t]+[A-Z][A-Z]+){{1,4}})[ \t]*\n[ \t]*([A-Z][^\n]{{3,70}})"
-)
-
-
 def hr_contact(df: DataFrame, text: Column) -> DataFrame:
     """df with hr_name, hr_designation and hr_email.
 
@@ -237,19 +217,18 @@ def hr_contact(df: DataFrame, text: Column) -> DataFrame:
     Without a designation, a line with an HR label after the sign-off is taken, and the line before it as the name; then an
     authorised signatory. Without a name, the first of the next lines that reads like one.
     """
-    label, signatory = rf"(?i)\b{one_of(c.HR_LABELS)}\b", r"(?i)(?:Authoris\w*\s+Signatory|Authoriz\w*\s+Signatory)"
     df = df.withColumn("__tail", sign_off(text)).withColumn("__rows", lines(F.col("__tail")))
-    one, two = (F.btrim(strip(first(text, _AFTER_COMPANY, k)), F.lit(".,")) for k in (1, 2))
+    one, two = (F.btrim(strip(first(text, p.FOR_COMPANY, k)), F.lit(".,")) for k in (1, 2))
     df = df.withColumns({"__one": one, "__two": two})
     role = F.coalesce(F.col("__one").rlike(ROLE), F.lit(False))
     df = df.withColumn("__name", F.when(~role, person(F.col("__one"))))
     known = F.when(role, designation(F.col("__one"))).otherwise(F.coalesce(designation(F.col("__two")), F.when(F.col("__name").isNull(), designation(F.col("__one")))))
-    df = df.withColumn("__role", known).withColumn("__at", F.when(F.col("__role").isNull(), F.array_position(F.transform("__rows", lambda l: l.rlike(label)), F.lit(True)).cast("int")))
+    df = df.withColumn("__role", known).withColumn("__at", F.when(F.col("__role").isNull(), F.array_position(F.transform("__rows", lambda l: l.rlike(p.HR_LABEL)), F.lit(True)).cast("int")))
     row = lambda k: F.when(k > 0, F.try_element_at("__rows", F.greatest(k, F.lit(1))))
     labelled, before = designation(row(F.col("__at"))), person(row(F.col("__at") - 1))
-    titled = F.filter(F.slice("__rows", 2, 9), lambda l: l.rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}$") & ~l.rlike(ROLE))
+    titled = F.filter(F.slice("__rows", 2, 9), lambda l: l.rlike(p.SIGNED_NAME) & ~l.rlike(ROLE))
     name = F.coalesce(F.col("__name"), before, _head(F.array_compact(F.transform(titled, person))))
-    df = df.withColumns({"hr_designation": F.coalesce("__role", labelled, first(F.col("__tail"), signatory)), "hr_name": name, "hr_email": F.lower(first(F.col("__tail"), EMAIL))})
+    df = df.withColumns({"hr_designation": F.coalesce("__role", labelled, first(F.col("__tail"), p.SIGNATORY)), "hr_name": name, "hr_email": F.lower(first(F.col("__tail"), EMAIL))})
     return df.drop("__tail", "__rows", "__one", "__two", "__name", "__role", "__at")
 
 
@@ -258,11 +237,10 @@ def hr_contact(df: DataFrame, text: Column) -> DataFrame:
 
 def amount_near(text: Column, low: Column, keywords: list[str]) -> Column:
     """The first number within 180 characters of a keyword, in rupees; 100 and less passes to the next keyword."""
-    pattern = r"(?i)([0-9,]+(?:\.[0-9]{1,2})?)\s*(?:(lakhs?|lacs?|lpa|crores?|cr)\b)?"
 
     def one(near: Column) -> Column:
-        number = F.replace(F.regexp_extract(near, pattern, 1), F.lit(","), F.lit("")).try_cast("double")
-        unit = F.lower(F.substring(F.regexp_extract(near, pattern, 2), 1, 1))
+        number = F.replace(F.regexp_extract(near, p.AMOUNT, 1), F.lit(","), F.lit("")).try_cast("double")
+        unit = F.lower(F.substring(F.regexp_extract(near, p.AMOUNT, 2), 1, 1))
         return number * F.when(unit == "l", 1e5).when(unit == "c", 1e7).otherwise(1.0)
 
     return _head(F.filter(F.transform(F.array(*[window(text, low, k, 180) for k in keywords]), one), lambda v: v > 100))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from parchment.config import DESIGN_TOOLS, EDITING_SUITES, ONLINE_TOOLS, PLACEHOLDERS, RED_PHRASES, SALARY_PAGE, SIGNATURE_PAGE, TEMPLATE_ARTIFACTS
-from parchment.functions.text import MONTH, any_of, blank_to_null, every, hits, parse_date, strip
+from parchment.functions.text import any_of, blank_to_null, every, hits, parse_date, strip
+from parchment.patterns import MONTH
 
 
 def red_phrases(text: Column) -> Column:

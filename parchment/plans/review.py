@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parchment.config import CLAUSE_WORDS, DEFAULT, EMPLOYMENT_TYPES, HEADING_WORDS, LABEL_WORDS, METROS, PLACEHOLDERS, RED_PHRASES, ROLE_WORDS, SALARY_KEYWORDS, SCHOOL_WORDS, TEMPLATE_ARTIFACTS
+from parchment.config import CLAUSE_WORDS, DEFAULT, HEADING_WORDS, LABEL_WORDS, METROS, PLACEHOLDERS, RED_PHRASES, ROLE_WORDS, SALARY_KEYWORDS, SCHOOL_WORDS, TEMPLATE_ARTIFACTS
 from parchment.operators import audit, checks, extract, report, rules
 from parchment.plans.catalog import CHAIN, ORACLES, _facts, _list, _quote, query
 from parchment.plans.letters_sql import EXTRACTED
 from parchment.sources import letters as src
+from parchment.patterns import EMPLOYMENT_TYPES
 
 # ---------------------------------------------------------------- audits of the extracted letters in SQL
 
@@ -51,7 +52,7 @@ _SUSPECT = {
     "domain": [("format", "NOT regexp_matches(v, '(?i)^[a-z0-9][a-z0-9.\\-]*\\.[a-z]{2,}$')")],
     "phone": [("digits", f"{_count('v')} NOT BETWEEN 10 AND 13")],
     "registration": [("format", "NOT regexp_matches(v, '^[A-Z][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}$|(?i:^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][A-Z0-9]Z[A-Z0-9]$|^udyam)')")],
-    "employment_type": [("unknown", f"NOT list_contains({_list([n for n, _ in EMPLOYMENT_TYPES])}, v)")],
+    "employment_type": [("unknown", f"NOT list_contains({_list([n for _, n in EMPLOYMENT_TYPES])}, v)")],
     "work_location": [("too long", "length(v) > 50"), ("clause", _rx("v", CLAUSE_WORDS)), ("blank", "length(regexp_replace(v, '[^A-Za-z0-9]', '', 'g')) < 3")],
 }
 
