@@ -27,8 +27,10 @@ from pyspark.sql.window import Window as W
 from parchment.llm.common import cut, run_starts, whole_runs
 
 #: Rows and anchors of one block of the grid, about; anchors that are compared at once.
-ROWS, ANCHORS, AT_ONCE = 8192, 2048, 64
-PLANES = 8
+ROWS, ANCHORS, AT_ONCE = 4096, 2048, 64
+#: Most tasks of a pass; with more cells than that a task takes several.
+MOST_TASKS = 50_000
+PLANES = 6
 #: Widening of intervals for rounding, as a share of both norms.
 SLACK = 1e-9
 #: Whole numbers up to this in size are multiplied as 64-bit ones, larger ones as Python's.
@@ -73,10 +75,10 @@ def planes(q: np.ndarray) -> tuple[np.ndarray, ...]:
 def intervals(anchors: tuple[np.ndarray, ...], code: np.ndarray, norm: np.ndarray, alignment: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the inner product of each anchor (from planes()) with each row (from encode())."""
     bits, low, step, total, lost, size = anchors
-    ones = np.zeros((len(bits), len(code)))
+    ones = np.zeros((len(bits), len(code)), np.uint16 if code.shape[1] * 64 << PLANES <= 1 << 16 else np.uint32)
     for k in range(PLANES):
         for w in range(code.shape[1]):
-            ones += np.bitwise_count(bits[:, k, w, None] & code[:, w]).astype(np.float64) * (1 << k)
+            ones += np.left_shift(np.bitwise_count(bits[:, k, w, None] & code[:, w]), k, dtype=ones.dtype)
     picked = low[:, None] * np.bitwise_count(code).sum(axis=1) + step[:, None] * ones
     along = (2 * picked + (lost.sum(axis=0) - total)[:, None]) / np.sqrt(dim)
     wide = (lost[1] - lost[0])[:, None] / np.sqrt(dim)
@@ -93,8 +95,12 @@ def _top(best: np.ndarray, k: int) -> np.ndarray:
 
 
 def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    if max(np.abs(x).max(initial=0), np.abs(q).max(initial=0)) > LARGE:
-        x, q = x.astype(object), q.astype(object)
+    """Whole inner products of rows of x with q, a vector or columns; as doubles where these hold them exactly."""
+    most = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))
+    if most > LARGE:
+        return x.astype(object) @ q.astype(object)
+    if int(most) ** 2 * x.shape[1] < 1 << 53:
+        return x.astype(np.float64) @ q.astype(np.float64)
     return x @ q
 
 
@@ -165,31 +171,43 @@ def _negatives(k: int, low_percent: int, high_percent: int):
                 part = t.slice(s, e - s)
                 b, given = _Block(part), part.column("positives").to_pylist()
                 for some in np.array_split(b.asked, max(1, -(-len(b.asked) // AT_ONCE))):
-                    if not len(some) or not len(b.rows):
-                        continue
-                    low, high = b.bounds(some)
-                    other = b.row_labels != b.labels[some][:, None]
-                    for i, a in enumerate(some):
-                        known: dict[int, int] = {}
-                        for p in given[a]:
-                            out.extend((b.keys[a], b.ids[a], p["vec_id"], p["score"], n, v) for n, v in _within(b, a, p["score"], low[i], high[i], other[i], k, low_percent, high_percent, known))
+                    if len(some) and len(b.rows):
+                        out.extend(_within(b, some, [given[a] for a in some], k, low_percent, high_percent))
             yield _batch(out, ["key", "anchor_id", "positive_id", "positive_score", "vec_id", "score"])
 
     return rows
 
 
-def _within(b: _Block, anchor: int, score: int, low, high, other, k: int, low_percent: int, high_percent: int, known: dict):
-    at_least, at_most = low_percent * score, high_percent * score
-    if at_least > at_most:
-        return []
-    sure = other & (100 * low >= at_least) & (100 * high <= at_most)
-    floor = _top(np.where(sure, low, -np.inf)[None], k)[0]
-    some = np.flatnonzero(other & (100 * high >= at_least) & (100 * low <= at_most) & (high >= floor))
-    new = np.array([j for j in some if j not in known], np.int64)
-    if len(new):
-        known.update(zip(new.tolist(), b.scored(anchor, new).tolist(), strict=True))
-    found = [(-known[j], b.row_ids[j]) for j in some.tolist() if at_least <= 100 * known[j] <= at_most]
-    return [(n, -v) for v, n in sorted(found)[:k]]
+def _within(b: _Block, anchors: np.ndarray, given: list, k: int, low_percent: int, high_percent: int):
+    """The k best rows within the bounds of each positive of some anchors.
+
+    A row is scored if its interval meets some positive's bounds and reaches the k-th of those rows that surely lie within.
+    Bounds beyond a double's whole numbers are widened by its rounding; what is given out is compared in whole numbers.
+    """
+    low, high = b.bounds(anchors)
+    other = b.row_labels != b.labels[anchors][:, None]
+    most = max(map(len, given), default=0)
+    wanted = np.zeros(other.shape, bool)
+    for p in range(most):
+        score = np.array([g[p]["score"] if p < len(g) else -1 for g in given], np.float64)  # a negative score has no bounds
+        least, greatest = (np.where(score < 0, np.inf, score * x / 100) for x in (low_percent, high_percent))
+        least, greatest = (x * (1 + y * 1e-12) + y for x, y in ((least, -1e-6), (greatest, 1e-6)))
+        sure = other & (low >= least[:, None] + 2e-6 * (1 + least[:, None] * 1e-6)) & (high <= greatest[:, None] - 2e-6 * (1 + greatest[:, None] * 1e-6))
+        floor = _top(np.where(sure, low, -np.inf), k) if sure.any() else np.full(len(anchors), -np.inf)
+        wanted |= other & (high >= np.maximum(least, floor)[:, None]) & (low <= np.where(np.isinf(greatest), -np.inf, greatest)[:, None])
+    columns = np.flatnonzero(wanted.any(axis=0))
+    if not len(columns):
+        return
+    scores = _scores(b.whole[b.rows[columns]], b.whole[anchors].T).T
+    ids = b.row_ids[columns]
+    for i, a in enumerate(anchors):
+        mine = np.flatnonzero(wanted[i, columns])
+        score = scores[i, mine]
+        for x in given[i]:
+            at_least, at_most = -(-low_percent * x["score"] // 100), high_percent * x["score"] // 100  # rounded inwards
+            fits = mine[(score >= at_least) & (score <= at_most)] if at_least <= at_most else mine[:0]
+            for j in fits[_first(scores[i, fits], ids[fits], k)]:
+                yield b.keys[a], b.ids[a], x["vec_id"], x["score"], ids[j], scores[i, j]
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -225,7 +243,7 @@ def _met(index: DataFrame, anchors: DataFrame, n_rows: int, n_anchors: int) -> D
     b = anchors.withColumn("column", own(high)).withColumn("row", every(wide)).withColumn("asked", F.lit(True))
     both = a.unionByName(b, allowMissingColumns=True)
     cell = (F.col("dim") * F.lit(wide).cast("long") + F.col("row")) * high + F.col("column")
-    return both.withColumn("cell", cell).drop("row", "column").repartition("cell").sortWithinPartitions("cell")
+    return both.withColumn("cell", cell).drop("row", "column").repartition(min(MOST_TASKS, 2 * wide * high), "cell").sortWithinPartitions("cell")
 
 
 def hard_negatives(
