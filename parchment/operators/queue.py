@@ -11,25 +11,20 @@ FOLDERS = ["LEGITIMATE", "MANUAL REVIEW", "SUSPICIOUS"]
 
 
 def places(df: DataFrame, group: str, first: Column, second: str, parts: int = 64) -> DataFrame:
-    """df with `place`, from 1 in each group, in the order of first (a number) and second, ties by neither being counted on.
+    """df with `place`, from 1 in each group, in the order of first and second; rows equal in both are placed in any order.
 
-    A group's rows are dealt over `parts` ranges of first, at quantiles that are read once; a row's place is its number in
-    its range and the sizes of the ranges before, so no task holds a whole group.
+    Rows are sorted into `parts` ranges of (group, first, second), so a group of any size, also one whose rows are equal in
+    first, lies in many of them. A row's place is its number in its range and the sizes of its group's ranges before; these
+    are one row for each range and group.
     """
-    df = df.withColumn("__first", first.cast("double"))
-    at = [k / parts for k in range(1, parts)]
-    bounds = {r[group]: r.b for r in df.groupBy(group).agg(F.percentile_approx("__first", at, 10_000).alias("b")).collect()}  # one row a group, of parts numbers
-    part = F.lit(0)
-    for value, found in bounds.items():
-        edges = F.array(*[F.lit(float(b)) for b in sorted(set(found or []))]) if found else F.array().cast("array<double>")
-        part = F.when(F.col(group).eqNullSafe(F.lit(value)), F.size(F.filter(edges, lambda b: b < F.col("__first")))).otherwise(part)
-    df = df.withColumn("__part", part)
-    sizes = df.groupBy(group, "__part").agg(F.count("*").alias("n"))
+    ranged = df.withColumn("__first", first).repartitionByRange(parts, group, "__first", second).sortWithinPartitions(group, "__first", second)
+    # An id is the range's number and, in its lower 33 bits, the row's within it.
+    rows = ranged.withColumns({"__id": F.monotonically_increasing_id(), "__part": F.spark_partition_id()})
+    sizes = rows.groupBy(group, "__part").agg(F.count("*").alias("n"), F.min("__id").alias("__least"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), before.alias("__before")))  # groups * parts rows at most
-    own = F.row_number().over(W.partitionBy(group, "__part").orderBy("__first", second))
-    out = df.withColumn("__own", own).join(starts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
-    return out.withColumn("place", F.col("__before") + F.col("__own")).drop("__first", "__part", "__own", "__g", "__p", "__before")
+    starts = sizes.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), "__least", before.alias("__before"))
+    out = rows.join(starts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return out.withColumn("place", F.col("__before") + F.col("__id") - F.col("__least") + 1).drop("__first", "__id", "__part", "__g", "__p", "__least", "__before")
 
 
 def unprocessed(letters: DataFrame, done: DataFrame, most: int = 0) -> DataFrame:
