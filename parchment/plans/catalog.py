@@ -169,15 +169,15 @@ def _(spark, sf_dir):
     return forensic.metadata_reasons(src.build(spark, sf_dir, src.META), DEFAULT.as_of).select("letter_id", "reasons", "online_tool")
 
 
-_PAGES = "SELECT letter_id, page_no, CASE WHEN letter_id % 3 = 0 THEN 'short' ELSE 'a page with enough text on it' END AS text, CAST(100 + letter_id % 100 AS INT) AS n_drawings, CAST(letter_id % 2 AS INT) AS n_fonts"
+FEATURES = "SELECT letter_id, page_no, CASE WHEN letter_id % 3 = 0 THEN 'short' ELSE 'a page with enough text on it' END AS text, CAST(100 + letter_id % 100 AS INT) AS n_drawings, CAST(letter_id % 2 AS INT) AS n_fonts"
 
 
-@query("composite_forgery", f"""WITH i AS ({src.plain(src.IMAGES)}), p AS ({_PAGES} FROM (SELECT DISTINCT letter_id, page_no FROM i)),
+@query("composite_forgery", f"""WITH i AS ({src.plain(src.IMAGES)}), p AS ({FEATURES} FROM (SELECT DISTINCT letter_id, page_no FROM i)),
 b AS (SELECT letter_id, page_no, count(*) FILTER (CAST(px_w AS BIGINT) * px_h > 1000000) AS lg, count(*) FILTER (CAST(px_w AS BIGINT) * px_h < 80000) AS sm FROM i GROUP BY ALL)
 SELECT p.letter_id, p.page_no FROM p JOIN b USING (letter_id, page_no) WHERE length(trim(text)) < 20 AND lg >= 1 AND sm >= 1 AND n_drawings > 150 AND n_fonts = 0""")
 def _(spark, sf_dir):
     images = src.build(spark, sf_dir, src.IMAGES)
-    pages = spark.sql(_PAGES + " FROM (SELECT DISTINCT letter_id, page_no FROM {images})", images=images)
+    pages = spark.sql(FEATURES + " FROM (SELECT DISTINCT letter_id, page_no FROM {images})", images=images)
     return forensic.composite_pages(images, pages)
 
 

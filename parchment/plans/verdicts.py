@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from parchment.config import ANSWER_KEYS, DEFAULT, INFORMATIONAL, PILLARS, REPORT_PILLARS
-from parchment.operators import assess, extract, forensic, lookups, report, rules
-from parchment.plans.catalog import _ONLINE, _SUM, _YEAR, _list, _quote, chain, query
-from parchment.plans.letters_sql import EXTRACTED
+from parchment.config import ANSWER_KEYS, DEFAULT, INFORMATIONAL, PILLARS, RED_PHRASES, REPORT_PILLARS, TEMPLATE_ARTIFACTS
+from parchment.operators import assess, extract, lookups, report, rules, signals
+from parchment.plans.catalog import _LINES, _MADE, _ONLINE, _SHEETS, _SUM, _YEAR, FEATURES, ORACLES, _list, _quote, chain, query
+from parchment.plans.letters_sql import EXTRACTED, LETTERS
 from parchment.sources import letters as src
+from parchment.sources import store
 
 LISTS = ["red_phrases", "artifacts", "warnings", "tampering", "composites"]
 
@@ -26,11 +29,16 @@ def _whole(key: str) -> str:
 _SCORES = ", ".join(f"{f'CASE WHEN images THEN {_whole(k + chr(95) + "score")} END' if n in ('image', 'signature') else _whole(k + '_score')} AS {n}_score, coalesce(j ->> '$.{k}_reasoning', '') AS {n}_reasoning" for n, k in ANSWER_KEYS.items())
 _RAW = "CASE WHEN json_type(j -> '$.flags') = 'ARRAY' THEN (CAST(j -> '$.flags' AS JSON[]))[1:15] ELSE [] END"
 _FLAGS = f"list_transform({_RAW}, lambda f: {{'severity': coalesce(f ->> '$.severity', 'yellow'), 'title': coalesce(f ->> '$.title', ''), 'detail': coalesce(f ->> '$.detail', '')}})"
-ANSWERS = f"""a0 AS (SELECT *, n_rendered > 0 AS images, {_OBJECT} AS parsed FROM ({src.plain(src.DETAILS)}) AS z), a1 AS (SELECT *, CASE WHEN json_type(parsed) = 'OBJECT' AND len(json_keys(parsed)) > 0 THEN parsed END AS j FROM a0),
+def answers(details: str) -> str:
+    """CTEs up to a2: the scorers' answers, parsed, over details (SQL)."""
+    return f"""a0 AS (SELECT *, n_rendered > 0 AS images, {_OBJECT} AS parsed FROM ({details}) AS z), a1 AS (SELECT *, CASE WHEN json_type(parsed) = 'OBJECT' AND len(json_keys(parsed)) > 0 THEN parsed END AS j FROM a0),
 a2 AS (SELECT *, {_SCORES}, {_FLAGS} AS model_flags, coalesce(CAST(j -> '$.warnings' AS VARCHAR[]), []) AS model_warnings, j IS NULL AS failed, nullif(j ->> '$.company_name_found', '') AS name_found,
   CASE WHEN j IS NULL THEN 'AI scoring could not be completed (unreadable response) — manual review required' ELSE coalesce(j ->> '$.summary', '') END AS summary, CASE WHEN j IS NULL THEN 'REVIEW' ELSE coalesce(j ->> '$.recommended_action', 'REVIEW') END AS advice FROM a1)"""
 
 
+ANSWERS = answers(src.plain(src.DETAILS))
+
+
 def _details(spark, sf_dir):
     df = src.build(spark, sf_dir, src.DETAILS)
     df = df.withColumns({c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, "\\|")) for c in LISTS})
@@ -77,8 +85,8 @@ _FULL = " + ".join([*(f"CASE WHEN coalesce(CAST({c} AS VARCHAR), '') = '' THEN 0
 _SPLIT = ", ".join(f"CASE WHEN {c} = '' THEN [] ELSE string_split({c}, '|') END AS {c}" for c in LISTS)
 
 
-def rich(fields: str) -> str:
-    """CTEs up to k: the chain of rules over facts of which `fields` (SQL) holds the letters' own part, with all texts."""
+def rich(fields: str, details: str | None = None) -> str:
+    """CTEs up to k: the chain of rules over facts of which `fields` (SQL) holds the letters' own part, with all texts. details: other ones than DETAILS."""
     base = f"""SELECT f.*, d.* EXCLUDE (letter_id, parsed, j, response) REPLACE ({_SPLIT}), len(CASE WHEN d.red_phrases = '' THEN [] ELSE string_split(d.red_phrases, '|') END) AS n_red, d.artifacts <> '' AS template, coalesce(d.suspicious, false) AS suspicious_metadata,
   d.online_tool IS NOT NULL AS online_edit, d.tampering <> '' AS floating_date, d.composites <> '' AS composite, round(({_FULL}) / 10.0, 2) AS completeness_ FROM ({fields}) AS f JOIN a2 AS d ON f.letter_id = d.letter_id"""
     say = lambda *parts: " || ".join(p if p.startswith("(") else _quote(p) for p in parts)
@@ -118,7 +126,7 @@ def rich(fields: str) -> str:
             own = f"coalesce(nullif({n}_reasoning, ''), CASE WHEN {place} IS NULL THEN 'No raster {place} extracted' ELSE '{place.title()} detected at ' || {place} END)"
         return f"CASE WHEN {n}_score IS NULL THEN {notice} ELSE {own} END AS {n}_why"
 
-    return f"""{ANSWERS}, {chain(base, 'completeness_')},
+    return f"""{ANSWERS if details is None else answers(details)}, {chain(base, 'completeness_')},
 k0 AS (SELECT *, {gap} AS gap_note, {age} AS age_note, {pay} AS salary_note, CASE WHEN gap_days IS NOT NULL THEN gap_days BETWEEN 0 AND 90 END AS gap_valid, coalesce(company_name, name_found) AS name_shown, {seen} AS images_reasoning, {', '.join(map(reasoning, PILLARS))} FROM j),
 k1 AS (SELECT *, list_transform(penalties, lambda p: {{'reason': {reason}, 'points': p.points}}) AS penalty_reasons, {why} AS gate_reason FROM k0),
 k2 AS (SELECT *, {flags} AS raised FROM k1), k AS (SELECT *, {first} AS all_flags FROM k2)"""
@@ -199,16 +207,48 @@ _JOINED = f"""SELECT x.letter_id, x.domain, x.offer_date, x.joining_date, x.ctc,
   CASE WHEN x.domain IS NULL THEN false ELSE coalesce(d.lookup_error, true) END AS dns_error, o.found, o.checked FROM x LEFT JOIN ({src.plain(_LOOKUPS)}) AS d ON x.domain = d.domain JOIN ({src.plain(_PRESENCE)}) AS o ON x.letter_id = o.letter_id"""
 
 
+def _store(spark, sf_dir):
+    """The letters' six tables in one store: what lies in them of one letter is in the same bucket."""
+    tables = {"letters": src.letters(spark, sf_dir).select("letter_id", "full_text")} | {n: src.build(spark, sf_dir, sql) for n, sql in (("pages", _SHEETS), ("lines", _LINES), ("images", src.IMAGES), ("meta", src.META))}
+    tables["features"] = spark.sql(f"{FEATURES} FROM (SELECT DISTINCT letter_id, page_no FROM {{images}})", images=tables["images"])
+    return store.put(spark, tables, store.shared_folder(spark), f"letters_{uuid.uuid4().hex}")
+
+
 def _letters_assessed(spark, sf_dir):
-    letters = extract.extract(src.letters(spark, sf_dir)).drop("file_name").withColumn("source", F.lit("rules"))
+    tables = _store(spark, sf_dir)
+    own = signals.signals(*[tables[n] for n in ("letters", "pages", "features", "lines", "images", "meta")], DEFAULT.as_of)
+    rest = src.build(spark, sf_dir, src.DETAILS).select("letter_id", "warnings", "dns_note", "online_note", "response")
+    asked = own.join(rest, "letter_id").withColumn("warnings", F.filter(F.split("warnings", "\\|"), lambda w: w != ""))
+    asked = asked.withColumn("answer", rules.parse_scores(F.col("response"), F.col("n_rendered") > 0)).drop("response")
+    letters = extract.extract(tables["letters"]).withColumn("source", F.lit("rules"))
     known = lookups.join_dns(letters, src.build(spark, sf_dir, _LOOKUPS)).withColumnRenamed("lookup_error", "dns_error").withColumn("mx", F.coalesce("mx", F.lit(False)))
-    return assess.assess(known.join(src.build(spark, sf_dir, _PRESENCE), "letter_id").join(_details(spark, sf_dir), "letter_id"))
+    return assess.assess(known.join(src.build(spark, sf_dir, _PRESENCE), "letter_id").join(asked, "letter_id"))
+
+
+_FINDINGS = f"SELECT letter_id, string_agg(finding, '|' ORDER BY page_no, line_no, finding) AS v FROM ({ORACLES['floating_dates']}) AS y GROUP BY letter_id"
+_SMALL = f"SELECT letter_id, page_no, count(*) FILTER (CAST(px_w AS BIGINT) * px_h < 80000) AS n FROM ({src.plain(src.IMAGES)}) AS y GROUP BY letter_id, page_no"
+_COMPOSED = f"SELECT c.letter_id, string_agg('page ' || c.page_no || ': ' || replace({_quote(signals.COMPOSED)}, '{{n}}', CAST(n AS VARCHAR)), '|' ORDER BY c.page_no) AS v FROM ({ORACLES['composite_forgery']}) AS c JOIN ({_SMALL}) AS s ON c.letter_id = s.letter_id AND c.page_no = s.page_no GROUP BY c.letter_id"
+_TEXT_SIGNS = f"SELECT letter_id, array_to_string(list_filter({_list(RED_PHRASES)}, lambda p: contains(lower(full_text), lower(p))), '|') AS red, array_to_string(list_concat(list_filter({_list(TEMPLATE_ARTIFACTS)}, lambda p: contains(lower(full_text), lower(p))), regexp_extract_all(full_text, '\\[[A-Z][A-Z\\s]{{2,}}\\]')), '|') AS holders FROM letters"
+#: DETAILS with every column that a letter's own stage computes replaced by it.
+_OWN = f"""SELECT z.* REPLACE (coalesce(t.red, '') AS red_phrases, coalesce(t.holders, '') AS artifacts, coalesce(l.v, '') AS tampering, coalesce(c.v, '') AS composites, {_MADE} AS created_with, m.author AS author, CAST(m.created AS DATE) AS created_on, CAST(m.modified AS DATE) AS modified_on,
+  r.reasons <> '' AS suspicious, nullif(r.reasons, '') AS metadata_reasons, r.online_tool AS online_tool, i.logo AS logo, i.signature AS signature, coalesce(i.has_stamp, false) AS has_stamp, coalesce(len(string_split(p.pages, ',')), 0) AS n_rendered)
+FROM ({src.plain(src.DETAILS)}) AS z JOIN ({_TEXT_SIGNS}) AS t ON z.letter_id = t.letter_id LEFT JOIN ({_FINDINGS}) AS l ON z.letter_id = l.letter_id LEFT JOIN ({_COMPOSED}) AS c ON z.letter_id = c.letter_id LEFT JOIN ({src.plain(src.META)}) AS m ON z.letter_id = m.letter_id
+LEFT JOIN ({ORACLES['metadata_suspicion']}) AS r ON z.letter_id = r.letter_id LEFT JOIN ({ORACLES['image_classify']}) AS i ON z.letter_id = i.letter_id LEFT JOIN ({ORACLES['page_selection']}) AS p ON z.letter_id = p.letter_id"""
+
+
+@query("letter_signals", f"{LETTERS} SELECT letter_id, red_phrases, artifacts, tampering, composites, created_with, author, CAST(created_on AS VARCHAR) AS created_on, suspicious, metadata_reasons, online_tool, logo, signature, has_stamp, CAST(n_rendered AS BIGINT) AS n_rendered FROM ({_OWN}) AS s")
+def _(spark, sf_dir):
+    """What each letter's own texts, pages, lines, images and metadata tell, joined without an exchange."""
+    tables = _store(spark, sf_dir)
+    df = signals.signals(*[tables[n] for n in ("letters", "pages", "features", "lines", "images", "meta")], DEFAULT.as_of)
+    joined = [F.concat_ws("|", c).alias(c) for c in ("red_phrases", "artifacts", "tampering", "composites")]
+    return df.select("letter_id", *joined, "created_with", "author", F.col("created_on").cast("string").alias("created_on"), "suspicious", "metadata_reasons", "online_tool", "logo", "signature", "has_stamp", F.col("n_rendered").cast("long").alias("n_rendered"))
 
 
-@query("letter_verdicts", f"{EXTRACTED}, {rich(_JOINED)} SELECT letter_id, verdict, final_score, action, gate_reason, array_to_string(list_transform(all_flags, lambda f: f.severity || '/' || f.title), '|') AS flags FROM k")
+@query("letter_verdicts", f"{EXTRACTED}, {rich(_JOINED, _OWN)} SELECT letter_id, verdict, final_score, action, gate_reason, array_to_string(list_transform(all_flags, lambda f: f.severity || '/' || f.title || '/' || f.detail), '|') AS flags FROM k")
 def _(spark, sf_dir):
-    """Letters from their texts to their verdicts: fields extracted, domains looked up, presence and answers joined."""
-    return _letters_assessed(spark, sf_dir).select("letter_id", "verdict", "final_score", "action", "gate_reason", _joined(F.col("flags"), "severity", "title").alias("flags"))
+    """Letters from their texts, pages, images and metadata to their verdicts: fields extracted, domains looked up, presence and answers joined."""
+    return _letters_assessed(spark, sf_dir).select("letter_id", "verdict", "final_score", "action", "gate_reason", _joined(F.col("flags"), "severity", "title", "detail").alias("flags"))
 
 
 _SENT = {
@@ -217,7 +257,7 @@ _SENT = {
 }
 
 
-@query("scoring_contexts", f"{EXTRACTED}, {rich(_JOINED.replace('x.letter_id, ', 'x.letter_id, x.full_text, x.hr_email, ', 1))} SELECT letter_id, {', '.join(f'{sql} AS {n}' for n, (_, sql) in _SENT.items())} FROM k")
+@query("scoring_contexts", f"{EXTRACTED}, {rich(_JOINED.replace('x.letter_id, ', 'x.letter_id, x.full_text, x.hr_email, ', 1), _OWN)} SELECT letter_id, {', '.join(f'{sql} AS {n}' for n, (_, sql) in _SENT.items())} FROM k")
 def _(spark, sf_dir):
     """What a scorer is given of each letter, as JSON, read back."""
     df = _letters_assessed(spark, sf_dir).select("letter_id", report.context().alias("c"))
