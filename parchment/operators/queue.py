@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from parchment.sources.store import cut
+
 #: The verdicts' folders in the order in which they are searched.
 FOLDERS = ["LEGITIMATE", "MANUAL REVIEW", "SUSPICIOUS"]
 
@@ -18,8 +20,9 @@ def places(df: DataFrame, group: str, first: Column, second: str, parts: int = 6
     are one row for each range and group.
     """
     ranged = df.withColumn("__first", first).repartitionByRange(parts, group, "__first", second).sortWithinPartitions(group, "__first", second)
-    # An id is the range's number and, in its lower 33 bits, the row's within it.
-    rows = ranged.withColumns({"__id": F.monotonically_increasing_id(), "__part": F.spark_partition_id()})
+    # An id is the range's number and, in its lower 33 bits, the row's within it. Two plans would sample two sets of ranges, so
+    # rows are written with their ids.
+    rows = cut(ranged.withColumns({"__id": F.monotonically_increasing_id(), "__part": F.spark_partition_id()}))
     sizes = rows.groupBy(group, "__part").agg(F.count("*").alias("n"), F.min("__id").alias("__least"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), "__least", before.alias("__before"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.config import REPORT_PILLARS
@@ -131,7 +131,29 @@ def score_of(page: Column) -> Column:
     return F.regexp_extract(page, f"{SCORE}([0-9]+)<", 1).try_cast("int")
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """(file_name, verdict, html) into a folder for each verdict; unknown verdicts go where people look."""
+def write_reports(reports: DataFrame, path: str, batch: int) -> None:
+    """(file_name, verdict, html) into path/batch=N, a folder for each verdict there; unknown verdicts go where people look.
+
+    The batch's number is its version: writing it again replaces what it wrote before and touches no other batch.
+    """
     verdict = F.when(F.col("verdict").isin(VERDICTS), F.col("verdict")).otherwise("MANUAL REVIEW")
-    reports.select("file_name", "html", F.replace(verdict, F.lit(" "), F.lit("_")).alias("verdict")).write.mode("append").partitionBy("verdict").parquet(path)
+    reports.select("file_name", "html", F.replace(verdict, F.lit(" "), F.lit("_")).alias("verdict")).write.mode("overwrite").partitionBy("verdict").parquet(f"{path}/batch={batch}")
+
+
+def written_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, verdict, html, batch): each letter's report, of several batches the latest's."""
+    found = spark.read.schema("file_name string, html string, batch long, verdict string").parquet(path)
+    latest = found.groupBy("file_name").agg(F.max_by(F.struct("verdict", "html", "batch"), F.struct("batch", "verdict", "html")).alias("r"))
+    return latest.select("file_name", "r.verdict", "r.html", "r.batch")
+
+
+def report_sink(*targets: str):
+    """A function for foreachBatch that writes each batch to all targets. A batch that is run again, after a crash between two targets also, leaves each report once in each."""
+
+    def write(reports: DataFrame, batch: int) -> None:
+        kept = reports.persist()
+        for target in targets:
+            write_reports(kept, target, batch)
+        kept.unpersist()
+
+    return write

@@ -11,12 +11,20 @@ from parchment.operators import forensic
 COMPOSED = "composited document — overlaid text + {n} pasted image(s) on a background letterhead, no text layer"
 
 
-def composed_pages(images: DataFrame, features: DataFrame) -> DataFrame:
-    """(letter_id, page_no, finding) of pages that forensic.composite_pages() finds."""
-    small = images.groupBy("letter_id", "page_no").agg(F.count_if(F.col("px_w").cast("long") * F.col("px_h") < 80_000).alias("n"))
+def composed(images: DataFrame, features: DataFrame) -> DataFrame:
+    """(letter_id, composites): the findings of the pages that forensic.composite_pages() finds, in their order.
+
+    Both sides are grouped by letter before they meet, so that they meet by letter alone, which is what a store is bucketed by.
+    """
+    area = F.col("px_w").cast("long") * F.col("px_h")
+    by = images.groupBy("letter_id", "page_no").agg(F.count_if(area > 1_000_000).alias("large"), F.count_if(area < 80_000).alias("small"))
+    by = by.groupBy("letter_id").agg(F.map_from_entries(F.collect_list(F.struct("page_no", F.struct("large", "small")))).alias("sizes"))
+    pages = features.groupBy("letter_id").agg(F.sort_array(F.collect_list(F.struct("page_no", F.length(F.trim("text")).alias("n_text"), "n_drawings", "n_fonts"))).alias("pages"))
     before, after = COMPOSED.split("{n}")
-    finding = F.concat(F.lit("page "), F.col("page_no").cast("string"), F.lit(f": {before}"), F.col("n").cast("string"), F.lit(after))
-    return forensic.composite_pages(images, features).join(small, ["letter_id", "page_no"]).select("letter_id", "page_no", finding.alias("finding"))
+    size = lambda p: F.element_at("sizes", p["page_no"])
+    odd = F.filter("pages", lambda p: (p["n_text"] < 20) & (size(p)["large"] >= 1) & (size(p)["small"] >= 1) & (p["n_drawings"] > 150) & (p["n_fonts"] == 0))
+    finding = F.transform(odd, lambda p: F.concat(F.lit("page "), p["page_no"].cast("string"), F.lit(f": {before}"), size(p)["small"].cast("string"), F.lit(after)))
+    return pages.join(by, "letter_id").select("letter_id", finding.alias("composites"))
 
 
 def listed(findings: DataFrame, name: str, *order: str) -> DataFrame:
@@ -40,7 +48,7 @@ def signals(letters: DataFrame, pages: DataFrame, features: DataFrame, lines: Da
     seen = forensic.image_summary(images).select("letter_id", "logo", "signature", "has_stamp")
     shown = forensic.page_selection(pages).select("letter_id", F.size("pages").alias("n_rendered"))
     out = text
-    for more in (listed(forensic.floating_dates(lines), "tampering", "page_no", "line_no"), listed(composed_pages(images, features), "composites", "page_no"), made, seen, shown):
+    for more in (listed(forensic.floating_dates(lines), "tampering", "page_no", "line_no"), composed(images, features), made, seen, shown):
         out = out.join(more, "letter_id", "left")
     none = F.array().cast("array<string>")
     return out.withColumns({c: F.coalesce(c, none) for c in ("red_phrases", "artifacts", "tampering", "composites")} | {"has_stamp": F.coalesce("has_stamp", F.lit(False)), "suspicious": F.coalesce("suspicious", F.lit(False)), "n_rendered": F.coalesce("n_rendered", F.lit(0))})

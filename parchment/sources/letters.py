@@ -9,6 +9,9 @@ The SQL is plain enough to run unchanged on another engine that checks the resul
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parchment.operators import intake
 
 LETTERS = """
 SELECT letter_id, concat('letter_', CAST(letter_id AS STRING), '.pdf') AS file_name, nation,
@@ -158,10 +161,21 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LETTERS, **used)
 
 
-def read_letters(spark: SparkSession, path: str, max_bytes: int = 50 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) text letters of a folder. Those too large are rejected unread; empty files are no rows at all."""
+def read_letters(spark: SparkSession, path: str, max_bytes: int = 50 * 1024 * 1024, manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) text letters of a folder. Rejected, with a reason: files of another kind, those too large, which stay unread, and what is not text.
+
+    A file without a byte gives no row to read. manifest, a table of the file_names that should be there, tells of these: names
+    that nothing was read for are rejected as empty.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = "regexp_extract(path, '([^/]+)$', 1) AS file_name"
-    good = f"length <= {max_bytes}"
-    accepted = files.filter(good).selectExpr("xxhash64(path) AS letter_id", name, "CAST(ceil(length / 1024) AS INT) AS file_size_kb", "decode(content, 'UTF-8') AS full_text")
-    return accepted, files.filter(f"NOT ({good})").selectExpr(name, "length", "'too large' AS reason")
+    name, size = F.regexp_extract("path", "([^/]+)$", 1), F.col("length")
+    known = files.select(F.xxhash64("path").alias("letter_id"), name.alias("file_name"), size.alias("length"), F.ceil(size / 1024).cast("int").alias("file_size_kb"), F.when(size.between(1, max_bytes), F.col("content")).alias("content"))
+    text = known.withColumn("full_text", F.expr("try_validate_utf8(CAST(content AS STRING))"))
+    # Contents that are not UTF-8 come back as null, which is no text; what isn't read for its size has that reason.
+    unread = intake.faults(F.col("length"), F.col("file_name"), F.coalesce("full_text", F.when(F.col("content").isNotNull(), "\x00"), F.lit("")), max_bytes)
+    good, bad = intake.sift(text, unread)
+    bad = bad.select("file_name", "length", "reason")
+    if manifest is not None:
+        nothing = manifest.select("file_name").distinct().join(known.select("file_name").distinct(), "file_name", "left_anti")
+        bad = bad.unionByName(nothing.select("file_name", F.lit(0).cast("long").alias("length"), F.lit("empty file").alias("reason")))
+    return good.select("letter_id", "file_name", "file_size_kb", "full_text"), bad

@@ -24,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as it is now, written to the shared folder: what is numbered or ranged stays so, whichever executor is lost."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)
+
+
 def put(spark: SparkSession, tables: dict[str, DataFrame], folder: str, name: str, buckets: int | None = None) -> dict[str, DataFrame]:
     """The tables, written as `{name}_{table}` under folder in so many buckets by letter, and read again.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.config import DEFAULT, Settings
 from parchment.functions.text import slug
-from parchment.operators import extract, forensic
+from parchment.operators import extract, forensic, report
 
 SCHEMA = "letter_id long, file_name string, full_text string"
 
@@ -25,3 +25,9 @@ def start(spark: SparkSession, inbox: str, out: str, checkpoint: str, every: str
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", max_files).parquet(inbox)
     writer = screen(stream, settings).writeStream.format("parquet").partitionBy("screen").option("path", out).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def start_reports(stream: DataFrame, checkpoint: str, *targets: str, every: str | None = None):
+    """Writes a stream of (file_name, verdict, html) to all targets, each report once whatever is run again."""
+    writer = stream.writeStream.foreachBatch(report.report_sink(*targets)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

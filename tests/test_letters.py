@@ -135,4 +135,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("")
     (tmp_path / "c.txt").write_text("x" * 2000)
     good, bad = src.read_letters(spark, str(tmp_path), max_bytes=1000)
-    assert [r.file_name for r in good.collect()] == ["a.txt"] and {(r.file_name, r.reason) for r in bad.collect()} == {("c.txt", "too large")}
+    (tmp_path / "d.docx").write_text("x")
+    (tmp_path / "e.txt").write_bytes(b"\xff\xfe\x00")
+    assert [r.file_name for r in good.collect()] == ["a.txt"] and good.first().full_text == "Date: 2025-01-02"
+    manifest = spark.createDataFrame([(f.name,) for f in tmp_path.iterdir()], "file_name string")
+    good, bad = src.read_letters(spark, str(tmp_path), 1000, manifest)
+    assert {(r.file_name, r.reason) for r in bad.collect()} == {("b.txt", "empty file"), ("c.txt", "too large"), ("d.docx", "not a letter file"), ("e.txt", "not text")} and good.count() == 1

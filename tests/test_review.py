@@ -74,7 +74,7 @@ def test_reports(spark, tmp_path):
     df = df.withColumn("html", report.html(F.col("file_name"), [("Verdict", F.col("verdict"))], F.col("score"), F.col("flags")))
     first = df.filter("score = 7").first().html
     assert "a&lt;b&gt;&amp;&quot;&#x27;" in first and '<li class="red">x &amp; y</li>' in first
-    report.write_reports(df, str(tmp_path / "r"))
+    report.write_reports(df, str(tmp_path / "r"), 0)
     back = spark.read.parquet(str(tmp_path / "r")).select("verdict", report.score_of(F.col("html")).alias("score"))
     assert sorted(map(tuple, back.collect())) == [("MANUAL_REVIEW", 100), ("SUSPICIOUS", 7)]
     assert spark.range(1).select(report.score_of(F.lit("none"))).first()[0] is None
