@@ -58,6 +58,59 @@ def any_of(conditions: list[Column]) -> Column:
 
 
 def parse_date(token: Column) -> Column:
+    """A date of whole days in a common written form, else in any that spelled_date() reads; null for anything else."""
+    return F.coalesce(common_date(token), F.when(token.rlike("[0-9]"), spelled_date(token)))
+
+
+# Words of a written date. Those of the second list say nothing.
+MONTH_WORDS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+DATE_FILLERS = ["of", "the", "day", "on", "at", "and", "ad", "t", "st", "nd", "rd", "th"]
+WEEKDAY = r"(?:mon|tue|wed|thu|fri|sat|sun)(?:day|s|sday|nesday|rs|rsday|urday)?"
+MONTH_WORD = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+CLOCK = r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?\s*(?:[ap]\.?m\b\.?)?\s*(?:\(?(?:utc|gmt|ist|est|edt|cst|cdt|pst|pdt|bst|cet|cest|z)\)?)?(?:\s*[+-][0-9]{2}:?[0-9]{2})?"
+
+
+def spelled_date(text: Column) -> Column:
+    """A date of whole days by a fold over the words and numbers of a text; null if any of them has no place in a date.
+
+    A clock time with its zone, weekdays and words that say nothing are passed over. A named month takes one place; numbers
+    take the others in their order. Eight digits alone are year, month and day. A number of four digits, or above 31, is the year,
+    wherever it stands; without one the last is. Year first, what follows is month and day, else day and month; a month above
+    12 changes places with the day. Years of two digits lie between 1976 and 2075. Without a day, or with more than one month
+    by name, there is no date.
+    """
+    plain = F.regexp_replace(F.lower(strip(text)), rf"(?<![0-9]){CLOCK}", " ")
+    words = F.regexp_extract_all(plain, F.lit(r"[a-z]+|[0-9]+|[^a-z0-9\s,./\-'’]"), F.lit(0))
+    month = lambda w: F.array_position(F.array(*[F.lit(m) for m in MONTH_WORDS]), F.substring(w, 1, 3)).cast("int")
+    start = F.struct(F.array().cast("array<int>").alias("numbers"), F.lit(0).alias("month"), F.lit(False).alias("compact"), F.lit(True).alias("good"))
+
+    def step(held: Column, w: Column) -> Column:
+        named, digits, eight = w.rlike(f"^{MONTH_WORD}$"), w.rlike("^[0-9]{1,4}$"), w.rlike("^[0-9]{8}$") & (F.size(held["numbers"]) == 0)
+        parts = F.transform(F.array(F.substring(w, 1, 4), F.substring(w, 5, 2), F.substring(w, 7, 2)), lambda x: x.try_cast("int"))
+        numbers = F.when(digits, F.concat(held["numbers"], F.array(w.try_cast("int")))).when(eight, parts).otherwise(held["numbers"])
+        good = held["good"] & (digits | eight | (named & (held["month"] == 0)) | w.isin(DATE_FILLERS) | w.rlike(f"^{WEEKDAY}$"))
+        return F.struct(numbers.alias("numbers"), F.when(named, month(w)).otherwise(held["month"]).alias("month"), (held["compact"] | eight).alias("compact"), good.alias("good"))
+
+    def whole(x: Column) -> Column:
+        n, named = x["numbers"], x["month"] > 0
+        big = F.array_position(F.transform(n, lambda v: v > 31), F.lit(True)).cast("int")
+        at = F.when(big > 0, big).otherwise(F.size(n))
+        rest = F.filter(n, lambda v, k: k != at - 1)
+        one, two = F.try_element_at(rest, F.lit(1)), F.try_element_at(rest, F.lit(2))
+        first_year = at == 1
+        m = F.when(named, x["month"]).when(first_year, one).otherwise(two)
+        d = F.when(named, one).when(first_year, two).otherwise(one)
+        y = F.try_element_at(n, at)
+        year = F.when(y < 76, y + 2000).when(y < 100, y + 1900).otherwise(y)
+        swap = ~named & (m > 12) & (d <= 12)
+        day = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.when(swap, d).otherwise(m).cast("string"), F.when(swap, m).otherwise(d).cast("string"))
+        fits = x["good"] & (F.size(n) == F.when(named, 2).otherwise(3)) & ~(x["compact"] & named)
+        return F.when(fits, F.try_to_date(day, "yyyy-M-d"))
+
+    return let(F.aggregate(words, start, step), whole)
+
+
+def common_date(token: Column) -> Column:
     """A date of whole days in one of many written forms, days before months; null for anything else.
 
     A weekday in front and a time behind are passed over; signs between the parts may be blanks, points, commas, strokes

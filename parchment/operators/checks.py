@@ -1,15 +1,18 @@
 """Checks of a letter that need no model: each is green, yellow or red from the letter's own columns.
 
-What a scoring model answers is taken from its table of responses; these rules stand in where there is none. The two checks
-that need eyes on the page (other names in the body, fonts) are left out, so are the halves of scores that judge language.
+What a scoring model answers is taken from its table of responses; these rules stand in where there is none. checks() has the
+thirteen of a letter's own text; name_checks() and consistency() the two that look over its pages. Fonts are not looked at,
+and the halves of scores that judge language are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from parchment.config import METROS, SALARY_KEYWORDS
+from parchment.functions.names import agreement
 from parchment.functions.text import any_of, one_of
 from parchment.operators.forensic import placeholders, template_artifacts
 
@@ -62,6 +65,32 @@ def checks(text: str = "full_text") -> Column:
     return F.array(*[F.struct(F.lit(name).alias("check"), severity.alias("severity")) for name, severity in known.items()])
 
 
+def name_checks(mentions: DataFrame) -> DataFrame:
+    """(letter_id, candidate, others, signatory, signatory_off) from (letter_id, page_no, kind, name): names over a letter's pages.
+
+    candidate: green if all pages name the one that the first page addresses, in whatever form; red if there are two others or
+    more and none is that one; else yellow. others: mentions of another name. signatory: consistent, form (the same name in
+    another form on some page) or other; signatory_off: 2 points where it isn't consistent. A letter that names nobody of a kind
+    is green, or consistent; mentions without a name are none.
+    """
+    first = W.partitionBy("letter_id", "kind").orderBy("page_no", "name")
+    m = mentions.filter("name IS NOT NULL").withColumns({"k": F.row_number().over(first), "base": F.first("name").over(first)})
+    m = m.filter("k > 1").withColumn("how", agreement(F.col("name"), F.col("base")))
+    is_, count = lambda kind: F.col("kind") == kind, lambda c: F.count_if(c)
+    by = m.groupBy("letter_id").agg(count(is_("candidate")).alias("n"), count(is_("candidate") & (F.col("how") == "other")).alias("others"), count(is_("signatory") & (F.col("how") == "other")).alias("strange"), count(is_("signatory") & (F.lower(F.trim("name")) != F.lower(F.trim("base")))).alias("forms"))
+    every = mentions.select("letter_id").distinct().join(by, "letter_id", "left").na.fill(0, ["n", "others", "strange", "forms"])
+    candidate = F.when(F.col("others") == 0, "green").when((F.col("others") >= 2) & (F.col("others") == F.col("n")), "red").otherwise("yellow")
+    signatory = F.when(F.col("strange") > 0, "other").when(F.col("forms") > 0, "form").otherwise("consistent")
+    return every.select("letter_id", candidate.alias("candidate"), "others", signatory.alias("signatory"), F.when(signatory == "consistent", 0).otherwise(2).alias("signatory_off"))
+
+
+def consistency() -> Column:
+    """The last check, of the document's consistency, from composites, tampering, online_tool and signatory: red for what was
+    put together or edited online beside a floating date, yellow for a floating date or a signatory in two forms."""
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    return _pick(some("composites") | (some("tampering") & F.col("online_tool").isNotNull()), some("tampering") | (F.col("signatory") != "consistent"))
+
+
 def clauses(text: Column) -> Column:
     """Which of the four clauses the text holds, in their order."""
     return F.array_compact(F.array(*[F.when(text.rlike(regex), F.lit(name)) for name, regex in CLAUSES.items()]))

@@ -80,6 +80,50 @@ def online(evidence: DataFrame) -> DataFrame:
     return by.select("key", F.col("hit").isNotNull().alias("found"), F.col("hit.method").alias("method"), checked.alias("checked"), note.alias("note"))
 
 
+#: A page of more characters than that is a site, and not a parking page; titles of a search that are looked at.
+SITE_CHARS, TITLES_TRIED = 1500, 3
+
+
+def website_decisions(attempts: DataFrame) -> DataFrame:
+    """(domain, hit, error, note) from stored attempts (domain, rank, url, status, n_chars, failure).
+
+    failure is null for an answer, tls for a handshake that failed, else whatever kept the server from being reached. Attempts count
+    in order of rank: the first that answered 200 with more than SITE_CHARS characters is the hit. A failed handshake shows
+    that there is a server; a domain of which no attempt came that far is unreachable, which is an error and no finding.
+    """
+    live = F.col("failure").isNull() & (F.col("status") == 200) & (F.col("n_chars") > SITE_CHARS)
+    reached = F.col("failure").isNull() | (F.col("failure") == "tls")
+    by = attempts.filter("domain IS NOT NULL").groupBy("domain").agg(F.min(F.when(live, F.struct("rank", "url", "n_chars"))).alias("live"), F.coalesce(F.bool_or(reached), F.lit(False)).alias("reached"))
+    hit = F.col("live").isNotNull()
+    said = F.concat(F.lit("Live website at "), F.col("live.url"), F.lit(" (HTTP 200, "), F.floor(F.col("live.n_chars") / 1024).cast("string"), F.lit(" KB)"))
+    return by.select("domain", hit.alias("hit"), (~hit & ~F.col("reached")).alias("error"), F.when(hit, said).when(~F.col("reached"), F.concat("domain", F.lit(" unreachable"))).alias("note"))
+
+
+def encyclopedia_decisions(summaries: DataFrame, titles: DataFrame) -> DataFrame:
+    """(company_name, hit, error, note) from stored summaries (company_name, type, title, failed) and found titles (company_name, rank, title).
+
+    A summary of type standard is the hit. Else the first of the TITLES_TRIED best titles that holds the name, or that the
+    name holds, case aside. A failed request is an error, without a hit only.
+    """
+    low, name = F.lower(F.coalesce("title", F.lit(""))), F.lower("company_name")
+    both = titles.filter(F.col("rank").between(1, TITLES_TRIED) & (F.contains(low, name) | F.contains(name, low)))
+    best = both.groupBy("company_name").agg(F.min_by("title", F.struct("rank", "title")).alias("found"), F.count("*").alias("n"))
+    s = summaries.groupBy("company_name").agg(F.min(F.when(F.col("type") == "standard", F.coalesce("title", F.lit("")))).alias("entry"), F.coalesce(F.bool_or("failed"), F.lit(False)).alias("failed"))
+    all_ = s.join(best, "company_name", "full")
+    hit = F.col("entry").isNotNull() | (F.col("n") > 0)
+    note = F.when(F.col("entry").isNotNull(), F.concat(F.lit("Wikipedia entry: "), F.col("entry"))).when(F.col("n") > 0, F.concat(F.lit("Wikipedia search match: "), F.coalesce("found", F.lit("None")))).when(F.col("failed"), "Wikipedia request error")
+    return all_.select("company_name", F.coalesce(hit, F.lit(False)).alias("hit"), (~F.coalesce(hit, F.lit(False)) & F.coalesce("failed", F.lit(False))).alias("error"), note.alias("note"))
+
+
+def decide(companies: DataFrame, attempts: DataFrame, summaries: DataFrame, titles: DataFrame) -> DataFrame:
+    """online()'s rows for (key, company_name, domain), decided from what was stored of each request; see the two above."""
+    site = blank_to_null(F.regexp_replace(F.lower(F.trim("domain")), r"^www\.", ""))
+    c = companies.withColumn("domain", site)
+    web = c.join(website_decisions(attempts), "domain", "left").select("key", "company_name", "domain", F.lit("website").alias("method"), "hit", "error", "note")
+    wiki = c.join(encyclopedia_decisions(summaries, titles), "company_name", "left").select("key", "company_name", "domain", F.lit("encyclopedia").alias("method"), "hit", "error", "note")
+    return online(web.unionByName(wiki))
+
+
 def search_hit(html: Column, company: Column) -> Column:
     """struct<found, n_results>: whether a page of search results is long enough, names the company and has two result links or more."""
     low = F.lower(html)

@@ -121,8 +121,8 @@ FROM {lineitem}
 
 META = """
 SELECT o_orderkey AS letter_id, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'Author' END AS author,
-  CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN 'Canva' WHEN 1 THEN 'Microsoft Word' WHEN 2 THEN 'Adobe Photoshop CC' WHEN 3 THEN '' WHEN 4 THEN 'iLovePDF' WHEN 5 THEN 'WPS Office 2019' ELSE NULL END AS creator,
-  CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'Smallpdf' WHEN 1 THEN 'Skia/PDF' ELSE NULL END AS producer,
+  CASE CAST(CASE WHEN o_orderkey % 36 = 0 THEN 6 ELSE o_orderkey % 8 END AS INT) WHEN 0 THEN 'Canva' WHEN 1 THEN 'Microsoft Word' WHEN 2 THEN 'Adobe Photoshop CC' WHEN 3 THEN '' WHEN 4 THEN 'iLovePDF' WHEN 5 THEN 'WPS Office 2019' ELSE NULL END AS creator,
+  CASE CAST(CASE WHEN o_orderkey % 36 = 0 THEN 2 ELSE o_orderkey % 5 END AS INT) WHEN 0 THEN 'Smallpdf' WHEN 1 THEN 'Skia/PDF' ELSE NULL END AS producer,
   CASE WHEN o_orderkey % 12 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) END AS created, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INT) AS TIMESTAMP) END AS modified
 FROM {orders}
 """

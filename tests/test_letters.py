@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from parchment.config import DEFAULT
 from parchment.functions.text import parse_date
-from parchment.operators import extract, forensic, lookups, rules
+from parchment.functions.names import agreement
+from parchment.operators import checks, extract, forensic, lookups, rules
 from parchment.sources import letters as src
 from parchment.streaming import inbox
 
@@ -141,3 +142,34 @@ def test_files(spark, tmp_path):
     manifest = spark.createDataFrame([(f.name,) for f in tmp_path.iterdir()], "file_name string")
     good, bad = src.read_letters(spark, str(tmp_path), 1000, manifest)
     assert {(r.file_name, r.reason) for r in bad.collect()} == {("b.txt", "empty file"), ("c.txt", "too large"), ("d.docx", "not a letter file"), ("e.txt", "not text")} and good.count() == 1
+
+
+@pytest.mark.parametrize(
+    ("token", "want"),
+    [
+        ("16th of February 2026", "2026-02-16"), ("20250203", "2025-02-03"), ("3-Feb-2025 10:30 AM IST", "2025-02-03"), ("Monday, 3rd day of February, 2025", "2025-02-03"), ("2025-02-03T10:15:30Z", "2025-02-03"), ("2025-02-03 10:15:30.5 +05:30", "2025-02-03"),
+        ("02/13/2025", "2025-02-13"), ("13/02/2025", "2025-02-13"), ("03/02/2025", "2025-02-03"), ("3 Feb '25", "2025-02-03"), ("Feb 3 75", "2075-02-03"), ("Feb 3 76", "1976-02-03"), ("3 Feb Mar 2025", None), ("3 Feb 2025 in Pune", None), ("20250230", None),
+        ("February of 2025", None), ("1 2", None), ("1 2 3 4", None), ("99 99 99", None), ("20250203 Feb", None), ("2025 3", None), ("tuesday", None), ("3 Marble 2025", None), ("1" * 5000, None), ("10:30", None),
+    ],
+)
+def test_spelled_dates(spark, token, want):
+    got = one(spark, token, parse_date(F.col("t")))[0]
+    assert (got and got.isoformat()) == want
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [
+        ("Rahul Kumar Singh", "singh  RAHUL, Kumar", "same"), ("R K Singh", "Rahul Kumar Singh", "form"), ("Rahul", "Rahul Kumar", "form"), ("Rahul", "Rahull", "form"), ("Rahul", "Rahil Khan", "form"), ("Rahul", "Rohil", "other"), ("R R", "Rahul Singh", "other"),
+        ("Asha", "Usha", "form"), ("Ann", "Anna", "other"), ("Dr. Asha Rao", "Asha Rao", "same"), ("", "Asha", "other"), ("Mr.", None, None), (None, None, None), ("é ñ", "É Ñ", "same"), ("A B", "A A", "other"),
+    ],
+)
+def test_names(spark, a, b, want):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert [df.select(agreement(F.col(x), F.col(y))).first()[0] for x, y in ("ab", "ba")] == [want, want]
+
+
+def test_consistency_check(spark):
+    rows = [([], [], None, "consistent"), (["c"], [], None, "consistent"), ([], ["t"], None, "form"), ([], ["t"], "Sejda", "consistent"), ([], [], "Sejda", "other"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "composites array<string>, tampering array<string>, online_tool string, signatory string").coalesce(1)
+    assert [r[0] for r in df.select(checks.consistency()).collect()] == ["green", "red", "yellow", "red", "yellow", "green"]
