@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import ascii_lower, cut
+from parchment.llm.common import ascii_lower, cut, hot_keys, spread_join
 
 ORDER, ALPHABET = 5, 256
 #: The share of held-out accepted URLs that may score above the limit; one fold of hosts of FOLDS is held out at a time.
@@ -112,8 +112,13 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     parts, contexts = models(labelled.withColumn("model", F.explode(F.filter(every, lambda m: m != F.col("fold")))), order, ("model",))
     judged = texts.select("text", F.lit(FINAL).alias("model")).unionByName(labelled.filter("not bad").select("text", F.col("fold").alias("model")))
     all_grams = judged.select("text", "model", F.explode(grams(F.col("text"), order)).alias("gram"))
-    ratios = gram_scores(all_grams.select("model", "gram").distinct(), parts, contexts, order, ("model",))
-    judged = cut(all_grams.join(ratios, ["model", "gram"]).groupBy("text", "model").agg(F.avg("ratio").alias("score")))
+    counted = cut(all_grams.groupBy("model", "gram").agg(F.count("*").alias("n")))
+    ratios = gram_scores(counted.select("model", "gram"), parts, contexts, order, ("model",))
+    # Some n-grams, such as the first letters of common hosts, are in a good part of all texts: these are dealt over several tasks.
+    key = F.concat(F.col("model").cast("string"), F.lit(":"), F.col("gram")).alias("key")
+    hot = hot_keys(counted.select(key, "n"), "key")
+    joined = spread_join(all_grams.select("text", "model", key), ratios.select(key, "ratio"), "key", hot, ["text"])
+    judged = cut(joined.groupBy("text", "model").agg(F.avg("ratio").alias("score")))
     able = {r["model"] for r in parts.filter("k = 1").groupBy("model").agg(F.sum("n_bad").alias("bad"), F.sum("n_good").alias("good")).filter("bad > 0 and good > 0").collect()}
     held = judged.filter(F.col("model").isin(sorted(able - {FINAL})))
     limit = held.agg(F.percentile_approx("score", 1 - allowed, 100_000)).first()[0] if FINAL in able else None
