@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 
 # They must equal what the rules are defined with.
@@ -143,9 +144,9 @@ class Penalties:
 
 @dataclass(frozen=True)
 class Settings:
-    """as_of takes the place of the wall clock in every rule that compares with today."""
+    """as_of takes the place of the wall clock in every rule that compares with today; it is the day of the start if none is given."""
 
-    as_of: str = "1998-12-31"
+    as_of: str = field(default_factory=lambda: dt.date.today().isoformat())
     first_year: int = 2018
     legitimate: int = 80
     review: int = 51
@@ -156,5 +157,4 @@ class Settings:
     penalties: Penalties = field(default_factory=Penalties)
 
 
-#: The test tables' letters are of the years 1992 to 1998.
-DEFAULT = Settings(first_year=1990)
+DEFAULT = Settings()

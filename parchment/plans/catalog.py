@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parchment.config import DEFAULT, DESIGN_TOOLS, EDITING_SUITES, FREE_MAIL, ONLINE_TOOLS, PILLARS, PLACEHOLDERS, RED_PHRASES, TEMPLATE_ARTIFACTS
+from parchment.config import DESIGN_TOOLS, EDITING_SUITES, FREE_MAIL, ONLINE_TOOLS, PILLARS, PLACEHOLDERS, RED_PHRASES, TEMPLATE_ARTIFACTS
 from parchment.functions.text import ascii_text, slug
 from parchment.operators import extract, forensic, lookups, queue, rules
 from parchment.plans import letters_sql
 from parchment.plans.letters_sql import DOMAIN, FIELDS, JOINING, LETTERS, OFFER, RAW, SALARY
+from parchment.plans.settings import SUITED
 from parchment.sources import letters as src
 from parchment.streaming.inbox import screen
 
@@ -116,7 +117,7 @@ def _(spark, sf_dir):
 @query("joining_date", f"{LETTERS}, e AS (SELECT *, {OFFER} AS offer_date FROM letters) SELECT letter_id, CAST({JOINING} AS VARCHAR) AS joining_date FROM e")
 def _(spark, sf_dir):
     df = _letters(spark, sf_dir).withColumn("o", extract.offer_date(F.col("t")))
-    return df.select("letter_id", extract.joining_date(F.col("t"), F.col("o"), DEFAULT.as_of).cast("string").alias("joining_date"))
+    return df.select("letter_id", extract.joining_date(F.col("t"), F.col("o"), SUITED.as_of).cast("string").alias("joining_date"))
 
 
 @query("salary_components", f"{LETTERS}, e AS (SELECT letter_id, {RAW} FROM letters) SELECT letter_id, {', '.join(f'round({sql}, 2) AS {n}' for n, sql in SALARY.items())} FROM e")
@@ -127,13 +128,13 @@ def _(spark, sf_dir):
 
 @query("field_repair")
 def _(spark, sf_dir):
-    return extract.extract(src.letters(spark, sf_dir)).select("letter_id", *[F.col(c).cast("string").alias(c) for c in extract.FIELDS])
+    return extract.extract(src.letters(spark, sf_dir), SUITED).select("letter_id", *[F.col(c).cast("string").alias(c) for c in extract.FIELDS])
 
 
 @query("low_confidence")
 def _(spark, sf_dir):
-    df = extract.extract(src.letters(spark, sf_dir))
-    return df.select("letter_id", F.concat_ws("|", extract.plausibility_problems()).alias("problems"), extract.low_confidence().alias("low_confidence"))
+    df = extract.extract(src.letters(spark, sf_dir), SUITED)
+    return df.select("letter_id", F.concat_ws("|", extract.plausibility_problems(SUITED)).alias("problems"), extract.low_confidence(SUITED).alias("low_confidence"))
 
 
 _MAIL_HITS = "regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')"
@@ -161,12 +162,12 @@ def _(spark, sf_dir):
 
 _MADE = "coalesce(nullif(creator, ''), nullif(producer, ''))"
 _GAP = "CAST(floor((epoch(modified) - epoch(created)) / 86400) AS INTEGER)"
-_REASONS = f"list_concat([CASE WHEN author IS NULL AND created IS NULL AND {_MADE} IS NULL THEN 'no metadata' END, CASE WHEN created > DATE '{DEFAULT.as_of}' + 1 THEN 'created in the future' END, CASE WHEN {_GAP} > 1 THEN 'modified ' || {_GAP} || ' days after creation' END], list_transform(list_filter({_list(DESIGN_TOOLS + EDITING_SUITES)}, lambda x: contains(lower({_MADE}), lower(x))), lambda x: 'made with ' || x))"
+_REASONS = f"list_concat([CASE WHEN author IS NULL AND created IS NULL AND {_MADE} IS NULL THEN 'no metadata' END, CASE WHEN created > DATE '{SUITED.as_of}' + 1 THEN 'created in the future' END, CASE WHEN {_GAP} > 1 THEN 'modified ' || {_GAP} || ' days after creation' END], list_transform(list_filter({_list(DESIGN_TOOLS + EDITING_SUITES)}, lambda x: contains(lower({_MADE}), lower(x))), lambda x: 'made with ' || x))"
 
 
 @query("metadata_suspicion", f"SELECT letter_id, coalesce(array_to_string(list_filter({_REASONS}, lambda x: x IS NOT NULL), '; '), '') AS reasons, list_filter({_list(ONLINE_TOOLS)}, lambda x: contains(lower({_MADE}), lower(x)))[1] AS online_tool FROM ({src.plain(src.META)}) AS x")
 def _(spark, sf_dir):
-    return forensic.metadata_reasons(src.build(spark, sf_dir, src.META), DEFAULT.as_of).select("letter_id", "reasons", "online_tool")
+    return forensic.metadata_reasons(src.build(spark, sf_dir, src.META), SUITED.as_of).select("letter_id", "reasons", "online_tool")
 
 
 FEATURES = "SELECT letter_id, page_no, CASE WHEN letter_id % 3 = 0 THEN 'short' ELSE 'a page with enough text on it' END AS text, CAST(100 + letter_id % 100 AS INT) AS n_drawings, CAST(letter_id % 2 AS INT) AS n_fonts"
@@ -185,7 +186,7 @@ def _(spark, sf_dir):
 
 _SUM = "coalesce(basic, 0) + coalesce(hra, 0) + coalesce(special, 0) + coalesce(pf_employer, 0) + coalesce(gratuity, 0)"
 _YEAR = f"(CASE WHEN {_SUM} < ctc / 6 THEN ({_SUM}) * 12 ELSE {_SUM} END)"
-_DAYS = f"(DATE '{DEFAULT.as_of}' - offer_date)"
+_DAYS = f"(DATE '{SUITED.as_of}' - offer_date)"
 _TEN = ["domain", "offer_date", "joining_date", "ctc", "basic", "hra", "special", "pf_employer", "image_score", "text_score"]
 _FULL = " + ".join(f"CASE WHEN coalesce(CAST({c} AS VARCHAR), '') IN ('', '0', '0.0') THEN 0 ELSE 1 END" for c in _TEN)
 _ONLINE = "CASE WHEN NOT (dns_error OR NOT checked) THEN least(11, 4 * CAST(dns_valid AS INT) + 7 * CAST(found AS INT)) END"
@@ -229,7 +230,7 @@ def _rule(name, columns, sql=None):
 
     @query(name, f"{CHAIN} SELECT letter_id, {sql or ', '.join(columns)} FROM j")
     def run(spark, sf_dir):
-        return rules.analyze(_facts(spark, sf_dir)).select("letter_id", *[F.expr(c) for c in columns])
+        return rules.analyze(_facts(spark, sf_dir), SUITED).select("letter_id", *[F.expr(c) for c in columns])
 
 
 _rule("date_logic", ["CAST(gap_days AS LONG) AS gap_days", "gap_state"], "gap_days, gap_state")
@@ -257,13 +258,13 @@ def _(spark, sf_dir):
 
 @query("report_overview", f"{CHAIN} SELECT verdict, count(*) AS n, round(avg(final_score), 4) AS mean_score, min(final_score) AS lowest, max(final_score) AS highest, count(gate) AS gated FROM j GROUP BY verdict")
 def _(spark, sf_dir):
-    df = rules.analyze(_facts(spark, sf_dir))
+    df = rules.analyze(_facts(spark, sf_dir), SUITED)
     return df.groupBy("verdict").agg(F.count("*").alias("n"), F.round(F.avg("final_score"), 4).alias("mean_score"), F.min("final_score").alias("lowest"), F.max("final_score").alias("highest"), F.count("gate").alias("gated"))
 
 
-@query("report_filename", f"{LETTERS} SELECT letter_id, trim(regexp_replace(nation, '[^a-zA-Z0-9]+', '_', 'g'), '_') || '_{DEFAULT.as_of}_' || substr(md5(file_name), 1, 4) AS report FROM letters")
+@query("report_filename", f"{LETTERS} SELECT letter_id, trim(regexp_replace(nation, '[^a-zA-Z0-9]+', '_', 'g'), '_') || '_{SUITED.as_of}_' || substr(md5(file_name), 1, 4) AS report FROM letters")
 def _(spark, sf_dir):
-    return src.letters(spark, sf_dir).select("letter_id", F.concat(slug(F.col("nation")), F.lit(f"_{DEFAULT.as_of}_"), F.substring(F.md5("file_name"), 1, 4)).alias("report"))
+    return src.letters(spark, sf_dir).select("letter_id", F.concat(slug(F.col("nation")), F.lit(f"_{SUITED.as_of}_"), F.substring(F.md5("file_name"), 1, 4)).alias("report"))
 
 
 _ANSWER = "CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'no json' WHEN 1 THEN concat('```json', chr(10), '{{\"text_tampering_score\": ', CAST(o_orderkey % 12 AS STRING), '}}', chr(10), '```') WHEN 2 THEN concat('Here: {{\"text_tampering_score\": \"', CAST(o_orderkey % 12 AS STRING), '\", \"recommended_action\": \"APPROVE\"}} done') ELSE concat('{{\"text_tampering_score\": ', CAST(o_orderkey % 12 AS STRING), ', \"image_tampering_score\": 7, \"recommended_action\": \"REJECT\"}}') END"
@@ -351,7 +352,7 @@ def _(spark, sf_dir):
 def audited(spark, sf_dir):
     """Extracted letters that have a text, with bad (implausible) and low (not confident)."""
     letters = src.letters(spark, sf_dir).filter(F.trim("full_text") != "")
-    return extract.extract(letters).withColumn("low", extract.low_confidence()).withColumn("bad", F.size(extract.plausibility_problems()) > 0)
+    return extract.extract(letters, SUITED).withColumn("low", extract.low_confidence(SUITED)).withColumn("bad", F.size(extract.plausibility_problems(SUITED)) > 0)
 
 
 @query("audit_extraction")
@@ -364,7 +365,7 @@ def _(spark, sf_dir):
 
 @query("audit_final")
 def _(spark, sf_dir):
-    df = screen(src.letters(spark, sf_dir))
+    df = screen(src.letters(spark, sf_dir), SUITED)
     return df.groupBy("screen", "employment_type").agg(F.count("*").alias("n"), F.count_if(F.size("red_phrases") > 0).alias("red"), F.count_if(F.size("artifacts") > 0).alias("templates"))
 
 
@@ -419,5 +420,5 @@ def _(spark, sf_dir):
 @query("audit_problems")
 def _(spark, sf_dir):
     """The problems of implausible letters, with those whose extraction was confident all the same."""
-    df = extract.extract(src.letters(spark, sf_dir)).withColumn("low", extract.low_confidence()).withColumn("problem", F.explode(extract.plausibility_problems()))
+    df = extract.extract(src.letters(spark, sf_dir), SUITED).withColumn("low", extract.low_confidence(SUITED)).withColumn("problem", F.explode(extract.plausibility_problems(SUITED)))
     return df.groupBy("problem").agg(F.count("*").alias("n"), F.count_if(~F.col("low")).alias("silent"), F.min("letter_id").alias("first_letter"))

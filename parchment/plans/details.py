@@ -9,6 +9,7 @@ from parchment.functions.text import parse_date
 from parchment.operators import checks, extract, lookups
 from parchment.plans.catalog import query
 from parchment.plans.letters_sql import PROBLEMS
+from parchment.plans.settings import SUITED
 from parchment.sources import letters as src
 
 # ---------------------------------------------------------------- dates in many forms
@@ -87,5 +88,5 @@ _STORED = "coalesce(basic, 0) + coalesce(hra, 0) + coalesce(special, 0) + coales
 @query("stored_silent", f"WITH f AS (SELECT *, {_STORED} AS parts FROM ({src.plain(src.FACTS)}) AS x), p AS (SELECT letter_id, letter_id % 3 = 0 AS low, {PROBLEMS} AS problems FROM f) SELECT letter_id, array_to_string(problems, '|') AS problems FROM p WHERE len(problems) > 0 AND NOT low ORDER BY letter_id LIMIT 60")
 def _(spark, sf_dir):
     """The report's first 60 letters of an earlier extraction whose implausible values were kept as confident."""
-    df = src.build(spark, sf_dir, src.FACTS).withColumn("problems", extract.plausibility_problems()).withColumn("low", F.col("letter_id") % 3 == 0)
+    df = src.build(spark, sf_dir, src.FACTS).withColumn("problems", extract.plausibility_problems(SUITED)).withColumn("low", F.col("letter_id") % 3 == 0)
     return df.filter((F.size("problems") > 0) & ~F.col("low")).orderBy("letter_id").limit(60).select("letter_id", F.concat_ws("|", "problems").alias("problems"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from parchment import config as c
 from parchment import patterns as p
-from parchment.config import DEFAULT
+from parchment.plans.settings import SUITED
 from parchment.sources import letters as src
 
 
@@ -68,7 +68,7 @@ def near(keyword: str, size: int) -> str:
 
 _LABELLED = f"list_filter(list_transform(list_filter(rows[1:20], lambda l: {rx('l', p.DATE_LINE)}), lambda l: {day(hit('l', p.DATE_LINE, 1))}), lambda d: d IS NOT NULL)[1]"
 OFFER = f"coalesce({_LABELLED}, {', '.join(day(hit(near(k, 120), p.DATE)) for k in c.OFFER_KEYWORDS)}, {day(hit('substr(t, 1, 500)', p.DATE))})"
-_FITS = lambda d: f"({d} IS NOT NULL AND CASE WHEN offer_date IS NOT NULL THEN {d} >= offer_date ELSE year({d}) >= {DEFAULT.as_of[:4]} - 1 END)"
+_FITS = lambda d: f"({d} IS NOT NULL AND CASE WHEN offer_date IS NOT NULL THEN {d} >= offer_date ELSE year({d}) >= {SUITED.as_of[:4]} - 1 END)"
 _NEAR = f"list_min(list_filter(list_transform(flatten([{', '.join(f'coalesce({hits(near(k, 150), p.DATE)}, [])' for k in c.JOINING_KEYWORDS)}]), lambda x: {day('x')}), lambda d: {_FITS('d')}))"
 _LABEL = day(hit("t", p.JOINING_LABEL, 1))
 JOINING = f"coalesce({let(_LABEL, 'CASE WHEN ' + _FITS('d') + ' THEN d END', 'd')}, {_NEAR})"
@@ -180,9 +180,9 @@ SALARY |= {n: f"CASE WHEN raw_{n} >= 500000 THEN raw_{n} / 12 ELSE raw_{n} END"
 _NAMES = {"registration": "cin_gst_udyam", "company_address": "pin_address"}
 _PLAIN = ["company_email", "candidate_email", "website", "phone", "registration", "employment_type", "work_location", "company_name", "candidate_name", "job_title", "hr_name", "hr_designation", "hr_email", "company_address"]
 _SUM = "coalesce(basic, 0) + coalesce(hra, 0) + coalesce(special, 0) + coalesce(pf_employer, 0) + coalesce(gratuity, 0)"
-_LATE = int(DEFAULT.as_of[:4]) + 2
+_LATE = int(SUITED.as_of[:4]) + 2
 PROBLEMS = f"""list_filter([CASE WHEN ctc < 20000 THEN 'ctc too low' END, CASE WHEN basic > ctc THEN 'basic above ctc' END, CASE WHEN parts > 100 AND parts > 1.05 * ctc THEN 'components above ctc' END, CASE WHEN joining_date < offer_date THEN 'joining before offer' END,
-  CASE WHEN year(offer_date) NOT BETWEEN {DEFAULT.first_year} AND {_LATE} THEN 'offer year out of range' END, CASE WHEN year(joining_date) NOT BETWEEN {DEFAULT.first_year} AND {_LATE} THEN 'joining year out of range' END], lambda p: p IS NOT NULL)"""
+  CASE WHEN year(offer_date) NOT BETWEEN {SUITED.first_year} AND {_LATE} THEN 'offer year out of range' END, CASE WHEN year(joining_date) NOT BETWEEN {SUITED.first_year} AND {_LATE} THEN 'joining year out of range' END], lambda p: p IS NOT NULL)"""
 _HELD = "coalesce(contains(lower(hr_name), lower(candidate_name)), false)"
 _WITHOUT = person("regexp_replace(hr_name, '(?i)' || candidate_name, '', 'g')")
 EXTRACTED = f"""{LETTERS}, e0 AS (SELECT letter_id, full_text, t, low, {", ".join(f"{FIELDS[_NAMES.get(n, n)]} AS {n}" for n in _PLAIN)}, {OFFER} AS offer_date, {RAW} FROM letters),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parchment.config import CLAUSE_WORDS, DEFAULT, HEADING_WORDS, LABEL_WORDS, METROS, PLACEHOLDERS, RED_PHRASES, ROLE_WORDS, SALARY_KEYWORDS, SCHOOL_WORDS, TEMPLATE_ARTIFACTS
+from parchment.config import CLAUSE_WORDS, HEADING_WORDS, LABEL_WORDS, METROS, PLACEHOLDERS, RED_PHRASES, ROLE_WORDS, SALARY_KEYWORDS, SCHOOL_WORDS, TEMPLATE_ARTIFACTS
 from parchment.operators import audit, checks, extract, report, rules
 from parchment.plans.catalog import CHAIN, ORACLES, _facts, _list, _quote, query
 from parchment.plans.letters_sql import EXTRACTED
+from parchment.plans.settings import SUITED
 from parchment.sources import letters as src
 from parchment.patterns import EMPLOYMENT_TYPES
 
@@ -84,7 +85,7 @@ _BY_FIELD = "SELECT place, field, count(*) FILTER (value IS NULL) AS missing, co
 
 @query("audit_fields", f"{EXTRACTED}, a AS ({_audited('x')}) {_BY_FIELD}")
 def _(spark, sf_dir):
-    return audit.summary(audit.audited(extract.extract(src.letters(spark, sf_dir))))
+    return audit.summary(audit.audited(extract.extract(src.letters(spark, sf_dir), SUITED)))
 
 
 @query("field_problems", f"WITH o AS ({src.plain(ODD)}), a AS ({_audited('o')}) SELECT letter_id, field, value, reason FROM a WHERE reason IS NOT NULL")
@@ -129,7 +130,7 @@ _POINTS = "11 - CASE WHEN offer_date IS NULL THEN 3 ELSE 0 END - CASE WHEN joini
 
 @query("letter_checks", f"{EXTRACTED} SELECT letter_id, {_JOINED} AS checks, CASE WHEN joining_date < offer_date THEN least(2, {_POINTS}) ELSE {_POINTS} END AS date_points FROM x")
 def _(spark, sf_dir):
-    df = extract.extract(src.letters(spark, sf_dir))
+    df = extract.extract(src.letters(spark, sf_dir), SUITED)
     return df.select("letter_id", F.array_join(F.transform(checks.checks(), lambda c: F.concat(c["check"], F.lit(":"), c["severity"])), "|").alias("checks"), checks.date_score().alias("date_points"))
 
 
@@ -148,7 +149,7 @@ def _(spark, sf_dir):
 @query("scoring_requests", f"{EXTRACTED} SELECT letter_id, company_name AS company, candidate_name AS candidate, round(ctc, 2) AS ctc, CAST(offer_date AS VARCHAR) AS offered, gross IS NOT NULL AS has_gross, length(substr(full_text, 1, 200)) AS n_text FROM x")
 def _(spark, sf_dir):
     """Each letter's request as JSON, read back."""
-    df = extract.extract(src.letters(spark, sf_dir)).select("letter_id", report.request(snippet=200).alias("r"))
+    df = extract.extract(src.letters(spark, sf_dir), SUITED).select("letter_id", report.request(snippet=200).alias("r"))
     get = lambda path: F.get_json_object("r", path)
     return df.select("letter_id", get("$.company.name").alias("company"), get("$.candidate.name").alias("candidate"), F.round(get("$.salary.ctc").cast("double"), 2).alias("ctc"), get("$.dates.offer").alias("offered"), get("$.salary.gross").isNotNull().alias("has_gross"), F.length(get("$.document.text")).cast("long").alias("n_text"))
 
@@ -156,7 +157,7 @@ def _(spark, sf_dir):
 @query("scoring_requests_full", f"{EXTRACTED} SELECT letter_id, company_name AS company, candidate_name AS candidate, round(ctc, 2) AS ctc, CAST(offer_date AS VARCHAR) AS offered, gross IS NOT NULL AS has_gross, length(substr(full_text, 1, 4000)) AS n_text, md5(substr(full_text, 1, 4000)) AS text_digest FROM x")
 def _(spark, sf_dir):
     """The same with the text that production sends, and its digest."""
-    df = extract.extract(src.letters(spark, sf_dir)).select("letter_id", report.request().alias("r"))
+    df = extract.extract(src.letters(spark, sf_dir), SUITED).select("letter_id", report.request().alias("r"))
     get = lambda path: F.get_json_object("r", path)
     fields = [get("$.company.name").alias("company"), get("$.candidate.name").alias("candidate"), F.round(get("$.salary.ctc").cast("double"), 2).alias("ctc"), get("$.dates.offer").alias("offered"), get("$.salary.gross").isNotNull().alias("has_gross")]
     return df.select("letter_id", *fields, F.length(get("$.document.text")).cast("long").alias("n_text"), F.md5(get("$.document.text")).alias("text_digest"))
@@ -170,6 +171,6 @@ _PAGE = """'<html><h1>Nova &amp; Sons &lt;' || coalesce(domain, '') || '&gt;</h1
 def _(spark, sf_dir):
     """Reports as pages, with the score read back from them."""
     title = F.concat(F.lit("Nova & Sons <"), F.coalesce("domain", F.lit("")), F.lit(">"))
-    df = rules.analyze(_facts(spark, sf_dir))
+    df = rules.analyze(_facts(spark, sf_dir), SUITED)
     page = report.html(title, [("Verdict", F.col("verdict")), ("Gate", F.col("gate"))], F.col("final_score"), F.col("flags"))
     return df.select("letter_id", page.alias("page")).select("letter_id", report.score_of(F.col("page")).alias("score"), F.md5("page").alias("page"))

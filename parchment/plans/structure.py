@@ -9,6 +9,7 @@ from parchment.plans.catalog import _DNS, _FOUND, audited, query  # noqa: F401
 from parchment.plans.letters_sql import EXTRACTED, lines  # noqa: F401
 from parchment.plans.review import _audited
 from parchment.plans.verdicts import ANSWERS
+from parchment.plans.settings import SUITED
 from parchment.sources import letters as src
 
 # ---------------------------------------------------------------- pages
@@ -121,7 +122,7 @@ _PROVIDED = "SELECT o_orderkey AS letter_id, 'Provider Works' AS company_name, C
   CASE WHEN low_confidence AND p.letter_id IS NOT NULL THEN p.candidate_name ELSE x.candidate_name END AS candidate_name, round(CASE WHEN low_confidence AND p.letter_id IS NOT NULL THEN p.ctc ELSE x.ctc END, 2) AS ctc FROM x LEFT JOIN ({src.plain(_PROVIDED)}) AS p ON x.letter_id = p.letter_id""")
 def _(spark, sf_dir):
     """Letters of low confidence take a provider's fields; the provider is asked for those alone."""
-    df = extract.settle(extract.extract(src.letters(spark, sf_dir)), src.build(spark, sf_dir, _PROVIDED))
+    df = extract.settle(extract.extract(src.letters(spark, sf_dir), SUITED), src.build(spark, sf_dir, _PROVIDED), SUITED)
     return df.select("letter_id", "source", "company_name", "candidate_name", F.round("ctc", 2).alias("ctc"))
 
 
@@ -136,13 +137,13 @@ _KNOWN = lambda *cs: " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c
 def _(spark, sf_dir):
     """What of the model's scores the letters' own columns settle."""
     more = src.build(spark, sf_dir, src.DETAILS).select("letter_id", "signature", F.filter(F.split("composites", "\\|"), lambda c: c != "").alias("composites"))
-    return extract.extract(src.letters(spark, sf_dir)).join(more, "letter_id").select("letter_id", *[c.alias(n) for n, c in checks.halves().items()])
+    return extract.extract(src.letters(spark, sf_dir), SUITED).join(more, "letter_id").select("letter_id", *[c.alias(n) for n, c in checks.halves().items()])
 
 
 @query("silent_letters", f"{EXTRACTED}, y AS (SELECT 'letter_' || letter_id || '.pdf' AS file_name, problems FROM x WHERE len(problems) > 0 AND NOT low_confidence AND trim(full_text) <> '') SELECT file_name, array_to_string(problems, '|') AS problems FROM y ORDER BY file_name LIMIT 60")
 def _(spark, sf_dir):
     """The report's first 60 letters whose implausible values pass as confident."""
-    df = extract.only(audited(spark, sf_dir), F.col("bad") & ~F.col("low"), F.col("file_name"), F.array_join(extract.plausibility_problems(), "|").alias("problems"))
+    df = extract.only(audited(spark, sf_dir), F.col("bad") & ~F.col("low"), F.col("file_name"), F.array_join(extract.plausibility_problems(SUITED), "|").alias("problems"))
     return df.orderBy("file_name").limit(60)
 
 
@@ -161,5 +162,5 @@ def _(spark, sf_dir):
     """All fields of letters that are picked by name: the picking is the feature."""
     letters = src.letters(spark, sf_dir).filter(F.col("file_name").isin([f"letter_{k}.pdf" for k in SPOTLIGHT]))
     fields = ["company_name", "candidate_name", "job_title", "employment_type", "work_location", "hr_name", "hr_designation", "domain", "company_email", "registration"]
-    problems = F.array_join(extract.plausibility_problems(), "|")
-    return extract.extract(letters).select("letter_id", *fields, *[F.col(c).cast("string").alias(c) for c in ("offer_date", "joining_date")], "ctc", "basic", "hra", "gross", F.when(problems == "", "CLEAN").otherwise(problems).alias("plausibility"))
+    problems = F.array_join(extract.plausibility_problems(SUITED), "|")
+    return extract.extract(letters, SUITED).select("letter_id", *fields, *[F.col(c).cast("string").alias(c) for c in ("offer_date", "joining_date")], "ctc", "basic", "hra", "gross", F.when(problems == "", "CLEAN").otherwise(problems).alias("plausibility"))

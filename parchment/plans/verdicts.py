@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from parchment.config import ANSWER_KEYS, DEFAULT, INFORMATIONAL, PILLARS, RED_PHRASES, REPORT_PILLARS, TEMPLATE_ARTIFACTS
+from parchment.config import ANSWER_KEYS, INFORMATIONAL, PILLARS, RED_PHRASES, REPORT_PILLARS, TEMPLATE_ARTIFACTS
 from parchment.operators import assess, extract, lookups, report, rules, signals
 from parchment.plans.catalog import _LINES, _MADE, _ONLINE, _SHEETS, _SUM, _YEAR, FEATURES, ORACLES, _list, _quote, chain, query
 from parchment.plans.letters_sql import EXTRACTED, LETTERS
+from parchment.plans.settings import SUITED
 from parchment.sources import letters as src
 from parchment.sources import store
 
@@ -77,7 +78,7 @@ _MORE = """SELECT o_orderkey AS letter_id, CASE WHEN o_orderkey % 4 = 0 THEN NUL
 
 def _assessed(spark, sf_dir):
     facts, more = src.build(spark, sf_dir, src.FACTS).select(*_FACTS), src.build(spark, sf_dir, _MORE)
-    return assess.assess(facts.join(more, "letter_id").join(_details(spark, sf_dir), "letter_id"))
+    return assess.assess(facts.join(more, "letter_id").join(_details(spark, sf_dir), "letter_id"), SUITED)
 
 
 _BOTH = ["company_name", "company_address", "candidate_name", "job_title", "hr_designation"]
@@ -195,8 +196,8 @@ _part("report_page", f"final_score AS shown, md5({_PAGE}) AS page", lambda: {"sh
 _SLUG = lambda v, n: f"substr(trim(regexp_replace({v}, '[^a-zA-Z0-9]+', '_', 'g'), '_'), 1, {n})"
 _STEM = "regexp_replace(regexp_extract(file_name, '[^/]+$'), '[.][^.]*$', '')"
 _part(
-    "report_names", f"{_SLUG(_STEM, 30)} || '_' || {_SLUG(chr(99) + 'oalesce(name_shown, ' + _quote('Unknown') + ')', 20)} || '_' || {_SLUG('coalesce(candidate_name, ' + _quote('Unknown') + ')', 18)} || '_{DEFAULT.as_of}_s' || final_score || '_' || substr(md5(file_name), 1, 4) || '.html' AS report",
-    lambda: {"report": report.file_name(F.col("file_name"), F.col("company_name"), F.col("candidate_name"), F.lit(DEFAULT.as_of), F.col("final_score"))}, "The names that reports are saved under.",
+    "report_names", f"{_SLUG(_STEM, 30)} || '_' || {_SLUG(chr(99) + 'oalesce(name_shown, ' + _quote('Unknown') + ')', 20)} || '_' || {_SLUG('coalesce(candidate_name, ' + _quote('Unknown') + ')', 18)} || '_{SUITED.as_of}_s' || final_score || '_' || substr(md5(file_name), 1, 4) || '.html' AS report",
+    lambda: {"report": report.file_name(F.col("file_name"), F.col("company_name"), F.col("candidate_name"), F.lit(SUITED.as_of), F.col("final_score"))}, "The names that reports are saved under.",
 )
 
 # ---------------------------------------------------------------- letters all the way: extracted fields, joined facts, parsed answers
@@ -216,13 +217,13 @@ def _store(spark, sf_dir):
 
 def _letters_assessed(spark, sf_dir):
     tables = _store(spark, sf_dir)
-    own = signals.signals(*[tables[n] for n in ("letters", "pages", "features", "lines", "images", "meta")], DEFAULT.as_of)
+    own = signals.signals(*[tables[n] for n in ("letters", "pages", "features", "lines", "images", "meta")], SUITED.as_of)
     rest = src.build(spark, sf_dir, src.DETAILS).select("letter_id", "warnings", "dns_note", "online_note", "response")
     asked = own.join(rest, "letter_id").withColumn("warnings", F.filter(F.split("warnings", "\\|"), lambda w: w != ""))
     asked = asked.withColumn("answer", rules.parse_scores(F.col("response"), F.col("n_rendered") > 0)).drop("response")
-    letters = extract.extract(tables["letters"]).withColumn("source", F.lit("rules"))
+    letters = extract.extract(tables["letters"], SUITED).withColumn("source", F.lit("rules"))
     known = lookups.join_dns(letters, src.build(spark, sf_dir, _LOOKUPS)).withColumnRenamed("lookup_error", "dns_error").withColumn("mx", F.coalesce("mx", F.lit(False)))
-    return assess.assess(known.join(src.build(spark, sf_dir, _PRESENCE), "letter_id").join(asked, "letter_id"))
+    return assess.assess(known.join(src.build(spark, sf_dir, _PRESENCE), "letter_id").join(asked, "letter_id"), SUITED)
 
 
 _FINDINGS = f"SELECT letter_id, string_agg(finding, '|' ORDER BY page_no, line_no, finding) AS v FROM ({ORACLES['floating_dates']}) AS y GROUP BY letter_id"
@@ -240,7 +241,7 @@ LEFT JOIN ({ORACLES['metadata_suspicion']}) AS r ON z.letter_id = r.letter_id LE
 def _(spark, sf_dir):
     """What each letter's own texts, pages, lines, images and metadata tell, joined without an exchange."""
     tables = _store(spark, sf_dir)
-    df = signals.signals(*[tables[n] for n in ("letters", "pages", "features", "lines", "images", "meta")], DEFAULT.as_of)
+    df = signals.signals(*[tables[n] for n in ("letters", "pages", "features", "lines", "images", "meta")], SUITED.as_of)
     joined = [F.concat_ws("|", c).alias(c) for c in ("red_phrases", "artifacts", "tampering", "composites")]
     return df.select("letter_id", *joined, "created_with", "author", F.col("created_on").cast("string").alias("created_on"), "suspicious", "metadata_reasons", "online_tool", "logo", "signature", "has_stamp", F.col("n_rendered").cast("long").alias("n_rendered"))
 

@@ -4,9 +4,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from parchment.config import DEFAULT
 from parchment.operators import intake, report, signals
 from parchment.plans import verdicts
+from parchment.plans.settings import SUITED
 from parchment.streaming import inbox
 
 
@@ -87,7 +87,7 @@ def test_signals_of_a_store_need_no_exchange(spark, sf):
     """Neither for groups nor for joins, however large the tables: no side is broadcast here."""
     tables = verdicts._store(spark, sf)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    df = signals.signals(*[tables[n] for n in ("letters", "pages", "features", "lines", "images", "meta")], DEFAULT.as_of)
+    df = signals.signals(*[tables[n] for n in ("letters", "pages", "features", "lines", "images", "meta")], SUITED.as_of)
     plan = df._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange" not in plan and plan.count("Bucketed: true") >= 6

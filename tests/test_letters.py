@@ -7,10 +7,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from parchment.config import DEFAULT
 from parchment.functions.text import parse_date
 from parchment.functions.names import agreement
 from parchment.operators import checks, extract, forensic, lookups, rules
+from parchment.plans.settings import SUITED
 from parchment.sources import letters as src
 from parchment.streaming import inbox
 
@@ -71,7 +71,7 @@ SCHEMA = "domain string, offer_date date, joining_date date, ctc double, basic d
 
 def judged(spark, *changes):
     rows = [tuple((BASE | c)[k.split()[0]] for k in SCHEMA.split(", ")) for c in changes]
-    return rules.analyze(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    return rules.analyze(spark.createDataFrame(rows, SCHEMA).coalesce(1), SUITED).collect()
 
 
 def test_gates(spark):
@@ -127,7 +127,7 @@ def test_stream_gives_what_batch_gives(spark, sf, tmp_path):
     letters.write.parquet(str(tmp_path / "in"))
     inbox.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("letter_id", "screen", "company_name")
-    want = inbox.screen(spark.read.parquet(str(tmp_path / "in")), DEFAULT).select("letter_id", "screen", "company_name")
+    want = inbox.screen(spark.read.parquet(str(tmp_path / "in")), SUITED).select("letter_id", "screen", "company_name")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
