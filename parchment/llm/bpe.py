@@ -207,7 +207,12 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
 
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
-    """(doc_id, text): the texts of lists of ids, special tokens included; null lists give empty texts."""
+    """(doc_id, text): the texts of lists of ids, special tokens included, one row for each row of encoded.
+
+    Null and empty lists give empty texts, bytes that are no UTF-8 the replacement sign. Lists of any length are decoded whole,
+    repeated rows alike; an empty table gives an empty one, and other columns are not looked at. An id that the vocabulary
+    lacks is an error.
+    """
     path = path or default_ranks()
 
     def rows(batches):

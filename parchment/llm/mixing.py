@@ -51,7 +51,8 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float =
     target exceeds `most` times its source's size; what is above goes to the others by weight until none is above.
     That fixed point is min(most * size, level * weight): sources fill up in the order of size / weight, and the level
     is what is left over the weights that are left, at the first source that does not fill up. The sources are ordered
-    in one task, so more than MOST_SOURCES are refused.
+    in one task, so more than MOST_SOURCES are refused. A source without size has the target 0; a null source is one of its
+    own; no sources give no targets.
     """
     if sizes.count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")

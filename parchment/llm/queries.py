@@ -19,10 +19,12 @@ PII_KEY_SETTING, PII_TEST_KEY = "spark.parchment.pii.key", "invented data only"
 
 
 def op1_url_filter(spark, sf_dir):
+    """The verdict of every page's url: the longest rule's that fits, else the models'."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_quality_rules(spark, sf_dir):
+    """Base measures of every document, the characters in its repeated n-grams and lines, and whether it is kept."""
     return table(spark, sf_dir, "documents").select("doc_id", quality.repetition(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
@@ -35,32 +37,38 @@ def pii_key(spark) -> str:
 
 
 def op3_pii(spark, sf_dir):
+    """Every document's text with pseudonyms for personal values, and where these were found."""
     out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii_key(spark), found="found")
     kinds = F.concat_ws("|", F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["length"].cast("string"))))
     return out.select("doc_id", "text", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_found"), kinds.alias("found"))
 
 
 def op4_mixing(spark, sf_dir):
+    """How many words of each document the mix takes, with its source's size and target."""
     plan = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), n_words(F.col("text")), WEIGHTS, SHARE)
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op5_near_duplicates(spark, sf_dir):
+    """Every document's component of near-duplicates, by four-word sets and a similarity of 0.8."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
 def op6_sharding(spark, sf_dir):
+    """Every document's shard, of 24, and its place there."""
     out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     return out.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_nearest(spark, sf_dir):
+    """The ten nearest vectors of every hundredth one, among all."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(rows, rows.filter("vec_id % 100 = 0"), 10)
 
 
 def op8_line_dedup(spark, sf_dir, unit="sentence", min_words=line_dedup.MIN_WORDS):
+    """Every document without the runs of sentences that earlier ones have; what went, with its offsets."""
     out = line_dedup.deduplicate_units(table(spark, sf_dir, "documents"), unit=unit, min_words=min_words)
     spans = F.concat_ws("|", F.transform("removed", lambda x: F.concat_ws(":", x["unit"].cast("string"), x["start"].cast("string"), x["end"].cast("string"))))
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
@@ -72,6 +80,7 @@ def op8_line_dedup_all(spark, sf_dir):
 
 
 def op9_chat(spark, sf_dir):
+    """Every conversation, formatted and read back from its formatted text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema))
@@ -91,6 +100,7 @@ def _read_back(batches):
 
 
 def op10_bpe(spark, sf_dir):
+    """Every document's number of tokens and the digests of its ids and of the text that they decode to."""
     return bpe.encode(table(spark, sf_dir, "documents"), shape=bpe.digests(), schema=bpe.DIGEST)
 
 

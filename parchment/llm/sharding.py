@@ -28,7 +28,10 @@ _TAILS = 12
 
 
 def matrix(counts: np.ndarray, totals: np.ndarray, seed) -> np.ndarray:
-    """Rows from a multivariate hypergeometric law: row i sums to counts[i], the columns to totals."""
+    """Rows from a multivariate hypergeometric law: row i sums to counts[i], the columns to totals, which have the same sum.
+
+    A count of 0 gives a row of zeros, no counts an array without rows; seed alone decides what is drawn.
+    """
     rng, left = np.random.Generator(np.random.PCG64(seed)), totals.astype(np.int64).copy()
     out = np.zeros((len(counts), len(totals)), np.int64)
     for i, n in enumerate(counts):
