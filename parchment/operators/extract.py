@@ -243,7 +243,8 @@ def amount_near(text: Column, low: Column, keywords: list[str]) -> Column:
         unit = F.lower(F.substring(F.regexp_extract(near, p.AMOUNT, 2), 1, 1))
         return number * F.when(unit == "l", 1e5).when(unit == "c", 1e7).otherwise(1.0)
 
-    return _head(F.filter(F.transform(F.array(*[window(text, low, k, 180) for k in keywords]), one), lambda v: v > 100))
+    # One branch for each keyword, so that those behind the first hit are not looked for.
+    return F.coalesce(*[let(window(text, low, k, 180), lambda near: let(one(near), lambda v: F.when(v > 100, v))) for k in keywords])
 
 
 def salary(text: Column, low: Column | None = None) -> dict[str, Column]:

@@ -122,8 +122,8 @@ def _(spark, sf_dir):
 
 @query("salary_components", f"{LETTERS}, e AS (SELECT letter_id, {RAW} FROM letters) SELECT letter_id, {', '.join(f'round({sql}, 2) AS {n}' for n, sql in SALARY.items())} FROM e")
 def _(spark, sf_dir):
-    pay = extract.salary(F.col("t"))
-    return _letters(spark, sf_dir).select("letter_id", *[F.round(v, 2).alias(n) for n, v in pay.items()])
+    pay = extract.salary(F.col("t"), F.col("low"))
+    return _letters(spark, sf_dir).withColumn("low", F.lower("t")).select("letter_id", *[F.round(v, 2).alias(n) for n, v in pay.items()])
 
 
 @query("field_repair")
