@@ -81,3 +81,20 @@ def test_urls(spark, sf):
         if not fits:
             free.setdefault(pages[i], set()).add(r.verdict)
     assert all(len(v) == 1 and v <= {"allow", "block"} for v in free.values())
+
+
+def test_url_rules_are_the_contract_s(spark, tmp_path):
+    """Rules and verdicts spelt out from the contract, not read from the code."""
+    want = {
+        "http://com/en/": ("com/en/", "block"), "http://a.b.com/en/x?y#z": ("com/en/", "block"), "http://notexample.com/en/7": ("com/en/", "block"), "http://example.com/en/6": ("com/en/", "block"),
+        "http://example.com/en/7": ("example.com/en/7", "allow"), "HTTP://WWW.Example.COM/en/71": ("example.com/en/7", "allow"),
+        "http://net/de/": ("net/de/", "allow"), "http://a.b.net/de/x?y#z": ("net/de/", "allow"), "http://notexample.net/de/8": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"), "HTTP://WWW.Example.NET/de/81": ("example.net/de/8", "block"),
+        "http://org/es/": ("org/es/", "block"), "http://example.org/es/x?y#z": ("org/es/", "block"),
+    }
+    free = ["http://a.net/DE/1", "http://a.net/de", "http://a.org?/es/", "http://xcom/en/", "http://a.com.au/en/", "net/de/", None]
+    rows = list(enumerate([*want, *free]))
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.op1_url_filter(spark, str(tmp_path)).collect()}
+    assert {u: (got[i].rule, got[i].verdict) for i, u in rows if u in want} == want
+    assert len(got) == len(rows) and all(got[i].rule is None for i, u in rows if u not in want)
