@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from parchment.config import Settings
 from parchment.functions.text import parse_date
 from parchment.operators import extract, forensic, lookups, queue, rules
 from parchment.operators.report import file_name
+from parchment.plans.letters_sql import FIELDS
 
 
 
@@ -58,6 +60,14 @@ def test_types_and_places(spark):
     check(spark, [("Work Location: Pune, India", "Pune"), ("Based at - Navi Mumbai.", "Navi Mumbai"), ("Location: ____", None), ("Location: you will be told", None), ("Location: a b c d e f g h", None)], extract.work_location(F.col("t")))
 
 
+def test_addresses_end_where_the_digits_stand_first(spark):
+    texts = ["a\nb\nNo. 1, Main Road\nPune 411001 x", "Ref: HR/1560123\nfirst\nsecond\nthird\nPune 560123", "no 1234567 token", "", None]
+    sql = FIELDS["pin_address"]
+    want = [duckdb.execute(f"SELECT {sql} FROM (SELECT ?::VARCHAR AS t)", [t]).fetchone()[0] for t in texts]
+    assert want[1] == "Ref: HR/1560123, fir"
+    check(spark, list(zip(texts, want, strict=True)), extract.pin_address(F.col("t")))
+
+
 @pytest.mark.parametrize(("text", "want"), [("CTC 5 lack of it", None), ("CTC: 5 lakhs", 5e5), ("CTC 7 crore", None), ("CTC 4 cr.", 4e7), ("CTC 600 credited", 7200.0), ("CTC, of Rs 500000", None), ("CTC 12% and annual package 3 LPA", 3e5)])
 def test_amounts(spark, text, want):
     assert column(spark, [text], extract.salary(F.col("t"))["ctc"])[0] == want
